@@ -59,40 +59,44 @@ def pivots(n: int = 16, seed: int = 11) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, n, dtype=np.uint64)
 
 
-def near_pairs(key: np.ndarray, fp: np.ndarray, refs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of equal key within ``most`` differing bits.
+def near_forest(key: np.ndarray, fp: np.ndarray, refs: np.ndarray, most: int, held: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct fingerprints, and for each the index of its component's smallest, by pairs of equal key within ``most`` bits.
 
     Rows are walked in the order of their distance to the first pivot, so that partners further than ``most`` in that
     coordinate are never met; the other coordinates then discard by the triangle inequality; the rest are verified.
+    Pairs that are connected already are passed over, and links are merged when ``held`` of them have come together.
     """
-    table = [np.bitwise_count(fp ^ p).astype(np.int16) for p in refs]
-    order = np.lexsort((table[0], key))
-    key, fp = key[order], fp[order]
-    table = [t[order] for t in table]
-    left, right = [], []
-    alive = np.arange(len(key))
-    step = 1
+    value, ids = np.unique(fp, return_inverse=True)
+    root = np.arange(len(value))
+    first = np.bitwise_count(value ^ refs[0]).astype(np.int8)
+    order = np.lexsort((first[ids], key))
+    key, ids = key[order], ids[order]
+    table = np.stack([np.bitwise_count(value ^ p).astype(np.int8) for p in refs])
+    left, right, n = [], [], 0
+    alive, step = np.arange(len(key)), 1
     while len(alive):
         alive = alive[alive + step < len(key)]
-        other = alive + step
-        near = (key[alive] == key[other]) & (table[0][other] - table[0][alive] <= most)
-        alive = a = alive[near]
-        b = a + step
-        for t in table[1:]:
-            if not len(a):
-                break
-            ok = np.abs(t[a] - t[b]) <= most
-            a, b = a[ok], b[ok]
-        ok = np.bitwise_count(fp[a] ^ fp[b]) <= most
-        left.append(order[a[ok]])
-        right.append(order[b[ok]])
+        x, y = ids[alive], ids[alive + step]
+        near = (key[alive] == key[alive + step]) & (first[y] - first[x] <= most)
+        alive, x, y = alive[near], x[near], y[near]
+        for t in [None, *table[1:]]:
+            ok = root[x] != root[y] if t is None else np.abs(t[x] - t[y]) <= most
+            x, y = x[ok], y[ok]
+        ok = np.bitwise_count(value[x] ^ value[y]) <= most
+        left.append(x[ok])
+        right.append(y[ok])
+        n += len(left[-1])
+        if n > held:
+            root, left, right, n = _merged(root, left, right), [], [], 0
         step += 1
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+    return value, _merged(root, left, right)
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Smallest index of each index's component."""
-    root = np.arange(n)
+def _merged(root: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Components after more links; every root is the smallest index of its component."""
+    if not left:
+        return root
+    left, right = np.concatenate(left), np.concatenate(right)
     while len(left):
         low = np.minimum(root[left], root[right])
         np.minimum.at(root, root[left], low)
@@ -138,9 +142,7 @@ def links(distinct: DataFrame, most: int = 4, blocks: int = 6, refs: int = 16, c
             return
         fp = np.concatenate([p[0] for p in parts]).view(np.uint64)
         key = np.concatenate([p[1] for p in parts])
-        a, b = near_pairs(key, fp, points, most)
-        value, ids = np.unique(fp, return_inverse=True)
-        root = forest(len(value), ids[a], ids[b])
+        value, root = near_forest(key, fp, points, most)
         tip = np.flatnonzero(root != np.arange(len(root)))
         yield pa.RecordBatch.from_arrays([pa.array(value[tip].view(np.int64)), pa.array(value[root[tip]].view(np.int64))], ["u", "v"])
 
