@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import decontam, simhash, substrings
+from lamella.llm import decontam, pii, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,3 +61,13 @@ kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM wor
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)
 """
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("entities", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("entities", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *map(n, pii.BASE), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("entities")).alias("spans"))
+
+
+QUERIES["op3_pii"] = op3_pii
