@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import decontam, pii, simhash, substrings
+from lamella.llm import decontam, packing, pii, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,3 +71,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_pii"] = op3_pii
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_packing"] = op6_packing
