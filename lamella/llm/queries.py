@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import decontam, packing, pii, simhash, substrings
+from lamella.llm import decontam, langid, packing, pii, simhash, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,3 +78,28 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_packing"] = op6_packing
+
+
+def _remainder(n: int):
+    """crc32 of doc_id as text, modulo n: decides what a model may learn from."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), learn=_remainder(5) != 0)
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES["op9_toxicity"] = op9_toxicity
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs, learn=_remainder(3) != 1)
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out")
+    return langid.predict(docs, model).select("doc_id", held_out, "lang_pred", "score", "n_positions")
+
+
+QUERIES["op2_language"] = op2_language
