@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import decontam, langid, packing, pii, simhash, substrings, toxicity
+from lamella.llm import decontam, html, langid, packing, pii, simhash, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,3 +103,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_language"] = op2_language
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES["op4_html"] = op4_html
