@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import decontam, html, langid, packing, pii, simhash, substrings, toxicity
+from lamella.llm import chat, decontam, html, langid, packing, pii, simhash, substrings, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,3 +111,49 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_html"] = op4_html
+
+
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
+QUERIES["op5_vectors"] = op5_vectors
+
+ORACLE["op5_vectors"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (
+  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id),
+c AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN c ON c.vec_id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_turns(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES["op7_chat"] = op7_chat
+
+ORACLE["op7_chat"] = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (
+  SELECT conv_id, role, text, row_number() OVER w AS k,
+         string_agg(md5(concat_ws('|', role IS NULL, coalesce(role, ''), text IS NULL, coalesce(text, ''))), '') OVER w AS h
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT conv_id, max(k) AS n_turns FROM n GROUP BY conv_id),
+p AS (SELECT n.conv_id, n_turns, k, h FROM n JOIN s USING (conv_id)),
+m AS (
+  SELECT min(conv_id) AS conv_id, any_value(n_turns) AS n_turns FROM p WHERE k = n_turns AND h NOT IN (SELECT h FROM p WHERE k < n_turns) GROUP BY h)
+SELECT conv_id, m.n_turns, k - 1 AS position,
+       '<|im_start|>' || lower(trim(replace(coalesce(role, 'unknown'), '<|', '< |'))) || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS rendered
+FROM n JOIN m USING (conv_id)
+"""
