@@ -130,17 +130,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     fewer words. Null texts have no words; items of null id or without words match nothing; repeated items count once.
     The index is sent to every task; a benchmark beyond ``index_bytes`` is searched in passes whose hits are merged.
     """
-    bench = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
-    total = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 40), F.lit(0))).first()[0]
-    passes = max(1, -(-total // index_bytes))
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    found = []
-    for p in range(passes):
-        part = bench if passes == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], window, k))
-        found.append(docs.mapInArrow(_scanner(index, whole=passes == 1), _SCHEMA))
-    if passes == 1:
+    shared = _indexes(benchmark, window, k, index_bytes)
+    found = [docs.mapInArrow(_scanner(index, whole=len(shared) == 1), _SCHEMA) for index in shared]
+    if len(found) == 1:
         return found[0].select("doc_id", "n_words", "n_hit", "items")
     hits = found[0]
     for more in found[1:]:
@@ -149,6 +142,43 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     return found[0].select("doc_id", "key", "n_words").join(merged, "key", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no word is hit; see ``contamination``."""
+    at = docs.columns.index("text")
+
+    def clean(index):
+        def run(batches):
+            import pyarrow as pa
+
+            hasher = _hasher()
+            for b in batches:
+                keep = []
+                for _, buf, bounds in text_batches(b.column(at)):
+                    _, _, h, offsets = hasher(buf, bounds)
+                    hits = np.concatenate([[0], np.cumsum(scan(index.value, h, offsets)[0])])
+                    keep.append(np.diff(hits[offsets]) == 0)
+                if keep:
+                    yield b.filter(pa.array(np.concatenate(keep)))
+
+        return run
+
+    for index in _indexes(benchmark, window, k, index_bytes):
+        docs = docs.mapInArrow(clean(index), docs.schema)
+    return docs
+
+
+def _indexes(benchmark: DataFrame, window: int, k: int, index_bytes: int) -> list:
+    """Broadcast indexes of the benchmark's items: one, or several of about ``index_bytes`` of text each."""
+    bench = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    total = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 40), F.lit(0))).first()[0]
+    passes = max(1, -(-total // index_bytes))
+    out = []
+    for p in range(passes):
+        part = bench if passes == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
+        out.append(bench.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], window, k)))
+    return out
+
+
 _SCHEMA = "doc_id long, key binary, n_words long, n_hit long, items array<string>, ranges array<long>"
 
 

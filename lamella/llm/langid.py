@@ -7,13 +7,15 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 #: The network reads one word at a time between two blanks; a longer word is read in pieces of this many bytes.
 PIECE = 24
 EMBED, HIDDEN = 8, 12
 #: Most texts a language that training draws (on average, by a hash of doc_id), and words read from each, spread evenly.
 TEXTS, WORDS = 300, 48
-EPOCHS, BATCH, RATE = 2, 512, 0.02
+#: A small sample is read more often than EPOCHS times, until there were about STEPS steps.
+EPOCHS, STEPS, BATCH, RATE = 2, 220, 512, 0.02
 #: Most words whose results a task remembers; it forgets all of them beyond that.
 REMEMBERED = 300_000
 #: Byte table: ASCII letters in lower case and bytes beyond ASCII stay, everything else is a blank.
@@ -170,7 +172,8 @@ def fit(samples: list[tuple[str, list[bytes]]], seed: int = 0) -> Model:
         return Model(labels, p)
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
-    batches = [b for _ in range(EPOCHS) for b in np.array_split(rng.permutation(len(words)), max(1, len(words) // BATCH))]
+    epochs = max(EPOCHS, min(40, STEPS * BATCH // len(words)))
+    batches = [b for _ in range(epochs) for b in np.array_split(rng.permutation(len(words)), max(1, len(words) // BATCH))]
     for step, rows in enumerate(batches, 1):
         x, size, owner = framed([words[r][0] for r in rows])
         _, g = gradients(p, x, size, np.array([words[r][1] for r in rows])[owner])
@@ -210,13 +213,19 @@ def train(docs: DataFrame, learn: Column, texts: int = TEXTS) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score, n_positions) of every row of ``docs`` from its whole text.
+    """(doc_id, lang_pred, score, n_positions) of every row of ``docs`` from its whole text; see ``labelled``."""
+    return labelled(docs.select("doc_id", "text"), model).drop("text")
+
+
+def labelled(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
+    """``docs`` with all its columns, and lang_pred, score and n_positions of its text.
 
     Every letter position of the text has label probabilities; a document's are their mean. A result depends on one word
     alone, so each task runs the network once for a word that it meets again. ``und`` with score 0: the text is null or
     has no letter, or the model knows no language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names, text_at = [f"{prefix}{n}" for n in ("lang_pred", "score", "n_positions")], docs.columns.index("text")
 
     def run(batches):
         import pyarrow as pa
@@ -226,7 +235,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         sums = np.zeros((0, len(model.labels) + 1), np.float32)
         for b in batches:
             pred, score, n = [], [], []
-            texts = b.column(1).to_pylist()
+            texts = b.column(text_at).to_pylist()
             at = 0
             while at < len(texts):
                 to, size, rows, fresh = at, 0, [], []
@@ -253,6 +262,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                         score.append(min(1.0, float(total[k] / total[-1])))
                     n.append(int(total[-1]))
                 at = to
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], ["doc_id", "lang_pred", "score", "n_positions"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], [*b.schema.names, *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_positions long")
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField(names[0], StringType()), StructField(names[1], DoubleType()), StructField(names[2], LongType())]))
