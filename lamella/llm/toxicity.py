@@ -131,14 +131,17 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = ROWS, s
     left out; a row that is marked twice counts twice.
     """
     marks = labels.where("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    marked = docs.where(learn).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marks, "doc_id")
-    found = {y: (n, total) for y, n, total in marked.groupBy("toxic").agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).collect()}
+    known = docs.where(learn).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = known.select("doc_id", F.octet_length("text").cast("long").alias("size")).join(marks, "doc_id")
+    found = {y: (n, total) for y, n, total in sizes.groupBy("toxic").agg(F.count("*"), F.sum("size")).collect()}
     part = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000))
     admitted = F.lit(False)
     for y, (n, total) in found.items():
         share = min(1.0, rows / 2 / n, size / 2 / max(1, total))
         admitted = admitted | ((F.col("toxic") == y) & (part < int(share * 1_000_000)))
-    drawn = sorted((r.doc_id, r.text, r.toxic) for r in marked.where(admitted).collect())
+    # About ``rows`` marks are admitted; they go to the texts, which stay where they are.
+    sample = known.join(F.broadcast(marks.where(admitted)), "doc_id")
+    drawn = sorted((r.doc_id, r.text, r.toxic) for r in sample.collect())
     prior = found[1][0] / (found[0][0] + found[1][0]) if len(found) == 2 else None
     return fit([t for _, t, _ in drawn], [y for *_, y in drawn], prior)
 
