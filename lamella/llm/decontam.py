@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamella.llm.graph import bounded_batches
 from lamella.llm.tokens import WordHasher, case_fold, grams, separators, sliding, text_batches
 
 #: A benchmark of more text than this is searched in several passes, each with an index of about this size.
@@ -130,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     fewer words. Null texts have no words; items of null id or without words match nothing; repeated items count once.
     The index is sent to every task; a benchmark beyond ``index_bytes`` is searched in passes whose hits are merged.
     """
-    docs = docs.select("doc_id", "text")
+    docs = bounded_batches(docs.select("doc_id", "text"))
     shared = _indexes(benchmark, window, k, index_bytes)
     found = [docs.mapInArrow(_scanner(index, whole=len(shared) == 1), _SCHEMA) for index in shared]
     if len(found) == 1:
@@ -163,7 +164,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: i
         return run
 
     for index in _indexes(benchmark, window, k, index_bytes):
-        docs = docs.mapInArrow(clean(index), docs.schema)
+        docs = bounded_batches(docs).mapInArrow(clean(index), docs.schema)
     return docs
 
 

@@ -17,6 +17,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:
+    """Sets the session's limit on the bytes of an Arrow batch, so that 10,000 very long texts never meet in one."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return df
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable from every node that has an edge.
 

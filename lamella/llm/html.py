@@ -8,6 +8,8 @@ from html import unescape
 
 from pyspark.sql import DataFrame
 
+from lamella.llm.graph import bounded_batches
+
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "a an and are as at be been but by can do for from had has have he her his how i if in is it its more my no not of on one or our out she so "
@@ -208,4 +210,4 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([main_text(h) for h in b.column(2).to_pylist()], pa.string())], ["page_id", "url", "text"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string")
+    return bounded_batches(pages.select("page_id", "url", "html")).mapInArrow(run, "page_id long, url string, text string")

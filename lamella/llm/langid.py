@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from lamella.llm.graph import bounded_batches
+
 #: The network reads one word at a time between two blanks; a longer word is read in pieces of this many bytes.
 PIECE = 24
 EMBED, HIDDEN = 8, 12
@@ -208,7 +210,7 @@ def train(docs: DataFrame, learn: Column, texts: int = TEXTS) -> Model:
                 out.append([w[i] for i in np.unique(np.linspace(0, len(w) - 1, WORDS).astype(int)).tolist()] if w else [])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.list_(pa.binary()))], ["doc_id", "lang", "words"])
 
-    rows = known.where(part < rates[F.col("lang")]).mapInArrow(pick, "doc_id long, lang string, words array<binary>").collect()
+    rows = bounded_batches(known.where(part < rates[F.col("lang")])).mapInArrow(pick, "doc_id long, lang string, words array<binary>").collect()
     return fit([(r.lang, [bytes(w) for w in r["words"]]) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r["words"]))])
 
 
@@ -264,4 +266,4 @@ def labelled(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
                 at = to
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], [*b.schema.names, *names])
 
-    return docs.mapInArrow(run, StructType([*docs.schema, StructField(names[0], StringType()), StructField(names[1], DoubleType()), StructField(names[2], LongType())]))
+    return bounded_batches(docs).mapInArrow(run, StructType([*docs.schema, StructField(names[0], StringType()), StructField(names[1], DoubleType()), StructField(names[2], LongType())]))

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.graph import cut
+from lamella.llm.graph import bounded_batches, cut
 
 CAPACITY = 4096
 #: Sequences a group is meant to fill: groups are packed one by one, whole ones in one task each.
@@ -143,7 +143,7 @@ def pieces(docs: DataFrame, spec: str, capacity: int = CAPACITY, end: int = 1, w
                 at = to
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.graph import connected_components, cut
+from lamella.llm.graph import bounded_batches, connected_components, cut
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
                 out.append(f)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def pivots(n: int = 16, seed: int = 11) -> np.ndarray:

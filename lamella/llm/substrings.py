@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamella.llm.graph import bounded_batches
 from lamella.llm.tokens import WordHasher, grams, mix, random_words, separators, sliding, text_batches
 
 #: A window is looked up in the sketch by its least gram of this many words (the whole window if it is shorter).
@@ -212,7 +213,7 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     it starts anywhere else too, in the same text or another. Null texts have no words; repeated rows are copies of
     each other; texts of fewer words than a window stay whole.
     """
-    docs = docs.select("doc_id", "text").withColumn("rid", F.xxhash64("doc_id", "text"))
+    docs = bounded_batches(docs.select("doc_id", "text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     chosen = total // 6 * 2 // max(2, window - GRAM + 2)
     bits = min(MOST, max(LEAST, int(4 * chosen).bit_length()))

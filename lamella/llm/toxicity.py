@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamella.llm.graph import bounded_batches
 from lamella.llm.tokens import grams, random_words, text_batches
 
 #: n-grams of 3 to 5 bytes, hashed to this many embeddings.
@@ -156,4 +157,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(b.column(1)))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, score double")
