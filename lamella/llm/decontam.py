@@ -47,11 +47,13 @@ class Index:
         self.ids = sorted({i for i, _ in items})
         number = {i: n for n, i in enumerate(self.ids)}
         hasher = _hasher()
-        words, offsets = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
-        for _, buf, bounds in text_batches(pa.array([t for _, t in items], pa.string()), 1 << 40):
+        words, offsets, n = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+        for _, buf, bounds in text_batches(pa.array([t for _, t in items], pa.string())):
             _, _, h, at = hasher(buf, bounds)
-            words, offsets = [h], [at]
-        self.words, self.offsets = words[0], offsets[0]
+            words.append(h)
+            offsets.append(at[1:] + n)
+            n += len(h)
+        self.words, self.offsets = np.concatenate(words), np.concatenate(offsets)
         self.number = np.array([number[i] for i, _ in items], np.int64)
         size = np.diff(self.offsets)
         owner = np.repeat(np.arange(len(size)), size)

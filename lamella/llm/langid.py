@@ -243,7 +243,7 @@ def labelled(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
                 to, size, rows, fresh = at, 0, [], []
                 if len(number) > REMEMBERED:
                     number, sums = {}, sums[:0]
-                while to < len(texts) and (to == at or size < 4_000_000):
+                while to < len(texts) and (to == at or size < 1_500_000):
                     words = split(texts[to] or "")
                     for w in set(words):
                         if w not in number:

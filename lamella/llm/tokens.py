@@ -122,7 +122,7 @@ def sliding(op, x: np.ndarray, w: int) -> np.ndarray:
     return op(out[:n], out[w - width : w - width + n])
 
 
-def text_batches(texts, most: int = 4_000_000):
+def text_batches(texts, most: int = 1_000_000):
     """Arrow string array -> (first row, buffer, bounds) over runs of rows of about ``most`` bytes; nulls are empty.
 
     A text is never cut: one that is longer than ``most`` comes alone.
