@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import decontam, langid, packing, pii, simhash
+from lamella.llm import decontam, langid, packing, pii, resemblance
 
 #: A document whose pooled language probability is lower is rejected, as is one without any letter. Four languages at
 #: chance level give 0.25; running text of one of them gives over 0.6, and a few odd words 0.32 or more.
@@ -27,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return simhash.one_of_each(docs).select(*docs.columns)
+    """Keeps one document of each group of near-duplicates: five-word shingles of Jaccard similarity 0.8 or more."""
+    return resemblance.one_of_each(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
