@@ -6,6 +6,7 @@ import os
 import zlib
 from bisect import bisect_left, bisect_right
 from itertools import combinations
+from unicodedata import normalize
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -73,11 +74,15 @@ class WordIds:
         return np.insert(ids, total[ends], end).astype(np.uint32), np.concatenate([[0], total[ends] + np.arange(1, len(texts) + 1)])
 
     def _learn(self, words: list[bytes]):
-        # Sentence marks at a word's end are tokens of their own, and ASCII letters are folded by the tokenizer anyway.
+        # The tokenizer takes a run of symbols as one piece, so that only sentence marks after a letter or digit (of the
+        # normal form, in which some letters end in a mark) are tokens of their own. It folds ASCII letters anyway, but
+        # not those of special tokens.
         split = []
         for w in map(bytes.decode, words):
             core = w.rstrip(".,!?*$#%&;:")
-            split.append((core.lower() if core.isascii() else core, w[len(core) :]))
+            if not (core and normalize("NFC", core[-1]).lower()[-1].isalnum()):
+                core = w
+            split.append((core.lower() if core.isascii() and "<" not in core else core, w[len(core) :]))
         todo = [c for c in dict.fromkeys(x for pair in split for x in pair) if c not in self.cores]
         plain = [c for c in todo if c.isalpha()]
         other = [c for c in todo if not c.isalpha()]
