@@ -29,6 +29,10 @@ STOP_LOW, STOP_HIGH, LINKS = 0.15, 0.3, 0.33
 # Element names of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math canvas object select".split())
+FOREIGN = frozenset("svg math".split())
+SCRIPTS = frozenset("script style".split())
+#: Elements that hold a page or its article, whose class and id say nothing against their text.
+WHOLE = frozenset("html body main article".split())
 BOILER = frozenset("nav footer aside form menu dialog button".split())
 MAIN = frozenset("article main".split())
 BLOCK = frozenset(
@@ -64,6 +68,7 @@ class _Open:
     main: int
     link: bool
     heading: bool
+    place: int = -1
 
 
 @dataclass
@@ -73,8 +78,11 @@ class _Page:
     mains: int = 0
 
 
-def blocks(html: str) -> list[Block]:
-    """Blocks of a page in page order. Takes any text: unclosed, crossing and unknown elements are allowed."""
+def blocks(html: str, holders: frozenset[int] = frozenset()) -> list[Block]:
+    """Blocks of a page in page order. Takes any text: unclosed, crossing and unknown elements are allowed.
+
+    Elements at ``holders`` hold the page's only article, so that their class and id are passed over.
+    """
     page, stack = _Page(), [_Open("", False, 0, False, False)]
 
     def flush():
@@ -89,7 +97,7 @@ def blocks(html: str) -> list[Block]:
         if text:
             page.parts.append((unescape(text) if "&" in text else text, stack[-1].link))
 
-    at, n = 0, len(html)
+    at, n, unclosed, articles = 0, len(html), set(), {}
     while at < n:
         start = html.find("<", at)
         if start < 0:
@@ -114,8 +122,17 @@ def blocks(html: str) -> list[Block]:
                     del stack[i:]
                     break
         elif name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
+            # svg and math may close themselves. Without a closing tag, script and style hide the rest as in a browser; of
+            # others only the tag goes.
+            if not (name in FOREIGN and m[3].endswith("/")):
+                if name not in unclosed:
+                    end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+                    if end:
+                        at = end.end()
+                    elif name in SCRIPTS:
+                        at = n
+                    else:
+                        unclosed.add(name)
         elif name not in VOID and not m[3].endswith("/"):
             if name in BLOCK:
                 while len(stack) > 1 and stack[-1].name in ("p", "head", "a", "b", "i", "em", "strong", "span", "font") and any(s.name == "p" or s.name == "head" for s in stack):
@@ -123,19 +140,29 @@ def blocks(html: str) -> list[Block]:
             top = stack[-1]
             boiler = top.boiler or name in BOILER or (name in ("header", "head") and not top.main)
             if m[3] and not boiler:
-                boiler = _hinted(m[3], top.main)
+                boiler = _hinted(m[3], top.main, False) or (name not in WHOLE and start not in holders and _hinted(m[3], top.main, True))
+            if name in MAIN:
+                articles[name] = None if name in articles else [s.place for s in stack]
             main = top.main
             if name in MAIN and not boiler and not main:
                 page.mains += 1
                 main = page.mains
-            stack.append(_Open(name, boiler, main, top.link or name == "a", top.heading or name in ("h1", "h2", "h3", "h4", "h5", "h6")))
+            stack.append(_Open(name, boiler, main, top.link or name == "a", top.heading or name in ("h1", "h2", "h3", "h4", "h5", "h6"), start))
     flush()
+    around = articles.get("main") or articles.get("article")
+    if not page.mains and around and not holders:
+        again = blocks(html, frozenset(around))
+        if any(b.main for b in again):
+            return again
     return page.blocks
 
 
-def _hinted(attributes: str, main: int) -> bool:
+def _hinted(attributes: str, main: int, names: bool) -> bool:
+    """Does its class or id (``names``), or else its role or being hidden, say that an element is no main text?"""
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if (name in ("class", "id")) != names:
+            continue
         if name == "role":
             if value.strip().lower() in ROLES:
                 return True
