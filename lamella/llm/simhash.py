@@ -163,14 +163,3 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4, blocks: int
     least = group.groupBy("component").agg(F.min("low").alias("component_id"))
     named = group.join(least, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of one document of each near-duplicate group: that of the least doc_id.
-
-    Of rows that repeat a kept doc_id one stays. Rows of null doc_id can't be named and stay.
-    """
-    kept = cut(near_duplicates(docs, words, most).where("doc_id = component_id").groupBy("doc_id").count())
-    single = docs.join(kept.where("count = 1").select("doc_id"), "doc_id", "left_semi")
-    several = docs.join(kept.where("count > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several).unionByName(docs.where("doc_id IS NULL"))
