@@ -103,6 +103,8 @@ def parts(owners: DataFrame, rounds: int = 60) -> DataFrame:
         labels = after.drop("old")
         if not moved:
             break
+    else:
+        raise RuntimeError(f"labels still move after {rounds} rounds")
     return labels.groupBy(*key).agg(F.count_distinct("label").alias("parts"))
 
 
