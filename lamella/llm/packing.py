@@ -6,19 +6,22 @@ import os
 import zlib
 from bisect import bisect_left, bisect_right
 from itertools import combinations
-from unicodedata import normalize
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.graph import bounded_batches, cut
+from lamella.llm.tokens import WordHasher, case_fold, separators
 
 CAPACITY = 4096
 #: Sequences a group is meant to fill: groups are packed one by one, whole ones in one task each.
 GROUP = 256
 #: Most words whose ids a task remembers; it forgets all of them beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Marks that are cut off a word's end where a letter or digit stands before them.
+MARKS = np.zeros(256, bool)
+MARKS[list(b".,!?*$#%&;:)\"'")] = True
 #: Steps of the search in one group, and fillings tried for one sequence. They bound time; every piece is always placed.
 STEPS, WIDTH = 4000, 6
 
@@ -34,77 +37,78 @@ def tokenizer_text(path: str | None = None) -> str:
 
 
 class WordIds:
-    """Ids of texts, encoded once per distinct word. For tokenizers that drop white space and never join across it."""
+    """Ids of texts, encoded once per distinct word. For tokenizers that drop white space and never join across it.
+
+    Words are told apart by 64-bit hashes, among the few hundred thousand that a task remembers. Letters A-Z count as
+    a-z, which the tokenizer folds as well; a text that may hold a special token goes to the tokenizer whole.
+    """
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "false", "1"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(spec)
+        self.hasher = WordHasher(separators(), case_fold(), seed=57)
+        self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self):
-        self.number: dict[bytes, int] = {}
-        self.cores: dict[str, np.ndarray] = {}
-        self.flat, self.size = [], []
-        self.data = self.offset = None
+        self.known, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and the entry of each
+        self.data, self.offset, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, ``end`` after each, and the offsets of the texts."""
-        if len(self.number) > REMEMBERED:
-            self.forget()
-        number, rows, per = self.number, [], np.empty(len(texts), np.int64)
-        fresh = []
-        for i, text in enumerate(texts):
-            words = text.encode().split()  # at ASCII white space only, which ends a word for the tokenizer as well
-            per[i] = len(words)
-            for w in set(words):
-                if w not in number:
-                    number[w] = len(number)
-                    fresh.append(w)
-            rows.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-        if fresh or self.data is None:
-            self._learn(fresh)
-        words = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        size = self.size_of[words]
+        raw = [t.encode() for t in texts]
+        whole = [i for i, t in enumerate(raw) if any(s in t for s in self.special)]
+        if whole:
+            given, raw = raw, [b"" if i in set(whole) else t for i, t in enumerate(raw)]
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in raw], dtype=np.int64)])
+        data = b"".join(raw)
+        # The tokenizer takes a run of symbols as one piece, so that marks after a letter or digit are pieces of their own.
+        starts, ends, h, at = self.hasher(np.frombuffer(data, np.uint8), bounds, MARKS)
+        unit = self._entries(data, h, starts, ends)
+        size = self.size[unit]
         total = np.concatenate([[0], np.cumsum(size)])
-        ends = np.cumsum(per)
-        ids = np.repeat(self.offset[words] - total[:-1], size) + np.arange(total[-1])
-        ids = self.data[ids]
-        return np.insert(ids, total[ends], end).astype(np.uint32), np.concatenate([[0], total[ends] + np.arange(1, len(texts) + 1)])
-
-    def _learn(self, words: list[bytes]):
-        # The tokenizer takes a run of symbols as one piece, so that only sentence marks after a letter or digit (of the
-        # normal form, in which some letters end in a mark) are tokens of their own. It folds ASCII letters anyway, but
-        # not those of special tokens.
-        split = []
-        for w in map(bytes.decode, words):
-            core = w.rstrip(".,!?*$#%&;:")
-            if not (core and normalize("NFC", core[-1]).lower()[-1].isalnum()):
-                core = w
-            split.append((core.lower() if core.isascii() and "<" not in core else core, w[len(core) :]))
-        todo = [c for c in dict.fromkeys(x for pair in split for x in pair) if c not in self.cores]
-        plain = [c for c in todo if c.isalpha()]
-        other = [c for c in todo if not c.isalpha()]
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            e = self.model.encode("\n".join(part), add_special_tokens=False)
-            owner = np.array(e.word_ids, np.int64)
-            if len(owner) and owner[-1] == len(part) - 1:
-                ids = np.array(e.ids, np.uint32)
-                self.cores.update(zip(part, np.split(ids, np.searchsorted(owner, np.arange(1, len(part)))), strict=True))
-            else:
-                other += part
-        for c, e in zip(other, self.model.encode_batch(other, add_special_tokens=False), strict=True):
-            self.cores[c] = np.array(e.ids, np.uint32)
-        for core, tail in split:
-            a, b = self.cores[core], self.cores[tail]
-            self.flat += (a, b)
-            self.size.append(len(a) + len(b))
-        self.data = np.concatenate([np.zeros(0, np.uint32), *self.flat])
-        self.flat = [self.data]
-        self.size_of = np.array(self.size, np.int64)
-        self.offset = np.cumsum(self.size_of) - self.size_of
+        ids = self.data[np.repeat(self.offset[unit] - total[:-1], size) + np.arange(total[-1])]
+        ids, offsets = np.insert(ids, total[at[1:]], end), total[at] + np.arange(len(texts) + 1)
+        if whole:
+            parts = np.split(ids, offsets[1:-1])
+            for i in whole:
+                parts[i] = np.array([*self.model.encode(given[i].decode(), add_special_tokens=False).ids, end], np.uint32)
+            ids, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, offsets
+
+    def _entries(self, data: bytes, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of every unit, after the ids of new ones were added."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        place = np.searchsorted(self.known, h)
+        old = np.flatnonzero(place < len(self.known))
+        old = old[self.known[place[old]] == h[old]]
+        out = np.full(len(h), -1)
+        out[old] = self.entry[place[old]]
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            fresh, first, which = np.unique(h[new], return_index=True, return_inverse=True)
+            first = new[first]
+            words = [data[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            ids, size = zip(*(self._ids(words[i : i + 1024]) for i in range(0, len(words), 1024)), strict=True)
+            ids, size = np.concatenate(ids), np.concatenate(size)
+            entries = len(self.size) + np.arange(len(fresh))
+            self.offset = np.concatenate([self.offset, len(self.data) + np.cumsum(size) - size])
+            self.size, self.data = np.concatenate([self.size, size]), np.concatenate([self.data, ids])
+            spots = np.searchsorted(self.known, fresh)
+            self.known, self.entry = np.insert(self.known, spots, fresh), np.insert(self.entry, spots, entries)
+            out[new] = entries[which]
+        return out
+
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row, and how many each has."""
+        text = b"\n".join(words).decode()
+        heads = np.concatenate([[0], np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 10) + 1])
+        found = self.model.encode(text, add_special_tokens=False)
+        owner = np.searchsorted(heads, np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
+        return np.array(found.ids, np.uint32), np.bincount(owner, minlength=len(words))
 
 
 def pieces(docs: DataFrame, spec: str, capacity: int = CAPACITY, end: int = 1, with_ids: bool = False) -> DataFrame:
@@ -113,12 +117,14 @@ def pieces(docs: DataFrame, spec: str, capacity: int = CAPACITY, end: int = 1, w
     A document is its ids followed by ``end``; only longer ones than ``capacity`` are cut, and the last piece may be
     shorter. A null text is empty: one piece of one id. Repeated rows are packed as often as they come.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
+    # What a worker learned stays with its copy of the broadcast, so that its next task need not learn it again.
+    shared = docs.sparkSession.sparkContext.broadcast({"spec": spec})
 
     def run(batches):
         import pyarrow as pa
 
-        words = WordIds(shared.value)
+        held = shared.value
+        words = held["words"] = held.get("words") or WordIds(held["spec"])
         for b in batches:
             texts = b.column(1).to_pylist()
             at = 0

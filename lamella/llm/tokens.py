@@ -11,6 +11,11 @@ import numpy as np
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 
 
+#: ASCII letters and digits.
+SOLID = np.zeros(256, bool)
+SOLID[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
 def separators(kept=None, blanks: bytes = BLANKS) -> np.ndarray:
     """Boolean table over bytes: True where a byte ends a word. ``kept``: predicate of bytes inside words instead."""
     table = np.zeros(256, bool)
@@ -57,10 +62,11 @@ class WordHasher:
             self.powers = np.concatenate([self.powers, self.powers * step])
         return self.powers
 
-    def __call__(self, buf: np.ndarray, bounds: np.ndarray):
+    def __call__(self, buf: np.ndarray, bounds: np.ndarray, marks: np.ndarray | None = None):
         """``buf``: bytes of texts in a row; ``bounds``: n+1 offsets of the texts.
 
-        Returns word starts, word ends (byte offsets), hashes, and n+1 offsets of the texts' words.
+        Returns word starts, word ends (byte offsets), hashes, and n+1 offsets of the texts' words. ``marks``: table of
+        bytes that form a word of their own at the end of one, where an ASCII letter or digit stands before them.
         """
         inside = ~self.sep[buf]
         first = inside.copy()
@@ -70,6 +76,16 @@ class WordHasher:
         last = inside.copy()
         last[:-1] &= ~inside[1:]
         last[cuts - 1] = inside[cuts - 1]
+        if marks is not None:
+            head, at = np.flatnonzero(first), np.flatnonzero(last)
+            go = marks[buf[at]]
+            while go.any():  # once per mark of the longest run
+                head, at = head[go], at[go] - 1
+                on = at >= head
+                head, at = head[on], at[on]
+                go = marks[buf[at]]
+                stop = at[~go & SOLID[buf[at]]]
+                last[stop] = first[stop + 1] = True
         starts = np.flatnonzero(first)
         ends = np.flatnonzero(last) + 1
         if not len(starts):
