@@ -8,17 +8,23 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.graph import bounded_batches
+from lamella.llm.graph import bounded_batches, cut
 from lamella.llm.tokens import WordHasher, grams, mix, random_words, separators, sliding, text_batches
 
 #: A window is looked up in the sketch by its least gram of this many words (the whole window if it is shorter).
 GRAM = 12
-ROWS, SLICES = 2, 64
+ROWS = 2
+#: Counters of one slice of a row, at most: slices are merged one by one, so that more counters mean more tasks.
+SLICE = 1 << 20
 #: Counters a row: four or more for each value counted, within these powers of two (the sketch that tasks get has a bit
 #: for each: 64 MB at most). With more values than counters, more windows pass; none is lost.
 LEAST, MOST = 20, 28
 #: Values or windows that a task holds before it hands them on.
 HELD = 2_000_000
+#: Bytes of text a bucket is meant to hold; a bucket's windows and texts are one task's share.
+BUCKET = 4_000_000
+#: Repeated rows are known by 12 bytes each; up to this many are broadcast, more are joined.
+BROADCAST = 1_000_000
 
 
 def anchors(h: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,11 +60,12 @@ def _hashed(batches, column: int, window: int):
 
 
 def sketch(docs: DataFrame, window: int, bits: int) -> list[bytes]:
-    """Count-min sketch of the chosen grams, as ROWS * SLICES bit sets: is the counter two or more?
+    """Count-min sketch of the chosen grams, as ROWS rows of bit sets, slice by slice: is the counter two or more?
 
     Every task counts its partition; counters are added slice by slice on the executors.
     """
-    width = (1 << bits) // SLICES
+    slices_ = max(16, (1 << bits) // SLICE)
+    width = (1 << bits) // slices_
 
     def part(batches):
         import pyarrow as pa
@@ -68,10 +75,10 @@ def sketch(docs: DataFrame, window: int, bits: int) -> list[bytes]:
             slices, once, twice = [], [], []
             for r, cell in enumerate(_cells(value, bits)):
                 cell, n = np.unique(cell, return_counts=True)
-                cuts = np.searchsorted(cell, np.arange(SLICES + 1) * width)
-                for s in range(SLICES):
+                cuts = np.searchsorted(cell, np.arange(slices_ + 1) * width)
+                for s in range(slices_):
                     c, m = cell[cuts[s] : cuts[s + 1]] - s * width, n[cuts[s] : cuts[s + 1]]
-                    slices.append(r * SLICES + s)
+                    slices.append(r * slices_ + s)
                     once.append(zlib.compress(np.diff(c[m == 1], prepend=0).astype(np.uint32).tobytes(), 1))
                     twice.append(zlib.compress(np.diff(c[m > 1], prepend=0).astype(np.uint32).tobytes(), 1))
             return pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["slice", "once", "twice"])
@@ -98,18 +105,44 @@ def sketch(docs: DataFrame, window: int, bits: int) -> list[bytes]:
                     counter[cell] = np.minimum(counter[cell] + add, 2)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array([np.packbits(c > 1).tobytes() for c in counts.values()], pa.binary())], ["slice", "bits"])
 
-    merged = docs.select("text").mapInArrow(part, "slice int, once binary, twice binary").repartition("slice").mapInArrow(merge, "slice int, bits binary")
-    out = [bytes(width // 8)] * (ROWS * SLICES)
+    merged = docs.select("text").mapInArrow(part, "slice int, once binary, twice binary").repartition(min(ROWS * slices_, max(8, docs.sparkSession.sparkContext.defaultParallelism * 4)), "slice").mapInArrow(merge, "slice int, bits binary")
+    out = [bytes(width // 8)] * (ROWS * slices_)
     for s, bits_ in merged.collect():  # of fixed size: ROWS * 2 ** bits / 8 bytes
         out[s] = bytes(bits_)
     return out
 
 
+#: A row's identity: 96 bits of (doc_id, text).
+RID = np.dtype([("a", "<i8"), ("b", "<i4")])
+
+
+def _rids(h1, h2) -> np.ndarray:
+    out = np.empty(len(h1), RID)
+    out["a"], out["b"] = h1.to_numpy(), h2.to_numpy()
+    return out
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with a column id (h1, h2): two hashes, nulls apart from all values."""
+    parts = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text")]
+    return docs.select("doc_id", "text", F.xxhash64(*parts).alias("h1"), F.hash(*parts).alias("h2"))
+
+
+def _copied(docs: DataFrame) -> DataFrame:
+    """Identified rows with ``copied``: does the same row come more than once?"""
+    many = cut(docs.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2", F.lit(True).alias("copied")))
+    n = many.count()
+    if not n:
+        return docs.withColumn("copied", F.lit(False))
+    return docs.join(F.broadcast(many) if n <= BROADCAST else many, ["h1", "h2"], "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
+
+
 def repeated_windows(docs: DataFrame, window: int, buckets: int, bits: int) -> DataFrame:
-    """(bucket, rid, pos): packed word positions (int64 and int32 bytes) at which repeated windows of row rid start.
+    """(bucket, rid, pos): packed word positions (12 and 4 bytes each) at which repeated windows of row rid start.
 
-    Only windows whose count the sketch puts at two or more are handed on, by hash; each task first groups its own, so
-    that the most frequent window comes once from each task. Windows are then grouped exactly, by a 96-bit hash.
+    ``docs``: (h1, h2, copied, text). Windows of copied rows count, but no positions are given for them. Only windows whose
+    count the sketch puts at two or more are handed on, by hash; each task first groups its own, so that the most
+    frequent window comes once from each task. Windows are then grouped exactly, by a 96-bit hash.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(sketch(docs, window, bits))
@@ -117,7 +150,8 @@ def repeated_windows(docs: DataFrame, window: int, buckets: int, bits: int) -> D
     def candidates(batches):
         import pyarrow as pa
 
-        sets = [np.frombuffer(b"".join(shared.value[r * SLICES : (r + 1) * SLICES]), np.uint8) for r in range(ROWS)]
+        n = len(shared.value) // ROWS
+        sets = [np.frombuffer(b"".join(shared.value[r * n : (r + 1) * n]), np.uint8) for r in range(ROWS)]
 
         def packed(held):
             h1, h2, rid, pos = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -128,13 +162,14 @@ def repeated_windows(docs: DataFrame, window: int, buckets: int, bits: int) -> D
             many = np.bincount(group)[group] > 1
             local = np.zeros(len(h1), bool)
             local[order] = many
+            local |= pos < 0
             first = np.zeros(len(h1), bool)
             first[order] = new
             keep = np.flatnonzero(first | ~local)
             yield pack((h1[keep] % np.uint64(buckets)).astype(np.int64), h1[keep], h2[keep], rid[keep], np.where(local[keep], -1, pos[keep]).astype(np.int32))
-            own = np.flatnonzero(local)
+            own = np.flatnonzero(local & (pos >= 0))
             if len(own):
-                yield pack((mix(rid[own].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), h1[:0], h2[:0], rid[own], pos[own])
+                yield pack(rid["a"][own] % buckets, h1[:0], h2[:0], rid[own], pos[own])
 
         def pack(bucket, h1, h2, rid, pos):
             order = np.argsort(bucket, kind="stable")
@@ -143,7 +178,7 @@ def repeated_windows(docs: DataFrame, window: int, buckets: int, bits: int) -> D
             return pa.RecordBatch.from_arrays([pa.array(at), *(_blobs(x[order] if len(x) else x, cuts if len(x) else cuts * 0) for x in (h1, h2, rid, pos))], ["bucket", "h1", "h2", "rid", "pos"])
 
         held, total = [], 0
-        for b, row, offsets, h, ends in _hashed(batches, 1, window):
+        for b, row, offsets, h, ends in _hashed(batches, 3, window):
             starts, low, _ = anchors(h, ends, window)
             if not len(starts):
                 continue
@@ -151,10 +186,10 @@ def repeated_windows(docs: DataFrame, window: int, buckets: int, bits: int) -> D
             for bits_, cell in zip(sets, _cells(low, bits), strict=True):
                 keep &= (bits_[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
             starts = starts[keep]
-            rids = b.column(0).to_numpy()[row : row + len(offsets) - 1]
+            rids, copied = _rids(b.column(0), b.column(1))[row:], b.column(2).to_numpy(zero_copy_only=False)[row:]
             text = np.searchsorted(offsets, starts, "right") - 1
             h2 = (grams(h, window, 17)[starts] >> np.uint64(32)).astype(np.uint32)
-            held.append((grams(h, window, 13)[starts], h2, rids[text], (starts - offsets[text]).astype(np.int32)))
+            held.append((grams(h, window, 13)[starts], h2, rids[text], np.where(copied[text], -1, starts - offsets[text]).astype(np.int32)))
             total += len(starts)
             if total > HELD:
                 yield from packed(held)
@@ -167,10 +202,10 @@ def repeated_windows(docs: DataFrame, window: int, buckets: int, bits: int) -> D
 
         held, done = [], []
         for b in batches:
-            h1, h2, rid, pos = (_joined(b.column(i), t) for i, t in enumerate((np.uint64, np.uint32, np.int64, np.int32), 1))
+            h1, h2, rid, pos = (_joined(b.column(i), t) for i, t in enumerate((np.uint64, np.uint32, RID, np.int32), 1))
             # Rows of positions that their own task found to be repeated hold no hashes.
             sizes = [np.diff(np.frombuffer(b.column(i).buffers()[1], np.int32)[b.column(i).offset :][: len(b) + 1]) for i in (1, 3)]
-            asked = np.repeat(sizes[0] > 0, sizes[1] // 8)
+            asked = np.repeat(sizes[0] > 0, sizes[1] // 12)
             done.append((rid[~asked], pos[~asked]))
             held.append((h1, h2, rid[asked], pos[asked]))
         if not held:
@@ -185,14 +220,14 @@ def repeated_windows(docs: DataFrame, window: int, buckets: int, bits: int) -> D
             ask &= pos >= 0
             done.append((rid[ask], pos[ask]))
         rid, pos = (np.concatenate(x) for x in zip(*done, strict=True))
-        bucket = (mix(rid.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        bucket = rid["a"] % buckets
         order = np.argsort(bucket, kind="stable")
         at, n = np.unique(bucket, return_counts=True)
         cuts = np.concatenate([[0], np.cumsum(n)])
         yield pa.RecordBatch.from_arrays([pa.array(at), _blobs(rid[order], cuts), _blobs(pos[order], cuts)], ["bucket", "rid", "pos"])
 
-    packed = docs.select("rid", "text").mapInArrow(candidates, "bucket long, h1 binary, h2 binary, rid binary, pos binary")
-    return packed.repartition("bucket").mapInArrow(exact, "bucket long, rid binary, pos binary")
+    packed = docs.select("h1", "h2", "copied", "text").mapInArrow(candidates, "bucket long, h1 binary, h2 binary, rid binary, pos binary")
+    return packed.repartition(buckets, "bucket").mapInArrow(exact, "bucket long, rid binary, pos binary")
 
 
 def _blobs(x: np.ndarray, cuts: np.ndarray):
@@ -210,49 +245,50 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_text (kept words joined by one space).
 
     Words end at 0x20 and 0x09-0x0D and are compared unchanged. A word goes if a window of ``window`` words that covers
-    it starts anywhere else too, in the same text or another. Null texts have no words; repeated rows are copies of
-    each other; texts of fewer words than a window stay whole.
+    it starts anywhere else too, in the same text or another. Null texts have no words; texts of fewer words than a
+    window stay whole; of repeated rows with a window nothing stays, so that their positions are never looked up.
     """
-    docs = bounded_batches(docs.select("doc_id", "text")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    docs = _identified(bounded_batches(docs.select("doc_id", "text")))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     chosen = total // 6 * 2 // max(2, window - GRAM + 2)
     bits = min(MOST, max(LEAST, int(4 * chosen).bit_length()))
-    buckets = max(512, total // 8_000_000)
+    buckets = max(32, total // BUCKET)
+    docs = _copied(docs).withColumn("bucket", F.pmod("h1", F.lit(buckets)))
     marks = repeated_windows(docs, window, buckets, bits)
-    # The same bucket of a row as in repeated_windows, in SQL: mix() is not at hand there, so Python deals it.
-    whole = docs.mapInArrow(_dealt(buckets), "bucket long, rid long, doc_id long, text string")
+    none = np.zeros(0, np.int32)
 
     def apply(left, right):
-        import pyarrow as pa
-
-        rid, pos = _joined(right.column("rid"), np.int64), _joined(right.column("pos"), np.int32)
-        order = np.argsort(rid, kind="stable")
+        rid, pos = _joined(right.column("rid"), RID), _joined(right.column("pos"), np.int32)
+        order = np.lexsort((rid["b"], rid["a"]))
         rid, pos = rid[order], pos[order]
-        rids = left.column("rid").to_numpy()
-        lo, hi = np.searchsorted(rid, rids, "left").tolist(), np.searchsorted(rid, rids, "right").tolist()
-        n_words, n_removed, kept = [], [], []
-        for i, text in enumerate(left.column("text").to_pylist()):
-            words = (text or "").encode().split()
-            n_words.append(len(words))
-            if hi[i] > lo[i]:
-                edge = np.zeros(len(words) + 1, np.int32)
-                np.add.at(edge, pos[lo[i] : hi[i]], 1)
-                np.add.at(edge, pos[lo[i] : hi[i]] + window, -1)
-                stay = np.cumsum(edge[:-1]) == 0
-                words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
-            n_removed.append(n_words[-1] - len(words))
-            kept.append(b" ".join(words).decode())
-        return pa.table([left.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
-
-    return whole.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, kept_text string")
-
-
-def _dealt(buckets: int):
-    def run(batches):
-        import pyarrow as pa
+        cuts = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]])).tolist() if len(rid) else []
+        place = {rid[a].tobytes(): pos[a:z] for a, z in zip(cuts, [*cuts[1:], len(rid)], strict=False)}
+        ids = _rids(left.column("h1"), left.column("h2"))
+        return _kept(left.column("doc_id"), (_without(t, place.get(i.tobytes(), none), window) for i, t in zip(ids, left.column("text").to_pylist(), strict=True)))
 
+    def copies(batches):
         for b in batches:
-            at = (mix(b.column(2).to_numpy().view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at), b.column(2), b.column(0), b.column(1)], ["bucket", "rid", "doc_id", "text"])
+            yield from _kept(b.column(0), (_without(t, np.arange(len((t or "").encode().split()) - window + 1), window) for t in b.column(1).to_pylist())).to_batches()
+
+    schema = "doc_id long, n_words long, n_removed long, kept_text string"
+    single = docs.where("NOT copied").select("bucket", "h1", "h2", "doc_id", "text").groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(apply, schema)
+    return single.unionByName(docs.where("copied").select("doc_id", "text").mapInArrow(copies, schema))
+
+
+def _without(text: str | None, pos: np.ndarray, window: int) -> tuple[int, int, str]:
+    """(words, words removed, words kept) of a text in which the windows that start at ``pos`` go."""
+    words = (text or "").encode().split()
+    if not len(pos):
+        return len(words), 0, b" ".join(words).decode()
+    edge = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edge, pos, 1)
+    np.add.at(edge, pos + window, -1)
+    kept = [w for w, n in zip(words, np.cumsum(edge[:-1]).tolist(), strict=True) if not n]
+    return len(words), len(words) - len(kept), b" ".join(kept).decode()
+
+
+def _kept(ids, rows):
+    import pyarrow as pa
 
-    return run
+    n_words, n_removed, kept = zip(*rows, strict=True) if len(ids) else ((), (), ())
+    return pa.table([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])

@@ -71,7 +71,7 @@ def test_repeated_windows(spark, docs, window):
     for d, w in split:
         gone = {k + j for k in range(len(w) - window + 1) if count[tuple(w[k : k + window])] > 1 for j in range(window)}
         expected.append((d, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
-    frame = spark.createDataFrame(docs, SCHEMA).repartition(3).selectExpr("*", "1 AS bucket", "2 AS rid")
+    frame = spark.createDataFrame(docs, SCHEMA).repartition(3).selectExpr("*", "1 AS bucket", "2 AS rid", "3 AS h1", "true AS copied")
     got = substrings.without_repeats(frame, window).collect()
     assert sum(e[2] for e in expected) > 100
     assert Counter(map(tuple, got)) == Counter(expected)
@@ -79,3 +79,17 @@ def test_repeated_windows(spark, docs, window):
 
 def test_repeated_windows_of_an_empty_table(spark):
     assert substrings.without_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_many_repeated_rows_take_time_in_proportion(spark):
+    """4,000 equal rows of 400 words, one of another id with the same text, and a very long text of one repeated word."""
+    import time
+
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, text)] * 4000 + [(2, text + " end"), (3, "x " * 200_000), (4, text[:80]), (4, text[:80])]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    frame.count()
+    start = time.time()
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substrings.without_repeats(frame).collect())
+    assert got == Counter({(1, 400, 400, ""): 4000, (2, 401, 400, "end"): 1, (3, 200_000, 200_000, ""): 1, (4, len(text[:80].split()), 0, text[:80]): 2})
+    assert time.time() - start < 60
