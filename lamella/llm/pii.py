@@ -34,21 +34,49 @@ CONTEXT = {
 NEAR, RAISE, LEAST = 40, 0.2, 0.4
 
 
+#: Running values are kept in blocks of this many, since an array is copied whole whenever it grows by one; cuts of a
+#: text are taken from parts of this many code points, since a position in it is found by counting from its start.
+BLOCK, PART = 64, 4096
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, op) -> Column:
+    """For every item of an array of whole numbers: ``op`` over all items before it, from 0."""
+    append = lambda s, v: F.struct(op(s["at"], v).alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
+    zero = lambda at: F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+    over = lambda items, at: F.aggregate(items, zero(at), append, lambda s: s["out"])
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda i: F.slice(values, i * BLOCK + 1, BLOCK))
+
+    def spread(blocks):
+        ends = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), op))
+        return _let(over(ends, F.lit(0)), lambda at: F.flatten(F.transform(blocks, lambda b, i: over(b, F.get(at, i)))))
+
+    return F.when(F.size(values) > 0, _let(cut, spread)).otherwise(F.array().cast("array<int>"))
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, match, before>> of the leftmost non-overlapping matches; positions in code points.
 
-    before: the last NEAR characters between the match and the one before it.
+    before: the last NEAR characters between the match and the one before it. The work is linear in the text.
     """
-    parts = F.split(F.regexp_replace(text, pattern, "\u0001$0\u0002"), "[\u0001\u0002]", -1)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.lit("").alias("gap"), _none().alias("found"))
+    marked = F.split(F.regexp_replace(text, pattern, "\u0001$0\u0002"), "[\u0001\u0002]", -1)
+
+    def spans(parts):
+        def span(at):
+            def one(i):
+                start, match = F.get(at, 2 * i + 1), F.get(parts, 2 * i + 1)
+                before = F.lower(F.substring(F.get(parts, 2 * i), -NEAR, NEAR))
+                return F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("match"), before.alias("before"))
 
-    def step(s, p):
-        end = s["at"] + F.length(p)
-        span = F.struct(s["at"].alias("start"), end.alias("end"), p.alias("match"), s["gap"].alias("before"))
-        gap = F.when(s["odd"], "").otherwise(F.lower(F.substring(p, -NEAR, NEAR)))
-        return F.struct(end.alias("at"), (~s["odd"]).alias("odd"), gap.alias("gap"), F.when(s["odd"], F.array_append(s["found"], span)).otherwise(s["found"]).alias("found"))
+            return F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int") - 1), one)
 
-    return F.aggregate(parts, zero, step, lambda s: s["found"])
+        return F.when(F.size(parts) > 2, _let(_running(F.transform(parts, F.length), lambda s, n: s + n), span)).otherwise(_none())
+
+    return _let(marked, spans)
 
 
 def _none() -> Column:
@@ -133,15 +161,25 @@ def listed(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each entity replaced by its kind in angle brackets; an overlap is covered once. Null stays null."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    cuts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+
+    def between(parts, a, z):
+        """Code points a to z - 1, from the parts that hold them."""
+        piece = lambda k: F.substring(F.get(parts, k), F.greatest(a - k * PART, F.lit(0)) + 1, z - F.greatest(a, k * PART))
+        first, last = F.floor(a / PART).cast("int"), F.floor((z - 1) / PART).cast("int")
+        return F.when(z > a, F.array_join(F.transform(F.sequence(first, last), piece), "")).otherwise("")
+
+    def joined(parts, done):
+        def one(e, i):
+            at = F.get(done, i)
+            name = F.when(e["start"] >= at, F.concat(F.lit("<"), F.upper(e["kind"]), F.lit(">"))).otherwise("")
+            return F.concat(between(parts, at, e["start"]), name)
 
-    def step(s, e):
-        gap = F.substring(text, s["at"] + 1, F.greatest(e["start"] - s["at"], F.lit(0)))
-        name = F.when(e["start"] >= s["at"], F.concat(F.lit("<"), F.upper(e["kind"]), F.lit(">"))).otherwise("")
-        return F.struct(F.greatest(s["at"], e["end"]).alias("at"), F.concat(s["out"], gap, name).alias("out"))
+        rest = between(parts, F.array_max(spans["end"]), F.length(text))
+        return F.concat(F.array_join(F.transform(spans, one), ""), rest)
 
-    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(text)
+    covered = _running(spans["end"], lambda s, n: F.greatest(s, n))
+    return F.when(F.size(spans) > 0, _let(cuts, lambda parts: _let(covered, lambda done: joined(parts, done)))).otherwise(text)
 
 
 def redact(docs: DataFrame) -> DataFrame:

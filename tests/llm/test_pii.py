@@ -54,3 +54,18 @@ def test_added_kinds_and_redaction(spark):
 
 def test_empty_table(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """100,000 matches in one text are found and replaced; so are addresses at every part's edge."""
+    import time
+
+    numbers = "1.2.3.4 é " * 100_000
+    edges = "".join("x" * (4096 * i - 4 - 13 * (i - 1) - 4083 * (i - 1)) + "a@b.cc, é 1.1.1.1"[:13] for i in range(1, 2)) + "é" * 5000 + " a@b.cc" * 3000
+    docs = spark.createDataFrame([(1, numbers), (2, edges)], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: [(s.start, s.rank, s.end, s.kind) for s in r.entities if s.kind in pii.BASE] for r in pii.find(docs).collect()}
+    assert got[1] == brute(numbers) and got[2] == brute(edges)
+    texts = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert texts[1] == "<IP> é " * 100_000 and texts[2].count("<EMAIL>") == 3001 and "@" not in texts[2]
+    assert time.time() - start < 120
