@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -28,8 +29,8 @@ STOP_LOW, STOP_HIGH, LINKS = 0.15, 0.3, 0.33
 
 # Element names of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math canvas object select".split())
-FOREIGN = frozenset("svg math".split())
+RAW = frozenset("script style textarea title noscript iframe template svg canvas select".split())
+FOREIGN = frozenset("svg".split())
 SCRIPTS = frozenset("script style".split())
 #: Elements that hold a page or its article, whose class and id say nothing against their text.
 WHOLE = frozenset("html body main article".split())
@@ -41,9 +42,9 @@ BLOCK = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo search complementary dialog alert alertdialog menu menubar toolbar form".split())
 HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|sidebar|side|widget\w*|"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|sidebar|side-?(?:nav|menu|box|panel)|widget\w*|"
     r"nav|navbar|navigation|menu|breadcrumbs?|social|share|sharing|related|recommend\w*|comments?|commentlist|reply|replies|disqus|respond|login|signin|signup|search|"
-    r"pagination|pager|copyright|legal|toolbar|skip|tags|teaser|outbrain|taboola)(?:$|[\s_-])",
+    r"pagination|pager|copyright|toolbar|skip|tags|teaser|outbrain|taboola)(?:$|[\s_-])",
     re.I,
 )
 EDGES = re.compile(r"(?:^|[\s_-])(?:header|footer|masthead|topbar|bottom)(?:$|[\s_-])", re.I)
@@ -98,6 +99,7 @@ def blocks(html: str, holders: frozenset[int] = frozenset()) -> list[Block]:
             page.parts.append((unescape(text) if "&" in text else text, stack[-1].link))
 
     at, n, unclosed, articles = 0, len(html), set(), {}
+    open_ = Counter()  # elements on the stack by name
     while at < n:
         start = html.find("<", at)
         if start < 0:
@@ -117,12 +119,13 @@ def blocks(html: str, holders: frozenset[int] = frozenset()) -> list[Block]:
         elif name == "br":
             add(" ")
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
+            while open_[name]:
+                closed = stack.pop().name
+                open_[closed] -= 1
+                if closed == name:
                     break
         elif name in RAW:
-            # svg and math may close themselves. Without a closing tag, script and style hide the rest as in a browser; of
+            # svg may close itself. Without a closing tag, script and style hide the rest as in a browser; of
             # others only the tag goes.
             if not (name in FOREIGN and m[3].endswith("/")):
                 if name not in unclosed:
@@ -135,8 +138,8 @@ def blocks(html: str, holders: frozenset[int] = frozenset()) -> list[Block]:
                         unclosed.add(name)
         elif name not in VOID and not m[3].endswith("/"):
             if name in BLOCK:
-                while len(stack) > 1 and stack[-1].name in ("p", "head", "a", "b", "i", "em", "strong", "span", "font") and any(s.name == "p" or s.name == "head" for s in stack):
-                    stack.pop()
+                while len(stack) > 1 and stack[-1].name in ("p", "head", "a", "b", "i", "em", "strong", "span", "font") and open_["p"] + open_["head"]:
+                    open_[stack.pop().name] -= 1
             top = stack[-1]
             boiler = top.boiler or name in BOILER or (name in ("header", "head") and not top.main)
             if m[3] and not boiler:
@@ -147,6 +150,7 @@ def blocks(html: str, holders: frozenset[int] = frozenset()) -> list[Block]:
             if name in MAIN and not boiler and not main:
                 page.mains += 1
                 main = page.mains
+            open_[name] += 1
             stack.append(_Open(name, boiler, main, top.link or name == "a", top.heading or name in ("h1", "h2", "h3", "h4", "h5", "h6"), start))
     flush()
     around = articles.get("main") or articles.get("article")
@@ -177,10 +181,10 @@ def _hinted(attributes: str, main: int, names: bool) -> bool:
 def classify(found: list[Block]) -> None:
     """Labels every block "good" or "bad".
 
-    First each block by itself: elements that are never main text and link-heavy blocks are bad; of the rest, blocks of
-    an article or main element are good and others go by length and stop words; short ones stay ambiguous. Then an
-    ambiguous block takes the label of its nearest decided neighbours (of its own article if it is in one); where they
-    differ, blocks with stop words and headings before main text are good. Where none is decided, blocks of an article
+    First each block by itself: elements that are never main text and link-heavy blocks are bad, the rest go by length
+    and stop words, of which a block of an article or main element needs fewer; short ones stay ambiguous, as do blocks
+    of an article without stop words (tables, code). Then an ambiguous block takes the label of its nearest decided neighbours (of its own article if it is in one, where a long
+    one stays even between link lists); where they differ, blocks with stop words and headings before main text are good. Where none is decided, blocks of an article
     are good, and so are all ambiguous blocks of a page without one.
     """
     for b in found:
@@ -189,13 +193,14 @@ def classify(found: list[Block]) -> None:
             b.label = "bad"
         elif len(b.text) < SHORT:
             b.label = "short"
-        elif b.main:
-            b.label = "good"
         else:
             words = re.findall(r"\w+", b.text.lower())
             stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            b.label = "good" if stops >= STOP_HIGH and len(b.text) > LONG else "near" if stops >= STOP_LOW else "bad"
-    first = [b.label for b in found]
+            if b.main:
+                b.label = "good" if stops >= STOP_LOW else "near"
+            else:
+                b.label = "good" if stops >= STOP_HIGH and len(b.text) > LONG else "near" if stops >= STOP_LOW else "bad"
+    first, has_main = [b.label for b in found], any(b.main for b in found)
     for main in {b.main for b in found}:
         # An article's blocks only look at each other, and blocks that were put aside by their element are no neighbours.
         own = [i for i, b in enumerate(found) if b.main == main and not b.boiler]
@@ -213,7 +218,7 @@ def classify(found: list[Block]) -> None:
             if first[i] in ("good", "bad"):
                 continue
             near = {x for x in (before[i], after[i]) if x}
-            if near == {"good"} or (not near and (main or not any(b.main for b in found))):
+            if near == {"good"} or (not near and (main or not has_main)) or (main and first[i] == "near"):
                 found[i].label = "good"
             elif near == {"good", "bad"} and (first[i] == "near" or (found[i].heading and after[i] == "good") or main):
                 found[i].label = "good"

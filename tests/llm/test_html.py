@@ -43,3 +43,17 @@ def test_query(spark, tmp_path):
         for drop in ("<h1>", "</h1>", "<b>", "<p>", "</p>", "<br>"):
             body = body.replace(drop, "\n")
         assert text[r.page_id].split() == html.unescape(body).split()
+
+
+def test_rules_inside_articles_and_time_in_proportion():
+    import time
+
+    table = "alpha 1 2 3 beta 4 5 6 gamma 7 8 9 delta 10 11 12 epsilon 13 14 15 zeta 16 17 18"
+    links = "<p><a href=x>" + "more of the same " * 8 + "</a></p>"
+    assert html.main_text(f"<article><p>{LONG}</p><pre>{table}</pre>{links}<pre>{table}</pre></article>") == "\n".join([LONG.strip(), table, table])
+    assert html.main_text(f"<article><div class='side-by-side'><p>{LONG}</p></div><p class='legal'>It is the law.</p><math><mi>x</mi></math></article>") == LONG.strip() + "\nIt is the law.\nx"
+    assert html.main_text(f"<main><p>{LONG}</p><object><p>Short one.</p></main>") == LONG.strip() + "\nShort one."
+    for page in ("<div>" * 100_000 + "</b>" * 100_000, "<div><p><b>" * 60_000, "<b><i></b></i>" * 50_000):
+        start = time.time()
+        html.main_text(page)
+        assert time.time() - start < 10
