@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamella.llm import drawn
 from lamella.llm.graph import bounded_batches
 from lamella.llm.tokens import grams, random_words, text_batches
 
@@ -135,16 +136,15 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = ROWS, s
     known = docs.where(learn).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sizes = known.select("doc_id", F.octet_length("text").cast("long").alias("size")).join(marks, "doc_id")
     found = {y: (n, total) for y, n, total in sizes.groupBy("toxic").agg(F.count("*"), F.sum("size")).collect()}
-    part = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000))
-    admitted = F.lit(False)
+    chosen = F.lit(False)
     for y, (n, total) in found.items():
-        share = min(1.0, rows / 2 / n, size / 2 / max(1, total))
-        admitted = admitted | ((F.col("toxic") == y) & (part < int(share * 1_000_000)))
-    # About ``rows`` marks are admitted; they go to the texts, which stay where they are.
-    sample = known.join(F.broadcast(marks.where(admitted)), "doc_id")
-    drawn = sorted((r.doc_id, r.text, r.toxic) for r in sample.collect())
+        chosen = chosen | ((F.col("toxic") == y) & drawn.admitted("doc_id", "toxicity", drawn.share(2 * n, 2 * total, rows, size)))
+    # Marks of documents that exist, about ``rows`` of them; they go to the texts, which stay where they are.
+    admitted = sizes.where(chosen).select("doc_id", "toxic")
+    sample = known.join(F.broadcast(admitted), "doc_id")
+    few = sorted((r.doc_id, r.text, r.toxic) for r in sample.collect())
     prior = found[1][0] / (found[0][0] + found[1][0]) if len(found) == 2 else None
-    return fit([t for _, t, _ in drawn], [y for *_, y in drawn], prior)
+    return fit([t for _, t, _ in few], [y for *_, y in few], prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
