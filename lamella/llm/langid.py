@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,33 +10,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from lamella.llm import drawn
 from lamella.llm.graph import bounded_batches
 
-#: The network reads one word at a time between two blanks; a longer word is read in pieces of this many bytes.
-PIECE = 24
-EMBED, HIDDEN = 8, 12
-#: Most texts a language that training draws (on average, by a hash of doc_id), and words read from each, spread evenly.
-TEXTS, WORDS = 300, 48
+#: A text is read as one stream of letters and single blanks, in rows of CORE bytes with MARGIN bytes of what stands
+#: before and after them; label probabilities are taken from the core, where both directions have seen some context.
+CORE, MARGIN = 112, 8
+WIDTH = CORE + 2 * MARGIN
+EMBED, HIDDEN = 8, 8
+#: Most texts of a language that training draws, and bytes of them (on average, by a hash of doc_id); they are read whole.
+TEXTS, BYTES = 300, 130_000
 #: A small sample is read more often than EPOCHS times, until there were about STEPS steps.
-EPOCHS, STEPS, BATCH, RATE = 2, 220, 512, 0.02
-#: Most words whose results a task remembers; it forgets all of them beyond that.
-REMEMBERED = 300_000
-#: Byte table: ASCII letters in lower case and bytes beyond ASCII stay, everything else is a blank.
-LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+EPOCHS, STEPS, BATCH, RATE = 2, 120, 64, 0.02
+#: Rows that a task runs through the network at once.
+ROWS = 512
+#: What is no letter of any script.
+OTHER = re.compile(r"[\W\d_]+")
 
 
-def split(text: str) -> list[bytes]:
-    """Words of a text: runs of letters (of any script) in lower case, in UTF-8."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(LETTERS).split()
+def stream(text: str | None) -> bytes:
+    """The letters of a text in lower case, in UTF-8; everything else is one blank."""
+    return OTHER.sub(" ", (text or "").lower()).strip().encode("utf-8", "surrogatepass")
 
 
-def framed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(byte matrix, lengths, word of each row): each word, cut in pieces, between two blanks; padded with blanks."""
-    pieces = [(w[s : s + PIECE], i) for i, w in enumerate(words) for s in range(0, max(1, len(w)), PIECE)]
-    size = np.array([len(p) + 2 for p, _ in pieces], np.int64)
-    width = int(size.max()) if len(size) else 2
-    flat = b"".join((b" " + p).ljust(width) for p, _ in pieces)
-    return np.frombuffer(flat, np.uint8).reshape(-1, width), size, np.array([i for _, i in pieces], np.int64)
+def rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(byte matrix, text of each row): every text in rows of WIDTH bytes, blanks before its start and after its end."""
+    n = np.array([-(-len(t) // CORE) for t in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), n)
+    padded = [b" " * MARGIN + t + b" " * (-len(t) % CORE + MARGIN) for t in texts if t]
+    flat = np.frombuffer(b"".join(padded), np.uint8)
+    start = np.repeat(np.cumsum(np.array([len(t) for t in padded], np.int64)) - np.array([len(t) for t in padded], np.int64), n[n > 0])
+    start += CORE * (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n))
+    return flat[start[:, None] + np.arange(WIDTH)], owner
+
+
+def letters(x: np.ndarray) -> np.ndarray:
+    """Boolean (row, CORE): the core positions that hold a letter's byte."""
+    return x[:, MARGIN : MARGIN + CORE] != 32
 
 
 def _sigmoid(x):
@@ -54,28 +65,22 @@ def start(labels: int, seed: int = 0) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _turned(x: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Rows of a (row, time, ...) array read backwards within their lengths."""
-    t = np.arange(x.shape[1])
-    at = np.where(t < size[:, None], size[:, None] - 1 - t, t)
-    return np.take_along_axis(x, at.reshape(at.shape + (1,) * (x.ndim - 2)), 1)
-
-
 def _run(p: dict, d: str, x: np.ndarray, keep: bool):
-    """States (row, time, HIDDEN) of one direction, and what backpropagation needs."""
+    """States (time, row, HIDDEN) of one direction, and what backpropagation needs."""
     table = p["embed"] @ p[f"in_{d}"] + p[f"bias_{d}"]
     rec, n = p[f"rec_{d}"], HIDDEN
-    h = np.zeros((len(x), n), np.float32)
-    states, tape = np.empty((*x.shape, n), np.float32), []
-    for t in range(x.shape[1]):
-        a, u = table[x[:, t]], h @ rec
+    h = np.zeros((len(x), n), table.dtype)
+    x = np.ascontiguousarray(x.T)
+    states, tape = np.empty((*x.shape, n), table.dtype), []
+    for t in range(len(x)):
+        a, u = table[x[t]], h @ rec
         g = _sigmoid(a[:, : 2 * n] + u[:, : 2 * n])
         z, r = g[:, :n], g[:, n:]
         c = np.tanh(a[:, 2 * n :] + r * u[:, 2 * n :])
         if keep:
             tape.append((h, z, r, c, u[:, 2 * n :]))
         h = c + z * (h - c)
-        states[:, t] = h
+        states[t] = h
     return states, tape
 
 
@@ -103,82 +108,114 @@ def _back(p: dict, d: str, x: np.ndarray, tape: list, grad: np.ndarray, out: dic
     out[f"rec_{d}"] += d_rec
 
 
-def positions(p: dict, x: np.ndarray, size: np.ndarray, keep: bool = False):
-    """Label probabilities (row, time, label) of every position, and the state of the run."""
+def positions(p: dict, x: np.ndarray, keep: bool = False):
+    """Label probabilities (row, CORE, label) of the core positions, and the state of the run."""
     forward, tape_f = _run(p, "f", x, keep)
-    turned = _turned(x, size)
-    backward, tape_b = _run(p, "b", turned, keep)
-    h = np.concatenate([forward, _turned(backward, size)], 2)
+    backward, tape_b = _run(p, "b", x[:, ::-1], keep)
+    core = slice(MARGIN, MARGIN + CORE)
+    h = np.concatenate([forward[core], backward[::-1][core]], 2).transpose(1, 0, 2)
     z = h @ p["out"] + p["bias"]
     e = np.exp(z - z.max(2, keepdims=True))
-    return e / e.sum(2, keepdims=True), (h, turned, tape_f, tape_b)
+    return e / e.sum(2, keepdims=True), (h, tape_f, tape_b)
 
 
-def gradients(p: dict, x: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
+def gradients(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
     """Mean cross-entropy over all letter positions of rows with labels y, and its gradients."""
-    prob, (h, turned, tape_f, tape_b) = positions(p, x, size, keep=True)
-    t = np.arange(x.shape[1])
-    letter = ((t > 0) & (t < size[:, None] - 1)).astype(np.float32)
+    prob, (h, tape_f, tape_b) = positions(p, x, keep=True)
+    letter = letters(x).astype(np.float32)
     total = letter.sum()
-    loss = -(np.log(prob[np.arange(len(x)), :, y] + 1e-12) * letter).sum() / total
+    at = np.arange(len(x))
+    loss = -(np.log(prob[at, :, y] + 1e-12) * letter).sum() / total
     d = prob.copy()
-    d[np.arange(len(x)), :, y] -= 1
+    d[at, :, y] -= 1
     d *= (letter / total)[:, :, None]
     out = {k: np.zeros_like(v) for k, v in p.items()}
     out["out"] = np.einsum("rth,rtl->hl", h, d, optimize=True)
     out["bias"] = d.sum((0, 1))
-    dh = d @ p["out"].T
+    dh = np.zeros((*x.shape, 2 * HIDDEN), np.float32)
+    dh[:, MARGIN : MARGIN + CORE] = d @ p["out"].T
     _back(p, "f", x, tape_f, dh[:, :, :HIDDEN], out)
-    _back(p, "b", turned, tape_b, _turned(dh[:, :, HIDDEN:], size), out)
+    _back(p, "b", x[:, ::-1], tape_b, dh[:, ::-1, HIDDEN:], out)
     return float(loss), out
 
 
+def _states(p: dict, d: str, x: np.ndarray) -> np.ndarray:
+    """States (time, HIDDEN, row) of one direction over bytes (time, row), as _run gives them; nothing is kept."""
+    n = HIDDEN
+    turned = np.repeat(np.float32([-1, -1, -2]), n)  # sigmoids are 1 / (1 + exp(-x)), tanh x is 2 sigmoid(2x) - 1
+    table = ((p["embed"] @ p[f"in_{d}"] + p[f"bias_{d}"]) * turned).astype(np.float32)
+    rec = np.ascontiguousarray((p[f"rec_{d}"] * turned).T)
+    out = np.empty((len(x), n, x.shape[1]), np.float32)
+    h = np.zeros((n, x.shape[1]), np.float32)
+    for t in range(len(x)):
+        a, u = np.ascontiguousarray(table.take(x[t], 0).T), rec @ h
+        g, c = a[: 2 * n], a[2 * n :]
+        g += u[: 2 * n]
+        np.exp(np.minimum(g, 80, g), g)
+        g += 1
+        np.divide(1, g, g)
+        c += np.multiply(u[2 * n :], g[n:], u[2 * n :])
+        np.exp(np.minimum(c, 80, c), c)
+        c += 1
+        np.divide(2, c, c)
+        c -= 1
+        h = np.subtract(h, c, out[t])
+        h *= g[:n]
+        h += c
+    return out
+
+
+def _sums(p: dict, x: np.ndarray) -> np.ndarray:
+    """(row, label): label probabilities of the core positions, as ``positions`` gives them, summed over letters."""
+    x = np.ascontiguousarray(x.T)
+    core = slice(MARGIN, MARGIN + CORE)
+    w = np.ascontiguousarray(p["out"].T)
+    z = w[:, :HIDDEN] @ _states(p, "f", x)[core]
+    z += w[:, HIDDEN:] @ _states(p, "b", x[::-1])[::-1][core]
+    z += p["bias"][:, None]
+    z -= z.max(1, keepdims=True)
+    np.exp(z, z)
+    z *= ((x[core] != 32) / z.sum(1)).astype(np.float32)[:, None]
+    return z.sum(0, dtype=np.float64).T
+
+
 @dataclass
 class Model:
     labels: list[str]
     weights: dict[str, np.ndarray]
 
-    def word_sums(self, words: list[bytes]) -> np.ndarray:
-        """For each word: position probabilities summed over its letters, and in the last column their number."""
-        out = np.zeros((len(words), len(self.labels) + 1), np.float32)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(order), 2048):
-            part = order[at : at + 2048]
-            x, size, owner = framed([words[i] for i in part])
-            prob, _ = positions(self.weights, x, size)
-            t = np.arange(x.shape[1])
-            letter = (t > 0) & (t < size[:, None] - 1)
-            rows = np.array(part)[owner]
-            np.add.at(out, (rows, slice(None, -1)), (prob * letter[:, :, None]).sum(1))
-            np.add.at(out[:, -1], rows, letter.sum(1))
+    def sums(self, texts: list[bytes]) -> np.ndarray:
+        """For each stream: position probabilities summed over its letters, and in the last column their number."""
+        out = np.zeros((len(texts), len(self.labels) + 1))
+        x, owner = rows(texts)
+        for at in range(0, len(x), ROWS):
+            part = x[at : at + ROWS]
+            np.add.at(out, (owner[at : at + ROWS], slice(None, -1)), _sums(self.weights, part))
+            np.add.at(out[:, -1], owner[at : at + ROWS], letters(part).sum(1))
         return out
 
-    def label_positions(self, text: str) -> list[tuple[bytes, list[str]]]:
-        """Words of a text with the likeliest label of each of their bytes."""
-        out = []
-        for w in split(text):
-            x, size, _ = framed([w])
-            best = positions(self.weights, x, size)[0].argmax(2)
-            out.append((w, [self.labels[b] for row, n in zip(best, size, strict=True) for b in row[1 : n - 1]]))
-        return out
+    def label_positions(self, text: str) -> tuple[bytes, list[str]]:
+        """The stream of a text and the likeliest label of each of its bytes."""
+        t = stream(text)
+        best = positions(self.weights, rows([t])[0])[0].argmax(2).ravel()[: len(t)]
+        return t, [self.labels[b] for b in best]
 
 
-def fit(samples: list[tuple[str, list[bytes]]], seed: int = 0) -> Model:
-    """Trains on (label, words) rows with Adam; every position of a word should show its text's label."""
+def fit(samples: list[tuple[str, bytes]], seed: int = 0) -> Model:
+    """Trains on (label, stream) pairs with Adam; every letter's position should show its text's label."""
     labels = sorted({lang for lang, _ in samples})
-    number = {lang: i for i, lang in enumerate(labels)}
     rng = np.random.default_rng(seed)
     p = start(len(labels), seed)
-    words = [(w, number[lang]) for lang, ws in samples for w in ws]
-    if len(labels) < 2 or not words:
+    x, owner = rows([t for _, t in samples])
+    y = np.array([labels.index(lang) for lang, _ in samples], np.int64)[owner]
+    if len(labels) < 2 or not len(x):
         return Model(labels, p)
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
-    epochs = max(EPOCHS, min(40, STEPS * BATCH // len(words)))
-    batches = [b for _ in range(epochs) for b in np.array_split(rng.permutation(len(words)), max(1, len(words) // BATCH))]
-    for step, rows in enumerate(batches, 1):
-        x, size, owner = framed([words[r][0] for r in rows])
-        _, g = gradients(p, x, size, np.array([words[r][1] for r in rows])[owner])
+    epochs = max(EPOCHS, min(40, STEPS * BATCH // len(x)))
+    batches = [b for _ in range(epochs) for b in np.array_split(rng.permutation(len(x)), max(1, len(x) // BATCH))]
+    for step, chosen in enumerate(batches, 1):
+        _, g = gradients(p, x[chosen], y[chosen])
         rate = RATE * (1 - step / (len(batches) + 1))
         for k in p:
             first[k] += 0.1 * (g[k] - first[k])
@@ -187,31 +224,18 @@ def fit(samples: list[tuple[str, list[bytes]]], seed: int = 0) -> Model:
     return Model(labels, p)
 
 
-def train(docs: DataFrame, learn: Column, texts: int = TEXTS) -> Model:
+def train(docs: DataFrame, learn: Column, texts: int = TEXTS, size: int = BYTES) -> Model:
     """Fits a model on rows of ``docs`` (doc_id, text, lang) that ``learn`` admits and that have text and language.
 
-    About ``texts`` rows a language are drawn by a hash of doc_id, and WORDS words from each, spread over the whole
-    text; only these words reach the driver.
+    At most ``texts`` rows and ``size`` bytes a language are expected to be drawn, by a hash of doc_id; a drawn text is
+    read whole.
     """
     known = docs.where(learn).where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    share = {r.lang: min(1.0, texts / r["count"]) for r in known.groupBy("lang").count().collect()}
-    if not share:
-        return fit([])
-    rates = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
-    part = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) / 1e6
-
-    def pick(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            out = []
-            for t in b.column(1).to_pylist():
-                w = split(t)
-                out.append([w[i] for i in np.unique(np.linspace(0, len(w) - 1, WORDS).astype(int)).tolist()] if w else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.list_(pa.binary()))], ["doc_id", "lang", "words"])
-
-    rows = bounded_batches(known.where(part < rates[F.col("lang")])).mapInArrow(pick, "doc_id long, lang string, words array<binary>").collect()
-    return fit([(r.lang, [bytes(w) for w in r["words"]]) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r["words"]))])
+    found = known.groupBy("lang").agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).collect()
+    chosen = F.lit(False)
+    for lang, n, total in found:
+        chosen = chosen | ((F.col("lang") == lang) & drawn.admitted("doc_id", "language", drawn.share(n, total, texts, size)))
+    return fit(sorted((r.lang, stream(r.text)) for r in known.where(chosen).collect()))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -222,9 +246,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def labelled(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """``docs`` with all its columns, and lang_pred, score and n_positions of its text.
 
-    Every letter position of the text has label probabilities; a document's are their mean. A result depends on one word
-    alone, so each task runs the network once for a word that it meets again. ``und`` with score 0: the text is null or
-    has no letter, or the model knows no language.
+    Every letter position of the text has label probabilities; a document's are their mean. ``und`` with score 0: the
+    text is null or has no letter, or the model knows no language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names, text_at = [f"{prefix}{n}" for n in ("lang_pred", "score", "n_positions")], docs.columns.index("text")
@@ -233,37 +256,22 @@ def labelled(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
         import pyarrow as pa
 
         model = shared.value
-        number: dict[bytes, int] = {}
-        sums = np.zeros((0, len(model.labels) + 1), np.float32)
         for b in batches:
             pred, score, n = [], [], []
-            texts = b.column(text_at).to_pylist()
-            at = 0
+            texts, at = b.column(text_at).to_pylist(), 0
             while at < len(texts):
-                to, size, rows, fresh = at, 0, [], []
-                if len(number) > REMEMBERED:
-                    number, sums = {}, sums[:0]
-                while to < len(texts) and (to == at or size < 1_500_000):
-                    words = split(texts[to] or "")
-                    for w in set(words):
-                        if w not in number:
-                            number[w] = len(number)
-                            fresh.append(w)
-                    rows.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-                    size += len(texts[to] or "")
+                to, size, held = at, 0, []
+                while to < len(texts) and (to == at or size < 1_000_000):
+                    held.append(stream(texts[to]))
+                    size += len(held[-1])
                     to += 1
-                sums = np.concatenate([sums, model.word_sums(fresh)])
-                for text, ids in zip(texts[at:to], rows, strict=True):
-                    total = sums[ids].sum(0, dtype=np.float64)
-                    if not total[-1] or not model.labels or not any(map(str.isalpha, text)):
-                        pred.append("und")
-                        score.append(0.0)
-                    else:
-                        k = int(total[:-1].argmax())
-                        pred.append(model.labels[k])
-                        score.append(min(1.0, float(total[k] / total[-1])))
-                    n.append(int(total[-1]))
                 at = to
+                for total in model.sums(held) if len(model.labels) else np.zeros((len(held), 1)):
+                    known = total[-1] > 0
+                    k = int(total[:-1].argmax()) if known else -1
+                    pred.append(model.labels[k] if known else "und")
+                    score.append(min(1.0, float(total[k] / total[-1])) if known else 0.0)
+                    n.append(int(total[-1]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], [*b.schema.names, *names])
 
     return bounded_batches(docs).mapInArrow(run, StructType([*docs.schema, StructField(names[0], StringType()), StructField(names[1], DoubleType()), StructField(names[2], LongType())]))
