@@ -5,11 +5,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from lamella.llm.graph import connected_components, cut
 
-#: Vectors of one label are compared in blocks of about this many.
-CHUNK = 2048
+#: Vectors of one label are compared in blocks of about this many. A vector goes to as many tasks as its label has
+#: blocks, so that larger blocks move less; two of them are a few seconds' work.
+CHUNK = 16384
 #: For rounding in single precision.
 MARGIN = 1e-3
 
@@ -58,18 +60,38 @@ def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def _matrix(column) -> np.ndarray:
+    flat = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    return flat.flatten().to_numpy().astype(np.float64).reshape(len(flat), -1)
+
+
+def _coded(batches):
+    """Adds the binary code and the correction factor of every vector of an Arrow batch; ``dim`` is its length."""
+    import pyarrow as pa
+
+    for b in batches:
+        names = b.schema.names
+        dims, vectors = b.column(names.index("dim")).to_numpy(), b.column(names.index("embedding"))
+        code, factor = np.empty(len(b), object), np.zeros(len(b))
+        for dim in np.unique(dims).tolist():
+            at = np.flatnonzero(dims == dim)
+            v = _matrix(vectors.take(pa.array(at)))
+            _, bits, factor[at] = encode(v / np.sqrt((v * v).sum(1))[:, None], rotation(dim))
+            code[at] = [row.tobytes() for row in bits]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(code.tolist(), pa.binary()), pa.array(factor)], [*names, "code", "factor"])
+
+
 def _compare(least: float):
     """Links inside one block, or between two: partners counted per vector, and links of a spanning forest."""
 
     def run(table):
         import pyarrow as pa
 
-        node, copies, side = (table.column(c).to_numpy() for c in ("node", "copies", "side"))
-        dim = len(table.column("embedding")[0])
-        flat = table.column("embedding").combine_chunks()
-        v = flat.flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+        node, (copies, side, factor) = table.column("node").combine_chunks(), (table.column(c).to_numpy() for c in ("copies", "side", "factor"))
+        v = _matrix(table.column("embedding"))
         norm = np.sqrt((v * v).sum(1))
-        rotated, codes, factor = encode(v / norm[:, None], rotation(dim))
+        rotated = (v / norm[:, None] @ rotation(v.shape[1])).astype(np.float32)
+        codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(v), -1)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         inside = not len(right)
         if inside:
@@ -92,7 +114,7 @@ def _compare(least: float):
         partners = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
         root = _components(n, a, b)
         some = np.flatnonzero(partners > 0)
-        return pa.table([pa.array(node[some]), pa.array(partners[some].astype(np.int64)), pa.array(node[root[some]])], names=["node", "partners", "root"])
+        return pa.table([node.take(pa.array(some)), pa.array(partners[some].astype(np.int64)), node.take(pa.array(root[some]))], names=["node", "partners", "root"])
 
     return run
 
@@ -109,16 +131,19 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, chunk: int = CHUNK)
     """
     x = F.col("embedding")
     usable = F.coalesce(F.col("label").isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))) & F.exists(x, lambda c: c != 0), F.lit(False))
-    node = F.when(usable, F.xxhash64(F.col("label"), x, F.size(x)))
+    # 128 bits tell unlike vectors apart at any size of the table.
+    half = lambda *salt: F.lpad(F.hex(F.xxhash64(*salt, F.col("label"), x, F.size(x))), 16, "0")
+    node = F.when(usable, F.unhex(F.concat(half(), half(F.lit("second")))))
     rows = vectors.select("vec_id", "label", "embedding").withColumn("node", node)
     known = rows.where("node IS NOT NULL")
-    groups = cut(known.groupBy("node").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")).withColumn("dim", F.size("embedding")))
+    groups = known.groupBy("node").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
+    groups = cut(groups.mapInArrow(_coded, StructType([*groups.schema, StructField("code", BinaryType()), StructField("factor", DoubleType())])))
     parts = groups.groupBy("label", "dim").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
     dealt = groups.join(parts, ["label", "dim"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     key = F.xxhash64("label", "dim", F.least("part", "other"), F.greatest("part", "other")).alias("key")
-    meet = dealt.select(key, "node", "copies", "embedding", (F.col("part") > F.col("other")).cast("int").alias("side"))
-    found = cut(meet.groupBy("key").applyInArrow(_compare(least), "node long, partners long, root long"))
+    meet = dealt.select(key, "node", "copies", "embedding", "code", "factor", (F.col("part") > F.col("other")).cast("int").alias("side"))
+    found = cut(meet.groupBy("key").applyInArrow(_compare(least), "node binary, partners long, root binary"))
     links = found.groupBy("node").agg(F.sum("partners").alias("partners"))
     comp = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     group = groups.select("node", "low", "copies").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
