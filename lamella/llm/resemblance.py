@@ -1,4 +1,9 @@
-"""Near-duplicate groups by the verified Jaccard similarity of word shingles."""
+"""Near-duplicate groups by the verified Jaccard similarity of word shingles: fingerprints first, shared keys for the rest.
+
+Fingerprints of five-word shingles that lie within a few bits are found by the pivot tables of ``simhash``. Documents of
+similarity 0.8 lie ten bits apart on average and up to 20, where every pivot coordinate of unrelated ones agrees as well
+and no table discards anything; such pairs are found by shared keys of least hashes. Every pair is verified in whole.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.graph import bounded_batches, connected_components, cut
+from lamella.llm.simhash import links as near_prints
+from lamella.llm.simhash import majority
 from lamella.llm.tokens import WordHasher, case_fold, grams, mix, random_words, separators, text_batches
 
 #: Words of a shingle, and the least similarity of a pair as a fraction.
@@ -49,23 +56,25 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, set, n, keys) of every row: its identity by doc_id and text, and its shingle set with n and keys."""
+    """(doc_id, row, set, n, fp, keys) of every row: its identity by doc_id and text, and its shingle set with its size,
+    fingerprint and keys."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            ids, sizes, keys = [], [], []
+            ids, sizes, prints, keys = [], [], [], []
             for found in shingle_sets(b.column(2)):
                 ids.append(set_id(found))
                 sizes.append(len(found))
+                prints.append(majority(found))
                 keys.append(band_keys(found))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * KEYS, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "row", "set", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists], ["doc_id", "row", "set", "n", "fp", "keys"])
 
     rows = docs.select("doc_id", row_identity().alias("row"), "text")
-    return bounded_batches(rows).mapInArrow(run, "doc_id long, row long, set long, n long, keys array<long>")
+    return bounded_batches(rows).mapInArrow(run, "doc_id long, row long, set long, n long, fp long, keys array<long>")
 
 
 def row_identity():
@@ -116,9 +125,9 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Verified pairs (u, v) that connect all similar pairs among ``sets`` (set, n, keys) that share a key.
+    """Verified pairs (u, v) that connect all similar pairs among ``sets`` (set, n, fp, keys) that share a key.
 
-    First the members of a key are compared with one of them; then, of the pairs that this left in different components,
+    First sets of near fingerprints are compared, and the members of a key with one of them; then, of the pairs that this left in different components,
     every one whose sizes allow the similarity. So a crowd of near copies costs few comparisons and no pair is passed over.
     """
     part, whole = LEAST
@@ -126,9 +135,11 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     # The member met first changes with the key, so that one unlucky choice does not part a crowd.
     shared = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min_by("set", F.xxhash64("set", F.pmod("key", F.lit(4)))).alias("first")).where("count > 1")
     members = cut(keyed.join(shared.select("key", "first"), "key"))
-    whole_sets = cut(compared_sets(docs, members.select("set").distinct()))
+    close = cut(_close(sets))
+    asked = members.select("set").unionByName(close.select(F.col("u").alias("set"))).unionByName(close.select(F.col("v").alias("set")))
+    whole_sets = cut(compared_sets(docs, asked.distinct()))
     ends = F.greatest("set", "first").alias("u"), F.least("set", "first").alias("v")
-    met = cut(members.where(F.col("set") != F.col("first")).select(*ends).distinct())
+    met = cut(members.where(F.col("set") != F.col("first")).select(*ends).unionByName(close).distinct())
     found = cut(similar(met, whole_sets))
     comp = connected_components(found)
     placed = members.join(comp.withColumnRenamed("node", "set"), "set", "left").select("key", "set", "n", F.coalesce("component", "set").alias("component"))
@@ -144,6 +155,16 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     return found.unionByName(cut(similar(rest, whole_sets)))
 
 
+def _close(sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets that connect those of equal fingerprints, and of fingerprints within four bits."""
+    first = cut(sets.groupBy("fp").agg(F.min("set").alias("first")))
+    same = sets.join(first, "fp").where("set <> first").select(F.col("set").alias("u"), F.col("first").alias("v"))
+    far = near_prints(first.select("fp"))
+    a, b = first.select(F.col("fp").alias("u"), F.col("first").alias("a")), first.select(F.col("fp").alias("v"), F.col("first").alias("b"))
+    far = far.join(a, "u").join(b, "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    return same.unionByName(far).distinct()
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, of one document of each near-duplicate group: that of the least doc_id.
 
@@ -151,7 +172,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     without doc_id is kept only where its group has none with; of rows equal in doc_id and text one stays.
     """
     rows = cut(signatures(docs))
-    sets = rows.groupBy("set", "n", "keys").agg(F.count("*").alias("count")).drop("count")
+    sets = rows.select("set", "n", "fp", "keys").dropDuplicates(["set"])
     comp = connected_components(links(docs, sets))
     placed = rows.join(comp.withColumnRenamed("node", "set"), "set", "left").select("doc_id", "row", F.coalesce("component", "set").alias("component"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")

@@ -28,12 +28,16 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(parts) - words + 1)
     spans = zip(starts[:n].tolist(), ends[min(words, len(parts)) - 1 :].tolist(), strict=True)
-    h = np.fromiter((xxh64_intdigest(buf[a:b], seed) for a, b in spans), np.uint64, n)
+    return majority(np.fromiter((xxh64_intdigest(buf[a:b], seed) for a, b in spans), np.uint64, n))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: a bit is 1 if set in over half of them; 0 if there are none."""
     set_bits = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
+    for at in range(0, len(h), 65536):
         bits = np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         set_bits += bits.sum(0, dtype=np.uint32)
-    return int(sum(1 << b for b in np.flatnonzero(2 * set_bits > n).tolist()))
+    return int(sum(1 << b for b in np.flatnonzero(2 * set_bits > len(h)).tolist()))
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:

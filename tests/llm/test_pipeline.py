@@ -7,8 +7,9 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tests.llm.test_groups import brute_print, classes
+from tests.llm.test_groups import classes
 from tests.llm.test_pii import brute
+from tests.llm.test_resemblance import shingles, similarity
 from tests.llm.test_text_search import brute_hits
 
 SF = "/root/testdata/sf0.001"
@@ -32,8 +33,8 @@ def test_stages(spark):
             assert not {900001, 900002, 900003} & set(ids) and len(ids) > 0.97 * (len(rows) - 3)
         elif name == "near_duplicates":
             keys = sorted(texts)
-            prints = [brute_print(texts[k]) for k in keys]
-            linked = [(a, b) for a in range(len(keys)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4]
+            sets = [shingles(" ".join(re.split("[ \t-\r]+", texts[k] or ""))) for k in keys]
+            linked = [(a, b) for a in range(len(keys)) for b in range(a) if similarity(sets[a], sets[b]) >= 0.8]
             assert sorted(ids) == [k for k, c in zip(keys, classes(keys, linked), strict=True) if k == c] and len(ids) < len(rows)
         elif name == "decontamination":
             assert sorted(ids) == sorted(r[0] for r in brute_hits(list(texts.items()), bench) if r[2] == 0) and len(ids) < len(rows)
