@@ -6,24 +6,26 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm import decontam, langid, packing, pii, resemblance
+from lamella.session import shared_folder
 
-#: A document whose pooled language probability is lower is rejected, as is one without any letter. Four languages at
-#: chance level give 0.25; running text of one of them gives over 0.6, and a few odd words 0.32 or more.
-LEAST_LANGUAGE = 0.3
+#: A document is rejected if it has no letter, or if its pooled language probability is less than this above chance
+#: (one over the number of languages learned): 0.28 for four languages. Running text of one of them gives over 0.6.
+ABOVE_CHANCE = 0.03
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those in which no known language prevails."""
     learn = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
-    found = langid.labelled(docs, langid.train(docs, learn), "_language_")
-    return found.where((F.col("_language_lang_pred") != "und") & (F.col("_language_score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    model = langid.train(docs, learn)
+    least = min(1.0, 1 / max(1, len(model.labels)) + ABOVE_CHANCE)
+    found = langid.labelled(docs, model, "_language_")
+    return found.where((F.col("_language_lang_pred") != "und") & (F.col("_language_score") >= least)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; every result but the last is written to the shared folder and read again."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{named or tempfile.mkdtemp(prefix='pipeline-')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
