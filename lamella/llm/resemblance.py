@@ -22,6 +22,8 @@ WORDS, LEAST = 5, (4, 5)
 #: (1 - s^4)^24: 0.000003 at 0.8, less above.
 KEYS, ROWS = 24, 4
 FACTORS, TERMS = random_words(KEYS * ROWS, 21) | np.uint64(1), random_words(KEYS * ROWS, 22)
+#: Shingles of the sets that one task compares, for each of two sides.
+BLOCK = 1 << 20
 #: Most bits of the set of documents whose shingles are compared; a fuller set only lets more documents through.
 MOST_BITS = 29
 
@@ -127,10 +129,10 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Verified pairs (u, v) that connect all similar pairs among ``sets`` (set, n, fp, keys) that share a key.
 
-    First sets of near fingerprints are compared, and the members of a key with one of them; then, of the pairs that this left in different components,
-    every one whose sizes allow the similarity. So a crowd of near copies costs few comparisons and no pair is passed over.
+    First sets of near fingerprints are compared, and the members of a key with one of them; then the components that
+    this left beside each other under a key are compared in tasks of bounded size. A crowd of near copies costs few
+    comparisons, no pair is passed over, and no group's pairs are ever written down.
     """
-    part, whole = LEAST
     keyed = cut(sets.select("set", "n", F.explode("keys").alias("key")))
     # The member met first changes with the key, so that one unlucky choice does not part a crowd.
     shared = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min_by("set", F.xxhash64("set", F.pmod("key", F.lit(4)))).alias("first")).where("count > 1")
@@ -143,16 +145,49 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     found = cut(similar(met, whole_sets))
     comp = connected_components(found)
     placed = members.join(comp.withColumnRenamed("node", "set"), "set", "left").select("key", "set", "n", F.coalesce("component", "set").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    placed = cut(placed.join(mixed, "key"))
-    others = placed.groupBy("key", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    others = others.select("key", F.col("component").alias("other"), "least", "most")
-    fits = (F.col("component") < F.col("other")) & (whole * F.col("n") >= part * F.col("least")) & (whole * F.col("most") >= part * F.col("n"))
-    reach = placed.join(others, "key").where(fits).select("key", F.col("set").alias("x"), F.col("n").alias("size"), "other")
-    ahead = placed.select("key", F.col("component").alias("other"), F.col("set").alias("y"), F.col("n").alias("size_y"))
-    rest = reach.join(ahead, ["key", "other"]).where((whole * F.col("size") >= part * F.col("size_y")) & (whole * F.col("size_y") >= part * F.col("size")))
-    rest = rest.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct().join(met, ["u", "v"], "left_anti")
-    return found.unionByName(cut(similar(rest, whole_sets)))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n").alias("size")).where("low <> high")
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = cut(placed.join(mixed.select("key", parts.alias("parts")), "key"))
+    dealt = placed.withColumn("part", F.pmod(F.xxhash64("set"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pair = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+    meet = dealt.select(pair.alias("pair"), "set", "component", (F.col("part") > F.col("other")).alias("side")).join(whole_sets, "set")
+    return found.unionByName(meet.groupBy("pair").applyInArrow(_joined, "u long, v long"))
+
+
+def _joined(table):
+    """Similar pairs (u, v) that join the components of one group of sets, or of its two sides.
+
+    All sets outside the largest component are compared with the sets of all other components, as far as their sizes
+    allow the similarity; components merge as pairs are found, so that no more pairs than components come out.
+    """
+    import pyarrow as pa
+
+    part, whole = LEAST
+    ids, side = table.column("set").to_numpy(), table.column("side").to_numpy()
+    lists = table.column("shingles").combine_chunks()
+    flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    starts = np.cumsum(size) - size
+    _, group, count = np.unique(table.column("component").to_numpy(), return_inverse=True, return_counts=True)
+    root, largest = np.arange(len(count)), count.argmax()
+    u, v = [], []
+    for i in np.flatnonzero(group != largest).tolist():
+        mine = root[group[i]]
+        if mine == root[largest]:
+            continue
+        open_ = (root[group] != mine) & (whole * np.minimum(size, size[i]) >= part * np.maximum(size, size[i]))
+        if side.any():
+            open_ &= side != side[i]
+        if not open_.any():
+            continue
+        own = np.sort(flat[starts[i] : starts[i] + size[i]])
+        place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        both = np.add.reduceat(own[place] == flat, starts, dtype=np.int64)
+        for j in np.flatnonzero(open_ & ((part + whole) * both >= part * (size + size[i]))).tolist():
+            if root[group[j]] != root[group[i]]:
+                root[root == root[group[j]]] = root[group[i]]
+                u.append(max(ids[i], ids[j]))
+                v.append(min(ids[i], ids[j]))
+    return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def _close(sets: DataFrame) -> DataFrame:

@@ -37,3 +37,23 @@ def test_pipeline_stage_reaches_near_copies_far_in_bits(spark):
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id IN (1, 177, 2)")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 2]  # 1 and 177: similarity 0.83, 9 bits apart
+
+
+def test_crowds_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Sets that share keys but lie at 0.7 to 0.85 of each other, with blocks of a few sets: the same groups as by brute force."""
+    import random
+
+    monkeypatch.setattr(resemblance, "BLOCK", 1500)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(150):
+        t = list(words)
+        for _ in range(rng.randint(1, 4)):
+            t[rng.randrange(120)] = f"z{i}x{rng.randrange(99)}"
+        docs.append((i, " ".join(t)))
+    sets = [shingles(t) for _, t in docs]
+    linked = [(a, b) for a in range(len(docs)) for b in range(a) if similarity(sets[a], sets[b]) >= 0.8]
+    low = classes([d for d, _ in docs], linked)
+    got = sorted(r.doc_id for r in resemblance.one_of_each(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect())
+    assert got == sorted(d for (d, _), c in zip(docs, low, strict=True) if d == c) and len(got) > 3
