@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARENT = ("section_id", "parent_id", "gene_id")
@@ -16,11 +16,15 @@ def allocate(weights: DataFrame, counts: DataFrame) -> DataFrame:
     ``weights``: (section_id, parent_id, qy, qx, gene_id, weight), parent -1 for gaps. ``counts``: (section_id,
     parent_id, gene_id, umi). A positive count whose parent has no weight fails; mass over a parent adds up to its count.
     """
-    total = F.sum("weight").over(Window.partitionBy(*PARENT))
-    joined = weights.withColumn("total", total).join(counts, list(PARENT), "left")
+    # Gaps have no total: they stay where they are, so that a section's gaps never meet under one key.
+    columns = ["section_id", "parent_id", "qy", "qx", "gene_id"]
+    covered = weights.where("parent_id >= 0")
+    total = covered.groupBy(*PARENT).agg(F.sum("weight").alias("total")).join(counts, list(PARENT), "left")
+    joined = covered.join(total, list(PARENT))
     share = F.when(F.col("total") > 0, F.col("weight") * F.col("umi") / F.col("total")).otherwise(F.raise_error(F.lit("a count has no support")).cast("double"))
-    mass = F.when(F.col("parent_id") < 0, F.col("weight")).when(F.coalesce("umi", F.lit(0)) > 0, share).otherwise(0.0)
-    return joined.select("section_id", "parent_id", "qy", "qx", "gene_id", mass.alias("mass"))
+    mass = F.when(F.coalesce("umi", F.lit(0)) > 0, share).otherwise(0.0)
+    gaps = weights.where("parent_id < 0").select(*columns, F.col("weight").alias("mass"))
+    return joined.select(*columns, mass.alias("mass")).unionByName(gaps)
 
 
 def softmax_weights(logits: DataFrame) -> DataFrame:
@@ -57,7 +61,7 @@ def area_baseline(segments: DataFrame, counts: DataFrame) -> DataFrame:
     totals = counts.groupBy("section_id", "gene_id").agg(F.sum("umi").alias("all_umi")).join(total_area, "section_id")
     covered = segments.join(area, ["section_id", "parent_id"]).join(counts, ["section_id", "parent_id"])
     covered = covered.select("section_id", "parent_id", "qy", "qx", "gene_id", (F.col("umi") / F.col("area") * F.col("area_px")).alias("mass"))
-    gaps = segments.where("parent_id < 0").join(F.broadcast(totals.select("section_id", "gene_id", (F.col("all_umi") / F.col("all_area")).alias("density"))), "section_id")
+    gaps = segments.where("parent_id < 0").join(totals.select("section_id", "gene_id", (F.col("all_umi") / F.col("all_area")).alias("density")), "section_id")
     return covered.unionByName(gaps.select("section_id", "parent_id", "qy", "qx", "gene_id", (F.col("density") * F.col("area_px")).alias("mass")))
 
 
@@ -71,6 +75,30 @@ def weighted_gaps(neighbours: DataFrame, values: DataFrame, power: float = 2.0,
     return joined.groupBy("section_id", "qy", "qx", "gene_id").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("idw"), F.avg("value").alias("mean"))
 
 
+def gap_density(neighbours: DataFrame, values: DataFrame, queries: DataFrame, overall: DataFrame, power: float = 2.0, epsilon: float = 1.0) -> DataFrame:
+    """Interpolated density at every query and gene, and the section's overall density where no neighbour supports one.
+
+    ``queries``: (section_id, qy, qx); ``overall``: (section_id, gene_id, density).
+    """
+    near = weighted_gaps(neighbours, values, power, epsilon).select("section_id", "qy", "qx", "gene_id", "idw")
+    asked = queries.join(overall, "section_id")
+    out = asked.join(near, ["section_id", "qy", "qx", "gene_id"], "left")
+    return out.select("section_id", "qy", "qx", "gene_id", F.coalesce("idw", "density").alias("density"), F.col("idw").isNotNull().alias("supported"))
+
+
+def prior_mass(density: Column, residual: Column, usable: Column, bound: float = 2.0, least: float = 1e-10) -> Column:
+    """A density of ``least`` or more times exp of a residual bounded by ``bound`` * tanh; 0 where it is not usable."""
+    return F.when(usable, F.greatest(density, F.lit(least)) * F.exp(bound * F.tanh(residual / bound))).otherwise(0.0)
+
+
+def pooled_segments(pixels: DataFrame, value: str) -> DataFrame:
+    """Sum, mean, deviation and largest pixel value of every segment (section_id, parent_id, qy, qx)."""
+    v = F.col(value).cast("double")
+    m = pixels.groupBy("section_id", "parent_id", "qy", "qx").agg(F.sum(v).alias("total"), F.avg(v).alias("mean"), F.avg(v * v).alias("square"), F.max(v).alias("top"))
+    spread = F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0)) + 1e-6)
+    return m.withColumn("deviation", spread).drop("square")
+
+
 def restored(mass: DataFrame, original: DataFrame) -> DataFrame:
     """Mass of the parents before a merge. Every segment must lie in one of them; ``original``: segment to parent."""
     key = ["section_id", "qy", "qx", "part"]

@@ -77,7 +77,7 @@ def availability(counts: DataFrame, panel: DataFrame) -> DataFrame:
 
 def masked(counts: DataFrame, parents: DataFrame, available: DataFrame) -> DataFrame:
     """Counts with ``usable``; those of invalid parents or unavailable genes become 0 instead of being dropped."""
-    joined = counts.join(parents.select("section_id", "parent_id", "valid"), ["section_id", "parent_id"]).join(F.broadcast(available.select("section_id", "gene_id", "available")), ["section_id", "gene_id"], "left")
+    joined = counts.join(parents.select("section_id", "parent_id", "valid"), ["section_id", "parent_id"]).join(available.select("section_id", "gene_id", "available"), ["section_id", "gene_id"], "left")
     ok = F.col("valid") & F.coalesce("available", F.lit(False))
     return joined.select("section_id", "parent_id", "gene_id", F.when(ok, F.col("umi")).otherwise(0).alias("umi"), ok.alias("usable"))
 
@@ -90,6 +90,14 @@ def observed_groups(counts16: DataFrame, observed: DataFrame) -> DataFrame:
     return sums.join(size, ["section_id", "gy", "gx"])
 
 
+def paired_members(members: DataFrame, least: int = 2) -> DataFrame:
+    """Observed 16 um members of 32 um groups that hold ``least`` or more of them, with their number."""
+    from pyspark.sql import Window
+
+    group = Window.partitionBy("section_id", down("py", 2), down("px", 2))
+    return members.withColumn("members", F.count("*").over(group)).where(F.col("members") >= least)
+
+
 def merged_parents(owned_counts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Counts after the second parent of each pair (section_id, first, second) was merged into the first."""
     names = pairs.select("section_id", F.col("second").alias("parent_id"), "first")

@@ -117,7 +117,10 @@ def covering_fields(cells: DataFrame, fields: DataFrame, core_um: int = 192, fov
         out = out.withColumn(f"_{o}", F.explode(F.sequence(base - reach, base))).withColumn(o, F.col(f"_{o}") * stride - margin).drop(f"_{o}")
         at = F.col(q) * 4 - F.col(o) - margin
         out = out.where((at >= 0) & (at + 4 <= core))
-    out = out.join(fields, ["section_id", "y0", "x0"])
+    known = fields.withColumn("_field", F.lit(True))
+    out = out.join(known, ["section_id", "y0", "x0"], "left")
+    met = F.max("_field").over(Window.partitionBy("section_id", "qy", "qx"))
+    out = out.withColumn("qy", F.when(met, F.col("qy")).otherwise(F.raise_error(F.lit("no field covers a cell")).cast("long"))).where("_field").drop("_field")
     n = F.count("*").over(Window.partitionBy("section_id", "qy", "qx"))
     return out.withColumn("weight", 1.0 / n)
 

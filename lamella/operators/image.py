@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lamella.operators.geometry import down, project
 
 # Optical-density vectors of hematoxylin, eosin and residual (DAB) stains, rows of the stain matrix.
-STAINS = ((0.65, 0.70, 0.29), (0.07, 0.99, 0.11), (0.27, 0.57, 0.78))
+STAINS = ((0.650, 0.704, 0.286), (0.072, 0.990, 0.105), (0.268, 0.570, 0.776))
 
 
 def _inverse(m):
@@ -126,6 +126,14 @@ def resized(coarse: DataFrame, fine: DataFrame, step: int, value: str, valid: st
     return met.groupBy("section_id", "y", "x").agg((F.sum(F.col("w") * F.col(value)) / F.when(F.sum("w") > 0, F.sum("w"))).alias(value))
 
 
+def token_validity(pixels: DataFrame, side: int = 128, token: int = 16) -> DataFrame:
+    """Valid tokens of every field: those whose token x token pixels are all valid. A field without any fails."""
+    key = ["section_id", "field_id"]
+    t = pixels.groupBy(*key, down("y", token).alias("ty"), down("x", token).alias("tx")).agg((F.bool_and("valid") & (F.count("*") == token * token)).alias("valid"))
+    has = F.max("valid").over(Window.partitionBy(*key))
+    return t.withColumn("valid", F.when(has, F.col("valid")).otherwise(F.raise_error(F.lit("a field has no valid token")).cast("boolean")))
+
+
 def tissue_majority(mask: DataFrame, least: int = 8) -> DataFrame:
     """8 um cells with at least ``least`` of their 16 pixels in tissue."""
     return mask.groupBy("section_id", down("y", 4).alias("qy"), down("x", 4).alias("qx")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("section_id", "qy", "qx")
@@ -137,11 +145,11 @@ def complete(pixels: DataFrame, step: int, names: tuple[str, str]) -> DataFrame:
 
 
 def embedded(fields: DataFrame, embed, tokens: int = 14) -> DataFrame:
-    """Hook for a user's encoder: ``embed(list of values) -> (features, valid)`` per field, in Arrow batches of fields."""
+    """Hook for a user's encoder: ``embed(series of value lists) -> (features, valid)`` for a batch of fields at once."""
 
     def run(frames):
         for f in frames:
-            made = [embed(v) for v in f["values"]]
-            yield f[["section_id", "field_id"]].assign(features=[list(map(float, m[0])) for m in made], valid=[bool(m[1]) for m in made])
+            features, valid = embed(f["values"])
+            yield f[["section_id", "field_id"]].assign(features=features, valid=valid)
 
     return fields.select("section_id", "field_id", "values").mapInPandas(run, "section_id long, field_id long, features array<double>, valid boolean")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,13 +12,13 @@ def moments(p: str = "p", y: str = "y") -> list[Column]:
     """Sums that gene scores need; they add up over blocks (minima and maxima merge)."""
     a, b = F.col(p).cast("double"), F.col(y).cast("double")
     return [F.count("*").alias("n"), F.sum(a).alias("sp"), F.sum(b).alias("sy"), F.sum(a * a).alias("spp"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("spy"),
-            F.sum(F.abs(a - b)).alias("sad"), F.sum((a - b) * (a - b)).alias("ssd"), F.min(b).alias("ymin"), F.max(b).alias("ymax")]
+            F.sum(F.abs(a - b)).alias("sad"), F.sum((a - b) * (a - b)).alias("ssd"), F.min(a).alias("pmin"), F.max(a).alias("pmax"), F.min(b).alias("ymin"), F.max(b).alias("ymax")]
 
 
 def merge_moments(m: DataFrame, *keys: str) -> DataFrame:
     """Moments of blocks to moments of the whole."""
     sums = [F.sum(c).alias(c) for c in ("n", "sp", "sy", "spp", "syy", "spy", "sad", "ssd")]
-    return m.groupBy(*keys).agg(*sums, F.min("ymin").alias("ymin"), F.max("ymax").alias("ymax"))
+    return m.groupBy(*keys).agg(*sums, *[F.min(c).alias(c) for c in ("pmin", "ymin")], *[F.max(c).alias(c) for c in ("pmax", "ymax")])
 
 
 def safe(num: Column, den: Column) -> Column:
@@ -25,13 +27,20 @@ def safe(num: Column, den: Column) -> Column:
 
 
 def gene_scores(m: DataFrame, *keys: str) -> DataFrame:
-    """PCC (null without range or variance), RMSE over the measured range, and MAE, from moments."""
+    """PCC (null without range or variance), nRMSE and MAE, from moments.
+
+    nRMSE is the RMS difference after prediction and measurement were each scaled by their own least value and range (a
+    side without range counts as 0).
+    """
     n = F.col("n").cast("double")
     vp, vy = F.col("spp") - F.col("sp") ** 2 / n, F.col("syy") - F.col("sy") ** 2 / n
     cov = F.col("spy") - F.col("sp") * F.col("sy") / n
-    extent = F.col("ymax") - F.col("ymin")
-    defined = (extent > 0) & (vp > 1e-12) & (vy > 1e-12)
-    return m.select(*keys, F.when(defined, cov / F.sqrt(F.when(defined, vp * vy))).alias("pcc"), safe(F.sqrt(F.col("ssd") / n), extent).alias("nrmse"), (F.col("sad") / n).alias("mae"))
+    a, b = (safe(F.lit(1.0), F.col(f"{s}max") - F.col(f"{s}min")) for s in "py")
+    defined = (a > 0) & (b > 0) & (vp > 0) & (vy > 0)
+    shift = (F.col("sp") / n - F.col("pmin")) * a - (F.col("sy") / n - F.col("ymin")) * b
+    square = F.greatest(vp, F.lit(0.0)) / n * a * a + F.greatest(vy, F.lit(0.0)) / n * b * b - 2 * cov / n * a * b + shift * shift
+    nrmse = F.sqrt(F.greatest(square, F.lit(0.0)))
+    return m.select(*keys, F.when(defined, cov / F.sqrt(F.when(defined, vp * vy))).alias("pcc"), nrmse.alias("nrmse"), (F.col("sad") / n).alias("mae"))
 
 
 def position_scores(pairs: DataFrame, *position: str) -> DataFrame:
@@ -85,12 +94,21 @@ def allocation_kl(pairs: DataFrame, *keys: str) -> DataFrame:
     return out.select(*keys, (F.col("kl") / F.greatest("umi", F.lit(1.0))).alias("kl"))
 
 
-def gain_split(pairs: DataFrame, *keys: str) -> DataFrame:
-    """Gain of p over a baseline b in Poisson loss, split into a total and a composition part; parts add up to it."""
-    p, b, y = (F.greatest(F.col(c).cast("double"), F.lit(1e-12)) if c != "y" else F.col(c).cast("double") for c in ("p", "b", "y"))
-    m = pairs.groupBy(*keys).agg(F.sum(y * F.log(p) - p - (y * F.log(b) - b)).alias("full"), F.sum(p).alias("tp"), F.sum(b).alias("tb"), F.sum(y).alias("ty"))
-    total = F.col("ty") * F.log(F.col("tp") / F.col("tb")) - (F.col("tp") - F.col("tb"))
-    return m.select(*keys, (F.col("full")).alias("full_gain"), total.alias("total_gain"), (F.col("full") - total).alias("composition_gain"))
+def gain_split(pairs: DataFrame, field: list[str], child: list[str]) -> DataFrame:
+    """Gain of p over a quarter of the parent's count c, per count, split into totals of children and their composition.
+
+    ``pairs``: (.., p, y, c), a row for each child and gene; the totals run over the genes of each child. full_gain is
+    total_gain + composition_gain.
+    """
+    p, y, c = (F.col(v).cast("double") for v in "pyc")
+    log = lambda v: F.log(F.greatest(v, F.lit(1e-12)))
+    m = pairs.groupBy(*field, *child).agg(
+        F.sum(c / 4 - p + y * (log(p) - log(c / 4))).alias("full"), F.sum(y * (log(p) - log(c))).alias("shares"), *[F.sum(v).alias(n) for n, v in (("tp", p), ("ty", y), ("tc", c))]
+    )
+    m = m.withColumn("total", F.col("tc") / 4 - F.col("tp") + F.col("ty") * (log(F.col("tp")) - log(F.col("tc") / 4)))
+    m = m.withColumn("composition", F.col("shares") - F.col("ty") * (log(F.col("tp")) - log(F.col("tc"))))
+    out = m.groupBy(*field).agg(*[F.sum(v).alias(v) for v in ("full", "total", "composition", "ty")]).where("ty > 0")
+    return out.select(*field, *[(F.col(v) / F.col("ty")).alias(f"{v}_gain") for v in ("full", "total", "composition")])
 
 
 def flat_scores(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -104,6 +122,19 @@ def flat_scores(pairs: DataFrame, *keys: str) -> DataFrame:
     return m.select(*keys, "n", F.when(ok, pcc).alias("pcc"), F.when(F.col("n") >= 2, ratio).alias("rms_ratio"))
 
 
+def stratum_scores(pairs: DataFrame, *keys: str) -> DataFrame:
+    """By count stratum of the parent: pairs of parents and genes, counts, conditional loss per count, its gain over ln 4,
+    and PCC and RMS ratio of residuals against a quarter. ``pairs``: (.., p, y, c), four children a parent."""
+    p, y, c = (F.col(v).cast("double") for v in "pyc")
+    at = pairs.where("c > 0").withColumn("stratum", stratum(F.col("c")))
+    loss = F.sum(-y * (F.log(F.greatest(p, F.lit(1e-12))) - F.log(c)))
+    m = at.groupBy(*keys, "stratum").agg((F.count("*") / 4).cast("long").alias("parent_gene_pairs"), F.sum(y).alias("umis"), loss.alias("loss"))
+    nll = F.col("loss") / F.col("umis")
+    rest = at.select(*keys, "stratum", (p - c / 4).alias("p"), (y - c / 4).alias("y"))
+    scores = flat_scores(rest, *keys, "stratum").select(*keys, "stratum", "pcc", "rms_ratio")
+    return m.select(*keys, "stratum", "parent_gene_pairs", "umis", nll.alias("nll"), (F.lit(math.log(4)) - nll).alias("gain")).join(scores, [*keys, "stratum"])
+
+
 def stratum(c: Column) -> Column:
     """Count strata of parents: 1, 2-4, 5 and more."""
     return F.when(c == 1, "1").when(c <= 4, "2-4").otherwise("5+")

@@ -44,11 +44,40 @@ def quota(epoch: Column, per_epoch: float) -> Column:
     return (upto(epoch) - upto(epoch - 1)).cast("long")
 
 
-def phase_views(items: DataFrame, presentations: int, order: str, partition: list[str]) -> DataFrame:
-    """Views of items in one of four grid phases: the stratum by rank, and for further presentations its XOR partners."""
+def phase_views(items: DataFrame, presentations: int, order: str, partition: list[str], seed: int = 0, mode: str = "strata") -> DataFrame:
+    """Views of items in one of four grid phases. Mode "strata": the first view shows the phase of the item's rank; two
+    presentations add a partner at a seeded offset of 1 to 3 (XOR), four run through all phases. "fixed": every view shows
+    the rank's phase; "canonical": every view shows phase 0."""
+    if presentations not in (1, 2, 4) or mode not in ("strata", "fixed", "canonical"):
+        raise ValueError("one, two or four presentations of a known mode")
     rank = F.row_number().over(Window.partitionBy(*partition).orderBy(order)) - 1
-    steps = F.explode(F.sequence(F.lit(0), F.lit(presentations - 1)))
-    return items.withColumn("stratum", rank % 4).withColumn("view", steps).withColumn("phase", F.col("stratum").bitwiseXOR(F.col("view") * (4 // presentations if presentations < 4 else 1)))
+    out = items.withColumn("stratum", rank % 4).withColumn("view", F.explode(F.sequence(F.lit(0), F.lit(presentations - 1))))
+    offset = (retry_seed(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*partition, order)])) % 3 + 1).cast("int")
+    phase = F.col("stratum") if mode == "fixed" else F.lit(0) if mode == "canonical" else F.when(F.col("view") > 0, F.col("stratum").bitwiseXOR(offset)).otherwise(F.col("stratum")) if presentations == 2 else (F.col("stratum") + F.col("view")) % 4
+    return out.withColumn("phase", phase.cast("int"))
+
+
+def exposure_plan(fields: DataFrame, budget: int, batch: int, epochs: int, floor: int) -> DataFrame:
+    """Fields an epoch, steps an epoch, steps in all and size of the last batch; a section below ``floor`` fails.
+
+    Every section shows ``budget`` fields an epoch, or all it has.
+    """
+    each = fields.groupBy("section_id").agg(F.least(F.count("*"), F.lit(budget)).alias("n"))
+    each = each.withColumn("n", F.when(F.col("n") >= floor, F.col("n")).otherwise(F.raise_error(F.lit("a section has too few fields")).cast("long")))
+    total = each.agg(F.sum("n").alias("fields_per_epoch"))
+    steps = F.ceil(F.col("fields_per_epoch") / batch)
+    return total.select("fields_per_epoch", steps.alias("steps_per_epoch"), (steps * epochs).alias("steps"), ((F.col("fields_per_epoch") - 1) % batch + 1).alias("last_batch"))
+
+
+def epoch_sample(items: DataFrame, seed: int, epoch: int, n: int, partition: list[str], item: str) -> DataFrame:
+    """The first n items of each partition in an order seeded by the epoch."""
+    return shuffled(items.withColumn("_epoch", F.lit(epoch)), seed, [*partition, "_epoch"], item).where(F.col("position") < n).drop("_epoch")
+
+
+def chosen_pair(pairs: DataFrame, seed: int, field: list[str], first: str = "first", second: str = "second", view: int = 0) -> DataFrame:
+    """One neighbour pair of each field: the ``view``-th in a seeded order of the field's pairs."""
+    key = F.concat_ws("-", F.col(first).cast("string"), F.col(second).cast("string"))
+    return shuffled(pairs.withColumn("_pair", key), seed, field, "_pair").where(F.col("position") == view).drop("_pair", "position")
 
 
 def interleaved(items: DataFrame, kind: str, order: str, n: int) -> DataFrame:
@@ -76,11 +105,11 @@ def variable_genes(counts: DataFrame, markers: DataFrame, n: int) -> DataFrame:
     return marked.orderBy(F.desc("marker"), F.desc(F.round("score", 9)), "gene_id").limit(n)
 
 
-def early_stopping(runs: DataFrame, tasks: list[str], bounds: dict[str, float], patience: int, minimum: int) -> DataFrame:
+def early_stopping(runs: DataFrame, tasks: list[str], bounds: dict[str, float], patience: int, minimum: int, gains: dict[str, float] | None = None) -> DataFrame:
     """Epoch kept and epoch stopped of every run of ordered validations (run, epoch, one loss per task).
 
     An epoch is accepted if no task is worse than the best or the first by its bound or more (with a bound of 0: by
-    more than nothing) and at least one improves. A run stops after ``patience`` validations without acceptance, not
+    more than nothing) and at least one improves on the best by more than its gain. A run stops after ``patience`` validations without acceptance, not
     before ``minimum`` epochs. A run's validations are few; they fold in order inside one expression.
     """
     items = F.array_sort(F.collect_list(F.struct("epoch", *tasks)))
@@ -92,7 +121,7 @@ def early_stopping(runs: DataFrame, tasks: list[str], bounds: dict[str, float],
         for t in tasks:
             worse = x[t] - F.least(s[f"best_{t}"], s[f"first_{t}"])
             fine = fine & ((worse < bounds[t]) if bounds[t] > 0 else (worse <= 0))
-            better = better | (x[t] < s[f"best_{t}"])
+            better = better | (s[f"best_{t}"] - x[t] > (gains or {}).get(t, 0.0))
         fresh = s["best_epoch"] < 0
         ok = (fresh | (fine & better)) & (s["stopped"] < 0)
         stale = F.when(ok, 0).otherwise(s["stale"] + 1)

@@ -188,8 +188,10 @@ R = "round({0}, 6) + 0.0"
 
 @query(
     PAIRS
-    + """SELECT section_id, gene_id, round(CASE WHEN max(y) > min(y) AND var_pop(p) > 1e-12 THEN corr(p, y) END, 6) + 0.0 AS pcc,
-         round(sqrt(avg((p-y)*(p-y))) / (max(y) - min(y)), 6) + 0.0 AS nrmse, round(avg(abs(p-y)), 6) + 0.0 AS mae FROM pairs GROUP BY 1, 2"""
+    + """, r AS (SELECT *, min(p) OVER w AS p0, max(p) OVER w AS p1, min(y) OVER w AS y0, max(y) OVER w AS y1 FROM pairs WINDOW w AS (PARTITION BY section_id, gene_id)),
+         d AS (SELECT *, CASE WHEN p1 > p0 THEN (p-p0)/(p1-p0) ELSE 0 END - CASE WHEN y1 > y0 THEN (y-y0)/(y1-y0) ELSE 0 END AS d FROM r)
+         SELECT section_id, gene_id, round(CASE WHEN max(y) > min(y) AND max(p) > min(p) THEN corr(p, y) END, 6) + 0.0 AS pcc,
+         round(sqrt(avg(d*d)), 6) + 0.0 AS nrmse, round(avg(abs(p-y)), 6) + 0.0 AS mae FROM d GROUP BY 1, 2"""
 )
 def spatial_gene_pcc(spark, sf_dir):
     """How well does uniform allocation rebuild the measured 8 um counts, by section and gene?"""
@@ -250,36 +252,58 @@ def allocation_kl(spark, sf_dir):
     return metrics.allocation_kl(_uniform_pairs(spark, sf_dir), "section_id").select("section_id", (F.round("kl", 5) + F.lit(0.0)).alias("kl"))
 
 
-BASE = ", b AS (SELECT *, greatest((SELECT avg(y) FROM pairs), 1e-12) AS b FROM pairs WHERE y > 0 OR p > 0)"
+def _tilted_pairs(spark, sf_dir):
+    """An allocation of 16 um parents to their four cells that differs by gene, next to the measured 8 um counts and the
+    parent's count c."""
+    native = native_counts(spark, sf_dir)
+    children = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a in (0, 1) for b in (0, 1)]))
+    truth = counts.squares(native, 4).withColumnRenamed("umi", "y")
+    parents = truth.groupBy("section_id", geometry.down("qy", 2).alias("py"), geometry.down("qx", 2).alias("px"), "gene_id").agg(F.sum("y").alias("c")).withColumn("k", children)
+    share = ((F.col("k.a") * 2 + F.col("k.b") + F.col("gene_id")) % 4 + 1) / 10.0
+    split = parents.select("section_id", "py", "px", (F.col("py") * 2 + F.col("k.a")).alias("qy"), (F.col("px") * 2 + F.col("k.b")).alias("qx"), "gene_id", (F.col("c") * share).alias("p"), F.col("c").cast("double").alias("c"))
+    return split.join(truth, ["section_id", "qy", "qx", "gene_id"], "left").withColumn("y", F.coalesce("y", F.lit(0)).cast("double"))
 
 
-def _with_baseline(spark, sf_dir):
-    pairs = _uniform_pairs(spark, sf_dir).where("y > 0 OR p > 0")
-    return pairs.crossJoin(F.broadcast(_uniform_pairs(spark, sf_dir).agg(F.greatest(F.avg("y"), F.lit(1e-12)).alias("b"))))  # one row
+TILTED = PAIRS.rstrip() + """, tilted AS (SELECT s.section_id, s.py, s.px, s.qy, s.qx, s.gene_id, s.c*((s.i + s.gene_id) % 4 + 1)/10 AS p, s.c, CAST(coalesce(c8.umi, 0) AS DOUBLE) AS y
+  FROM (SELECT section_id, py, px, py*2+a AS qy, px*2+b AS qx, a*2+b AS i, gene_id, CAST(umi AS DOUBLE) AS c FROM c16, (SELECT unnest([0,1]) AS a), (SELECT unnest([0,1]) AS b)) s
+  LEFT JOIN c8 ON c8.section_id = s.section_id AND c8.qy = s.qy AND c8.qx = s.qx AND c8.gene_id = s.gene_id)
+"""
 
 
 @query(
-    PAIRS
-    + BASE
-    + """, m AS (SELECT section_id, gene_id, sum(y*ln(p) - p - (y*ln(b) - b)) AS f, sum(p) AS tp, sum(b) AS tb, sum(y) AS ty FROM b GROUP BY 1,2)
-    SELECT section_id, gene_id, round(f / ty, 5) + 0.0 AS full_gain, round((ty*ln(tp/tb) - (tp - tb)) / ty, 5) + 0.0 AS total_gain, round((f - (ty*ln(tp/tb) - (tp - tb))) / ty, 5) + 0.0 AS composition_gain FROM m WHERE ty > 0"""
+    TILTED
+    + """, m AS (SELECT section_id, qy, qx, sum(c/4 - p + y*(ln(greatest(p, 1e-12)) - ln(c/4))) AS f, sum(y*(ln(greatest(p, 1e-12)) - ln(c))) AS s, sum(p) AS tp, sum(y) AS ty, sum(c) AS tc FROM tilted GROUP BY 1,2,3)
+    SELECT section_id, round(sum(f)/sum(ty), 6) + 0.0 AS full_gain, round(sum(tc/4 - tp + ty*(ln(tp) - ln(tc/4)))/sum(ty), 6) + 0.0 AS total_gain, round(sum(s - ty*(ln(tp) - ln(tc)))/sum(ty), 6) + 0.0 AS composition_gain FROM m GROUP BY 1"""
 )
 def gain_split(spark, sf_dir):
-    pairs = _with_baseline(spark, sf_dir)
-    g = metrics.gain_split(pairs, "section_id", "gene_id").join(pairs.groupBy("section_id", "gene_id").agg(F.sum("y").alias("ty")), ["section_id", "gene_id"]).where("ty > 0")
-    part = lambda c: (F.round(F.col(c) / F.col("ty"), 5) + F.lit(0.0)).alias(c)
-    return g.select("section_id", "gene_id", part("full_gain"), part("total_gain"), part("composition_gain"))
+    """Gain of an allocation over a quarter of its parents: what totals of cells add, and what their composition adds."""
+    g = metrics.gain_split(_tilted_pairs(spark, sf_dir), ["section_id"], ["qy", "qx"])
+    return g.select("section_id", *[r6(c).alias(c) for c in ("full_gain", "total_gain", "composition_gain")])
 
 
-STRATA = ", s AS (SELECT s.section_id, CASE WHEN c.umi = 1 THEN '1' WHEN c.umi <= 4 THEN '2-4' ELSE '5+' END AS stratum, s.p - c.umi/4.0 AS p, s.y - c.umi/4.0 AS y FROM (SELECT *, CAST(floor(qy/2.0) AS BIGINT) AS py, CAST(floor(qx/2.0) AS BIGINT) AS px FROM pairs) s JOIN c16 c USING (section_id, py, px, gene_id))"
+RESIDUALS = ", s AS (SELECT *, CASE WHEN c = 1 THEN '1' WHEN c <= 4 THEN '2-4' ELSE '5+' END AS stratum, p - c/4 AS rp, y - c/4 AS ry FROM tilted WHERE c > 0)"
 
 
-@query(PAIRS + STRATA + "SELECT section_id, stratum, count(*) AS n, CAST(NULL AS DOUBLE) AS pcc, round(sqrt(sum(p*p)/sum(y*y)), 6) + 0.0 AS rms_ratio FROM s GROUP BY 1,2")
+@query(
+    TILTED
+    + RESIDUALS
+    + """ SELECT section_id, stratum, CAST(count(*)/4 AS BIGINT) AS parent_gene_pairs, sum(y) AS umis, round(-sum(y*(ln(greatest(p, 1e-12)) - ln(c)))/sum(y), 6) + 0.0 AS nll,
+    round(ln(4) + sum(y*(ln(greatest(p, 1e-12)) - ln(c)))/sum(y), 6) + 0.0 AS gain, round(corr(rp, ry), 5) + 0.0 AS pcc, round(sqrt(sum(rp*rp)/sum(ry*ry)), 6) + 0.0 AS rms_ratio FROM s GROUP BY 1,2"""
+)
 def stratum_residuals(spark, sf_dir):
-    """Residuals against a quarter of the parent, by parent count. A uniform allocation has none, so no PCC."""
-    pairs = _uniform_pairs(spark, sf_dir).withColumn("c", F.col("p") * 4)
-    rest = pairs.select("section_id", metrics.stratum(F.col("c")).alias("stratum"), (F.col("p") - F.col("c") / 4).alias("p"), (F.col("y") - F.col("c") / 4).alias("y"))
-    return metrics.flat_scores(rest, "section_id", "stratum").select("section_id", "stratum", "n", r6("pcc").alias("pcc"), r6("rms_ratio").alias("rms_ratio"))
+    """Residuals against a quarter of the parent, by parent count."""
+    s = metrics.stratum_scores(_tilted_pairs(spark, sf_dir), "section_id")
+    return s.select("section_id", "stratum", "parent_gene_pairs", "umis", r6("nll").alias("nll"), r6("gain").alias("gain"), (F.round("pcc", 5) + F.lit(0.0)).alias("pcc"), r6("rms_ratio").alias("rms_ratio"))
+
+
+@query(TILTED + RESIDUALS + "SELECT section_id, gene_id % 3 AS gene_group, count(*) AS n, round(corr(rp, ry), 5) + 0.0 AS pcc, round(sqrt(sum(rp*rp)/sum(ry*ry)), 6) + 0.0 AS rms_ratio FROM s GROUP BY 1,2")
+def gene_group_residuals(spark, sf_dir):
+    """Parent residuals by groups of genes."""
+    pairs = _tilted_pairs(spark, sf_dir)
+    groups = pairs.select("gene_id").distinct().withColumn("gene_group", F.col("gene_id") % 3)
+    rest = pairs.join(groups, "gene_id").select("section_id", "gene_group", (F.col("p") - F.col("c") / 4).alias("p"), (F.col("y") - F.col("c") / 4).alias("y"))
+    s = metrics.flat_scores(rest, "section_id", "gene_group")
+    return s.select("section_id", "gene_group", "n", (F.round("pcc", 5) + F.lit(0.0)).alias("pcc"), r6("rms_ratio").alias("rms_ratio"))
 
 
 @query(

@@ -9,11 +9,12 @@ from lamella.plans.count_queries import N
 from lamella.plans.fixture import native_counts, table
 from lamella.plans.registry import query, r6
 
-ITEMS = "items AS (SELECT o_custkey % 5 AS section_id, o_orderkey AS field FROM orders)"
+#: Sections of about 50 customers, so that their number grows with the table.
+ITEMS = "items AS (SELECT CAST(floor(o_custkey / 50.0) AS BIGINT) AS section_id, o_orderkey AS field FROM orders)"
 
 
 def _items(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("section_id"), F.col("o_orderkey").alias("field"))
+    return table(spark, sf_dir, "orders").select(F.floor(F.col("o_custkey") / 50.0).cast("long").alias("section_id"), F.col("o_orderkey").alias("field"))
 
 
 def order_sql(seed: int, keys: str, item: str = "field") -> str:
@@ -42,17 +43,47 @@ def cumulative_quota(spark, sf_dir):
     return spark.range(1, 61).select(F.col("id").alias("epoch"), sampling.quota(F.col("id").cast("double"), per_epoch).alias("due"))
 
 
-@query(f"WITH {ITEMS} SELECT section_id, field, CAST(s AS INTEGER) AS stratum, CAST(v AS INTEGER) AS view, CAST(xor(s, v*2) AS INTEGER) AS phase FROM (SELECT *, (row_number() OVER (PARTITION BY section_id ORDER BY field) - 1) % 4 AS s FROM items), (SELECT unnest([0, 1]) AS v)")
+VIEWS = f"""{ITEMS}, o AS (SELECT *, CAST((row_number() OVER (PARTITION BY section_id ORDER BY field) - 1) % 4 AS INTEGER) AS s,
+  CAST(CAST('0x' || substr(sha256(concat_ws(':', '9', CAST(section_id AS VARCHAR), CAST(field AS VARCHAR))), 1, 16) AS UBIGINT) % 9223372036854775807 % 3 + 1 AS INTEGER) AS k FROM items),
+  views AS (SELECT section_id, field, s AS stratum, CAST(v AS INTEGER) AS view, CASE WHEN v = 0 THEN s ELSE xor(s, k) END AS phase FROM o, (SELECT unnest([0, 1]) AS v))"""
+
+
+@query(f"WITH {VIEWS} SELECT * FROM views")
 def phase_views(spark, sf_dir):
-    return sampling.phase_views(_items(spark, sf_dir), 2, "field", ["section_id"]).select("section_id", "field", "stratum", "view", F.col("phase").cast("int").alias("phase"))
+    return sampling.phase_views(_items(spark, sf_dir), 2, "field", ["section_id"], seed=9).select("section_id", "field", F.col("stratum").cast("int").alias("stratum"), "view", "phase")
 
 
-@query(
-    f"WITH {ITEMS} SELECT section_id, phase, count(*) AS n FROM (SELECT section_id, CAST(xor(s, v*2) AS INTEGER) AS phase FROM (SELECT *, (row_number() OVER (PARTITION BY section_id ORDER BY field) - 1) % 4 AS s FROM items), (SELECT unnest([0, 1]) AS v)) GROUP BY 1, 2"
-)
+@query(f"WITH {VIEWS} SELECT section_id, field, stratum, CAST(v AS INTEGER) AS view, CAST((stratum + v) % 4 AS INTEGER) AS phase FROM views, (SELECT unnest(range(0, 4)) AS v) WHERE view = 0")
+def four_phase_views(spark, sf_dir):
+    return sampling.phase_views(_items(spark, sf_dir), 4, "field", ["section_id"]).select("section_id", "field", F.col("stratum").cast("int").alias("stratum"), "view", "phase")
+
+
+@query(f"WITH {VIEWS} SELECT section_id, phase, count(*) AS n FROM views GROUP BY 1, 2")
 def phase_balance(spark, sf_dir):
-    views = sampling.phase_views(_items(spark, sf_dir), 2, "field", ["section_id"])
-    return views.groupBy("section_id", F.col("phase").cast("int").alias("phase")).agg(F.count("*").alias("n"))
+    views = sampling.phase_views(_items(spark, sf_dir), 2, "field", ["section_id"], seed=9)
+    return views.groupBy("section_id", "phase").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ITEMS}, e AS (SELECT section_id, least(count(*), 400) AS n FROM items GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS fields_per_epoch, CAST(ceil(sum(n)/16.0) AS BIGINT) AS steps_per_epoch, CAST(ceil(sum(n)/16.0)*240 AS BIGINT) AS steps, CAST((sum(n)-1) % 16 + 1 AS BIGINT) AS last_batch FROM e")
+def exposure_plan(spark, sf_dir):
+    return sampling.exposure_plan(_items(spark, sf_dir), 400, 16, 240, 1)
+
+
+@query(f"WITH {ITEMS} SELECT section_id, field, p AS position FROM (SELECT section_id, field, {order_sql(13, 'section_id, epoch')} AS p FROM (SELECT *, 5 AS epoch FROM items)) WHERE p < 64")
+def epoch_sample(spark, sf_dir):
+    return sampling.epoch_sample(_items(spark, sf_dir), 13, 5, 64, ["section_id"], "field")
+
+
+@query(f"WITH {ITEMS}, p AS (SELECT section_id, field AS a, field + 1 + field % 3 AS b FROM items) SELECT section_id, a, b FROM (SELECT section_id, a, b, row_number() OVER (PARTITION BY section_id ORDER BY sha256(concat_ws(':', '17', CAST(section_id AS VARCHAR), concat_ws('-', CAST(a AS VARCHAR), CAST(b AS VARCHAR)))), concat_ws('-', CAST(a AS VARCHAR), CAST(b AS VARCHAR))) AS k FROM p) WHERE k = 1")
+def chosen_pairs(spark, sf_dir):
+    pairs = _items(spark, sf_dir).select("section_id", F.col("field").alias("a"), (F.col("field") + 1 + F.col("field") % 3).alias("b"))
+    return sampling.chosen_pair(pairs, 17, ["section_id"], "a", "b")
+
+
+@query("SELECT o_orderkey, round(CASE WHEN s < 100 THEN 3e-4*(s+1)/100 ELSE 1e-5 + (3e-4-1e-5)*(1 + cos(3.141592653589793*least(1.0, (s-100)/900.0::DOUBLE)))/2 END, 9) + 0.0 AS rate FROM (SELECT o_orderkey, CAST(o_orderkey % 1200 AS DOUBLE) AS s FROM orders)")
+def learning_rates(spark, sf_dir):
+    step = F.col("o_orderkey") % 1200
+    return table(spark, sf_dir, "orders").select("o_orderkey", (F.round(sampling.learning_rate(step, 3e-4, 1e-5, 100, 1000), 9) + F.lit(0.0)).alias("rate"))
 
 
 @query(f"WITH {ITEMS} SELECT protocol, field, CAST(2*(k-1) + protocol AS BIGINT) AS place FROM (SELECT field, section_id % 2 AS protocol, row_number() OVER (PARTITION BY section_id % 2 ORDER BY field) AS k FROM items) WHERE k <= 500")
@@ -84,13 +115,14 @@ def variable_genes(spark, sf_dir):
     return sampling.variable_genes(native, markers, 8).select("gene_id", "marker", r6("score").alias("score"))
 
 
-RUNS = "runs AS (SELECT o_custkey % 5 AS run, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS epoch, CAST(o_totalprice AS DOUBLE) AS hd16, CAST(o_orderkey % 101 AS DOUBLE) AS spot55 FROM orders)"
+#: A run a customer: a handful of validations each, however many orders there are.
+RUNS = "runs AS (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS epoch, CAST(o_totalprice AS DOUBLE) AS hd16, CAST(o_orderkey % 101 AS DOUBLE) AS spot55 FROM orders)"
 
 
 def _runs(spark, sf_dir):
     from pyspark.sql import Window
 
-    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("run"), "o_orderkey", F.col("o_totalprice").cast("double").alias("hd16"), (F.col("o_orderkey") % 101).cast("double").alias("spot55"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), "o_orderkey", F.col("o_totalprice").cast("double").alias("hd16"), (F.col("o_orderkey") % 101).cast("double").alias("spot55"))
     return o.withColumn("epoch", F.row_number().over(Window.partitionBy("run").orderBy("o_orderkey")).cast("long")).drop("o_orderkey")
 
 
@@ -99,19 +131,25 @@ def running_best(spark, sf_dir):
     return sampling.running_best(_runs(spark, sf_dir), "hd16").select("run", "epoch", "hd16")
 
 
-@query(
-    f"""WITH RECURSIVE {RUNS}, f AS (
+def stopping_sql(runs: str) -> str:
+    """Early stopping over runs (run, epoch from 1, hd16, spot55): bounds 20000 and 0, gains 5000 and 10, patience 3, not before 4."""
+    return f"""WITH RECURSIVE {runs}, f AS (
       SELECT run, epoch, epoch AS best_epoch, 0 AS stale, CAST(-1 AS BIGINT) AS stopped, hd16 AS bh, spot55 AS bs, hd16 AS fh, spot55 AS fs FROM runs WHERE epoch = 1
       UNION ALL
-      SELECT run, epoch, CASE WHEN ok THEN epoch ELSE best_epoch END, st, CASE WHEN stopped < 0 AND st >= 30 AND epoch >= 20 THEN epoch ELSE stopped END, CASE WHEN ok THEN hd16 ELSE bh END, CASE WHEN ok THEN spot55 ELSE bs END, fh, fs
+      SELECT run, epoch, CASE WHEN ok THEN epoch ELSE best_epoch END, st, CASE WHEN stopped < 0 AND st >= 3 AND epoch >= 4 THEN epoch ELSE stopped END, CASE WHEN ok THEN hd16 ELSE bh END, CASE WHEN ok THEN spot55 ELSE bs END, fh, fs
       FROM (SELECT *, CASE WHEN ok THEN 0 ELSE stale + 1 END AS st FROM (
         SELECT r.run, r.epoch, r.hd16, r.spot55, f.best_epoch, f.stale, f.stopped, f.bh, f.bs, f.fh, f.fs,
-          f.stopped < 0 AND r.hd16 - least(bh, fh) < 20000 AND r.spot55 - least(bs, fs) <= 0 AND (r.hd16 < bh OR r.spot55 < bs) AS ok
+          f.stopped < 0 AND r.hd16 - least(bh, fh) < 20000 AND r.spot55 - least(bs, fs) <= 0 AND (bh - r.hd16 > 5000 OR bs - r.spot55 > 10) AS ok
         FROM f JOIN runs r ON r.run = f.run AND r.epoch = f.epoch + 1)))
-    SELECT run, best_epoch, stopped FROM f WHERE epoch = (SELECT max(epoch) FROM runs x WHERE x.run = f.run)"""
-)
+    SELECT run, best_epoch, stopped FROM f JOIN (SELECT run, max(epoch) AS epoch FROM runs GROUP BY 1) USING (run, epoch)"""
+
+
+POLICY = {"bounds": {"hd16": 20000.0, "spot55": 0.0}, "patience": 3, "minimum": 4, "gains": {"hd16": 5000.0, "spot55": 10.0}}
+
+
+@query(stopping_sql(RUNS))
 def early_stopping(spark, sf_dir):
-    return sampling.early_stopping(_runs(spark, sf_dir), ["hd16", "spot55"], {"hd16": 20000.0, "spot55": 0.0}, 30, 20)
+    return sampling.early_stopping(_runs(spark, sf_dir), ["hd16", "spot55"], **POLICY)
 
 
 FIELDS = "fields AS (SELECT DISTINCT l_suppkey % 4 AS section_id, CAST((l_orderkey % 40) * 32 AS BIGINT) AS y0, CAST((l_partkey % 40) * 32 AS BIGINT) AS x0 FROM lineitem)"

@@ -21,7 +21,7 @@ def csc_matrix(spark, sf_dir):
     size = e.groupBy("col").agg(F.count("*").alias("n"))
     before = Window.orderBy("col").rowsBetween(Window.unboundedPreceding, -1)  # 61 columns
     start = size.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    indptr = start.select("col", "start").unionByName(start.agg(F.lit(10**6).cast("long").alias("col"), F.sum("n").alias("start")))
+    indptr = start.select("col", "start").unionByName(start.agg((F.max("col") + 1).alias("col"), F.sum("n").alias("start")))
     data = e.join(F.broadcast(start), "col").withColumn("k", F.col("start") + F.row_number().over(Window.partitionBy("col").orderBy("row")) - 1)
     return tables.csc_matrix(data.select("k", "row", "value"), indptr)
 

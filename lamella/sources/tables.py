@@ -48,14 +48,15 @@ def measurable(features: DataFrame, probes_only: bool) -> DataFrame:
 
 
 def csc_matrix(data: DataFrame, indptr: DataFrame) -> DataFrame:
-    """Compressed columns to (row, col, value): ``data`` (k, row, value) by position, ``indptr`` (col, start) with one last end.
+    """Compressed columns to (row, col, value): ``data`` (k, row, value) by position, ``indptr`` (col, start), columns from 0 without gaps, with one last end.
 
     A column's entries are the positions from its start to the next one. Starts are joined as ranges of blocks of 4,096
     positions, so that a column of any length spreads over tasks.
     """
     size = 4096.0
-    ends = indptr.withColumn("stop", F.lead("start").over(Window.orderBy("col")))  # one row a column, as small as the column list
-    spans = ends.where("stop > start").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("stop") - 1) / size))))
+    # A column ends where the next one starts; columns are numbered without gaps, so that they meet by an equi-join.
+    following = indptr.select((F.col("col") - 1).alias("col"), F.col("start").alias("stop"))
+    spans = indptr.join(following, "col").where("stop > start").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("stop") - 1) / size))))
     return data.withColumn("block", F.floor(F.col("k") / size)).join(spans, "block").where("k >= start AND k < stop").select("row", "col", "value")
 
 

@@ -35,7 +35,7 @@ def test_gene_scores(spark):
     rows = [(g, float(p[i][g]), float(y[i][g]), i // 2) for i in range(4) for g in range(3)]
     m = frame(spark, rows, "gene long, p double, y double, block long").groupBy("gene", "block").agg(*metrics.moments())
     s = {r.gene: r for r in metrics.gene_scores(metrics.merge_moments(m, "gene"), "gene").collect()}
-    assert s[2].pcc is None and s[2].nrmse == 0 and s[0].mae == 1 and abs(s[1].pcc - 1) < 1e-12 and abs(s[0].nrmse - 1 / 8) < 1e-12
+    assert s[2].pcc is None and s[2].nrmse == 0 and s[0].mae == 1 and abs(s[1].pcc - 1) < 1e-12 and abs(s[0].nrmse - ((1 / 64 + (2 / 7 - 3 / 8) ** 2 + 1 / 49) / 4) ** 0.5) < 1e-12
 
 
 def test_counterexample_of_the_grid_residual(spark):
@@ -113,10 +113,24 @@ def test_streams_equal_batches(spark, tmp_path):
         runs.where(f"epoch > {i * 10} AND epoch <= {i * 10 + 10}").coalesce(1).write.mode("append").parquet(str(tmp_path / "runs"))
     batch = {tuple(r) for r in sampling.early_stopping(runs, ["loss"], {"loss": 50.0}, 5, 8).collect()}
     whole = accumulate.streamed(spark, str(tmp_path / "runs"), runs.schema, files=100)
-    out = accumulate.drained(accumulate.early_stopping(whole, 50.0, 5, 8), "stopped_runs", "update")
-    assert {tuple(r) for r in out.collect()} == batch
+    out = accumulate.drained(accumulate.early_stopping(whole, ["loss"], {"loss": 50.0}, 5, 8), "update")
+    assert {tuple(r) for r in out.drop("trigger").collect()} == batch
     pairs = runs.select("run", F.col("loss").alias("p"), (F.col("loss") * 2 + F.col("epoch") % 3).alias("y"))
     want = {r.run: r.pcc for r in metrics.gene_scores(pairs.groupBy("run").agg(*metrics.moments()), "run").collect()}
     stream = accumulate.streamed(spark, str(tmp_path / "runs"), runs.schema).select("run", F.col("loss").alias("p"), (F.col("loss") * 2 + F.col("epoch") % 3).alias("y"))
-    got = {r.run: r.pcc for r in accumulate.drained(accumulate.gene_scores(stream, "run"), "run_scores", "complete").collect()}
+    got = {r.run: r.pcc for r in accumulate.drained(accumulate.gene_scores(stream, "run"), "complete").collect()}
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_stopping_asks_for_a_gain_of_one_task(spark):
+    runs = frame(spark, [(1, 1, 10.0), (1, 2, 9.5), (1, 3, 8.0), (1, 4, 7.5)], "run long, epoch long, loss double")
+    stop = lambda gain: sampling.early_stopping(runs, ["loss"], {"loss": 5.0}, 9, 0, {"loss": gain}).first()["best_epoch"]
+    assert (stop(0.0), stop(1.0), stop(3.0)) == (4, 3, 1)
+
+
+def test_an_uncovered_cell_fails(spark):
+    cells = frame(spark, [(0, 5, 5), (0, 500, 500)], "section_id long, qy long, qx long")
+    fields = frame(spark, [(0, -16, -16, 1)], "section_id long, y0 long, x0 long, field_id long")
+    assert geometry.covering_fields(cells.where("qy = 5"), fields).first()["weight"] == 1.0
+    with pytest.raises(Exception, match="no field covers"):
+        geometry.covering_fields(cells, fields).collect()
