@@ -89,6 +89,29 @@ def core_tiles(parents: DataFrame, core_um: int = 192, fov_um: int = 256) -> Dat
     return out.withColumn("slot", (F.floor(slot("py", "y0")) * side + F.floor(slot("px", "x0"))).cast("long"))
 
 
+def nearest_tiles(parents: DataFrame, rows: int, cols: int) -> DataFrame:
+    """16 um parents with the field (y0, x0) at a stride of 96 pixels whose centre is nearest on each axis, the last one at the
+    edge; ties take the first, parents that their field does not hold go."""
+    out = parents
+    for p, o, n in (("py", "y0", rows), ("px", "x0", cols)):
+        last = (n - 128) // 8 * 8
+        axis = sorted({*range(0, last + 1, 96), last})
+        ranked = F.array(*[F.struct(F.abs(F.col(p) * 8 + 4 - (a + 64)).alias("d"), F.lit(a).cast("long").alias("a")) for a in axis])
+        out = out.withColumn(o, F.array_min(ranked)["a"]).where((F.col(p) * 8 >= F.col(o)) & (F.col(p) * 8 + 8 <= F.col(o) + 128))
+    return out
+
+
+def single_cores(cells: DataFrame, rows: int, cols: int, core_um: int = 192, margin_um: int = 32) -> DataFrame:
+    """8 um cells with the one field whose core holds them: clipped to the capture at 192/32 um, padded beyond it at 144/56."""
+    if (core_um, margin_um) not in ((192, 32), (144, 56)):
+        raise ValueError("cores are 192/32 or 144/56 um")
+    n, out = core_um // 8, cells
+    for q, o, extent in (("qy", "y0", rows), ("qx", "x0", cols)):
+        at = down(q, n) * n * 4 - margin_um // 2
+        out = out.withColumn(o, F.greatest(F.lit(0), F.least(F.lit((extent - 128) // 4 * 4), at)).cast("long") if core_um == 192 else at.cast("long"))
+    return out.withColumn("ly", F.col("qy") - F.floor(F.col("y0") / 4.0).cast("long")).withColumn("lx", F.col("qx") - F.floor(F.col("x0") / 4.0).cast("long"))
+
+
 def field_ids(tiled: DataFrame) -> DataFrame:
     """Distinct fields of each section, numbered from 0 by (y0, x0)."""
     w = Window.partitionBy("section_id").orderBy("y0", "x0")
