@@ -143,7 +143,9 @@ def covering_fields(cells: DataFrame, fields: DataFrame, core_um: int = 192, fov
     known = fields.withColumn("_field", F.lit(True))
     out = out.join(known, ["section_id", "y0", "x0"], "left")
     met = F.max("_field").over(Window.partitionBy("section_id", "qy", "qx"))
-    out = out.withColumn("qy", F.when(met, F.col("qy")).otherwise(F.raise_error(F.lit("no field covers a cell")).cast("long"))).where("_field").drop("_field")
+    # The check is part of the filter, which would otherwise drop an uncovered cell before it is looked at.
+    kept = F.when(F.col("_field"), True).when(F.col("_met"), False).otherwise(F.raise_error(F.lit("no field covers a cell")).cast("boolean"))
+    out = out.withColumn("_met", met).where(kept).drop("_field", "_met")
     n = F.count("*").over(Window.partitionBy("section_id", "qy", "qx"))
     return out.withColumn("weight", 1.0 / n)
 

@@ -58,9 +58,11 @@ def gap_sources(missing: DataFrame, direct: DataFrame, tissue: DataFrame, k: int
     # Of the k nearest only those within the radius matter, and the k nearest within it are the nearest of them.
     source = source.select("section_id", F.struct("qy", "qx").alias("other"), center("qy").alias("oy"), center("qx").alias("ox"))
     found = nearest(at, source, k, radius, ["qy", "qx"]).select("section_id", "qy", "qx", F.col("other.qy").alias("sy"), F.col("other.qx").alias("sx"), "d2")
-    for f in (0.25, 0.5, 0.75):
-        step = lambda a, b, f=f: F.rint(F.col(a) + (F.col(b) - F.col(a)) * f).cast("long")
-        found = found.withColumn("_py", step("qy", "sy")).withColumn("_px", step("qx", "sx"))
-        found = found.join(tissue.select("section_id", F.col("qy").alias("_py"), F.col("qx").alias("_px")), ["section_id", "_py", "_px"], "left_semi").drop("_py", "_px")
+    # The three points of a path meet the tissue in one join; a path stays if all three are met.
+    point = lambda a, b, f: F.rint(F.col(a) + (F.col(b) - F.col(a)) * f).cast("long")
+    path = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), point("qy", "sy", f).alias("y"), point("qx", "sx", f).alias("x")) for i, f in enumerate((0.25, 0.5, 0.75))]))
+    at = found.withColumn("p", path).select("*", F.col("p.y").alias("_py"), F.col("p.x").alias("_px"))
+    met = at.join(tissue.select("section_id", F.col("qy").alias("_py"), F.col("qx").alias("_px")), ["section_id", "_py", "_px"], "left_semi")
+    found = met.groupBy("section_id", "qy", "qx", "sy", "sx", "d2").agg(F.count("*").alias("n")).where("n = 3").drop("n")
     w = 1.0 / F.greatest(F.col("d2"), F.lit(1.0))
     return found.withColumn("w", w).withColumn("weight", F.col("w") / F.sum("w").over(Window.partitionBy("section_id", "qy", "qx"))).drop("w")

@@ -96,7 +96,16 @@ def owner_rule_faults(spark, sf_dir):
 SPLIT = "split AS (SELECT section_id, y, x, parent_id FROM owners WHERE (2*y+1 - 56) % 100 <> 5 OR section_id % 2 = 0)"
 
 
-@query()
+@query(
+    OWNED.replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + ",\n"
+    + SPLIT
+    + """, g AS (SELECT *, x - row_number() OVER (PARTITION BY section_id, parent_id, y ORDER BY x) AS g FROM split),
+    runs AS (SELECT section_id, parent_id, y, min(x) AS a, max(x) AS b FROM g GROUP BY section_id, parent_id, y, g),
+    e AS (SELECT p.section_id, p.parent_id, p.y AS y1, p.a AS a1, q.y AS y2, q.a AS a2 FROM runs p JOIN runs q ON p.section_id = q.section_id AND p.parent_id = q.parent_id AND abs(p.y - q.y) = 1 AND p.a <= q.b AND q.a <= p.b),
+    r AS (SELECT section_id, parent_id, y, a, y*1000 + a AS l FROM runs UNION SELECT e.section_id, e.parent_id, e.y2, e.a2, r.l FROM r JOIN e ON e.section_id = r.section_id AND e.parent_id = r.parent_id AND e.y1 = r.y AND e.a1 = r.a),
+    c AS (SELECT section_id, parent_id, y, a, min(l) AS l FROM r GROUP BY 1,2,3,4) SELECT section_id, parent_id, count(DISTINCT l) AS parts FROM c GROUP BY 1,2"""
+)
 def connected_parts(spark, sf_dir):
     """Parents of odd sections lose a row of pixels and fall into two parts."""
     cut = owners(spark, sf_dir).where("(2 * y + 1 - 56) % 100 <> 5 OR section_id % 2 = 0")
@@ -274,7 +283,14 @@ def gap_sources(spark, sf_dir):
     return neighbors.gap_sources(missing, direct, tissue).select("section_id", "qy", "qx", "sy", "sx", r6("weight").alias("weight"))
 
 
-@query()
+@query(
+    WEIGHTED
+    + """, u AS (SELECT section_id, parent_id, qy, qx, gene_id, area_px*exp(sin(qy + qx + gene_id)) AS weight FROM seg, genes WHERE parent_id >= 0),
+    um AS (SELECT u.section_id, u.parent_id, u.gene_id, CASE WHEN coalesce(c.umi, 0) > 0 THEN weight*c.umi/sum(weight) OVER (PARTITION BY u.section_id, u.parent_id, u.gene_id) ELSE 0 END AS mass, coalesce(c.umi, 0) AS umi
+      FROM u LEFT JOIN cnt c ON c.section_id = u.section_id AND c.parent_id = u.parent_id AND c.gene_id = u.gene_id),
+    us AS (SELECT section_id, parent_id, gene_id, sum(mass) AS m, any_value(umi) AS umi FROM um GROUP BY 1,2,3)
+    SELECT section_id, count(*) AS n, bool_and(abs(m - umi)/(1 + umi) <= 5e-6) AS conserved FROM us GROUP BY 1"""
+)
 def user_scored_allocation(spark, sf_dir):
     """A user's model scores segments in pandas, field by field; the allocation conserves whatever it says."""
     import numpy as np
