@@ -1,18 +1,23 @@
-"""Benchmark decontamination by winnowing."""
+"""Benchmark decontamination by winnowing: fingerprints of both sides meet in a join and are extended there."""
 
 from __future__ import annotations
 
-from hashlib import sha256
-
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.graph import bounded_batches
+from lamella.llm.graph import bounded_batches, cut
 from lamella.llm.tokens import WordHasher, case_fold, grams, separators, sliding, text_batches
 
-#: A benchmark of more text than this is searched in several passes, each with an index of about this size.
-INDEX_BYTES = 48_000_000
+#: Most bits of the filter that spares documents' fingerprints the join; a full filter only lets more of them through.
+FILTER_BITS = 1 << 27
+#: Hashes of contaminated texts are broadcast up to this number (16 bytes each), beyond it they are joined by shuffle.
+BROADCAST_TEXTS = 500_000
+
+#: Positions whose words around are laid out at once.
+BLOCK = 100_000
+
+_FOUND = "array<struct<n: long, value: long, around: array<long>, at: array<long>>>"
 
 
 def _hasher() -> WordHasher:
@@ -37,186 +42,152 @@ def winnowed(h: np.ndarray, ends: np.ndarray, window: int, k: int) -> tuple[np.n
     return at, g[at]
 
 
-class Index:
-    """Fingerprints of benchmark items: winnowed grams of long items, whole sequences of items shorter than a window."""
+def fingerprints(h, offsets, window: int, k: int, sizes, passes=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (text, n, value, words around) by text, how often each occurs, and its positions in its text, row by row.
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int, k: int):
-        import pyarrow as pa
+    Equal rows are one within ``BLOCK`` positions, so that a text of one repeated word stays small.
 
-        self.window, self.k = window, k
-        self.ids = sorted({i for i, _ in items})
-        number = {i: n for n, i in enumerate(self.ids)}
-        hasher = _hasher()
-        words, offsets, n = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
-        for _, buf, bounds in text_batches(pa.array([t for _, t in items], pa.string())):
-            _, _, h, at = hasher(buf, bounds)
-            words.append(h)
-            offsets.append(at[1:] + n)
-            n += len(h)
-        self.words, self.offsets = np.concatenate(words), np.concatenate(offsets)
-        self.number = np.array([number[i] for i, _ in items], np.int64)
-        size = np.diff(self.offsets)
-        owner = np.repeat(np.arange(len(size)), size)
-        at, value = winnowed(self.words, np.repeat(self.offsets[1:], size), window, k)
-        order = np.argsort(value, kind="stable")
-        self.value, self.at = value[order], at[order]
-        self.row = owner[self.at]
-        self.short = {}
-        for n in range(1, window):
-            rows = np.flatnonzero(size == n)
-            if len(rows):
-                value = grams(self.words, n, 5)[self.offsets[rows]]
-                order = np.argsort(value, kind="stable")
-                self.short[n] = (value[order], self.number[rows[order]])
-
-
-def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of ranges: the number of the range, and every integer in it."""
-    n = hi - lo
-    which = np.repeat(np.arange(len(lo)), n)
-    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
-
-
-def scan(index: Index, h: np.ndarray, offsets: np.ndarray, step: int = 2_000_000):
-    """Hit mask of the words, and unique (text, item number) pairs, of texts given as word hashes and offsets."""
-    mark = np.zeros(len(h) + 1, np.int32)
-    pairs = [np.zeros((0, 2), np.int64)]
+    n = 0: a winnowed gram; around it stand window-k words on either side, nearest first, 0 beyond the text. A window
+    shared by two texts holds a gram that both select, and lies within the words around it: nothing else is needed to
+    extend the hit over that window. n > 0: a run of n words, for n in ``sizes``, with these words themselves; where
+    ``passes`` is None, only whole texts of n words. ``passes``: predicate over values.
+    """
     size = np.diff(offsets)
     owner = np.repeat(np.arange(len(size)), size)
-    ends = np.repeat(offsets[1:], size)
-    at, value = winnowed(h, ends, index.window, index.k)
-    lo, hi = np.searchsorted(index.value, value, "left"), np.searchsorted(index.value, value, "right")
-    some = np.flatnonzero(hi > lo)
-    for part in _parts(some, (hi - lo)[some], step):
-        which, entry = _spread(lo[part], hi[part])
-        place = at[part][which]
-        diagonal = np.unique(np.stack([owner[place], index.row[entry], place - index.at[entry] + index.offsets[index.row[entry]]]), axis=1)
-        text, row, start = diagonal  # start: word of the text (may lie before it) that meets the item's first word
-        for chunk in _parts(np.arange(len(text)), np.diff(index.offsets)[row], step):
-            t, r, s = text[chunk], row[chunk], start[chunk]
-            first, last = np.maximum(s, offsets[t]), np.minimum(s + np.diff(index.offsets)[r], offsets[t + 1])
-            n, pos = _spread(first, last)
-            same = h[pos] == index.words[pos - s[n] + index.offsets[r[n]]]
-            head, tail = same.copy(), same.copy()
-            head[1:] &= ~(same[:-1] & (n[1:] == n[:-1]))
-            tail[:-1] &= ~(same[1:] & (n[1:] == n[:-1]))
-            a, b = np.flatnonzero(head), np.flatnonzero(tail) + 1
-            long = b - a >= index.window
-            a, b = a[long], b[long]
-            np.add.at(mark, pos[a], 1)
-            np.add.at(mark, pos[b - 1] + 1, -1)
-            pairs.append(np.stack([t[n[a]], index.number[r[n[a]]]], 1))
-    for n, (values, numbers) in index.short.items():
-        g = grams(h, n, 5)
-        inside = np.arange(len(g)) + n <= ends[: len(g)]
-        lo, hi = np.searchsorted(values, g, "left"), np.searchsorted(values, g, "right")
-        hit = np.flatnonzero((hi > lo) & inside)
-        np.add.at(mark, hit, 1)
-        np.add.at(mark, hit + n, -1)
-        for part in _parts(hit, (hi - lo)[hit], step):
-            which, entry = _spread(lo[part], hi[part])
-            pairs.append(np.unique(np.stack([owner[part[which]], numbers[entry]], 1), axis=0))
-    return np.cumsum(mark[:-1]) > 0, np.unique(np.concatenate(pairs), axis=0)
-
-
-def _parts(items: np.ndarray, cost: np.ndarray, step: int):
-    """Runs of ``items`` of at most ``step`` total cost (one item at least)."""
-    if len(items):
-        group = np.cumsum(cost) // step
-        yield from np.split(items, np.flatnonzero(np.diff(group)) + 1)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, items (array of item ids as strings, sorted).
+    first, ends = np.repeat(offsets[:-1], size), np.repeat(offsets[1:], size)
+    side, width = window - k, max(2 * (window - k), window - 1)
+    grow = np.concatenate([-1 - np.arange(side), k + np.arange(side)])
+    rows, counts, places = [np.zeros((0, 3 + width), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in [0, *sizes]:
+        if n == 0:
+            at, value = winnowed(h, ends, window, k)
+        else:
+            g = grams(h, n, 5)
+            at = offsets[:-1][size == n] if passes is None else np.flatnonzero(np.arange(len(g)) + n <= ends[: len(g)])
+            value = g[at]
+        if passes is not None:
+            some = passes(value)
+            at, value = at[some], value[some]
+        for s in range(0, len(at), BLOCK):
+            a, v = at[s : s + BLOCK], value[s : s + BLOCK]
+            m = np.zeros((len(a), 3 + width), np.int64)
+            m[:, 0], m[:, 1], m[:, 2] = owner[a], n, v.view(np.int64)
+            near = a[:, None] + (grow if n == 0 else np.arange(n))
+            inside = (near >= first[a][:, None]) & (near < ends[a][:, None])
+            m[:, 3 : 3 + near.shape[1]] = np.where(inside, h[np.clip(near, 0, len(h) - 1)].view(np.int64), 0)
+            row, which, count = np.unique(m, axis=0, return_inverse=True, return_counts=True)
+            rows.append(row)
+            counts.append(count)
+            places.append((a - first[a])[np.argsort(which.ravel(), kind="stable")])
+    row, count, place = np.concatenate(rows), np.concatenate(counts), np.concatenate(places)
+    order = np.argsort(row[:, 0], kind="stable")
+    start = np.cumsum(count) - count
+    row, count, start = row[order], count[order], start[order]
+    return row, count, place[np.repeat(start - np.cumsum(count) + count, count) + np.arange(len(place))]
+
+
+def _printer(window: int, k: int, sizes, bits=None):
+    """Arrow task: the columns before the text, the text's number of words, and its fingerprints."""
 
-    A word is hit if it lies inside an occurrence of ``window`` consecutive words of one item, or of a whole item of
-    fewer words. Null texts have no words; items of null id or without words match nothing; repeated items count once.
-    The index is sent to every task; a benchmark beyond ``index_bytes`` is searched in passes whose hits are merged.
-    """
-    docs = bounded_batches(docs.select("doc_id", "text"))
-    shared = _indexes(benchmark, window, k, index_bytes)
-    found = [docs.mapInArrow(_scanner(index, whole=len(shared) == 1), _SCHEMA) for index in shared]
-    if len(found) == 1:
-        return found[0].select("doc_id", "n_words", "n_hit", "items")
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
-    merged = hits.where("n_hit > 0").groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), _covered(F.collect_list("ranges")).alias("n_hit"))
-    return found[0].select("doc_id", "key", "n_words").join(merged, "key", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-
-
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no word is hit; see ``contamination``."""
-    at = docs.columns.index("text")
-
-    def clean(index):
-        def run(batches):
-            import pyarrow as pa
-
-            hasher = _hasher()
-            for b in batches:
-                keep = []
-                for _, buf, bounds in text_batches(b.column(at)):
-                    _, _, h, offsets = hasher(buf, bounds)
-                    hits = np.concatenate([[0], np.cumsum(scan(index.value, h, offsets)[0])])
-                    keep.append(np.diff(hits[offsets]) == 0)
-                if keep:
-                    yield b.filter(pa.array(np.concatenate(keep)))
-
-        return run
-
-    for index in _indexes(benchmark, window, k, index_bytes):
-        docs = bounded_batches(docs).mapInArrow(clean(index), docs.schema)
-    return docs
-
-
-def _indexes(benchmark: DataFrame, window: int, k: int, index_bytes: int) -> list:
-    """Broadcast indexes of the benchmark's items: one, or several of about ``index_bytes`` of text each."""
-    bench = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
-    total = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 40), F.lit(0))).first()[0]
-    passes = max(1, -(-total // index_bytes))
-    out = []
-    for p in range(passes):
-        part = bench if passes == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
-        out.append(bench.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], window, k)))
-    return out
+    def run(batches):
+        import pyarrow as pa
 
+        hasher = _hasher()
+        if bits is None:
+            passes = None
+        else:
+            table = bits.value
+            low, six = np.uint64(64 * len(table) - 1), np.uint64(6)
+            passes = lambda v: (table[(v & low) >> six] >> (v & np.uint64(63))) & np.uint64(1) > 0
+        for b in batches:
+            for start, buf, bounds in text_batches(b.column(b.num_columns - 1)):
+                _, _, h, offsets = hasher(buf, bounds)
+                n = len(offsets) - 1
+                row, count, place = fingerprints(h, offsets, window, k, sizes, passes)
+                width = row.shape[1] - 3
+                lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+                around = lists(np.arange(len(row) + 1) * width, pa.array(row[:, 3:].ravel()))
+                at = lists(np.concatenate([[0], np.cumsum(count)]), pa.array(place))
+                found = pa.StructArray.from_arrays([pa.array(row[:, 1]), pa.array(row[:, 2]), around, at], ["n", "value", "around", "at"])
+                found = lists(np.searchsorted(row[:, 0], np.arange(n + 1)), found)
+                before = [b.column(i).slice(start, n) for i in range(b.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*before, pa.array(np.diff(offsets)), found], names=[*b.schema.names[:-1], "n_words", "found"])
 
-_SCHEMA = "doc_id long, key binary, n_words long, n_hit long, items array<string>, ranges array<long>"
+    return run
 
 
-def _covered(lists):
-    """Number of integers in a list of arrays of alternating starts and ends."""
-    flat = F.flatten(lists)
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), (F.size(flat) / 2 - 1).cast("int")), lambda i: F.struct(F.get(flat, 2 * i).alias("a"), F.get(flat, 2 * i + 1).alias("b"))))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
-    step = lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(s["end"], r["a"]))).alias("n"), F.greatest(s["end"], r["b"]).alias("end"))
-    return F.aggregate(pairs, start, step)["n"]
+def _benchmark(benchmark: DataFrame, window: int, k: int) -> DataFrame:
+    """(item_id, n, value, around) of all items, each once."""
+    items = bounded_batches(benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text"))
+    found = items.mapInArrow(_printer(window, k, range(1, window)), f"item_id string, n_words long, found {_FOUND}")
+    return cut(found.select("item_id", F.inline("found")).select("item_id", "n", "value", "around").distinct())
+
+
+def _prints(texts: DataFrame, keys: str, marks: DataFrame, window: int, k: int, most_bits: int) -> DataFrame:
+    """``texts`` (keys and text) with n_words and those fingerprints that may be among ``marks``."""
+    sizes = sorted(r.n for r in marks.where("n > 0").select("n").distinct().collect())
+    count = marks.select("value").distinct().count()
+    bits = min(most_bits, 1 << max(6, (16 * count).bit_length()))
+    place = F.col("value").bitwiseAND(bits - 1)
+    filled = marks.select(F.shiftright(place, 6).alias("slot"), F.expr("shiftleft(1L, cast(value & 63 AS int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bit")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[filled["slot"].to_numpy()] = filled["bit"].to_numpy().view(np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+    return bounded_batches(texts).mapInArrow(_printer(window, k, sizes, shared), f"{keys}, n_words long, found {_FOUND}")
+
+
+def _reach(start: int, side: int) -> Column:
+    """How many of ``side`` words from ``start`` on agree one after another."""
+    agree = lambda i: (F.col("c.around")[i] == F.col("b.around")[i]) & (F.col("c.around")[i] != 0)
+    out = F.lit(side)
+    for i in reversed(range(side)):
+        out = F.when(~agree(start + i), i).otherwise(out)
+    return out
 
 
-def _scanner(shared, whole: bool):
-    """``whole``: hits are final, so that keys and ranges for a merge are left out."""
+def _agree(window: int, k: int) -> Column:
+    """Same fingerprint (c: of a document, b: of an item) inside a window that agrees word by word."""
+    side = window - k
+    gram = (F.col("c.n") == 0) & (_reach(0, side) + _reach(side, side) >= side)
+    return (F.col("c.value") == F.col("b.value")) & (F.col("c.n") == F.col("b.n")) & (gram | ((F.col("c.n") > 0) & (F.col("c.around") == F.col("b.around"))))
 
-    def run(batches):
-        import pyarrow as pa
 
-        index, hasher = shared.value, _hasher()
-        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("ranges", pa.list_(pa.int64()))])
-        for b in batches:
-            for row, buf, bounds in text_batches(b.column(1)):
-                _, _, h, offsets = hasher(buf, bounds)
-                n = len(offsets) - 1
-                hit, pairs = scan(index, h, offsets)
-                total = np.concatenate([[0], np.cumsum(hit)])
-                items = [[] for _ in range(n)]
-                for t, i in pairs.tolist():
-                    items[t].append(index.ids[i])
-                ids = b.column(0).slice(row, n)
-                if whole:
-                    key, ranges = pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))
-                else:
-                    key = pa.array([sha256(f"{d}:".encode() + buf[s:e].tobytes()).digest() for d, s, e in zip(ids.to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
-                    ranges = pa.array([np.flatnonzero(np.diff(np.concatenate([[False], hit[s:e], [False]]).astype(np.int8))) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, key, pa.array(np.diff(offsets)), pa.array(np.diff(total[offsets])), pa.array([sorted(i) for i in items], pa.list_(pa.string())), ranges], schema=schema)
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, most_bits: int = FILTER_BITS) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, items (array of item ids as strings, sorted).
 
-    return run
+    A word is hit if it lies inside an occurrence of ``window`` consecutive words of one item, or of a whole item of
+    fewer words. Null texts have no words; items of null id or without words match nothing; repeated items count once.
+    Rows are told apart by a number of their own, so that repeated rows and null ids each get their result.
+    """
+    side = window - k
+    marks = _benchmark(benchmark, window, k)
+    rows = cut(_prints(docs.select("doc_id", "text"), "doc_id long", marks, window, k, most_bits).withColumn("row", F.monotonically_increasing_id()))
+    each = rows.select("row", F.posexplode("found").alias("no", "f")).select("row", "no", "f.*")
+    met = each.alias("c").join(marks.alias("b"), _agree(window, k))
+    gram = F.col("c.n") == 0
+    back, ahead = F.when(gram, _reach(0, side)).otherwise(0), F.when(gram, _reach(side, side) + k).otherwise(F.col("c.n"))
+    met = met.select("row", "no", "item_id", "at", back.alias("back"), ahead.alias("ahead"))
+    grown = met.groupBy("row", "no").agg(F.first("at").alias("at"), F.max("back").alias("back"), F.max("ahead").alias("ahead"), F.collect_set("item_id").alias("items"))
+    spans = F.transform("at", lambda p: F.struct((p - F.col("back")).alias("a"), (p + F.col("ahead")).alias("b")))
+    hits = grown.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), _covered(F.flatten(F.collect_list(spans))).alias("n_hit"))
+    out = rows.select("row", "doc_id", "n_words").join(hits, "row", "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, most_bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no word is hit; see ``contamination``. Null texts stay."""
+    marks = _benchmark(benchmark, window, k)
+    key = F.unhex(F.md5("text"))
+    found = _prints(docs.select(key.alias("key"), "text"), "key binary", marks, window, k, most_bits)
+    each = found.select("key", F.inline("found"))
+    hit = cut(each.alias("c").join(marks.select("n", "value", "around").distinct().alias("b"), _agree(window, k), "left_semi").select("key").distinct())
+    if hit.count() <= BROADCAST_TEXTS:
+        hit = F.broadcast(hit)
+    return docs.join(hit, F.unhex(F.md5(docs["text"])) == hit["key"], "left_anti")
+
+
+def _covered(spans: Column) -> Column:
+    """Number of integers in an array of ranges (a, b)."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    step = lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(s["end"], r["a"]))).alias("n"), F.greatest(s["end"], r["b"]).alias("end"))
+    return F.aggregate(F.array_sort(spans), start, step)["n"]

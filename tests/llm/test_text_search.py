@@ -47,12 +47,12 @@ def brute_hits(docs, items, window=10):
     return Counter(out)
 
 
-@pytest.mark.parametrize("index_bytes", [10**9, 3000])
-def test_contamination(spark, docs, index_bytes):
+@pytest.mark.parametrize("most_bits", [decontam.FILTER_BITS, 64])
+def test_contamination(spark, docs, most_bits):
     items = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text").collect()]
     items += [(70, "A"), (71, "one two"), (72, None), (73, ""), (None, "x"), (74, docs[-9][1]), (75, "the of the of the of the of the of the of"), (75, "é"), (76, "a b c d a b c d a b c d a b c d")]
     bench = spark.createDataFrame(items + items[:3], "item_id long, text string")
-    got = decontam.contamination(spark.createDataFrame(docs, SCHEMA), bench, index_bytes=index_bytes).collect()
+    got = decontam.contamination(spark.createDataFrame(docs, SCHEMA), bench, most_bits=most_bits).collect()
     assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got) == brute_hits(docs, items)
 
 
@@ -61,6 +61,28 @@ def test_contamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r) for r in decontam.contamination(some, none).collect()] == [(1, 2, 0, [])]
     assert decontam.contamination(some.limit(0), none).collect() == []
+    assert decontam.uncontaminated(some, none).collect() == some.collect()
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_uncontaminated_keeps_every_other_row(spark, docs, monkeypatch, broadcast):
+    """Rows without a hit stay, nulls and repeated rows among them, whatever other columns are called."""
+    monkeypatch.setattr(decontam, "BROADCAST_TEXTS", broadcast)
+    items = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text").collect()]
+    clean = {d for d, _, n, _ in brute_hits(docs, items) if not n}
+    frame = spark.createDataFrame(docs, SCHEMA).repartition(3).selectExpr("*", "1 AS key", "2 AS found", "3 AS n", "4 AS row")
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "5 AS doc_id", "6 AS value")
+    got = decontam.uncontaminated(frame, bench)
+    assert got.columns == frame.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((d, t) for d, t in docs if d in clean)
+    assert 0 < len(clean) < len({d for d, _ in docs})
+
+
+def test_contamination_with_clashing_columns(spark, docs):
+    frame = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "1 AS row", "2 AS no", "3 AS item_id", "4 AS items")
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string").selectExpr("*", "5 AS doc_id", "6 AS value")
+    got = decontam.contamination(frame, bench).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got) == brute_hits(docs, [(1, "one two")])
 
 
 @pytest.mark.parametrize("window", [35, 9])
