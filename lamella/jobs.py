@@ -64,6 +64,14 @@ def filled(direct: DataFrame, sources: DataFrame) -> DataFrame:
     return direct.select("section_id", "qy", "qx", "gene_id", "value", F.lit(1).alias("source")).unionByName(made.withColumn("source", F.lit(2)))
 
 
+def source_labels(tissue: DataFrame, direct: DataFrame, sources: DataFrame) -> DataFrame:
+    """Every tissue cell with its source: 1 has a direct value, 2 takes it from ``sources``, 0 has neither."""
+    at = ["section_id", "qy", "qx"]
+    made = sources.select(*at, F.lit(2).alias("source"))
+    marks = direct.select(*at, F.lit(1).alias("source")).unionByName(made).groupBy(*at).agg(F.min("source").alias("source"))
+    return tissue.select(*at).join(marks, at, "left").select(*at, F.coalesce("source", F.lit(0)).alias("source"))
+
+
 def user_fields(blocks: DataFrame, side: int = 256, fov: int = 128) -> DataFrame:
     """Four fields of each listed block (section_id, by, bx, monitor), held out where they overlap a monitor block."""
     step = F.explode(F.array(F.lit(0), F.lit(fov)))

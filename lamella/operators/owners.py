@@ -31,6 +31,16 @@ def parent_geometry(owners: DataFrame) -> DataFrame:
     return out.withColumn("compactness", 4 * math.pi * F.col("area") / (F.col("perimeter") * F.col("perimeter"))).withColumn("fill", F.col("area") / (F.col("height") * F.col("width")))
 
 
+def parent_features(geometry: DataFrame, rows: int, columns: int) -> DataFrame:
+    """Seven features of each parent of a field: centre from -1 to 1, logs of area, height and width, compactness and fill.
+
+    ``geometry``: what ``parent_geometry`` gives, in pixels of a field of ``rows`` by ``columns``.
+    """
+    at = lambda c, n: (2 * (F.col(c) + 0.5) - n) / n
+    logs = [F.log(c).alias(f"log_{c}") for c in ("area", "height", "width")]
+    return geometry.select("section_id", "parent_id", at("cy", rows).alias("at_y"), at("cx", columns).alias("at_x"), *logs, "compactness", "fill")
+
+
 def segments(owners: DataFrame, valid: DataFrame) -> DataFrame:
     """Pixels of each (owner, 8 um cell) intersection; parent_id -1 is the gap. ``valid``: (section_id, y, x)."""
     placed = valid.join(owners, ["section_id", "y", "x"], "left")

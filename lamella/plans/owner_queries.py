@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lamella import jobs
 from lamella.operators import allocate, counts, geometry, metrics, neighbors
 from lamella.operators import owners as own
 from lamella.plans.count_queries import F4, N, OWNED, SUM
@@ -32,18 +33,30 @@ def _counts(spark, sf_dir):
     return counts.owned(native_counts(spark, sf_dir), owners(spark, sf_dir))
 
 
-@query(
-    OWNED
-    + """, e AS (SELECT o.section_id, o.parent_id, count(*) AS perimeter FROM owners o, (SELECT unnest([-1,1,0,0]) AS a, unnest([0,0,-1,1]) AS b) s
+GEOMETRY = OWNED + """, e AS (SELECT o.section_id, o.parent_id, count(*) AS perimeter FROM owners o, (SELECT unnest([-1,1,0,0]) AS a, unnest([0,0,-1,1]) AS b) s
            WHERE NOT EXISTS (SELECT 1 FROM owners n WHERE n.section_id = o.section_id AND n.y = o.y + s.a AND n.x = o.x + s.b AND n.parent_id = o.parent_id) GROUP BY 1,2),
-         b AS (SELECT section_id, parent_id, count(*) AS area, avg(y) AS cy, avg(x) AS cx, max(y)-min(y)+1 AS height, max(x)-min(x)+1 AS width FROM owners GROUP BY 1,2)
-         SELECT section_id, parent_id, area, round(cy, 6) + 0.0 AS cy, round(cx, 6) + 0.0 AS cx, height, width, perimeter, round(4*pi()*area/(perimeter*perimeter), 6) + 0.0 AS compactness, round(area/(height*width), 6) + 0.0 AS fill FROM b JOIN e USING (section_id, parent_id)"""
+         b AS (SELECT section_id, parent_id, count(*) AS area, avg(y) AS cy, avg(x) AS cx, max(y)-min(y)+1 AS height, max(x)-min(x)+1 AS width FROM owners GROUP BY 1,2)"""
+
+
+@query(
+    GEOMETRY
+    + """ SELECT section_id, parent_id, area, round(cy, 6) + 0.0 AS cy, round(cx, 6) + 0.0 AS cx, height, width, perimeter, round(4*pi()*area/(perimeter*perimeter), 6) + 0.0 AS compactness, round(area/(height*width), 6) + 0.0 AS fill FROM b JOIN e USING (section_id, parent_id)"""
 )
 def parent_geometry(spark, sf_dir):
     g = own.parent_geometry(owners(spark, sf_dir))
     return g.select("section_id", "parent_id", "area", r6("cy").alias("cy"), r6("cx").alias("cx"), "height", "width", "perimeter", r6("compactness").alias("compactness"), r6("fill").alias("fill"))
 
 
+@query(
+    GEOMETRY
+    + f""" SELECT section_id, parent_id, round(((cy + 0.5)*2 - {GRID})/{GRID}, 6) + 0.0 AS at_y, round(((cx + 0.5)*2 - {GRID})/{GRID}, 6) + 0.0 AS at_x, round(ln(area), 6) + 0.0 AS log_area,
+         round(ln(height), 6) + 0.0 AS log_height, round(ln(width), 6) + 0.0 AS log_width, round(4*pi()*area/(perimeter*perimeter), 6) + 0.0 AS compactness, round(area/(height*width), 6) + 0.0 AS fill FROM b JOIN e USING (section_id, parent_id)"""
+)
+def parent_features(spark, sf_dir):
+    f = own.parent_features(own.parent_geometry(owners(spark, sf_dir)), GRID, GRID)
+    return f.select("section_id", "parent_id", *[r6(c).alias(c) for c in f.columns[2:]])
+
+
 @query(O + "SELECT section_id, parent_id, qy, qx, area_px FROM seg")
 def segment_layout(spark, sf_dir):
     return _segments(spark, sf_dir).select("section_id", "parent_id", "qy", "qx", "area_px")
@@ -274,13 +287,17 @@ path AS (SELECT n.* FROM near n WHERE (SELECT count(*) FROM (SELECT unnest([0.25
 """
 
 
-@query(GAP + "SELECT section_id, qy, qx, sy, sx, round((1/greatest(d2, 1)) / sum(1/greatest(d2, 1)) OVER (PARTITION BY section_id, qy, qx), 6) + 0.0 AS weight FROM path")
-def gap_sources(spark, sf_dir):
+def _gaps(spark, sf_dir):
     """Tissue columns with a remainder of 5 are missing: they are the barriers that no path may cross."""
     tissue = _queries8(spark, sf_dir).select("section_id", "qy", "qx").where("qx % 9 <> 5")
     direct = tissue.where("(qy * 3 + qx) % 6 = 0")
     missing = tissue.join(direct, ["section_id", "qy", "qx"], "left_anti")
-    return neighbors.gap_sources(missing, direct, tissue).select("section_id", "qy", "qx", "sy", "sx", r6("weight").alias("weight"))
+    return tissue, direct, neighbors.gap_sources(missing, direct, tissue)
+
+
+@query(GAP + "SELECT section_id, qy, qx, sy, sx, round((1/greatest(d2, 1)) / sum(1/greatest(d2, 1)) OVER (PARTITION BY section_id, qy, qx), 6) + 0.0 AS weight FROM path")
+def gap_sources(spark, sf_dir):
+    return _gaps(spark, sf_dir)[2].select("section_id", "qy", "qx", "sy", "sx", r6("weight").alias("weight"))
 
 
 @query(
@@ -302,3 +319,29 @@ def user_scored_allocation(spark, sf_dir):
     mass = allocate.allocate(weights.drop("field_id", "prior"), _counts(spark, sf_dir))
     r = allocate.residuals(mass, _counts(spark, sf_dir))
     return r.groupBy("section_id").agg(F.count("*").alias("n"), F.bool_and(F.col("scaled") <= 5e-6).alias("conserved"))
+
+
+CELL_VALUES = f"""{GAP.rstrip()}, v AS (SELECT section_id, {F4.format('y')} AS qy, {F4.format('x')} AS qx, gene_id, SUM(umi)::DOUBLE AS value FROM native_counts GROUP BY 1,2,3,4),
+w AS (SELECT section_id, qy, qx, sy, sx, (1/greatest(d2, 1)) / sum(1/greatest(d2, 1)) OVER (PARTITION BY section_id, qy, qx) AS weight FROM path)
+"""
+
+
+@query(
+    CELL_VALUES
+    + """SELECT section_id, qy, qx, gene_id, value, 1 AS source FROM v SEMI JOIN direct USING (section_id, qy, qx)
+    UNION ALL SELECT w.section_id, w.qy, w.qx, gene_id, round(sum(weight*value), 6) + 0.0, 2 FROM w JOIN v ON v.section_id = w.section_id AND v.qy = w.sy AND v.qx = w.sx GROUP BY 1,2,3,4"""
+)
+def filled_section(spark, sf_dir):
+    """Direct values of a sixth of the tissue, and values from their neighbours along tissue for the rest."""
+    _, direct, sources = _gaps(spark, sf_dir)
+    values = counts.squares(native_counts(spark, sf_dir), 4).withColumn("value", F.col("umi").cast("double")).join(direct, ["section_id", "qy", "qx"], "left_semi")
+    return jobs.filled(values, sources).withColumn("value", r6("value"))
+
+
+@query(
+    CELL_VALUES
+    + """SELECT section_id, qy, qx, CASE WHEN d.qy IS NOT NULL THEN 1 WHEN p.qy IS NOT NULL THEN 2 ELSE 0 END AS source FROM tissue t
+    LEFT JOIN direct d USING (section_id, qy, qx) LEFT JOIN (SELECT DISTINCT section_id, qy, qx FROM path) p USING (section_id, qy, qx)"""
+)
+def source_labels(spark, sf_dir):
+    return jobs.source_labels(*_gaps(spark, sf_dir))
