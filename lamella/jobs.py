@@ -80,6 +80,32 @@ def user_fields(blocks: DataFrame, side: int = 256, fov: int = 128) -> DataFrame
     return fields.join(train, ["section_id", "y0", "x0"], "left").withColumn("role", F.coalesce("role", F.lit("monitor")))
 
 
+def eligible_squares(observed: DataFrame, core: int = 10, margin: int = 3, least: int = 2) -> DataFrame:
+    """Fields (section_id, y0, x0) with something to learn from: an observed 16 um parent (py, px) of their core whose
+    32 um group, counted from the field's corner, has ``least`` or more observed members.
+
+    Fields stand ``core`` parents apart and reach ``margin`` beyond their core, so that a parent may lie in several.
+    """
+    side = core + 2 * margin
+    out = observed.select("section_id", "py", "px").distinct()
+    for p, k, at in (("py", "ky", "ly"), ("px", "kx", "lx")):
+        steps = F.sequence(F.floor((F.col(p) + margin - side) / core).cast("long") + 1, F.floor((F.col(p) + margin) / core).cast("long"))
+        out = out.withColumn(k, F.explode(steps)).withColumn(at, F.col(p) - F.col(k) * core + margin)
+    inside = F.col("ly").between(margin, margin + core - 1) & F.col("lx").between(margin, margin + core - 1)
+    groups = out.groupBy("section_id", "ky", "kx", geometry.down("ly", 2).alias("gy"), geometry.down("lx", 2).alias("gx")).agg(F.count("*").alias("n"), F.bool_or(inside).alias("inside"))
+    start = lambda k: ((F.col(k) * core - margin) * 8).cast("long")
+    return groups.where((F.col("n") >= least) & F.col("inside")).select("section_id", start("ky").alias("y0"), start("kx").alias("x0")).distinct()
+
+
+def fine_tuning_fields(eligible: DataFrame, boundary: int, least: int = 64, fov: int = 128) -> DataFrame:
+    """Fields by side of ``boundary``; fails where a section has fewer than ``least`` on the left or none on the right."""
+    split = sampling.sides(eligible, boundary, fov)
+    each = eligible.select("section_id").distinct().join(split.groupBy("section_id").agg(F.count_if(F.col("side") == "support").alias("_a"), F.count_if(F.col("side") == "selection").alias("_b")), "section_id", "left")
+    enough = (F.coalesce("_a", F.lit(0)) >= least) & (F.coalesce("_b", F.lit(0)) > 0)
+    held = each.select("section_id", checks.guarded(F.lit(True), enough, "a side of the boundary holds too few fields", "boolean").alias("_ok"))
+    return held.join(split, "section_id", "left").where("_ok AND side IS NOT NULL").select("section_id", "y0", "x0", "side")
+
+
 def evaluation_pairs(prediction: DataFrame, reference: DataFrame, genes: DataFrame) -> DataFrame:
     """(section_id, qy, qx, gene_id, p, y): every measured position and available gene; a position without prediction fails."""
     at = ["section_id", "qy", "qx"]

@@ -306,3 +306,21 @@ def gap_prior(spark, sf_dir):
     d = allocate.gap_density(near, v, _queries8(spark, sf_dir).select("section_id", "qy", "qx"), overall)
     prior = allocate.prior_mass(F.col("density"), (F.col("qy") - F.col("qx")) / 40.0, (F.col("qy") + F.col("qx")) % 5 > 0)
     return d.select("section_id", "qy", "qx", "gene_id", (F.round("density", 4) + F.lit(0.0)).alias("density"), "supported", (F.round(prior, 3) + F.lit(0.0)).alias("prior"))
+
+
+SPARSE = f"thin AS (SELECT DISTINCT section_id, {F8.format('y')} AS py, {F8.format('x')} AS px FROM native_counts WHERE ({F8.format('y')}*7 + {F8.format('x')}*3 + {F8.format('y')}*{F8.format('x')}) % 61 < 12)"
+
+
+@query(
+    N.rstrip()
+    + f""", {SPARSE},
+    a AS (SELECT *, unnest(range(CAST(floor((py - 13)/10.0) AS BIGINT) + 1, CAST(floor((py + 3)/10.0) AS BIGINT) + 1)) AS ky FROM thin),
+    b AS (SELECT *, unnest(range(CAST(floor((px - 13)/10.0) AS BIGINT) + 1, CAST(floor((px + 3)/10.0) AS BIGINT) + 1)) AS kx FROM a),
+    g AS (SELECT section_id, ky, kx, count(*) AS n, bool_or(py >= 10*ky AND py < 10*ky + 10 AND px >= 10*kx AND px < 10*kx + 10) AS core FROM b GROUP BY section_id, ky, kx, (py - 10*ky + 3)//2, (px - 10*kx + 3)//2),
+    f AS (SELECT DISTINCT section_id, 80*ky - 24 AS y0, 80*kx - 24 AS x0 FROM g WHERE n >= 2 AND core)
+    SELECT section_id, y0, x0, CASE WHEN x0 + 128 <= 110 THEN 'support' ELSE 'selection' END AS side FROM f WHERE x0 + 128 <= 110 OR x0 >= 110"""
+)
+def fine_tuning_fields(spark, sf_dir):
+    """Sparse observed parents, so that some fields hold no group of two."""
+    thin = native_counts(spark, sf_dir).select("section_id", geometry.down("y", 8).alias("py"), geometry.down("x", 8).alias("px")).distinct().where("(py * 7 + px * 3 + py * px) % 61 < 12")
+    return jobs.fine_tuning_fields(jobs.eligible_squares(thin), 110, least=1)

@@ -1,8 +1,11 @@
 """Published literal cases and failures."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
+from lamella import jobs
 from lamella.operators import allocate, audit, counts, geometry, metrics, neighbors, owners, sampling
 from lamella.sources import tables
 from lamella.streaming import accumulate
@@ -134,3 +137,32 @@ def test_an_uncovered_cell_fails(spark):
     assert geometry.covering_fields(cells.where("qy = 5"), fields).first()["weight"] == 1.0
     with pytest.raises(Exception, match="no field covers"):
         geometry.covering_fields(cells, fields).collect()
+
+
+def test_fine_tuning_fields(spark):
+    """A lone parent makes no field eligible, two of a group do where one lies in the core; too few fields fail."""
+    schema = "section_id long, py long, px long"
+    lone = jobs.eligible_squares(frame(spark, [(0, 5, 5), (0, 30, 30)], schema))
+    assert lone.collect() == []
+    # Field 0 starts at parent -3, so that (5, 5) and (6, 6) share a group there; in field 1, from parent 7 on, neither lies.
+    both = jobs.eligible_squares(frame(spark, [(0, 5, 5), (0, 6, 6), (0, 5, 5)], schema))
+    assert [tuple(r) for r in both.collect()] == [(0, -24, -24)]
+    fields = frame(spark, [(0, 0, 0), (0, 0, 100), (0, 0, 300)], "section_id long, y0 long, x0 long")
+    got = jobs.fine_tuning_fields(fields, 200, least=1).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 0, 0, "support"), (0, 0, 300, "selection")]
+    with pytest.raises(Exception, match="too few fields"):
+        jobs.fine_tuning_fields(fields, 200, least=2).collect()
+
+
+def test_source_labels(spark):
+    schema = "section_id long, qy long, qx long"
+    tissue, direct, made = [(0, 0, 0), (0, 0, 1), (0, 9, 9)], [(0, 0, 0)], [(0, 0, 1), (0, 0, 1)]
+    got = jobs.source_labels(frame(spark, tissue, schema), frame(spark, direct, schema), frame(spark, made, schema)).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 0, 0, 1), (0, 0, 1, 2), (0, 9, 9, 0)]
+
+
+def test_parent_features(spark):
+    """A parent that fills its field: centre 0, compactness pi/4, fill 1."""
+    own_ = owners.parent_geometry(frame(spark, [(0, y, x, 1) for y in range(4) for x in range(4)], "section_id long, y long, x long, parent_id long"))
+    (r,) = owners.parent_features(own_, 4, 4).collect()
+    assert [round(v, 9) for v in r[2:]] == [round(v, 9) for v in (0.0, 0.0, math.log(16), math.log(4), math.log(4), math.pi / 4, 1.0)]
