@@ -85,6 +85,18 @@ def test_contamination_with_clashing_columns(spark, docs):
     assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got) == brute_hits(docs, [(1, "one two")])
 
 
+def test_contamination_of_very_long_and_repeated_texts(spark):
+    """A text of one repeated word, and 2,000 equal rows that hold an item of one word and a passage of many items."""
+    passage = " ".join(f"w{i}" for i in range(40))
+    items = [(1, "the"), (2, "The " * 12)] + [(10 + i, f"{passage} end{i}") for i in range(50)]
+    rows = [(1, "the " * 300_000)] + [(2, f"so the {passage} was")] * 2000
+    bench, frame = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontam.contamination(frame, bench).collect())
+    many = tuple(sorted(["1", *[str(10 + i) for i in range(50)]]))
+    assert got == Counter({(1, 300_000, 300_000, ("1", "2")): 1, (2, 43, 41, many): 2000})
+    assert decontam.uncontaminated(frame, bench).collect() == []
+
+
 @pytest.mark.parametrize("window", [35, 9])
 def test_repeated_windows(spark, docs, window):
     split = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in docs]
