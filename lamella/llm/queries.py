@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import chat, decontam, html, langid, packing, pii, simhash, substrings, toxicity, vectors
+from lamella.llm import centroids, chat, decontam, html, langid, packing, pii, simhash, substrings, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -157,3 +157,36 @@ SELECT conv_id, m.n_turns, k - 1 AS position,
        '<|im_start|>' || lower(trim(replace(coalesce(role, 'unknown'), '<|', '< |'))) || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS rendered
 FROM n JOIN m USING (conv_id)
 """
+
+
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op11_centroids"] = op11_centroids
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Tables a<i> (nearest centroid of every vector) and c<i + 1> (centroids after the round), for all rounds and once more."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"""d{i} AS (SELECT r, c, list_sum(list_transform(list_zip(v.q, c{i}.q), lambda p: CAST((p[1] - p[2]) * (p[1] - p[2]) AS HUGEINT))) AS d FROM v, c{i}),
+a{i} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, c := c)) AS m FROM d{i} GROUP BY r)""")
+        if i < rounds:
+            out.append(f"""s{i} AS (SELECT c, j, sum(x) AS s, count(*) AS n FROM (SELECT m.c AS c, unnest(q) AS x, unnest(range(1, 65)) AS j FROM v JOIN a{i} USING (r)) GROUP BY 1, 2),
+n{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS q FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c AS c, coalesce(n{i}.q, c{i}.q) AS q FROM c{i} LEFT JOIN n{i} USING (c))""")
+    return ",\n".join(out)
+
+
+ORACLE["op11_centroids"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY vec_id IS NULL, h, q) - 1 AS INTEGER) AS c, q FROM (SELECT vec_id, sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, q FROM v) QUALIFY row_number() OVER (ORDER BY vec_id IS NULL, h, q) <= 8),
+{_rounds_sql(10)}
+SELECT vec_id, m.c AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c10.q, ',')) AS centroid_sha256
+FROM v JOIN a10 USING (r) JOIN c10 ON c10.c = m.c
+"""
