@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import centroids, chat, decontam, html, langid, packing, pii, simhash, substrings, toxicity, vectors
+from lamella.llm import centroids, chat, decontam, exact, html, langid, packing, pii, simhash, substrings, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -190,3 +190,16 @@ SELECT vec_id, m.c AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OV
        CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c10.q, ',')) AS centroid_sha256
 FROM v JOIN a10 USING (r) JOIN c10 ON c10.c = m.c
 """
+
+
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_exact"] = op12_exact
+
+ORACLE["op12_exact"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS c, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY n) AS group_size, row_number() OVER w = 1 AS kept, sha256(n) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY n ORDER BY c DESC, doc_id NULLS LAST, r)
+"""
