@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import centroids, chat, decontam, exact, html, langid, packing, pii, simhash, substrings, toxicity, vectors
+from lamella.llm import centroids, chat, decontam, exact, html, langid, packing, pii, repair, simhash, substrings, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -203,3 +203,58 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, ''))
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY n) AS group_size, row_number() OVER w = 1 AS kept, sha256(n) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY n ORDER BY c DESC, doc_id NULLS LAST, r)
 """
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audited(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES["op13_repair"] = op13_repair
+
+
+def _step_sql() -> str:
+    """Costs, audits and turns of the cheapest edits by state after one more row, inserts included."""
+    more = lambda x, cost, letter, turn="[]": f"CASE WHEN {x} IS NOT NULL THEN struct_pack(c := {x}.c + {cost}, a := {x}.a || '{letter}', o := list_concat({x}.o, {turn})) END"
+    least = lambda *x: f"list_min([{', '.join(x)}])"
+    keep, extra, own = "NOT gone AND ", "CASE WHEN cut THEN 3 ELSE 0 END", "[role || ':' || text]"
+    rerole = lambda who: f"['{who}:' || text]"
+    to_user = least("r.s0", "r.ss", "r.sa")
+    return f"""
+  p AS (SELECT r.conv, n.i, n.gone, n.cut, n.role, n.text, left(n.role, 1) AS l, r.s0, r.ss, r.su, r.sa, {to_user} AS b FROM rec r JOIN n ON n.conv = r.conv AND n.i = r.i + 1),
+  q AS (SELECT conv, i, {more('s0', 4, 'D')} AS s0, {least(more('ss', 4, 'D'), f"CASE WHEN {keep} l = 's' THEN {more('s0', extra, 'K', own)} END")} AS ss,
+    {least(more('su', 4, 'D'), f"CASE WHEN {keep} l = 'u' THEN {more('b', extra, 'K', own)} END", f"CASE WHEN NOT gone THEN {more('b', f'3 + {extra}', 'R', rerole('user'))} END")} AS su,
+    {least(more('sa', 4, 'D'), f"CASE WHEN {keep} l = 'a' THEN {more('su', extra, 'K', own)} END", f"CASE WHEN NOT gone THEN {more('su', f'3 + {extra}', 'R', rerole('assistant'))} END")} AS sa FROM p),
+  t AS (SELECT conv, i, s0, ss, {least('su', more('s0', 3, 'I', "['user:']"), more('ss', 3, 'I', "['user:']"), more('sa', 3, 'I', "['user:']"))} AS su, sa FROM q)
+  SELECT conv, i, s0, ss, su, {least('sa', more('su', 3, 'I', "['assistant:']"))} AS sa FROM t"""
+
+
+ORACLE["op13_repair"] = f"""
+WITH RECURSIVE c AS (
+  SELECT coalesce('=' || CAST(conv_id AS VARCHAR), '') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (
+  SELECT k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: CAST(ord(x) AS BIGINT))),
+    lambda s, y: list_reduce(list_prepend(xor(s, y), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) % 20 AS hit
+  FROM (SELECT DISTINCT k FROM c)),
+d AS (
+  SELECT conv, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copy FROM c JOIN h USING (k) WHERE hit <> 0),
+u AS (SELECT *, row_number() OVER () AS u FROM d),
+f AS (
+  SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS tail, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, u) AS i,
+         row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST, u) > 1 AS again, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, u) AS before FROM u),
+n AS MATERIALIZED (
+  SELECT conv, i, turn, role, text, tail = '' AS blank, tail <> '' AND again AS dup, tail <> '' AND NOT again AND right(tail, 1) NOT IN ('.', '!', '?') AS cut, tail = '' OR again AS gone,
+         before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au') AS bad FROM f),
+g AS (
+  SELECT conv, max(i) AS last, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate,
+         count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE bad) AS illegal FROM n GROUP BY conv),
+rec AS (
+  SELECT conv, CAST(0 AS BIGINT) AS i, struct_pack(c := 0, a := '', o := []::VARCHAR[]) AS s0, NULL::STRUCT(c INTEGER, a VARCHAR, o VARCHAR[]) AS ss,
+         struct_pack(c := 3, a := 'I', o := ['user:']) AS su, struct_pack(c := 6, a := 'II', o := ['user:', 'assistant:']) AS sa FROM g
+  UNION ALL (WITH {_step_sql().lstrip()})),
+e AS (SELECT g.*, list_min([s0, sa]) AS b FROM g JOIN rec ON rec.conv = g.conv AND rec.i = g.last)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(array_to_string(b.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN e ON e.conv = coalesce('=' || CAST(o.conv_id AS VARCHAR), '')
+"""
