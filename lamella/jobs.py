@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.operators import allocate, checks, counts, geometry, image, metrics, sampling
+from lamella.operators import allocate, anchors, checks, counts, geometry, image, metrics, ranks, sampling
 
 
 def prepare_squares(native: DataFrame, flagged: DataFrame, transform: list[list[float]], capture: tuple[int, int], picture: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
@@ -38,7 +38,7 @@ def supported_owners(owners: DataFrame, valid: DataFrame) -> DataFrame:
     """Owners of parents all of whose pixels are valid, numbered from 0 in each section (``slot``); others own nothing."""
     met = owners.join(valid.select("section_id", "y", "x", F.lit(True).alias("_ok")), ["section_id", "y", "x"], "left")
     kept = met.groupBy("section_id", "parent_id").agg(F.count("*") == F.count("_ok")).toDF("section_id", "parent_id", "whole").where("whole").drop("whole")
-    slots = kept.withColumn("slot", F.row_number().over(Window.partitionBy("section_id").orderBy("parent_id")).cast("long") - 1)
+    slots = ranks.ranked(kept, ["parent_id"], ["section_id"], "slot")
     return owners.join(slots, ["section_id", "parent_id"])
 
 
@@ -49,10 +49,9 @@ def predict(weights: DataFrame, observed: DataFrame, cover: DataFrame) -> DataFr
     ``observed``: (section_id, parent_id, gene_id, umi); ``cover``: (section_id, qy, qx, field_id, weight), weights of a
     cell adding up to 1.
     """
-    mass = allocate.allocate(weights.drop("field_id"), observed)
-    placed = mass.join(weights.select("section_id", "parent_id", "field_id").distinct(), ["section_id", "parent_id"])
+    mass = allocate.allocate(weights, observed)
     share = cover.withColumnRenamed("weight", "share")
-    met = placed.join(share, ["section_id", "qy", "qx", "field_id"]).groupBy("section_id", "qy", "qx", "gene_id").agg(F.sum(F.col("mass") * F.col("share")).alias("value"), F.sum("share").alias("shares"))
+    met = mass.join(share, ["section_id", "qy", "qx", "field_id"]).groupBy("section_id", "qy", "qx", "gene_id").agg(F.sum(F.col("mass") * F.col("share")).alias("value"), F.sum("share").alias("shares"))
     value = checks.guarded(F.col("value"), F.abs(F.col("shares") - 1) < 1e-9, "weights of a cell do not add up to 1", "double")
     return met.select("section_id", "qy", "qx", "gene_id", value.alias("value"))
 
@@ -134,3 +133,33 @@ def evaluate(prediction: DataFrame, reference: DataFrame, genes: DataFrame, comm
     g = by_gene.groupBy("section_id").agg(F.count("*").alias("genes"), F.count("pcc").alias("defined_genes"), F.avg("pcc").alias("gene_pcc"), F.avg("nrmse").alias("gene_nrmse"))
     p = by_position.groupBy("section_id").agg(F.count("pcc").alias("pcc_positions"), F.avg("pcc").alias("position_pcc"), F.count("*").alias("positions"), F.avg("bray_curtis").alias("bray_curtis"))
     return by_gene, g.join(p, "section_id", "left")
+
+
+def prepare_anchors(centers: DataFrame, capture: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(fields, queries) of anchored sections from the centres (section_id, spot_id, cy, cx in um) of 100 um circles.
+
+    Nine fields lie around each centre; one outside the capture fails. Queries are the 8 um cells that any field's core
+    holds, with the number of such cores and the circle that claims each.
+    """
+    fields = anchors.anchored_fields(centers, *capture)
+    return fields, anchors.query_cells(centers, fields, *capture)
+
+
+def predict_anchors(centers: DataFrame, observed: DataFrame, prior: Column, capture: tuple[int, int]) -> DataFrame:
+    """(section_id, qy, qx, gene_id, value, coverage) of anchored sections: means over the cores of all fields.
+
+    ``observed``: (section_id, spot_id, gene_id, umi). A cell that lacks a contribution of a core that holds it fails.
+    """
+    fields = anchors.anchored_fields(centers, *capture)
+    return anchors.stitched(anchors.field_values(fields, observed, prior, *capture), anchors.coverage(fields))
+
+
+def anchor_conservation(fields: DataFrame, observed: DataFrame, prior: Column, capture: tuple[int, int]) -> DataFrame:
+    """By section: circles allocated in single fields, and the largest scaled error of what a field gives back of its anchor."""
+    area = anchors.circle_areas(fields.select("section_id", "spot_id", "cy", "cx").distinct(), *capture)
+    cells = anchors.core_cells(fields.select("section_id", "spot_id", "y0", "x0")).join(area, ["section_id", "spot_id", "qy", "qx"])
+    weights = cells.join(observed.select("section_id", "spot_id", "gene_id"), ["section_id", "spot_id"]).withColumn("weight", (prior * F.col("area_px")).cast("double")).drop("area_px").withColumnRenamed("spot_id", "parent_id")
+    known = observed.withColumnRenamed("spot_id", "parent_id")
+    mass = allocate.allocate(weights, known, ("section_id", "parent_id", "y0", "x0", "gene_id"))
+    sums = mass.groupBy("section_id", "parent_id", "y0", "x0", "gene_id").agg(F.sum("mass").alias("p")).join(known, ["section_id", "parent_id", "gene_id"]).withColumnRenamed("umi", "y")
+    return metrics.error_report(sums, "section_id").select("section_id", "n", "max_scaled")

@@ -10,21 +10,23 @@ from pyspark.sql import functions as F
 PARENT = ("section_id", "parent_id", "gene_id")
 
 
-def allocate(weights: DataFrame, counts: DataFrame) -> DataFrame:
+def allocate(weights: DataFrame, counts: DataFrame, parent: tuple[str, ...] = PARENT) -> DataFrame:
     """Mass of every (segment, gene): a covered parent's count in proportion to its weights; a gap's weight as it is.
 
-    ``weights``: (section_id, parent_id, qy, qx, gene_id, weight), parent -1 for gaps. ``counts``: (section_id,
-    parent_id, gene_id, umi). A positive count whose parent has no weight fails; mass over a parent adds up to its count.
+    ``weights``: (section_id, parent_id, qy, qx, gene_id, weight, ..), parent_id -1 for gaps; other columns are kept.
+    ``counts``: (section_id, parent_id, gene_id, umi). ``parent``: what names a parent, where one of ``counts`` is
+    allocated several times, as in overlapping fields. A positive count whose parent has no weight fails; mass over a
+    parent adds up to its count.
     """
-    # Gaps have no total: they stay where they are, so that a section's gaps never meet under one key.
-    columns = ["section_id", "parent_id", "qy", "qx", "gene_id"]
-    covered = weights.where("parent_id >= 0")
-    total = covered.groupBy(*PARENT).agg(F.sum("weight").alias("total")).join(counts, list(PARENT), "left")
-    joined = covered.join(total, list(PARENT))
+    # Gaps have no total: they stay where they are, so that a section's gaps never meet under one key. The window is bounded
+    # by a parent's segments and needs no other exchange than the join.
+    kept = [c for c in weights.columns if c != "weight"]
+    keys = [c for c in parent if c in counts.columns]
+    joined = weights.where("parent_id >= 0").join(counts.select(*keys, "umi"), keys, "left").withColumn("total", F.sum("weight").over(Window.partitionBy(*parent)))
     share = F.when(F.col("total") > 0, F.col("weight") * F.col("umi") / F.col("total")).otherwise(F.raise_error(F.lit("a count has no support")).cast("double"))
     mass = F.when(F.coalesce("umi", F.lit(0)) > 0, share).otherwise(0.0)
-    gaps = weights.where("parent_id < 0").select(*columns, F.col("weight").alias("mass"))
-    return joined.select(*columns, mass.alias("mass")).unionByName(gaps)
+    gaps = weights.where("parent_id < 0").select(*kept, F.col("weight").alias("mass"))
+    return joined.select(*kept, mass.alias("mass")).unionByName(gaps)
 
 
 def softmax_weights(logits: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.operators.ranks import ranked
+
 
 def guarded(value: Column, ok: Column, message: str, kind: str) -> Column:
     """``value`` where ``ok`` holds; fails otherwise."""
@@ -79,4 +81,4 @@ def overlapping_sides(support: DataFrame, selection: DataFrame, side: int = 256)
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """Rows of each section with their place in lexicographic order."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("section_id").orderBy(*order)).cast("long") - 1)
+    return ranked(rows, list(order), ["section_id"], "place")

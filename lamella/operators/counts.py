@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.operators.geometry import down
+from lamella.operators.ranks import running
 
 
 def checked(counts: DataFrame, value: str = "umi", where: str = "true") -> DataFrame:
@@ -107,9 +108,6 @@ def merged_parents(owned_counts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def block_layout(counts: DataFrame, blocks: DataFrame, side: int = 256) -> DataFrame:
     """Stored entries of listed blocks: number and running start of each, in (block_y, block_x) order."""
-    from pyspark.sql import Window
-
     keyed = counts.withColumn("block_y", down("y", side)).withColumn("block_x", down("x", side))
     size = keyed.groupBy("section_id", "block_y", "block_x").agg(F.count("*").alias("nnz")).join(blocks, ["section_id", "block_y", "block_x"], "right").withColumn("nnz", F.coalesce("nnz", F.lit(0)))
-    w = Window.partitionBy("section_id").orderBy("block_y", "block_x").rowsBetween(Window.unboundedPreceding, 0)
-    return size.withColumn("stop", F.sum("nnz").over(w)).withColumn("start", F.col("stop") - F.col("nnz"))
+    return running(size, "nnz", ["block_y", "block_x"], ["section_id"]).withColumn("stop", F.col("start") + F.col("nnz"))

@@ -114,8 +114,9 @@ def single_cores(cells: DataFrame, rows: int, cols: int, core_um: int = 192, mar
 
 def field_ids(tiled: DataFrame) -> DataFrame:
     """Distinct fields of each section, numbered from 0 by (y0, x0)."""
-    w = Window.partitionBy("section_id").orderBy("y0", "x0")
-    return tiled.select("section_id", "y0", "x0").distinct().withColumn("field_id", F.row_number().over(w).cast("long") - 1)
+    from lamella.operators.ranks import ranked
+
+    return ranked(tiled.select("section_id", "y0", "x0").distinct(), ["y0", "x0"], ["section_id"], "field_id")
 
 
 def field_slots(fields: DataFrame, parents: DataFrame, side: int = 16) -> DataFrame:

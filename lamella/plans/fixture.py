@@ -52,6 +52,40 @@ def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.crossJoin(F.broadcast(pixels)).select("section_id", "y", "x", F.col("spot_id").alias("parent_id"))
 
 
+WIDE = 768  # pixels a side of sections whose number grows with the table
+WIDE_GENES = 4
+
+
+def wide_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(section_id, y, x, gene_id, umi) of 768-pixel sections, one for every nine suppliers."""
+    key = lambda e, n: F.expr(f"CAST({e} AS BIGINT)").alias(n)
+    rows = table(spark, sf_dir, "lineitem").select(
+        key("floor(l_suppkey / 9.0D)", "section_id"),
+        key(f"(l_orderkey * 7 + l_linenumber * 13) % {WIDE}", "y"),
+        key(f"(l_partkey * 11 + l_orderkey * 3) % {WIDE}", "x"),
+        key(f"l_partkey % {WIDE_GENES}", "gene_id"),
+        key("l_quantity", "umi"),
+    )
+    return rows.groupBy("section_id", "y", "x", "gene_id").agg(F.sum("umi").alias("umi"))
+
+
+def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(section_id, spot_id, cy, cx): one 100 um anchor for every supplier, nine a section at a pitch of about 150 um."""
+    at = lambda e, n: F.expr(f"CAST({e} AS BIGINT)").alias(n)
+    return table(spark, sf_dir, "supplier").select(
+        at("floor(s_suppkey / 9.0D)", "section_id"), at("s_suppkey", "spot_id"), at("300 + 150 * floor((s_suppkey % 9) / 3.0D) + s_suppkey * 7 % 5", "cy"), at("300 + 150 * (s_suppkey % 3) + s_suppkey * 5 % 7", "cx")
+    )
+
+
+WIDE_SQL = f"""wide_counts AS (
+  SELECT CAST(floor(l_suppkey / 9.0::DOUBLE) AS BIGINT) AS section_id, CAST((l_orderkey * 7 + l_linenumber * 13) % {WIDE} AS BIGINT) AS y,
+         CAST((l_partkey * 11 + l_orderkey * 3) % {WIDE} AS BIGINT) AS x, CAST(l_partkey % {WIDE_GENES} AS BIGINT) AS gene_id,
+         CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS umi
+  FROM lineitem GROUP BY 1, 2, 3, 4)"""
+ANCHORS_SQL = """anchors AS (
+  SELECT CAST(floor(s_suppkey / 9.0::DOUBLE) AS BIGINT) AS section_id, CAST(s_suppkey AS BIGINT) AS spot_id,
+         CAST(300 + 150 * floor((s_suppkey % 9) / 3.0::DOUBLE) + s_suppkey * 7 % 5 AS BIGINT) AS cy, CAST(300 + 150 * (s_suppkey % 3) + s_suppkey * 5 % 7 AS BIGINT) AS cx FROM supplier)"""
+
 NATIVE_SQL = f"""native_counts AS (
   SELECT CAST(l_suppkey % 4 AS BIGINT) AS section_id, CAST((l_orderkey * 7 + l_linenumber * 13) % {GRID} AS BIGINT) AS y,
          CAST((l_partkey * 11 + l_suppkey * 3) % {GRID} AS BIGINT) AS x, CAST(l_partkey % {GENES} AS BIGINT) AS gene_id,
