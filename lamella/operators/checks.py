@@ -82,3 +82,35 @@ def overlapping_sides(support: DataFrame, selection: DataFrame, side: int = 256)
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """Rows of each section with their place in lexicographic order."""
     return ranked(rows, list(order), ["section_id"], "place")
+
+
+def same_task(prediction: DataFrame, reference: DataFrame) -> DataFrame:
+    """Sections (section_id, sample_id, task) that may be scored.
+
+    ``prediction``: (section_id, sample_id, task); ``reference``: (section_id, sample_id, task, role, used_for_fitting). Every
+    section of the reference must have been predicted for the same sample and task, and the reference must be a measured one
+    for evaluation only that no model was fitted on. Anything else fails.
+    """
+    p = prediction.select("section_id", F.col("sample_id").alias("_sample"), F.col("task").alias("_task"))
+    met = reference.join(p, "section_id", "left")
+    kind = dict(reference.dtypes)["section_id"]
+    role = (F.col("role") == "evaluation_only_measured_8um") & ~F.coalesce("used_for_fitting", F.lit(True))
+    same = (F.col("sample_id") == F.col("_sample")) & (F.col("task") == F.col("_task"))
+    checked = guarded(F.col("section_id"), F.coalesce(role, F.lit(False)), "a reference is not for evaluation only", kind)
+    met = met.withColumn("section_id", guarded(checked, F.coalesce(same, F.lit(False)), "a reference's sample or task differs from the prediction", kind))
+    return met.select("section_id", "sample_id", "task")
+
+
+def same_genes(prediction: DataFrame, reference: DataFrame) -> DataFrame:
+    """Genes (section_id, gene_id, pos, available) on which prediction and reference agree, in order and availability.
+
+    Both are (section_id, pos, gene_id, available). A gene at another place, on one side only or available on one side only
+    fails, and so does a section without any available gene.
+    """
+    r = reference.select("section_id", "pos", F.col("gene_id").alias("_gene"), F.col("available").alias("_available"))
+    met = prediction.join(r, ["section_id", "pos"], "full")
+    kind = dict(prediction.dtypes)["gene_id"]
+    gene = guarded(F.col("gene_id"), F.coalesce(F.col("gene_id") == F.col("_gene"), F.lit(False)), "the gene order of prediction and reference differs", kind)
+    gene = guarded(gene, F.coalesce(F.col("available") == F.col("_available"), F.lit(False)), "a gene is available on one side only", kind)
+    some = F.max("available").over(Window.partitionBy("section_id"))  # a panel is a bounded list of genes
+    return met.select("section_id", guarded(gene, F.coalesce(some, F.lit(False)), "a section has no available gene", kind).alias("gene_id"), "pos", "available")

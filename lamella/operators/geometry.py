@@ -79,6 +79,27 @@ def lattice(sections: DataFrame, rows: int, cols: int, origin_y: Column, origin_
     return at.where(inside).withColumn("array_row", F.col("r")).withColumn("array_col", 2 * F.col("k") + F.col("r") % 2).drop("r", "k")
 
 
+def field_lattice(fields: DataFrame, origin_y: Column, origin_x: Column, diameter: float = 55.0, pitch: float = 100.0, side_um: float = 256.0) -> DataFrame:
+    """Spots of a section's hexagonal lattice whose whole circle lies in a field: (.., lattice_row, lattice_col, cy, cx in um).
+
+    ``fields``: (section_id, field_id, y0, x0) with origins on 16 um; others fail. Rows of the lattice lie pitch * sqrt(3) / 2
+    apart, each half a pitch further to the right. Candidates are enumerated around each field.
+    """
+    from lamella.operators.checks import guarded
+
+    r, step = diameter / 2, pitch / 2 * math.sqrt(3)
+    aligned = (F.col("y0") >= 0) & (F.col("x0") >= 0) & (F.col("y0") % 8 == 0) & (F.col("x0") % 8 == 0)
+    at = fields.withColumn("y0", guarded(F.col("y0"), aligned, "a field does not start on 16 um", "long")).withColumn("_oy", origin_y).withColumn("_ox", origin_x)
+    between = lambda low, high: F.explode(F.sequence(F.floor(low).cast("long"), F.ceil(high).cast("long")))
+    top, left = 2.0 * F.col("y0"), 2.0 * F.col("x0")
+    at = at.withColumn("lattice_row", between((top - F.col("_oy") - r) / step, (top + side_um - F.col("_oy") + r) / step))
+    shift = F.col("_ox") + F.col("lattice_row") * (pitch / 2)
+    at = at.withColumn("lattice_col", between((left - shift - r) / pitch, (left + side_um - shift + r) / pitch))
+    at = at.withColumn("cy", F.col("_oy") + F.col("lattice_row") * step).withColumn("cx", shift + F.col("lattice_col") * pitch)
+    inside = (F.col("cy") - r >= top) & (F.col("cy") + r <= top + side_um) & (F.col("cx") - r >= left) & (F.col("cx") + r <= left + side_um)
+    return at.where(inside).drop("_oy", "_ox")
+
+
 def core_tiles(parents: DataFrame, core_um: int = 192, fov_um: int = 256) -> DataFrame:
     """16 um parents (py, px) with the field (y0, x0 in pixels, may be negative) whose core owns them, and their slot."""
     c, side = core_um // 16, fov_um // 16

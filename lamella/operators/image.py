@@ -66,6 +66,36 @@ def cell_density(cells: DataFrame, density: DataFrame, transform: list[list[floa
     return out.select("section_id", "qy", "qx", "area", *[F.coalesce(F.col(v) / F.col("n"), F.lit(0.0)).alias(v) for v in ("od", "h", "e")])
 
 
+def registered_colours(fields: DataFrame, pixels: DataFrame, transform: list[list[float]], rows: int, cols: int, size: int = 224, tile: int = 64) -> DataFrame:
+    """Colours of every field resampled to size x size: (section_id, field_id, i, j, r, g, b, valid), colours from 0 to 1.
+
+    ``fields``: (section_id, field_id, y0, x0), 128 pixels of 2 um a side. A sample lies at the middle of its square, goes
+    through the registration and is bilinear in the image; beyond the image it is white and not valid. Only tiles of the
+    image that a field's box touches are read (a pixel table partitioned by ``ty`` and ``tx`` prunes by them), and a
+    sample's parts meet their pixels within tiles.
+    """
+    key = ["section_id", "field_id"]
+    n = F.sequence(F.lit(0), F.lit(size - 1))
+    at = fields.select(*key, "y0", "x0", F.explode(n).alias("i")).select("*", F.explode(n).alias("j"))
+    px, py = project(transform, 2.0 * F.col("x0") + (F.col("j") + 0.5) * 256 / size, 2.0 * F.col("y0") + (F.col("i") + 0.5) * 256 / size)
+    at = at.withColumn("_x", px).withColumn("_y", py).withColumn("valid", (F.col("_x") >= -0.5) & (F.col("_x") < cols - 0.5) & (F.col("_y") >= -0.5) & (F.col("_y") < rows - 0.5))
+    at = at.withColumn("_y", F.greatest(F.lit(0.0), F.least(F.col("_y"), F.lit(rows - 1.0)))).withColumn("_x", F.greatest(F.lit(0.0), F.least(F.col("_x"), F.lit(cols - 1.0))))
+    y0, x0 = F.floor("_y").cast("long"), F.floor("_x").cast("long")
+    fy, fx = F.col("_y") - y0, F.col("_x") - x0
+    corners = F.array(*[F.struct(F.least(y0 + a, F.lit(rows - 1)).alias("py"), F.least(x0 + b, F.lit(cols - 1)).alias("px"), ((fy if a else 1 - fy) * (fx if b else 1 - fx)).alias("w")) for a in (0, 1) for b in (0, 1)])
+    some = F.filter(corners, lambda c: c["w"] > 0)
+    white = F.array(F.struct(F.lit(-1).cast("long").alias("py"), F.lit(-1).cast("long").alias("px"), F.lit(1.0).alias("w")))
+    parts = at.select(*key, "i", "j", "valid", F.explode(F.when(F.col("valid"), some).otherwise(white)).alias("c")).select(*key, "i", "j", "valid", "c.py", "c.px", "c.w")
+    parts = parts.withColumn("ty", down("py", tile)).withColumn("tx", down("px", tile))
+    box = mapped_bounds(transform, 2.0 * F.col("y0"), 2.0 * F.col("x0"), 256.0)
+    span = lambda a, b, top: F.sequence(F.floor(F.greatest(F.col(a) - 1, F.lit(0.0)) / tile).cast("long"), F.floor(F.least(F.greatest(F.col(b) + 1, F.lit(0.0)), F.lit(float(top))) / tile).cast("long"))
+    touched = fields.select("section_id", *box).where((F.col("bottom") >= -1) & (F.col("right") >= -1) & (F.col("top") <= rows) & (F.col("left") <= cols))
+    touched = touched.select("section_id", F.explode(span("top", "bottom", rows)).alias("ty"), "left", "right").select("section_id", "ty", F.explode(span("left", "right", cols)).alias("tx")).distinct()
+    tiled = pixels if "ty" in pixels.columns else pixels.withColumn("ty", down("py", tile)).withColumn("tx", down("px", tile))
+    met = parts.join(tiled.join(touched, ["section_id", "ty", "tx"], "left_semi"), ["section_id", "ty", "tx", "py", "px"], "left")
+    return met.groupBy(*key, "i", "j", "valid").agg(*[(F.sum(F.coalesce(F.col(c), F.lit(255)) * F.col("w")) / 255.0).alias(c) for c in "rgb"])
+
+
 def quantized(share: Column) -> Column:
     """A share of 0-1 in 16 bits, rounded half to even."""
     return F.rint(share * 65535).cast("int")

@@ -43,17 +43,29 @@ def gene_scores(m: DataFrame, *keys: str) -> DataFrame:
     return m.select(*keys, F.when(defined, cov / F.sqrt(F.when(defined, vp * vy))).alias("pcc"), nrmse.alias("nrmse"), (F.col("sad") / n).alias("mae"))
 
 
+def centred(p: Column, y: Column) -> list[Column]:
+    """(vp, vy, cov): energies and product of p and y less their means, by aggregates that merge without cancellation."""
+    n = F.count(p)
+    return [(F.var_pop(p) * n).alias("vp"), (F.var_pop(y) * n).alias("vy"), (F.covar_pop(p, y) * n).alias("cov")]
+
+
+def correlation(least: float) -> Column:
+    """PCC of ``centred`` columns: null unless both energies exceed ``least``, clamped to +-1."""
+    ok = (F.col("vp") > least) & (F.col("vy") > least)
+    return F.when(ok, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cov") / F.sqrt("vp") / F.sqrt("vy"))))
+
+
 def position_scores(pairs: DataFrame, *position: str) -> DataFrame:
-    """PCC across genes and Bray-Curtis distance of compositions of each position with a measured count."""
+    """PCC across genes and Bray-Curtis distance of compositions of each position with a measured count.
+
+    PCC needs variance on both sides, however small.
+    """
     p, y = F.col("p").cast("double"), F.col("y").cast("double")
     w = Window.partitionBy(*position)
     each = pairs.select(*position, p.alias("p"), y.alias("y"), F.sum(p).over(w).alias("tp"), F.sum(y).over(w).alias("ty"))
     gap = F.abs(safe(F.col("p"), F.col("tp")) - safe(F.col("y"), F.col("ty")))
-    m = each.groupBy(*position, "tp", "ty").agg(*moments(), F.sum(gap).alias("gap"))
-    n = F.col("n").cast("double")
-    vp, vy, cov = F.col("spp") - F.col("sp") ** 2 / n, F.col("syy") - F.col("sy") ** 2 / n, F.col("spy") - F.col("sp") * F.col("sy") / n
-    ok = (vp > 1e-12) & (vy > 1e-12)
-    return m.where("ty > 0").select(*position, F.when(ok, cov / F.sqrt(F.when(ok, vp * vy))).alias("pcc"), F.when(F.col("tp") == 0, 1.0).otherwise(F.col("gap") / 2).alias("bray_curtis"))
+    m = each.groupBy(*position, "tp", "ty").agg(*centred(F.col("p"), F.col("y")), F.sum(gap).alias("gap"))
+    return m.where("ty > 0").select(*position, correlation(0.0).alias("pcc"), F.when(F.col("tp") == 0, 1.0).otherwise(F.col("gap") / 2).alias("bray_curtis"))
 
 
 def error_report(pairs: DataFrame, *keys: str, atol: float = 1e-5, rtol: float = 1e-5) -> DataFrame:
@@ -111,33 +123,63 @@ def gain_split(pairs: DataFrame, field: list[str], child: list[str]) -> DataFram
     return out.select(*field, *[(F.col(v) / F.col("ty")).alias(f"{v}_gain") for v in ("full", "total", "composition")])
 
 
-def flat_scores(pairs: DataFrame, *keys: str) -> DataFrame:
-    """PCC and RMS ratio of residuals; null under two values or without energy; PCC is clamped to +-1."""
-    m = pairs.groupBy(*keys).agg(*moments())
-    n = F.col("n").cast("double")
-    vp, vy, cov = F.col("spp") - F.col("sp") ** 2 / n, F.col("syy") - F.col("sy") ** 2 / n, F.col("spy") - F.col("sp") * F.col("sy") / n
-    ok = (F.col("n") >= 2) & (vp > 1e-9) & (vy > 1e-9)
-    pcc = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(F.when(ok, vp * vy))))
-    ratio = F.when(F.col("syy") > 1e-20, F.sqrt(F.col("spp") / F.when(F.col("syy") > 1e-20, F.col("syy"))))
-    return m.select(*keys, "n", F.when(ok, pcc).alias("pcc"), F.when(F.col("n") >= 2, ratio).alias("rms_ratio"))
+def energies() -> list[Column]:
+    """Sums that PCC and RMS ratio of residuals p and y need."""
+    p, y = F.col("p").cast("double"), F.col("y").cast("double")
+    return [F.count("*").alias("n"), *centred(p, y), F.sum(p * p).alias("spp"), F.sum(y * y).alias("syy")]
+
+
+def rms_ratio(least: float) -> Column:
+    return F.when(F.col("syy") > least, F.sqrt(F.col("spp") / F.when(F.col("syy") > least, F.col("syy"))))
+
+
+def flat_scores(pairs: DataFrame, *keys: str, least: float = 1e-20) -> DataFrame:
+    """PCC of residuals, null under two values or at energies up to 1e-20, and their RMS ratio, null at a true energy up to ``least``."""
+    m = (pairs.groupBy(*keys) if keys else pairs.groupBy()).agg(*energies())
+    return m.select(*keys, "n", F.when(F.col("n") >= 2, correlation(1e-20)).alias("pcc"), rms_ratio(least).alias("rms_ratio"))
+
+
+def gain_residuals(pairs: DataFrame, field: list[str], child: list[str]) -> DataFrame:
+    """PCC and RMS ratio of three residuals of each field: genes, totals and compositions of children.
+
+    ``pairs``: (.., p, y, c), a row for each child and gene. Genes: against c / 4. Totals: sums over genes against a quarter of
+    theirs. Compositions: against the child's total dealt as the parent's counts are.
+    """
+    p, y, c = (F.col(v).cast("double") for v in "pyc")
+    w = Window.partitionBy(*field, *child)
+    each = pairs.select(*field, *child, p.alias("p"), y.alias("y"), c.alias("c"), *[F.sum(v).over(w).alias(n) for n, v in (("tp", p), ("ty", y), ("tc", c))], F.row_number().over(w.orderBy(F.lit(0))).alias("_first"))
+    share = F.col("c") / F.greatest(F.col("tc"), F.lit(1.0))
+    of = lambda kind, a, b, use=None: F.struct(F.lit(kind).alias("kind"), a.alias("p"), b.alias("y"), (F.lit(True) if use is None else use).alias("use"))
+    goes = F.array(
+        of("gene", F.col("p") - F.col("c") / 4, F.col("y") - F.col("c") / 4),
+        of("total", F.col("tp") - F.col("tc") / 4, F.col("ty") - F.col("tc") / 4, F.col("_first") == 1),
+        of("composition", F.col("p") - share * F.col("tp"), F.col("y") - share * F.col("ty")),
+    )
+    parts = each.select(*field, F.explode(F.filter(goes, lambda g: g["use"])).alias("g")).select(*field, "g.kind", "g.p", "g.y")
+    scores = flat_scores(parts, *field, "kind", least=0.0)
+    kinds = ("gene", "total", "composition")
+    picked = lambda k, v: F.max(F.when(F.col("kind") == k, F.col(v))).alias(f"{k}_residual_{v}")
+    return scores.groupBy(*field).agg(*[picked(k, v) for k in kinds for v in ("pcc", "rms_ratio")])
 
 
 def stratum_scores(pairs: DataFrame, *keys: str) -> DataFrame:
-    """By count stratum of the parent: pairs of parents and genes, counts, conditional loss per count, its gain over ln 4,
-    and PCC and RMS ratio of residuals against a quarter. ``pairs``: (.., p, y, c), four children a parent."""
+    """By count stratum of the parent: pairs of parents and genes and their share of all, counts, conditional loss per count,
+    its gain over ln 4, and PCC and RMS ratio of residuals against a quarter. ``pairs``: (.., p, y, c), four children a parent.
+
+    Pairs without a count make a stratum of their own, of which only number and share are defined.
+    """
     p, y, c = (F.col(v).cast("double") for v in "pyc")
-    at = pairs.where("c > 0").withColumn("stratum", stratum(F.col("c")))
-    loss = F.sum(-y * (F.log(F.greatest(p, F.lit(1e-12))) - F.log(c)))
-    m = at.groupBy(*keys, "stratum").agg((F.count("*") / 4).cast("long").alias("parent_gene_pairs"), F.sum(y).alias("umis"), loss.alias("loss"))
-    nll = F.col("loss") / F.col("umis")
-    rest = at.select(*keys, "stratum", (p - c / 4).alias("p"), (y - c / 4).alias("y"))
-    scores = flat_scores(rest, *keys, "stratum").select(*keys, "stratum", "pcc", "rms_ratio")
-    return m.select(*keys, "stratum", "parent_gene_pairs", "umis", nll.alias("nll"), (F.lit(math.log(4)) - nll).alias("gain")).join(scores, [*keys, "stratum"])
+    at = pairs.select(*keys, stratum(c).alias("stratum"), (p - c / 4).alias("p"), (y - c / 4).alias("y"), y.alias("_y"), F.when(c > 0, -y * (F.log(F.greatest(p, F.lit(1e-12))) - F.log(F.when(c > 0, c)))).alias("_loss"))
+    m = at.groupBy(*keys, "stratum").agg((F.count("*") / 4).cast("long").alias("parent_gene_pairs"), F.sum("_y").alias("umis"), F.sum("_loss").alias("loss"), *energies())
+    share = F.col("parent_gene_pairs") / F.sum("parent_gene_pairs").over(Window.partitionBy(*keys))
+    some = F.col("stratum") != "0"
+    nll = F.when(some, F.col("loss") / F.when(some, F.col("umis")))
+    return m.select(*keys, "stratum", "parent_gene_pairs", share.alias("share"), "umis", nll.alias("nll"), (F.lit(math.log(4)) - nll).alias("gain"), F.when(some, correlation(1e-20)).alias("pcc"), F.when(some, rms_ratio(1e-20)).alias("rms_ratio"))
 
 
 def stratum(c: Column) -> Column:
-    """Count strata of parents: 1, 2-4, 5 and more."""
-    return F.when(c == 1, "1").when(c <= 4, "2-4").otherwise("5+")
+    """Count strata of parents: 0, 1, 2-4, 5 and more."""
+    return F.when(c == 0, "0").when(c == 1, "1").when(c <= 4, "2-4").otherwise("5+")
 
 
 def rolled_up(scores: DataFrame, value: str, *levels: str) -> DataFrame:

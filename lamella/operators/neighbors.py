@@ -39,6 +39,56 @@ def nearest(points: DataFrame, others: DataFrame, k: int, radius: float, key: li
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest_any(points: DataFrame, others: DataFrame, k: int, key: list[str], size: float, tie: str = "other") -> DataFrame:
+    """The k nearest of the others at any distance, exactly; ties go to the smaller ``tie`` column. Fewer where fewer exist.
+
+    ``points``: (section_id, *key, cy, cx), one row each; ``others``: (section_id, other, oy, ox, ..). Buckets start at
+    ``size`` and double. A point looks into its 3 x 3 buckets once their numbers say that these hold k others; it is done
+    when the k-th lies no further away than a bucket is wide, as nothing nearer can lie outside. If it lies further, the
+    buckets of that width are sure to hold all k. Only open points go on, and none compares with others more than twice.
+    """
+    from lamella.session import checkpointed
+
+    at = ["section_id", *key]
+    total = others.groupBy("section_id").agg(F.count("*").alias("_all"))
+    open_ = checkpointed(points.join(total, "section_id").select(*points.columns, "_all", F.lit(0).alias("_level"), F.lit(False).alias("_sure")))
+    pool, found, columns = open_.columns, [], None
+    while (level := open_.agg(F.min("_level")).first()[0]) is not None:
+        if level > 64:
+            raise RuntimeError("points are further apart than 2^64 buckets")
+        s = size * 2.0**level
+        held = others.withColumn("_by", _bucket("oy", s)).withColumn("_bx", _bucket("ox", s))
+        load = held.groupBy("section_id", "_by", "_bx").agg(F.count("*").alias("_c"))
+        todo = open_.where(F.col("_level") == level)
+        near = _around(todo.select(*at, "cy", "cx"), s).join(load, ["section_id", "_by", "_bx"]).groupBy(*at).agg(F.sum("_c").alias("_n"))
+        todo = checkpointed(todo.join(near, at, "left").withColumn("_n", F.coalesce("_n", F.lit(0))))
+        enough = F.col("_sure") | (F.col("_n") >= F.least(F.lit(k), F.col("_all")))
+        met = _around(todo.where(enough).select(*points.columns), s).join(held, ["section_id", "_by", "_bx"]).drop("_by", "_bx")
+        d2 = (F.col("cy") - F.col("oy")) ** 2 + (F.col("cx") - F.col("ox")) ** 2
+        w = Window.partitionBy(*at).orderBy("d2", tie)
+        top = checkpointed(met.withColumn("d2", d2).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+        columns = top.columns
+        judged = todo.where(enough).join(top.groupBy(*at).agg(F.max("d2").alias("_d2")), at)
+        done = (F.col("_n") == F.col("_all")) | (F.col("_d2") <= s * s)
+        found.append(top.join(judged.where(done).select(*at), at, "left_semi"))
+        wider = F.greatest(F.lit(level + 1), F.ceil(F.log2(F.sqrt("_d2") / size)).cast("int"))
+        again = judged.where(~done).withColumn("_level", wider).withColumn("_sure", F.lit(True)).select(*pool)
+        later = todo.where(~enough).withColumn("_level", F.lit(level + 1)).select(*pool)
+        open_ = checkpointed(open_.where(F.col("_level") > level).unionByName(again).unionByName(later))
+    if not found:
+        return points.join(others, "section_id").withColumn("d2", F.lit(0.0)).withColumn("rank", F.lit(0)).where("false")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select(*columns)
+
+
+def within_any(cells: DataFrame, centers: DataFrame, radius: float) -> DataFrame:
+    """Cells (section_id, cy, cx, ..) with a centre (section_id, oy, ox) at most ``radius`` away, once each."""
+    met = within(cells, centers.withColumn("other", F.lit(0)), radius)
+    return met.select(*cells.columns).distinct()
+
+
 def support(found: DataFrame, points: DataFrame, k: int, scale: float, key: list[str]) -> DataFrame:
     """For each point: share of k neighbours found, distance of the nearest by scale (1 if none), and whether any was."""
     m = found.groupBy("section_id", *key).agg(F.count("*").alias("n"), F.min("d2").alias("d2"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.operators import counts, metrics
+from lamella.operators import allocate, counts, metrics
 from lamella.operators.geometry import down
 
 
@@ -58,6 +58,23 @@ def pair_nll(restored: DataFrame, counts_: DataFrame, pairs: DataFrame, *keys: s
     return metrics.poisson_nll(both, *keys)
 
 
+def merged_pair_nll(weights: DataFrame, counts_: DataFrame, pairs: DataFrame, *keys: str) -> DataFrame:
+    """Loss of chosen pairs of parents (section_id, first, second) whose counts were merged, allocated together and restored.
+
+    ``weights``: (section_id, parent_id, qy, qx, gene_id, weight) of segments. A merged segment that lies in both parents
+    fails, as its mass belongs to neither alone.
+    """
+    chosen = pairs.select("section_id", F.explode(F.array(F.struct(F.col("first").alias("parent_id"), "first"), F.struct(F.col("second").alias("parent_id"), "first"))).alias("c")).select("section_id", "c.parent_id", F.col("c.first").alias("merged"))
+    both = weights.join(chosen, ["section_id", "parent_id"])
+    known = counts_.join(chosen, ["section_id", "parent_id"], "left_semi")
+    merged = counts.merged_parents(known, pairs)
+    segment = ["section_id", "qy", "qx", "part"]
+    original = both.select("section_id", "qy", "qx", F.col("merged").alias("part"), "parent_id").distinct()
+    summed = both.groupBy("section_id", F.col("merged").alias("parent_id"), "qy", "qx", "gene_id").agg(F.sum("weight").alias("weight"))
+    mass = allocate.allocate(summed, merged).withColumnRenamed("parent_id", "part").select(*segment, "gene_id", "mass")
+    return pair_nll(allocate.restored(mass, original), known, pairs, *keys)
+
+
 def gain_over_baseline(pairs: DataFrame, *keys: str) -> DataFrame:
     """Loss per count of a baseline b less that of a prediction p."""
     p, b, y = (F.col(v).cast("double") for v in "pby")

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.operators.ranks import ranked
+
 
 def stable_seed(*values) -> int:
     """First 8 bytes (little-endian) of the SHA-256 of a compact JSON list, modulo 2^63 - 1."""
@@ -26,19 +28,49 @@ def shuffled(items: DataFrame, seed: int, partition: list[str], item: str, posit
     return items.withColumn(position, F.row_number().over(Window.partitionBy(*partition).orderBy(key, item)).cast("long") - 1)
 
 
-def epoch_draw(items: DataFrame, seed: int, epoch: int, quota: int, partition: list[str], item: str) -> DataFrame:
-    """Draws [(epoch-1)q, epoch q) of each partition from cycles over all items, a new order for each cycle.
+def seed_column(json_list: Column) -> Column:
+    """``stable_seed`` of the compact JSON text of a list, as a column."""
+    digest = F.sha2(json_list, 256)
+    swapped = F.concat(*[F.substring(digest, 15 - 2 * i, 2) for i in range(8)])
+    return (F.conv(swapped, 16, 10).cast("decimal(20,0)") % F.lit(2**63 - 1).cast("decimal(20,0)")).cast("long")
+
+
+MODES = ("fresh", "shuffled_cycles", "fresh_then_shuffled_cycles")
+
 
-    A draw is its cycle and position, so that no earlier epoch has to be replayed.
+def epoch_draw(items: DataFrame, seed: int, epoch: int, quota: int, partition: list[str], item: str, mode: str = "shuffled_cycles") -> DataFrame:
+    """Draws [(epoch-1)q, epoch q) of each partition: (.., cycle, position, draw, item).
+
+    "shuffled_cycles": cycles over all items, a new order for each. "fresh": items in their own order, none twice; a pool
+    that does not last to the end of the epoch fails. "fresh_then_shuffled_cycles": the first cycle is fresh, the others are
+    shuffled. A draw is its cycle and position, so that no earlier epoch has to be replayed.
     """
+    if mode not in MODES or epoch < 1 or quota < 1:
+        raise ValueError("a known mode, and an epoch and a quota from 1 on")
     size = items.groupBy(*partition).agg(F.count("*").alias("size"))
+    if mode == "fresh":
+        lasts = F.col("size") >= epoch * quota
+        size = size.withColumn("size", F.when(lasts, F.col("size")).otherwise(F.raise_error(F.lit("a pool of fresh items is exhausted")).cast("long")))
     draws = size.withColumn("draw", F.explode(F.sequence(F.lit((epoch - 1) * quota), F.lit(epoch * quota - 1)))).withColumn("cycle", F.floor(F.col("draw") / F.col("size")).cast("long")).withColumn("position", (F.col("draw") % F.col("size")).cast("long"))
     cycles = draws.select(*partition, "cycle").distinct()
-    ordered = shuffled(items.join(cycles, partition), seed, [*partition, "cycle"], item)
+    parts = []
+    if mode != "shuffled_cycles":
+        own = items.join(cycles.where("cycle = 0"), partition)
+        parts.append(ranked(own, [item], partition, "position"))
+        cycles = cycles.where("cycle > 0")
+    if mode != "fresh":
+        parts.append(shuffled(items.join(cycles, partition), seed, [*partition, "cycle"], item))
+    ordered = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return draws.select(*partition, "cycle", "position", "draw").join(ordered, [*partition, "cycle", "position"])
 
 
-def quota(epoch: Column, per_epoch: float) -> Column:
+def epoch_order(items: DataFrame, seed: int, epoch: int, key: list[str], name: str = "place") -> DataFrame:
+    """Items of an epoch with their place in one seeded order over everything, by range partitions of the hash."""
+    text = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), *[F.col(c).cast("string") for c in key]), 256)
+    return ranked(items.withColumn("_order", text), ["_order", *key], None, name).drop("_order")
+
+
+def quota(epoch: Column, per_epoch: float | Column) -> Column:
     """Whole items due in an epoch so that the running total stays rounded: differences of floor(e q + 1/2)."""
     upto = lambda e: F.floor(e * per_epoch + 0.5 + 1e-9)
     return (upto(epoch) - upto(epoch - 1)).cast("long")
@@ -57,13 +89,16 @@ def phase_views(items: DataFrame, presentations: int, order: str, partition: lis
     return out.withColumn("phase", phase.cast("int"))
 
 
-def exposure_plan(fields: DataFrame, budget: int, batch: int, epochs: int, floor: int) -> DataFrame:
-    """Fields an epoch, steps an epoch, steps in all and size of the last batch; a section below ``floor`` fails.
+def exposure_plan(fields: DataFrame, budgets: DataFrame, batch: int, epochs: int) -> DataFrame:
+    """Fields an epoch, steps an epoch, steps in all and size of the last batch.
 
-    Every section shows ``budget`` fields an epoch, or all it has.
+    ``budgets``: (section_id, budget, floor), one row for every section of ``fields`` and for no other. A budget below its
+    floor or beyond its section's fields fails; none is lowered.
     """
-    each = fields.groupBy("section_id").agg(F.least(F.count("*"), F.lit(budget)).alias("n"))
-    each = each.withColumn("n", F.when(F.col("n") >= floor, F.col("n")).otherwise(F.raise_error(F.lit("a section has too few fields")).cast("long")))
+    pool = fields.groupBy("section_id").agg(F.count("*").alias("_pool"))
+    each = pool.join(budgets, "section_id", "full")
+    fine = F.coalesce((F.col("budget") >= F.col("floor")) & (F.col("floor") > 0) & (F.col("budget") <= F.col("_pool")), F.lit(False))
+    each = each.withColumn("n", F.when(fine, F.col("budget")).otherwise(F.raise_error(F.lit("a section's budget misses its floor or its fields")).cast("long")))
     total = each.agg(F.sum("n").alias("fields_per_epoch"))
     steps = F.ceil(F.col("fields_per_epoch") / batch)
     return total.select("fields_per_epoch", steps.alias("steps_per_epoch"), (steps * epochs).alias("steps"), ((F.col("fields_per_epoch") - 1) % batch + 1).alias("last_batch"))
@@ -193,7 +228,8 @@ def split_faults(sections: DataFrame) -> DataFrame:
 
 
 def learning_rate(step: Column, top: float, floor: float, warm: int, steps: int) -> Column:
-    """Linear warm-up to ``top`` over ``warm`` steps, then a half cosine down to ``floor``."""
-    s = step.cast("double")
-    cosine = floor + (top - floor) * (1 + F.cos(F.lit(3.141592653589793) * F.least(F.lit(1.0), (s - warm) / float(steps - warm)))) / 2
-    return F.when(s < warm, top * (s + 1) / warm).otherwise(cosine)
+    """Rate of the update after ``step`` others: linear warm-up to ``top`` over ``warm`` updates, then a half cosine to ``floor``."""
+    done = step.cast("double") + 1
+    progress = F.least(F.lit(1.0), (done - warm) / float(max(1, steps - warm)))
+    cosine = floor + (top - floor) * (1 + F.cos(F.lit(3.141592653589793) * progress)) / 2
+    return F.when(done <= warm, top * done / max(1, warm)).otherwise(cosine)

@@ -202,7 +202,7 @@ def spatial_gene_pcc(spark, sf_dir):
 @query(
     PAIRS
     + """, t AS (SELECT *, sum(p) OVER (PARTITION BY section_id, qy, qx) AS tp, sum(y) OVER (PARTITION BY section_id, qy, qx) AS ty FROM pairs)
-    SELECT section_id, qy, qx, round(CASE WHEN count(*) > 1 AND var_pop(p) * count(*) > 1e-12 AND var_pop(y) * count(*) > 1e-12 THEN corr(p, y) END, 5) + 0.0 AS pcc,
+    SELECT section_id, qy, qx, round(CASE WHEN var_pop(p) > 0 AND var_pop(y) > 0 THEN corr(p, y) END, 5) + 0.0 AS pcc,
       round(CASE WHEN any_value(tp) = 0 THEN 1 ELSE sum(abs(CASE WHEN tp <> 0 THEN p/tp ELSE 0 END - y/ty))/2 END + 1e-9, 6) + 0.0 AS bray_curtis FROM t WHERE ty > 0 GROUP BY 1,2,3"""
 )
 def position_scores(spark, sf_dir):
@@ -287,13 +287,36 @@ RESIDUALS = ", s AS (SELECT *, CASE WHEN c = 1 THEN '1' WHEN c <= 4 THEN '2-4' E
 @query(
     TILTED
     + RESIDUALS
-    + """ SELECT section_id, stratum, CAST(count(*)/4 AS BIGINT) AS parent_gene_pairs, sum(y) AS umis, round(-sum(y*(ln(greatest(p, 1e-12)) - ln(c)))/sum(y), 6) + 0.0 AS nll,
-    round(ln(4) + sum(y*(ln(greatest(p, 1e-12)) - ln(c)))/sum(y), 6) + 0.0 AS gain, round(corr(rp, ry), 5) + 0.0 AS pcc, round(sqrt(sum(rp*rp)/sum(ry*ry)), 6) + 0.0 AS rms_ratio FROM s GROUP BY 1,2"""
+    + """, allp AS (SELECT section_id, (SELECT count(DISTINCT gene_id) FROM native_counts)*count(DISTINCT (py, px)) AS n FROM tilted GROUP BY 1),
+    k AS (SELECT section_id, stratum, CAST(count(*)/4 AS BIGINT) AS parent_gene_pairs, sum(y) AS umis, round(-sum(y*(ln(greatest(p, 1e-12)) - ln(c)))/sum(y), 6) + 0.0 AS nll,
+    round(ln(4) + sum(y*(ln(greatest(p, 1e-12)) - ln(c)))/sum(y), 6) + 0.0 AS gain, round(corr(rp, ry), 5) + 0.0 AS pcc, round(sqrt(sum(rp*rp)/sum(ry*ry)), 6) + 0.0 AS rms_ratio FROM s GROUP BY 1,2
+    UNION ALL SELECT section_id, '0', n - (SELECT count(*)/4 FROM tilted t WHERE t.section_id = allp.section_id), 0, NULL, NULL, NULL, NULL FROM allp WHERE n > (SELECT count(*)/4 FROM tilted t WHERE t.section_id = allp.section_id))
+    SELECT section_id, stratum, CAST(parent_gene_pairs AS BIGINT) AS parent_gene_pairs, round(parent_gene_pairs/n, 6) AS share, umis, nll, gain, pcc, rms_ratio FROM k JOIN allp USING (section_id)"""
 )
 def stratum_residuals(spark, sf_dir):
-    """Residuals against a quarter of the parent, by parent count."""
-    s = metrics.stratum_scores(_tilted_pairs(spark, sf_dir), "section_id")
-    return s.select("section_id", "stratum", "parent_gene_pairs", "umis", r6("nll").alias("nll"), r6("gain").alias("gain"), (F.round("pcc", 5) + F.lit(0.0)).alias("pcc"), r6("rms_ratio").alias("rms_ratio"))
+    """Residuals against a quarter of the parent, by parent count; parents without a gene's counts are a stratum too."""
+    pairs = _tilted_pairs(spark, sf_dir).select("section_id", "py", "px", "qy", "qx", "gene_id", "p", "y", "c")
+    genes = native_counts(spark, sf_dir).select("gene_id").distinct()
+    cells = pairs.select("section_id", "py", "px", "qy", "qx").distinct().crossJoin(F.broadcast(genes))  # 16 genes
+    zero = cells.join(pairs, ["section_id", "py", "px", "qy", "qx", "gene_id"], "left_anti").select("*", *[F.lit(0.0).alias(c) for c in "pyc"])
+    s = metrics.stratum_scores(pairs.unionByName(zero), "section_id")
+    return s.select("section_id", "stratum", "parent_gene_pairs", F.round("share", 6).alias("share"), "umis", r6("nll").alias("nll"), r6("gain").alias("gain"), (F.round("pcc", 5) + F.lit(0.0)).alias("pcc"), r6("rms_ratio").alias("rms_ratio"))
+
+
+@query(
+    TILTED
+    + """, t AS (SELECT *, sum(p) OVER w AS tp, sum(y) OVER w AS ty, sum(c) OVER w AS tc, row_number() OVER (PARTITION BY section_id, qy, qx) AS k FROM tilted WINDOW w AS (PARTITION BY section_id, qy, qx)),
+    r AS (SELECT section_id, 'gene' AS kind, p - c/4 AS a, y - c/4 AS b FROM t UNION ALL SELECT section_id, 'total', tp - tc/4, ty - tc/4 FROM t WHERE k = 1
+      UNION ALL SELECT section_id, 'composition', p - c/greatest(tc, 1)*tp, y - c/greatest(tc, 1)*ty FROM t),
+    m AS (SELECT section_id, kind, corr(a, b) AS pcc, sqrt(sum(a*a)/sum(b*b)) AS ratio FROM r GROUP BY 1, 2)
+    SELECT section_id, """
+    + ", ".join(f"round(max(pcc) FILTER (WHERE kind = '{k}'), 5) + 0.0 AS {k}_residual_pcc, round(max(ratio) FILTER (WHERE kind = '{k}'), 6) + 0.0 AS {k}_residual_rms_ratio" for k in ("gene", "total", "composition"))
+    + " FROM m GROUP BY 1"
+)
+def gain_residuals(spark, sf_dir):
+    """Residuals of genes, totals of cells and compositions."""
+    g = metrics.gain_residuals(_tilted_pairs(spark, sf_dir), ["section_id"], ["qy", "qx"])
+    return g.select("section_id", *[(F.round(c, 5 if c.endswith("pcc") else 6) + F.lit(0.0)).alias(c) for c in g.columns if c != "section_id"])
 
 
 @query(TILTED + RESIDUALS + "SELECT section_id, gene_id % 3 AS gene_group, count(*) AS n, round(corr(rp, ry), 5) + 0.0 AS pcc, round(sqrt(sum(rp*rp)/sum(ry*ry)), 6) + 0.0 AS rms_ratio FROM s GROUP BY 1,2")

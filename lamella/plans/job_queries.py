@@ -11,7 +11,7 @@ from lamella.plans.fixture import GRID, native_counts, spots, table
 from lamella.plans.fixture import owners as owned_pixels
 from lamella.plans.image_queries import SIDE, T, _cell_density, _x, _y
 from lamella.plans.image_queries import DENSITY
-from lamella.plans.owner_queries import KNN, O, WEIGHTED, _counts, _knn, _mass, _queries8, _segments, _valid
+from lamella.plans.owner_queries import KNN, O, WEIGHTED, _counts, _knn, _mass, _queries8, _segments, _valid, _weights
 from lamella.plans.registry import query, r6
 from lamella.plans.sampling_queries import BLOCKS, FIELDS, _blocks, _fields
 
@@ -104,7 +104,7 @@ EVALUATED = (
     d AS (SELECT *, CASE WHEN p1 > p0 THEN (p-p0)/(p1-p0) ELSE 0 END - CASE WHEN y1 > y0 THEN (y-y0)/(y1-y0) ELSE 0 END AS d FROM r),
     g AS (SELECT section_id, gene_id, CASE WHEN max(y) > min(y) AND max(p) > min(p) THEN corr(p, y) END AS pcc, sqrt(avg(d*d)) AS nrmse, avg(abs(p-y)) AS mae FROM d GROUP BY 1, 2),
     s AS (SELECT *, sum(p) OVER w AS tp, sum(y) OVER w AS ty FROM e WINDOW w AS (PARTITION BY section_id, qy, qx)),
-    q AS (SELECT section_id, qy, qx, CASE WHEN var_pop(p)*count(*) > 1e-12 AND var_pop(y)*count(*) > 1e-12 THEN corr(p, y) END AS pcc,
+    q AS (SELECT section_id, qy, qx, CASE WHEN var_pop(p) > 0 AND var_pop(y) > 0 THEN corr(p, y) END AS pcc,
       CASE WHEN any_value(tp) = 0 THEN 1 ELSE sum(abs(CASE WHEN tp <> 0 THEN p/tp ELSE 0 END - y/ty))/2 END AS bc FROM s WHERE ty > 0 GROUP BY 1,2,3)"""
 )
 
@@ -273,12 +273,19 @@ def gain_over_baseline(spark, sf_dir):
     return g.withColumn("gain", r6("gain"))
 
 
-@query(WEIGHTED + ", r AS (SELECT section_id, parent_id, gene_id, sum(mass)*(1 + gene_id/20.0::DOUBLE) AS p FROM mass WHERE parent_id IN (0, 1, 6, 7) GROUP BY 1,2,3), b AS (SELECT r.section_id, p, coalesce(umi, 0) AS y FROM r LEFT JOIN cnt USING (section_id, parent_id, gene_id)) SELECT section_id, round(sum(p - y*ln(greatest(p, 1e-12)))/greatest(sum(y), 1), 6) + 0.0 AS nll, CAST(sum(y) AS DOUBLE) AS umi FROM b GROUP BY 1")
+@query(
+    WEIGHTED
+    + """, one AS (SELECT *, CASE WHEN parent_id IN (1, 7) THEN parent_id - 1 ELSE parent_id END AS merged FROM w WHERE parent_id IN (0, 1, 6, 7)),
+    two AS (SELECT section_id, CASE WHEN parent_id IN (1, 7) THEN parent_id - 1 ELSE parent_id END AS merged, gene_id, sum(umi) AS umi FROM cnt WHERE parent_id IN (0, 1, 6, 7) GROUP BY 1, 2, 3),
+    m AS (SELECT one.section_id, one.parent_id, one.gene_id, weight*umi/sum(weight) OVER (PARTITION BY one.section_id, one.merged, one.gene_id) AS mass FROM one JOIN two ON two.section_id = one.section_id AND two.merged = one.merged AND two.gene_id = one.gene_id),
+    b AS (SELECT section_id, parent_id, gene_id, sum(mass) AS p FROM m GROUP BY 1, 2, 3),
+    f AS (SELECT section_id, coalesce(p, 0) AS p, CAST(coalesce(umi, 0) AS DOUBLE) AS y FROM b FULL JOIN (SELECT * FROM cnt WHERE parent_id IN (0, 1, 6, 7)) USING (section_id, parent_id, gene_id))
+    SELECT section_id, round(sum(p - y*ln(greatest(p, 1e-12)))/greatest(sum(y), 1), 6) + 0.0 AS nll, sum(y) AS umi FROM f GROUP BY 1"""
+)
 def pair_nll(spark, sf_dir):
-    """Loss over the two parents of chosen pairs."""
-    restored = _mass(spark, sf_dir).where("parent_id >= 0").groupBy("section_id", "parent_id", "gene_id").agg((F.sum("mass") * (1 + F.first("gene_id") / 20.0)).alias("mass"))
-    o = owned_pixels(spark, sf_dir).select("section_id", F.col("parent_id").alias("first")).distinct().where("first IN (0, 6)")
-    s = objectives.pair_nll(restored, _counts(spark, sf_dir), o.withColumn("second", F.col("first") + 1), "section_id")
+    """Chosen pairs of parents are merged, allocated as one and scored apart again."""
+    pairs = owned_pixels(spark, sf_dir).select("section_id", F.col("parent_id").alias("first")).distinct().where("first IN (0, 6)").withColumn("second", F.col("first") + 1)
+    s = objectives.merged_pair_nll(_weights(spark, sf_dir), _counts(spark, sf_dir), pairs, "section_id")
     return s.select("section_id", r6("nll").alias("nll"), "umi")
 
 

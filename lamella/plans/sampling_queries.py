@@ -37,10 +37,12 @@ def epoch_draw(spark, sf_dir):
     return sampling.epoch_draw(_items(spark, sf_dir), 7, 3, 5000, ["section_id"], "field").select("section_id", F.col("draw").cast("long").alias("draw"), "cycle", "field")
 
 
-@query("SELECT e AS epoch, CAST(floor(e*q + 0.5 + 1e-9) - floor((e-1)*q + 0.5 + 1e-9) AS BIGINT) AS due FROM (SELECT unnest(range(1, 61)) AS e), (SELECT count(*) / 777.0::DOUBLE AS q FROM orders)")
+@query(f"WITH {ITEMS}, q AS (SELECT section_id, count(*)/7.0::DOUBLE AS q FROM items GROUP BY 1) SELECT section_id, e AS epoch, CAST(floor(e*q + 0.5 + 1e-9) - floor((e-1)*q + 0.5 + 1e-9) AS BIGINT) AS due FROM q, (SELECT unnest(range(1, 61)) AS e)")
 def cumulative_quota(spark, sf_dir):
-    per_epoch = table(spark, sf_dir, "orders").count() / 777.0
-    return spark.range(1, 61).select(F.col("id").alias("epoch"), sampling.quota(F.col("id").cast("double"), per_epoch).alias("due"))
+    """What every section owes in each of 60 epochs at a seventh of its fields an epoch."""
+    per_epoch = _items(spark, sf_dir).groupBy("section_id").agg((F.count("*") / 7.0).alias("q"))
+    each = per_epoch.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(60).cast("long"))))
+    return each.select("section_id", "epoch", sampling.quota(F.col("epoch").cast("double"), F.col("q")).alias("due"))
 
 
 VIEWS = f"""{ITEMS}, o AS (SELECT *, CAST((row_number() OVER (PARTITION BY section_id ORDER BY field) - 1) % 4 AS INTEGER) AS s,
@@ -64,9 +66,55 @@ def phase_balance(spark, sf_dir):
     return views.groupBy("section_id", "phase").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {ITEMS}, e AS (SELECT section_id, least(count(*), 400) AS n FROM items GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS fields_per_epoch, CAST(ceil(sum(n)/16.0) AS BIGINT) AS steps_per_epoch, CAST(ceil(sum(n)/16.0)*240 AS BIGINT) AS steps, CAST((sum(n)-1) % 16 + 1 AS BIGINT) AS last_batch FROM e")
+@query(f"WITH {ITEMS}, e AS (SELECT section_id, CAST(ceil(count(*)/3.0) AS BIGINT) AS n FROM items GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS fields_per_epoch, CAST(ceil(sum(n)/16.0) AS BIGINT) AS steps_per_epoch, CAST(ceil(sum(n)/16.0)*240 AS BIGINT) AS steps, CAST((sum(n)-1) % 16 + 1 AS BIGINT) AS last_batch FROM e")
 def exposure_plan(spark, sf_dir):
-    return sampling.exposure_plan(_items(spark, sf_dir), 400, 16, 240, 1)
+    """A third of every section's fields an epoch."""
+    items = _items(spark, sf_dir)
+    budgets = items.groupBy("section_id").agg(F.ceil(F.count("*") / 3).alias("budget"), F.lit(1).alias("floor"))
+    return sampling.exposure_plan(items, budgets, 16, 240)
+
+
+#: Sections of 50 customers that have 12 orders or more, of which an epoch takes four.
+LARGE = f"{ITEMS}, pool AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY field) - 1 AS k FROM items WHERE section_id IN (SELECT section_id FROM items GROUP BY 1 HAVING count(*) >= 12))"
+
+
+def _large(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    return items.join(items.groupBy("section_id").count().where("count >= 12").select("section_id"), "section_id", "left_semi")
+
+
+@query(f"WITH {LARGE} SELECT section_id, k AS draw, field FROM pool WHERE k BETWEEN 8 AND 11")
+def fresh_draw(spark, sf_dir):
+    """Third epoch of four fresh items a section: none comes twice."""
+    return sampling.epoch_draw(_large(spark, sf_dir), 7, 3, 4, ["section_id"], "field", "fresh").select("section_id", F.col("draw").cast("long").alias("draw"), "field")
+
+
+@query(
+    f"""WITH {LARGE}, s AS (SELECT section_id, count(*) AS size FROM pool GROUP BY 1),
+    d AS (SELECT section_id, draw, CAST(floor(draw/(size*1.0::DOUBLE)) AS BIGINT) AS cycle, draw % size AS position FROM s, (SELECT unnest(range(60, 120)) AS draw)),
+    o AS (SELECT section_id, cycle, field, CASE WHEN cycle = 0 THEN k ELSE {order_sql(7, 'section_id, cycle')} END AS position FROM pool JOIN (SELECT DISTINCT section_id, cycle FROM d) USING (section_id))
+    SELECT section_id, draw, cycle, field FROM d JOIN o USING (section_id, cycle, position)"""
+)
+def fresh_then_cycles(spark, sf_dir):
+    """Second epoch of 60: in their own order as long as they last, shuffled afterwards."""
+    drawn = sampling.epoch_draw(_large(spark, sf_dir), 7, 2, 60, ["section_id"], "field", "fresh_then_shuffled_cycles")
+    return drawn.select("section_id", F.col("draw").cast("long").alias("draw"), "cycle", "field")
+
+
+@query(f"WITH {ITEMS} SELECT section_id, field, row_number() OVER (ORDER BY sha256(concat_ws(':', '3', '5', CAST(section_id AS VARCHAR), CAST(field AS VARCHAR))), section_id, field) - 1 AS place FROM items")
+def global_epoch_order(spark, sf_dir):
+    """All items in one order, although no task sees more than its range of it."""
+    return sampling.epoch_order(_items(spark, sf_dir), 3, 5, ["section_id", "field"])
+
+
+@query(
+    f"""WITH {ITEMS}, j AS (SELECT section_id, field, sha256('[5,' || section_id || ',' || field || ',"random_owner"]') AS h FROM items)
+    SELECT section_id, field, CAST(CAST('0x' || array_to_string([substr(h, 15 - 2*i, 2) FOR i IN range(0, 8)], '') AS UBIGINT) % 9223372036854775807 AS BIGINT) AS seed FROM j"""
+)
+def mask_seeds(spark, sf_dir):
+    """Seed of every item's random owners: little-endian hash of a compact JSON list."""
+    text = F.concat(F.lit("[5,"), F.col("section_id"), F.lit(","), F.col("field"), F.lit(',"random_owner"]'))
+    return _items(spark, sf_dir).withColumn("seed", sampling.seed_column(text))
 
 
 @query(f"WITH {ITEMS} SELECT section_id, field, p AS position FROM (SELECT section_id, field, {order_sql(13, 'section_id, epoch')} AS p FROM (SELECT *, 5 AS epoch FROM items)) WHERE p < 64")
@@ -80,7 +128,7 @@ def chosen_pairs(spark, sf_dir):
     return sampling.chosen_pair(pairs, 17, ["section_id"], "a", "b")
 
 
-@query("SELECT o_orderkey, round(CASE WHEN s < 100 THEN 3e-4*(s+1)/100 ELSE 1e-5 + (3e-4-1e-5)*(1 + cos(3.141592653589793*least(1.0, (s-100)/900.0::DOUBLE)))/2 END, 9) + 0.0 AS rate FROM (SELECT o_orderkey, CAST(o_orderkey % 1200 AS DOUBLE) AS s FROM orders)")
+@query("SELECT o_orderkey, round(CASE WHEN d <= 100 THEN 3e-4*d/100 ELSE 1e-5 + (3e-4 - 1e-5)*0.5*(1 + cos(pi()*least(1.0::DOUBLE, (d - 100)/900.0::DOUBLE))) END, 9) + 0.0 AS rate FROM (SELECT o_orderkey, CAST(o_orderkey % 1200 + 1 AS DOUBLE) AS d FROM orders)")
 def learning_rates(spark, sf_dir):
     step = F.col("o_orderkey") % 1200
     return table(spark, sf_dir, "orders").select("o_orderkey", (F.round(sampling.learning_rate(step, 3e-4, 1e-5, 100, 1000), 9) + F.lit(0.0)).alias("rate"))

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from lamella.plans import anchor_queries, audit_queries, count_queries, image_queries, job_queries, owner_queries, registry, sampling_queries, source_queries, stream_queries  # noqa: F401
+from lamella.plans import anchor_queries, audit_queries, count_queries, image_queries, job_queries, owner_queries, registry, sampling_queries, section_queries, source_queries, store_queries, stream_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
