@@ -91,7 +91,7 @@ def field_values(fields: DataFrame, observed: DataFrame, prior: Column, rows: in
 def stitched(values: DataFrame, covered: DataFrame) -> DataFrame:
     """(section_id, qy, qx, gene_id, value, coverage): means over all cores; a cell whose contributions differ from its coverage fails."""
     sums = values.groupBy(*CELL, "gene_id").agg(F.sum("value").alias("total"), F.count("*").alias("seen"))
-    met = sums.join(covered.select(*CELL, "coverage"), CELL, "left")
+    met = covered.select(*CELL, "coverage").join(sums, CELL, "left")
     whole = F.coalesce(F.col("seen") == F.col("coverage"), F.lit(False))
     return met.select(*CELL, "gene_id", checks.guarded(F.col("total") / F.col("coverage"), whole, "a cell lacks a core's contribution", "double").alias("value"), "coverage")
 

@@ -110,7 +110,8 @@ def same_genes(prediction: DataFrame, reference: DataFrame) -> DataFrame:
     r = reference.select("section_id", "pos", F.col("gene_id").alias("_gene"), F.col("available").alias("_available"))
     met = prediction.join(r, ["section_id", "pos"], "full")
     kind = dict(prediction.dtypes)["gene_id"]
-    gene = guarded(F.col("gene_id"), F.coalesce(F.col("gene_id") == F.col("_gene"), F.lit(False)), "the gene order of prediction and reference differs", kind)
-    gene = guarded(gene, F.coalesce(F.col("available") == F.col("_available"), F.lit(False)), "a gene is available on one side only", kind)
     some = F.max("available").over(Window.partitionBy("section_id"))  # a panel is a bounded list of genes
-    return met.select("section_id", guarded(gene, F.coalesce(some, F.lit(False)), "a section has no available gene", kind).alias("gene_id"), "pos", "available")
+    gene = guarded(F.col("gene_id"), F.coalesce(some, F.lit(False)), "a section has no available gene", kind)
+    gene = guarded(gene, F.coalesce(F.col("available") == F.col("_available"), F.lit(False)), "a gene is available on one side only", kind)
+    gene = guarded(gene, F.coalesce(F.col("gene_id") == F.col("_gene"), F.lit(False)), "the gene order of prediction and reference differs", kind)
+    return met.select("section_id", gene.alias("gene_id"), "pos", "available")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +41,11 @@ def nearest(points: DataFrame, others: DataFrame, k: int, radius: float, key: li
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest_any(points: DataFrame, others: DataFrame, k: int, key: list[str], size: float, tie: str = "other") -> DataFrame:
+def nearest_any(points: DataFrame, others: DataFrame, k: int, key: list[str], size: float, tie: str = "other", growth: float = 4.0) -> DataFrame:
     """The k nearest of the others at any distance, exactly; ties go to the smaller ``tie`` column. Fewer where fewer exist.
 
     ``points``: (section_id, *key, cy, cx), one row each; ``others``: (section_id, other, oy, ox, ..). Buckets start at
-    ``size`` and double. A point looks into its 3 x 3 buckets once their numbers say that these hold k others; it is done
+    ``size`` and grow by ``growth``. A point looks into its 3 x 3 buckets once their numbers say that these hold k others; it is done
     when the k-th lies no further away than a bucket is wide, as nothing nearer can lie outside. If it lies further, the
     buckets of that width are sure to hold all k. Only open points go on, and none compares with others more than twice.
     """
@@ -55,8 +57,8 @@ def nearest_any(points: DataFrame, others: DataFrame, k: int, key: list[str], si
     pool, found, columns = open_.columns, [], None
     while (level := open_.agg(F.min("_level")).first()[0]) is not None:
         if level > 64:
-            raise RuntimeError("points are further apart than 2^64 buckets")
-        s = size * 2.0**level
+            raise RuntimeError("points are further apart than 64 widths of buckets")
+        s = size * growth**level
         held = others.withColumn("_by", _bucket("oy", s)).withColumn("_bx", _bucket("ox", s))
         load = held.groupBy("section_id", "_by", "_bx").agg(F.count("*").alias("_c"))
         todo = open_.where(F.col("_level") == level)
@@ -71,7 +73,7 @@ def nearest_any(points: DataFrame, others: DataFrame, k: int, key: list[str], si
         judged = todo.where(enough).join(top.groupBy(*at).agg(F.max("d2").alias("_d2")), at)
         done = (F.col("_n") == F.col("_all")) | (F.col("_d2") <= s * s)
         found.append(top.join(judged.where(done).select(*at), at, "left_semi"))
-        wider = F.greatest(F.lit(level + 1), F.ceil(F.log2(F.sqrt("_d2") / size)).cast("int"))
+        wider = F.greatest(F.lit(level + 1), F.ceil(F.log(F.sqrt("_d2") / size) / math.log(growth)).cast("int"))
         again = judged.where(~done).withColumn("_level", wider).withColumn("_sure", F.lit(True)).select(*pool)
         later = todo.where(~enough).withColumn("_level", F.lit(level + 1)).select(*pool)
         open_ = checkpointed(open_.where(F.col("_level") > level).unionByName(again).unionByName(later))

@@ -27,12 +27,12 @@ def ranked(rows: DataFrame, order: list, partition: list[str] | None = None, nam
     """Rows with their place from 0 in ``order``, over everything or within each ``partition``; ties come in any order.
 
     Two passes over the sorted rows: one row for each range partition and section gives the offsets, whose running sum
-    sees no more rows than there are range partitions and sections.
+    sees no more rows than there are range partitions (fewer than 2^20) in a section.
     """
     partition = partition or []
     at = _sorted(rows, order, partition, parts)
     size = at.groupBy(*partition, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = Window.partitionBy(*(partition or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*(partition or [F.shiftright("_part", 20)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offset = size.select(*partition, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
     out = _met(at, offset, partition)
     return out.select(*rows.columns, (F.col("_at") + F.col("_offset")).alias(name))
@@ -45,7 +45,7 @@ def running(rows: DataFrame, value: str, order: list, partition: list[str] | Non
     inside = Window.partitionBy(*partition, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     at = at.withColumn("_upto", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     size = at.groupBy(*partition, "_part").agg(F.sum(value).alias("_n"))
-    before = Window.partitionBy(*(partition or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*(partition or [F.shiftright("_part", 20)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offset = size.select(*partition, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     out = _met(at, offset, partition)
     return out.select(*rows.columns, (F.col("_upto") + F.col("_offset")).alias(name))

@@ -39,11 +39,13 @@ def spot_centres(barcodes: DataFrame, positions: DataFrame, transform: list[list
     at twice its place and 1 um. A retained circle that leaves the capture or a repeated centre fails.
     """
     at = ["section_id", "barcode"]
-    places = unique(positions, at, "a position is repeated").withColumn("_known", F.lit(True))
-    met = unique(barcodes, at, "a barcode is repeated").join(places, at, "left")
-    met = met.withColumn("barcode", checks.guarded(F.col("barcode"), F.col("_known").isNotNull(), "a barcode has no position", "string")).drop("_known")
+    places, asked = unique(positions, at, "a position is repeated"), unique(barcodes, at, "a barcode is repeated")
     flag = lambda c: checks.guarded(F.col(c), F.coalesce(F.col(c).isin(0, 1), F.lit(False)), "a flag is neither 0 nor 1", "int")
-    kept = met.where((flag("in_tissue") == 1) & (flag("qc_pass") == 1))
+    kept = asked.join(places, at).where((flag("in_tissue") == 1) & (flag("qc_pass") == 1)).select("section_id", "col", "barcode", "pxl_row", "pxl_col")
+    # Barcodes without a position come in beside the filter, which would drop them before they are looked at.
+    lost = asked.join(places.select(*at), at, "left_anti")
+    lost = lost.select("section_id", "col", "barcode", *[F.raise_error(F.concat(F.lit("a barcode has no position: "), "barcode")).cast("double").alias(c) for c in ("pxl_row", "pxl_col")])
+    kept = kept.unionByName(lost)
     col, row = geometry.project(geometry.invert(transform), F.col("pxl_col"), F.col("pxl_row"))
     out = kept.withColumn("cy", row * 2 + 1).withColumn("cx", col * 2 + 1)
     r = diameter / 2

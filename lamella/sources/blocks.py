@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamella.operators import counts as count_operators
@@ -116,7 +116,7 @@ def square_owners(fields: DataFrame, fov: int = FOV) -> DataFrame:
     return at.withColumn("parent_id", down("ly", 8) * (fov // 8) + down("lx", 8))
 
 
-def frozen_owners(requests: DataFrame, layouts: DataFrame, owners: DataFrame, task: Column | str = "task") -> DataFrame:
+def frozen_owners(requests: DataFrame, layouts: DataFrame, owners: DataFrame) -> DataFrame:
     """Owner maps of validation fields: (section_id, field_id, task, ly, lx, parent_id).
 
     ``requests``: (section_id, field_id, task, y0, x0); task "HD16" is computed, "Spot55" comes from the store.
@@ -128,7 +128,8 @@ def frozen_owners(requests: DataFrame, layouts: DataFrame, owners: DataFrame, ta
     known = layouts.select(*at, "role", F.col("y0").alias("_y"), F.col("x0").alias("_x"), F.col("digest").alias("_digest"))
     met = requests.join(known, at, "left")
     fine = (F.col("role") == "validation") & (F.col("y0") == F.col("_y")) & (F.col("x0") == F.col("_x")) & F.col("task").isin("HD16", "Spot55")
-    met = met.withColumn("field_id", guarded(F.col("field_id"), F.coalesce(fine, F.lit(False)), "a layout is not this field's validation layout", "long"))
+    # The check is part of what splits requests by task, so that none is dropped before it was looked at.
+    met = met.withColumn("task", guarded(F.col("task"), F.coalesce(fine, F.lit(False)), "a layout is not this field's validation layout", "string"))
     computed = square_owners(met.where("task = 'HD16'").select(*at, "task"))
     stored = met.where("task = 'Spot55'").select(*at, "task", "_digest").join(layout_digest(owners, *at), at, "left")
     stored = stored.select(guarded(F.col("section_id"), F.coalesce(F.col("digest") == F.col("_digest"), F.lit(False)), "a stored layout has changed", "long").alias("section_id"), "field_id", "task")
