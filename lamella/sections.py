@@ -41,11 +41,14 @@ def spot_centres(barcodes: DataFrame, positions: DataFrame, transform: list[list
     at = ["section_id", "barcode"]
     places, asked = unique(positions, at, "a position is repeated"), unique(barcodes, at, "a barcode is repeated")
     flag = lambda c: checks.guarded(F.col(c), F.coalesce(F.col(c).isin(0, 1), F.lit(False)), "a flag is neither 0 nor 1", "int")
-    kept = asked.join(places, at).where((flag("in_tissue") == 1) & (flag("qc_pass") == 1)).select("section_id", "col", "barcode", "pxl_row", "pxl_col")
-    # Barcodes without a position come in beside the filter, which would drop them before they are looked at.
-    lost = asked.join(places.select(*at), at, "left_anti")
-    lost = lost.select("section_id", "col", "barcode", *[F.raise_error(F.concat(F.lit("a barcode has no position: "), "barcode")).cast("double").alias(c) for c in ("pxl_row", "pxl_col")])
-    kept = kept.unionByName(lost)
+    known = F.col("_known").isNotNull()
+    met = asked.join(places.withColumn("_known", F.lit(True)), at, "left")
+    # A barcode without a position passes the filter, which would drop it before it is looked at, and fails at its place.
+    met = met.select("section_id", "col", "barcode", *[F.when(known, F.col(c)).otherwise(1).alias(c) for c in ("in_tissue", "qc_pass")], "pxl_row", "pxl_col", "_known")
+    kept = met.where((flag("in_tissue") == 1) & (flag("qc_pass") == 1))
+    # An expression that is not deterministic: later filters and joins on the centre are not pushed below this check.
+    fine = known & (F.monotonically_increasing_id() >= 0)
+    kept = kept.withColumn("pxl_row", checks.guarded(F.col("pxl_row"), fine, "a barcode has no position", "double"))
     col, row = geometry.project(geometry.invert(transform), F.col("pxl_col"), F.col("pxl_row"))
     out = kept.withColumn("cy", row * 2 + 1).withColumn("cx", col * 2 + 1)
     r = diameter / 2
