@@ -47,6 +47,15 @@ HINTS = re.compile(
     r"pagination|pager|copyright|toolbar|skip|tags|teaser|outbrain|taboola)(?:$|[\s_-])",
     re.I,
 )
+# Inside an article a name must be one of these by itself or beside words of page layout; words of prose say nothing.
+#: What holds text of others, whatever it reads like.
+STRONG = re.compile(r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|gdpr|popup|modal|newsletter|subscribe|subscription|sidebar|widget\w*|comments?|commentlist|disqus|outbrain|taboola", re.I)
+#: What holds text of others unless it reads like main text.
+WEAK = re.compile(r"banner|consent|notice|overlay|nav|navbar|navigation|menu|breadcrumbs?|social|share|sharing|related|recommend\w*|reply|replies|respond|login|signin|signup|search|pagination|pager|copyright|toolbar|skip|tags|teaser", re.I)
+LAYOUT = frozenset("area bar block body bottom box button buttons content container entry form footer group header icons id inline inner item items js left link links list main meta module more panel post posts right row section side site slot text the thread title top unit wrap wrapper".split())
+#: Elements of running text, whose own names do not put them aside inside an article.
+TEXT = frozenset("a abbr b blockquote cite code dd dt em figcaption font h1 h2 h3 h4 h5 h6 i li p pre q small span strong sub sup td th u".split())
+PARAGRAPHS = frozenset("p blockquote dd".split())
 EDGES = re.compile(r"(?:^|[\s_-])(?:header|footer|masthead|topbar|bottom)(?:$|[\s_-])", re.I)
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*)(?:>|\Z|(?=<))", re.S)
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -59,6 +68,8 @@ class Block:
     boiler: bool  # inside an element that is never main text
     main: int  # number of the article or main element around it, 0 if none
     heading: bool
+    hint: bool = False  # inside an element of an article whose name speaks against it
+    para: bool = False  # of a paragraph
     label: str = ""
 
 
@@ -70,6 +81,7 @@ class _Open:
     link: bool
     heading: bool
     place: int = -1
+    hint: bool = False
 
 
 @dataclass
@@ -91,7 +103,8 @@ def blocks(html: str, holders: frozenset[int] = frozenset()) -> list[Block]:
         if text:
             linked = sum(len("".join(t.split())) for t, link in page.parts if link)
             top = stack[-1]
-            page.blocks.append(Block(text, linked, top.boiler, top.main, top.heading))
+            around = next((o.name for o in reversed(stack) if o.name in BLOCK or not o.name), "")
+            page.blocks.append(Block(text, linked, top.boiler, top.main, top.heading, top.hint, around in PARAGRAPHS))
         page.parts = []
 
     def add(text: str):
@@ -142,8 +155,15 @@ def blocks(html: str, holders: frozenset[int] = frozenset()) -> list[Block]:
                     open_[stack.pop().name] -= 1
             top = stack[-1]
             boiler = top.boiler or name in BOILER or (name in ("header", "head") and not top.main)
+            hint = top.hint
             if m[3] and not boiler:
-                boiler = _hinted(m[3], top.main, False) or (name not in WHOLE and start not in holders and _hinted(m[3], top.main, True))
+                boiler = _hinted(m[3], False)
+                if name not in WHOLE and start not in holders and not boiler:
+                    if not top.main:
+                        boiler = _hinted(m[3], True)
+                    elif name not in TEXT:
+                        against = _named(m[3])
+                        boiler, hint = against == "strong", hint or against == "weak"
             if name in MAIN:
                 articles[name] = None if name in articles else [s.place for s in stack]
             main = top.main
@@ -151,7 +171,7 @@ def blocks(html: str, holders: frozenset[int] = frozenset()) -> list[Block]:
                 page.mains += 1
                 main = page.mains
             open_[name] += 1
-            stack.append(_Open(name, boiler, main, top.link or name == "a", top.heading or name in ("h1", "h2", "h3", "h4", "h5", "h6"), start))
+            stack.append(_Open(name, boiler, main, top.link or name == "a", top.heading or name in ("h1", "h2", "h3", "h4", "h5", "h6"), start, hint))
     flush()
     around = articles.get("main") or articles.get("article")
     if not page.mains and around and not holders:
@@ -161,7 +181,7 @@ def blocks(html: str, holders: frozenset[int] = frozenset()) -> list[Block]:
     return page.blocks
 
 
-def _hinted(attributes: str, main: int, names: bool) -> bool:
+def _hinted(attributes: str, names: bool) -> bool:
     """Does its class or id (``names``), or else its role or being hidden, say that an element is no main text?"""
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -173,33 +193,59 @@ def _hinted(attributes: str, main: int, names: bool) -> bool:
         elif name == "hidden" or name == "aria-hidden":
             if name == "hidden" or value.lower() == "true":
                 return True
-        elif HINTS.search(value) or (not main and EDGES.search(value)):
+        elif HINTS.search(value) or EDGES.search(value):
             return True
     return False
 
 
+def _named(attributes: str) -> str:
+    """"strong" or "weak" if a class or id of an element inside an article is made of words of page layout and speaks against its text."""
+    found = ""
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() not in ("class", "id"):
+            continue
+        for value in (m[2] or m[3] or m[4] or "").split():
+            words = [w for w in re.split(r"[-_]+", value.lower()) if w]
+            strong = [bool(STRONG.fullmatch(w)) for w in words]
+            weak = [bool(WEAK.fullmatch(w)) for w in words]
+            if all(a or b or w in LAYOUT or w.isdigit() for a, b, w in zip(strong, weak, words, strict=True)):
+                found = "strong" if any(strong) else found or ("weak" if any(weak) else "")
+        if found == "strong":
+            break
+    return found
+
+
 def classify(found: list[Block]) -> None:
     """Labels every block "good" or "bad".
 
     First each block by itself: elements that are never main text and link-heavy blocks are bad, the rest go by length
-    and stop words, of which a block of an article or main element needs fewer; short ones stay ambiguous, as do blocks
-    of an article without stop words (tables, code). Then an ambiguous block takes the label of its nearest decided neighbours (of its own article if it is in one, where a long
-    one stays even between link lists); where they differ, blocks with stop words and headings before main text are good. Where none is decided, blocks of an article
-    are good, and so are all ambiguous blocks of a page without one.
+    and stop words. Inside an article or main element length, stop words and links decide: fewer stop words are needed,
+    paragraphs stay if they are short without links or hold stop words beside them, and what a name speaks against stays if
+    it is as long and as dense as main text. Others that are short stay ambiguous, as do blocks of an article without stop
+    words (tables, code). Then an ambiguous block takes the label of its nearest decided neighbours (of its own article if it
+    is in one, where a long one stays even between link lists); where they differ, blocks with stop words and headings before
+    main text are good. Where none is decided, blocks of an article are good, and so are all ambiguous blocks of a page
+    without one.
     """
     for b in found:
         share = b.linked / max(1, len(b.text))
-        if b.boiler or share > LINKS:
+        stops = 0.0
+        if not b.boiler and (b.main or len(b.text) >= SHORT):
+            words = re.findall(r"\w+", b.text.lower())
+            stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        if b.boiler:
             b.label = "bad"
+        elif share > LINKS:
+            beside = b.linked < len(b.text.replace(" ", ""))
+            b.label = "near" if b.main and b.para and not b.hint and beside and stops >= STOP_LOW else "bad"
         elif len(b.text) < SHORT:
-            b.label = "short"
+            b.label = "bad" if b.hint else "near" if b.main and b.para and not b.linked else "short"
+        elif b.hint:
+            b.label = "good" if stops >= STOP_LOW else "bad"
+        elif b.main:
+            b.label = "good" if stops >= STOP_LOW else "near"
         else:
-            words = re.findall(r"\w+", b.text.lower())
-            stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if b.main:
-                b.label = "good" if stops >= STOP_LOW else "near"
-            else:
-                b.label = "good" if stops >= STOP_HIGH and len(b.text) > LONG else "near" if stops >= STOP_LOW else "bad"
+            b.label = "good" if stops >= STOP_HIGH and len(b.text) > LONG else "near" if stops >= STOP_LOW else "bad"
     first, has_main = [b.label for b in found], any(b.main for b in found)
     for main in {b.main for b in found}:
         # An article's blocks only look at each other, and blocks that were put aside by their element are no neighbours.
