@@ -24,8 +24,10 @@ TEXTS, BYTES = 300, 130_000
 EPOCHS, STEPS, BATCH, RATE = 2, 120, 64, 0.02
 #: Rows that a task runs through the network at once.
 ROWS = 512
+#: Numerals that are no decimal digits (fractions, superscripts, Roman and circled numbers) are no letters either.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 #: What is no letter of any script.
-OTHER = re.compile(r"[\W\d_]+")
+OTHER = re.compile(rf"[\W\d_{_NUMERALS}]+")
 
 
 def stream(text: str | None) -> bytes:
@@ -249,13 +251,14 @@ def labelled(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     Every letter position of the text has label probabilities; a document's are their mean. ``und`` with score 0: the
     text is null or has no letter, or the model knows no language.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Names and arrays, as workers unpickle a broadcast by reference and may not have this package.
+    shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights))
     names, text_at = [f"{prefix}{n}" for n in ("lang_pred", "score", "n_positions")], docs.columns.index("text")
 
     def run(batches):
         import pyarrow as pa
 
-        model = shared.value
+        model = Model(*shared.value)
         for b in batches:
             pred, score, n = [], [], []
             texts, at = b.column(text_at).to_pylist(), 0

@@ -148,13 +148,18 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = ROWS, s
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every row of ``docs``: the probability that label 1 fits its whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """(doc_id, score) of every row of ``docs``: the probability that label 1 fits its whole text.
+
+    Null and empty texts have no n-gram: they score as the bias alone says. Rows come back as often as they come.
+    """
+    # Arrays and numbers, as workers unpickle a broadcast by reference and may not have this package.
+    shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
 
     def run(batches):
         import pyarrow as pa
 
+        model = Model(*shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(b.column(1)))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(b.column(1)))], ["doc_id", "score"])
 
     return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, score double")

@@ -115,3 +115,32 @@ def test_toxicity_shares_misspellings_and_takes_odd_rows(spark):
     assert got[1] < 0.5 < got[2] and all(0 <= s <= 1 for s in got.values()) and len(got) == 7
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(docs.limit(0), toxicity.train(docs, none, F.lit(True))).collect() == []
+
+
+def test_numerals_and_marks_are_no_letters(spark):
+    model = langid.fit([("a", langid.stream("ab" * 30)), ("b", langid.stream("cd" * 30))])
+    texts = ["½ ² ①", "Ⅳ ⅻ", "\u0301\u0308", "१२ 34 ٣", "_ - ·", "½ab²"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.lang_pred for r in langid.predict(frame, model).orderBy("doc_id").collect()] == ["und"] * 5 + ["a"]
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """From another folder, with the repository on the driver's path alone."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+sys.path.insert(0, {str(root)!r})
+from lamella.llm import queries
+for name in ("op2_language", "op9_toxicity"):
+    print(name, queries.QUERIES[name](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_HOME")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "op2_language 200" in done.stdout and "op9_toxicity 200" in done.stdout, done.stderr[-2000:]
