@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.operators import allocate, anchors, checks, counts, geometry, image, metrics, ranks, sampling
+from lamella.sources import tables
 
 
 def prepare_squares(native: DataFrame, flagged: DataFrame, transform: list[list[float]], capture: tuple[int, int], picture: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """(observed, truth): 16 um counts of tissue parents inside capture and image, and their measured 8 um counts.
 
-    ``flagged``: (section_id, py, px) of parents in tissue. The truth carries its role and never leads to a model input.
+    ``flagged``: (section_id, py, px) of parents in tissue; repeated or incomplete ones fail. The truth carries its role and
+    never leads to a model input.
     """
-    whole = flagged.distinct().where(((F.col("py") + 1) * 8 <= capture[0]) & ((F.col("px") + 1) * 8 <= capture[1]))
+    whole = tables.tissue_parents(flagged.withColumn("flag", F.lit(True)), *capture)
     parents = image.full_support(whole, transform, *picture, size_um=16.0, y="py", x="px")
     fine = counts.squares(native, 4).withColumn("py", geometry.down("qy", 2)).withColumn("px", geometry.down("qx", 2)).join(parents, ["section_id", "py", "px"], "left_semi")
     observed = fine.groupBy("section_id", "py", "px", "gene_id").agg(F.sum("umi").alias("umi"))

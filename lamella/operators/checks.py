@@ -115,3 +115,20 @@ def same_genes(prediction: DataFrame, reference: DataFrame) -> DataFrame:
     gene = guarded(gene, F.coalesce(F.col("available") == F.col("_available"), F.lit(False)), "a gene is available on one side only", kind)
     gene = guarded(gene, F.coalesce(F.col("gene_id") == F.col("_gene"), F.lit(False)), "the gene order of prediction and reference differs", kind)
     return met.select("section_id", gene.alias("gene_id"), "pos", "available")
+
+
+def preprocessing_faults(panel: DataFrame, reference: DataFrame, fitted: DataFrame, training: DataFrame) -> DataFrame:
+    """One row of tallies for fitted preprocessing that is used again: places whose gene differs from the reference panel's
+    (pos, gene_id), training sections that the fit did not see, and sections that it saw beyond them; all 0 where it may be used."""
+    r = reference.select("pos", F.col("gene_id").alias("_gene"))
+    genes = panel.join(r, "pos", "full").agg(F.count_if(~F.col("gene_id").eqNullSafe(F.col("_gene"))).alias("genes_differ"))
+    a, b = (df.select("section_id").distinct() for df in (fitted, training))
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    return genes.crossJoin(n(b.join(a, "section_id", "left_anti"), "not_fitted")).crossJoin(n(a.join(b, "section_id", "left_anti"), "beyond_training"))  # one row each
+
+
+def disjoint_sides(split: DataFrame, side: int = 256) -> DataFrame:
+    """Fields (section_id, y0, x0, side) no support field of which lies within ``side`` of a selection field on both axes; others fail."""
+    close = overlapping_sides(split.where("side = 'support'"), split.where("side = 'selection'"), side).select("section_id", "y0", "x0").distinct().withColumn("_close", F.lit(True))
+    met = split.join(close, ["section_id", "y0", "x0"], "left")
+    return met.withColumn("side", guarded(F.col("side"), F.col("_close").isNull(), "support and selection fields overlap", "string")).drop("_close")

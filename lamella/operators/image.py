@@ -183,3 +183,13 @@ def embedded(fields: DataFrame, embed, tokens: int = 14) -> DataFrame:
             yield f[["section_id", "field_id"]].assign(features=features, valid=valid)
 
     return fields.select("section_id", "field_id", "values").mapInPandas(run, "section_id long, field_id long, features array<double>, valid boolean")
+
+
+def embedded_fields(fields: DataFrame, pixels: DataFrame, embed, side: int = 128, token: int = 16) -> DataFrame:
+    """``embedded`` fields with their valid image tokens: (section_id, field_id, features, valid, tokens).
+
+    ``fields``: (section_id, field_id, values); ``pixels``: (section_id, field_id, y, x, valid) of all their pixels. ``tokens``
+    lists the (ty, tx) whose pixels are all valid; a field that has none fails.
+    """
+    t = token_validity(pixels, side, token).where("valid").groupBy("section_id", "field_id").agg(F.array_sort(F.collect_list(F.struct("ty", "tx"))).alias("tokens"))
+    return embedded(fields, embed).join(t, ["section_id", "field_id"])

@@ -41,6 +41,17 @@ def parent_features(geometry: DataFrame, rows: int, columns: int) -> DataFrame:
     return geometry.select("section_id", "parent_id", at("cy", rows).alias("at_y"), at("cx", columns).alias("at_x"), *logs, "compactness", "fill")
 
 
+def relative_positions(pixels: DataFrame, owners: DataFrame, pitch_um: float = 2.0) -> DataFrame:
+    """(section_id, y, x, at_y, at_x): where a pixel lies in its parent, -1 to 1 over the parent's box about its centroid; 0 in gaps.
+
+    A side shorter than a pixel counts as one.
+    """
+    box = parent_geometry(owners).select("section_id", "parent_id", "cy", "cx", "height", "width")
+    placed = pixels.join(owners, ["section_id", "y", "x"], "left").join(box, ["section_id", "parent_id"], "left")
+    at = lambda v, c, n: F.coalesce(2 * pitch_um * (F.col(v) - F.col(c)) / F.greatest(F.col(n) * pitch_um, F.lit(pitch_um)), F.lit(0.0))
+    return placed.select("section_id", "y", "x", at("y", "cy", "height").alias("at_y"), at("x", "cx", "width").alias("at_x"))
+
+
 def segments(owners: DataFrame, valid: DataFrame) -> DataFrame:
     """Pixels of each (owner, 8 um cell) intersection; parent_id -1 is the gap. ``valid``: (section_id, y, x)."""
     placed = valid.join(owners, ["section_id", "y", "x"], "left")

@@ -345,3 +345,14 @@ def filled_section(spark, sf_dir):
 )
 def source_labels(spark, sf_dir):
     return jobs.source_labels(*_gaps(spark, sf_dir))
+
+
+@query(
+    O
+    + """, b AS (SELECT section_id, parent_id, avg(y) AS cy, avg(x) AS cx, max(y)-min(y)+1 AS h, max(x)-min(x)+1 AS w FROM owners GROUP BY 1,2)
+    SELECT v.section_id, v.y, v.x, round(coalesce(2*(v.y - cy)/h, 0), 6) + 0.0 AS at_y, round(coalesce(2*(v.x - cx)/w, 0), 6) + 0.0 AS at_x FROM valid v LEFT JOIN owners o ON o.section_id = v.section_id AND o.y = v.y AND o.x = v.x LEFT JOIN b ON b.section_id = o.section_id AND b.parent_id = o.parent_id WHERE (v.y + v.x) % 5 = 0"""
+)
+def relative_positions(spark, sf_dir):
+    """Where pixels lie in their parents."""
+    r = own.relative_positions(_valid(spark, sf_dir).where("(y + x) % 5 = 0"), owners(spark, sf_dir))
+    return r.select("section_id", "y", "x", r6("at_y").alias("at_y"), r6("at_x").alias("at_x"))

@@ -238,3 +238,134 @@ def section_scores(spark, sf_dir):
     scores = training.field_scores(_pairs(spark, sf_dir))
     s = training.section_scores(scores, section_ids(spark, sf_dir).withColumn("protocol_id", F.col("section_id") % 2))
     return s.select("protocol_id", "section_id", "kind", "level", "fields", "defined_fields", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("umi", "nll", "base_nll", "gain", "share", "pcc", "rms_ratio")])
+
+
+# ---- spots: prepared fields, fine-tuning sides, report of an exported grid
+
+WHOLE = """px AS (SELECT section_id, spot_id, y, x FROM (SELECT *, unnest(range(CAST(floor((cy - 30)/2) AS BIGINT), CAST(floor((cy + 30)/2) AS BIGINT))) AS y FROM sp), (SELECT unnest(range(-16, 17)) AS k) t, LATERAL (SELECT CAST(floor(cx/2) AS BIGINT) + k AS x)
+    WHERE (2*y + 1 - cy)*(2*y + 1 - cy) + (2*x + 1 - cx)*(2*x + 1 - cx) <= 756.25),
+  ok AS (SELECT section_id, spot_id FROM px GROUP BY 1, 2 HAVING bool_and((y*31 + x*17) % 4001 <> 7))"""
+STRIDED = f"""d AS (SELECT DISTINCT section_id, qy, CAST(floor(cx/8) AS BIGINT) + b AS qx, cx, qy*8 + 4 - cy AS dy FROM (SELECT *, CAST(floor(cy/8) AS BIGINT) + a AS qy FROM sp, (SELECT unnest(range(-14, 15)) AS a)), (SELECT unnest(range(-14, 15)) AS b)),
+  q AS (SELECT DISTINCT section_id, qy, qx FROM d WHERE dy*dy + (qx*8 + 4 - cx)*(qx*8 + 4 - cx) <= 10000 AND qy >= 0 AND qx >= 0 AND qy < {CAPTURE[0] // 4} AND qx < {CAPTURE[1] // 4}),
+  sup AS (SELECT section_id, qy, qx FROM q, (SELECT unnest(range(0, 4)) AS a), (SELECT unnest(range(0, 4)) AS b) WHERE qy*4 + a <= 600 AND qx*4 + b <= 700 AND (qy*4 + a + 2*(qx*4 + b)) % 9 < 6 GROUP BY 1, 2, 3 HAVING count(*) >= 8),
+  fl AS (SELECT DISTINCT section_id, ky*72 - 24 AS y0, kx*72 - 24 AS x0 FROM (SELECT *, unnest([CAST(floor(qy*4/72.0::DOUBLE) AS BIGINT) - 1, CAST(floor(qy*4/72.0::DOUBLE) AS BIGINT)]) AS ky FROM sup) s, LATERAL (SELECT unnest([CAST(floor(qx*4/72.0::DOUBLE) AS BIGINT) - 1, CAST(floor(qx*4/72.0::DOUBLE) AS BIGINT)]) AS kx)
+    WHERE qy*4 - 72*ky BETWEEN 0 AND 76 AND qx*4 - 72*kx BETWEEN 0 AND 76)"""
+PAIRED = """pt AS (SELECT a.section_id, a.spot_id AS first, b.spot_id AS second, least(a.cy, b.cy) - 27.5 AS ya, greatest(a.cy, b.cy) + 27.5 AS yb, least(a.cx, b.cx) - 27.5 AS xa, greatest(a.cx, b.cx) + 27.5 AS xb
+    FROM sp a JOIN ok oa USING (section_id, spot_id) JOIN (SELECT sp.* FROM sp JOIN ok USING (section_id, spot_id)) b ON a.section_id = b.section_id AND a.spot_id < b.spot_id AND (a.cy-b.cy)*(a.cy-b.cy) + (a.cx-b.cx)*(a.cx-b.cx) <= 12100),
+  fp AS (SELECT f.section_id, f.y0, f.x0, count(*) AS pairs FROM fl f JOIN pt p ON p.section_id = f.section_id AND 2*y0 <= ya AND yb <= 2*y0 + 256 AND 2*x0 <= xa AND xb <= 2*x0 + 256 GROUP BY 1, 2, 3)"""
+
+
+def _prepared(spark, sf_dir):
+    made = _spots(spark, sf_dir)
+    valid = geometry.circle_pixels(made.spots, 55.0, *CAPTURE).select("section_id", "y", "x").distinct().where("(y * 31 + x * 17) % 4001 <> 7")
+    codes = made.counts.select("gene_id").distinct().withColumn("pos", F.expr("CAST(substring(gene_id, 2) AS INT)"))
+    return made, sections.prepare_spots(made, codes, valid, CAPTURE)
+
+
+@query(f"WITH {SPOTS}, {WHOLE}, {STRIDED}, {PAIRED} SELECT section_id, y0, x0, pairs FROM fp")
+def prepared_spots(spark, sf_dir):
+    """Neighbour pairs of whole spots in every field that holds both."""
+    p = _prepared(spark, sf_dir)[1]
+    return p.pairs.join(p.fields, ["section_id", "field_id"]).groupBy("section_id", "y0", "x0").agg(F.count("*").alias("pairs"))
+
+
+@query(f"WITH {SPOTS}, {WHOLE}, {STRIDED}, {PAIRED}, s AS (SELECT section_id, y0, x0, CASE WHEN x0 + 128 <= 330 THEN 'support' WHEN x0 >= 330 THEN 'selection' END AS side FROM fp WHERE pairs >= 2) SELECT * FROM s WHERE side IS NOT NULL")
+def spot_fine_tuning(spark, sf_dir):
+    """Fields of spots on either side of a boundary."""
+    return sections.spot_fine_tuning_fields(_prepared(spark, sf_dir)[1], 330, least=1)
+
+
+@query(
+    f"""WITH {SPOTS}, {WHOLE}, e AS (SELECT section_id, spot_id, CAST(floor(y/4.0) AS BIGINT) AS qy, CAST(floor(x/4.0) AS BIGINT) AS qx, count(*)/16.0::DOUBLE AS w FROM px GROUP BY 1, 2, 3, 4),
+    k AS (SELECT *, (qy*3 + qx) % 11 > 0 AS there FROM e), t AS (SELECT section_id, spot_id, count(*) AS n, count(*) FILTER (WHERE there) AS m, sum(CASE WHEN there THEN w ELSE 0 END)/sum(w) AS share FROM k GROUP BY 1, 2),
+    o AS (SELECT section_id, spot_id, 'g' || (o_orderkey % 5) AS gene_id, count(*) AS y FROM sp JOIN orders ON o_custkey = id GROUP BY 1, 2, 3),
+    p AS (SELECT e.section_id, e.spot_id, o.gene_id, sum(w*(1 + (qy + qx) % 3)) AS p, any_value(o.y) AS y FROM e JOIN t ON t.section_id = e.section_id AND t.spot_id = e.spot_id AND n = m JOIN o ON o.section_id = e.section_id AND o.spot_id = e.spot_id GROUP BY 1, 2, 3),
+    r AS (SELECT section_id, count(*) AS n, round(max(abs(p - y)), 5) AS max_abs FROM p GROUP BY 1)
+    SELECT section_id, count(*) FILTER (WHERE n = m) AS "full", count(*) FILTER (WHERE m > 0 AND m < n) AS partial, count(*) FILTER (WHERE m = 0) AS empty, round(avg(share), 6) AS covered, any_value(r.n) AS n, any_value(r.max_abs) AS max_abs
+    FROM t LEFT JOIN r USING (section_id) GROUP BY 1""".replace("count(*) FILTER (WHERE n = m)", "count(*) FILTER (WHERE t.n = m)").replace("m < n) AS partial", "m < t.n) AS partial")
+)
+def spot_report(spark, sf_dir):
+    """Spots by how much of them was exported, and errors of the full ones."""
+    made = _spots(spark, sf_dir)
+    cells = geometry.circle_pixels(made.spots, 55.0, *CAPTURE).select("section_id", geometry.down("y", 4).alias("qy"), geometry.down("x", 4).alias("qx"), "spot_id").distinct().where("(qy * 3 + qx) % 11 > 0")
+    grid = cells.join(made.counts.select("section_id", "spot_id", "gene_id"), ["section_id", "spot_id"]).select("section_id", "qy", "qx", "gene_id", (1.0 + (F.col("qy") + F.col("qx")) % 3).alias("value")).distinct()
+    r = sections.spot_report(grid, made.spots, made.counts, CAPTURE)
+    return r.select("section_id", "full", "partial", "empty", F.round("covered", 6).alias("covered"), "n", F.round("max_abs", 5).alias("max_abs"))
+
+
+# ---- a user's training set, provenance, readers
+
+USER = "ub AS (SELECT section_id, 256*i AS oy, 256*j AS ox, i = 0 AND j < 2 AS mon FROM sections, (SELECT unnest([0, 1, 2]) AS i), (SELECT unnest([0, 1, 2]) AS j) WHERE i*3 + j < 4 + section_id % 5)"
+
+
+def _user(spark, sf_dir):
+    n = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))
+    blocks = section_ids(spark, sf_dir).withColumn("i", n).withColumn("j", n).where("i * 3 + j < 4 + section_id % 5")
+    blocks = blocks.select("section_id", (256 * F.col("i")).alias("by"), (256 * F.col("j")).alias("bx"), ((F.col("i") == 0) & (F.col("j") < 2)).alias("monitor"))
+    manifest = section_ids(spark, sf_dir).select("section_id", F.concat(F.lit("user_"), F.col("section_id")).alias("sample_id"), F.lit("train").alias("role"), (F.col("section_id") % 2).alias("protocol_id"))
+    return training.user_set(manifest, blocks, spark.createDataFrame([("fixed",)], "sample_id string"), WIDE, WIDE, quota=20)
+
+
+@query(with_tables(FIELDS, USER) + "SELECT section_id, section_id % 2 AS protocol_id, 4*(count(*) - 2) AS retained, least(4*(count(*) - 2), 20) AS budget FROM ub GROUP BY 1")
+def user_budgets(spark, sf_dir):
+    """Fields that a user's sections keep for training, and how many of them an epoch shows."""
+    return _user(spark, sf_dir).budgets
+
+
+@query(with_tables(FIELDS, USER) + "SELECT section_id, oy + a AS y0, ox + b AS x0, CASE WHEN mon THEN 'monitor' ELSE 'train' END AS role FROM ub, (SELECT unnest([0, 128]) AS a), (SELECT unnest([0, 128]) AS b)")
+def user_set_fields(spark, sf_dir):
+    return _user(spark, sf_dir).fields.select("section_id", "y0", "x0", "role")
+
+
+@query(with_tables(FIELDS, PANEL_SQL) + "SELECT (SELECT count(*) FROM panel WHERE pos % 5 = 0) AS genes_differ, (SELECT count(*) FROM sections WHERE section_id % 4 = 0) AS not_fitted, (SELECT count(*) FROM sections WHERE section_id % 3 = 1 AND section_id % 4 <> 0) AS beyond_training")
+def preprocessing_faults(spark, sf_dir):
+    """A panel with some genes exchanged, fitted on other sections than those of training."""
+    ids, own = section_ids(spark, sf_dir), panel(spark)
+    other = own.withColumn("gene_id", F.when(F.col("pos") % 5 == 0, F.col("gene_id") + 100).otherwise(F.col("gene_id")))
+    return checks.preprocessing_faults(own, other, ids.where("section_id % 4 <> 0"), ids.where("section_id % 3 <> 1 OR section_id % 4 = 0"))
+
+
+@query("SELECT 'b' || c_custkey AS barcode, CAST(1 AS INTEGER) AS in_tissue, CAST(c_custkey % 97 AS DOUBLE) AS pxl_row_in_fullres, CAST(c_custkey % 89 AS DOUBLE) AS pxl_col_in_fullres, CAST(1 AS INTEGER) AS qc_pass FROM customer WHERE c_custkey % 7 > 0 AND c_custkey % 5 > 0")
+def read_positions(spark, sf_dir):
+    """Positions through their CSV reader: spots in tissue that passed."""
+    from lamella.sources import tables
+
+    path = folder(spark)
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("b"), F.col("c_custkey")).alias("barcode"), (F.col("c_custkey") % 7 > 0).cast("int").alias("in_tissue"), (F.col("c_custkey") % 97).cast("double").alias("pxl_row_in_fullres"), (F.col("c_custkey") % 89).cast("double").alias("pxl_col_in_fullres"), (F.col("c_custkey") % 5 > 0).cast("int").alias("qc_pass"))
+    c.write.option("header", True).csv(path)
+    return tables.positions(spark, path)
+
+
+@query(with_tables(WIDE_SQL) + "SELECT section_id, y, x, gene_id, umi FROM wide_counts")
+def read_native_counts(spark, sf_dir):
+    """Exported counts through their reader, each checked while it is read."""
+    from lamella.sources import tables
+
+    path = folder(spark)
+    tables.write_new(wide_counts(spark, sf_dir), path)
+    return tables.native_counts(spark, path, WIDE, WIDE)
+
+
+@query(with_tables(FIELDS) + f"SELECT section_id, 2.0::DOUBLE AS spot_pitch, CAST({WIDE} AS BIGINT) AS nrows, CAST({WIDE} AS BIGINT) AS ncols FROM sections")
+def read_metadata(spark, sf_dir):
+    """Capture metadata through its reader."""
+    from lamella.sources import tables
+
+    path = folder(spark)
+    section_ids(spark, sf_dir).select("section_id", F.lit(2.0).alias("spot_pitch"), F.lit(WIDE).alias("nrows"), F.lit(WIDE).alias("ncols")).write.json(path)
+    return tables.metadata(spark, path)
+
+
+@query(
+    with_tables(FIELDS)
+    + """, v AS (SELECT * FROM fields WHERE field_id % 30 = 7), g AS (SELECT unnest(range(0, 128)) AS i)
+    SELECT section_id, field_id, a.i//16 AS ty, b.i//16 AS tx, bool_and(((y0 + a.i)*31 + (x0 + b.i)*17 + section_id) % 1009 <> 7) AS valid FROM v, g a, g b GROUP BY 1, 2, 3, 4"""
+)
+def valid_tokens(spark, sf_dir):
+    """Image tokens of fields all of whose pixels are valid."""
+    from lamella.operators import image
+
+    n = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(127).cast("long")))
+    px = fields(spark, sf_dir).where("field_id % 30 = 7").withColumn("y", n).withColumn("x", n)
+    valid = ((F.col("y0") + F.col("y")) * 31 + (F.col("x0") + F.col("x")) * 17 + F.col("section_id")) % 1009 != 7
+    return image.token_validity(px.select("section_id", "field_id", "y", "x", valid.alias("valid")))

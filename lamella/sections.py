@@ -194,3 +194,13 @@ def spot_report(grid: DataFrame, spots: DataFrame, observed: DataFrame, capture:
     p = audit.spot_sums(full, grid.withColumnRenamed("value", "mass"))
     pairs = p.join(observed.withColumnRenamed("umi", "y"), ["section_id", "spot_id", "gene_id"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
     return tally.join(metrics.error_report(pairs, "section_id"), "section_id", "left")
+
+
+def spot_fine_tuning_fields(prepared: PreparedSpots, boundary: int, least: int = 64, pairs: int = 2) -> DataFrame:
+    """Fields of a section of spots with ``pairs`` or more neighbour pairs, by side of ``boundary`` (in pixels); straddlers go.
+
+    Fails where a section has fewer than ``least`` fields on the left or none on the right, or where sides overlap.
+    """
+    n = prepared.pairs.groupBy("section_id", "field_id").agg(F.count("*").alias("n")).where(F.col("n") >= pairs)
+    eligible = prepared.fields.join(n, ["section_id", "field_id"], "left_semi").select("section_id", "y0", "x0")
+    return checks.disjoint_sides(jobs.fine_tuning_fields(eligible, boundary, least), 128)

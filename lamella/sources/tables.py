@@ -40,6 +40,17 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("section_id", F.when(ok, F.col("section_id")).otherwise(F.raise_error(F.lit("a capture has another pitch or is too small")).cast("long")))
 
 
+def tissue_parents(mask: DataFrame, rows: int, cols: int) -> DataFrame:
+    """(section_id, py, px) of flagged 16 um parents of ``mask`` (section_id, py, px, flag).
+
+    A flagged parent that is repeated, negative or not wholly inside the capture fails; none is clipped.
+    """
+    kept = mask.where("flag").select("section_id", "py", "px")
+    n = kept.groupBy("section_id", "py", "px").agg(F.count("*").alias("_n"))
+    fine = (F.col("_n") == 1) & (F.col("py") >= 0) & (F.col("px") >= 0) & ((F.col("py") + 1) * 8 <= rows) & ((F.col("px") + 1) * 8 <= cols)
+    return n.select("section_id", F.when(fine, F.col("py")).otherwise(F.raise_error(F.lit("a tissue parent is repeated or not whole")).cast("long")).alias("py"), "px")
+
+
 def measurable(features: DataFrame, probes_only: bool) -> DataFrame:
     """Gene features that can be measured: all of them, or those of the probe set. Repeated ids fail."""
     kept = features.where("feature_type = 'Gene Expression'" + (" AND probe" if probes_only else ""))

@@ -114,3 +114,40 @@ def section_scores(scores: DataFrame, sections: DataFrame) -> DataFrame:
     over = named.groupBy("protocol_id", "kind", "level").agg(F.sum("fields").alias("fields"), F.avg("umi").alias("umi"), *[F.avg(v).alias(v) for v in values], F.sum("defined_fields").alias("defined_fields"))
     columns = ["protocol_id", "section_id", "kind", "level", "fields", "umi", *values, "defined_fields"]
     return named.select(*columns).unionByName(over.withColumn("section_id", F.lit(None).cast(dict(sections.dtypes)["section_id"])).select(*columns))
+
+
+class UserSet(NamedTuple):
+    """A user's training set: ``fields`` (section_id, y0, x0, role) and ``budgets`` (section_id, protocol_id, retained, budget)."""
+
+    fields: DataFrame
+    budgets: DataFrame
+
+
+def user_set(manifest: DataFrame, blocks: DataFrame, reserved: DataFrame, rows: int, cols: int, quota: int = 100, strict: bool = False) -> UserSet:
+    """Checks a user's manifest and lays out its fields, four to each listed block.
+
+    ``manifest``: (section_id, sample_id, role, protocol_id); ``blocks``: (section_id, by, bx, monitor); ``reserved``: (sample_id)
+    of fixed test sections. Sample ids are safe file names, unique and not reserved; the role is "train", the protocol 0 or 1.
+    Blocks are aligned to 256 pixels, whole, listed once, exactly two of them monitors and more than two in all. Anything else
+    fails. Fields that overlap a monitor block are held out. A section shows ``quota`` fields an epoch, or all that it
+    retains; with ``strict`` a section that retains fewer fails.
+    """
+    from lamella import jobs
+
+    named = manifest.groupBy("sample_id").agg(F.count("*").alias("_n"))
+    taken = reserved.select("sample_id").distinct().withColumn("_taken", F.lit(True))
+    met = manifest.join(named, "sample_id").join(taken, "sample_id", "left").join(checks.block_faults(blocks, rows, cols), "section_id", "left")
+    safe = F.col("sample_id").rlike("^[A-Za-z0-9_.-]+$") & ~F.col("sample_id").isin(".", "..") & (F.col("_n") == 1)
+    role = F.coalesce((F.col("role") == "train") & F.col("protocol_id").isin(0, 1), F.lit(False))
+    listed = F.coalesce((F.col("unaligned") == 0) & (F.col("repeated") == 0) & ~F.col("not_two_monitors") & ~F.col("no_training_block"), F.lit(False))
+    kind = dict(manifest.dtypes)["section_id"]
+    section = F.col("section_id")
+    for ok, message in ((listed, "blocks are not aligned, whole, unique, two monitors and more"), (role, "a section is not for training or of an unknown protocol"), (F.col("_taken").isNull(), "a fixed test section cannot be trained on"), (safe, "a sample id is not safe or not unique")):
+        section = checks.guarded(section, ok, message, kind)
+    known = met.select(section.alias("section_id"), "protocol_id")
+    fields = jobs.user_fields(blocks).join(known.select("section_id"), "section_id", "left_semi")
+    kept = fields.groupBy("section_id").agg(F.count_if(F.col("role") == "train").alias("retained"))
+    budgets = known.join(kept, "section_id").select("section_id", "protocol_id", "retained", F.least(F.col("retained"), F.lit(quota)).alias("budget"))
+    if strict:
+        budgets = budgets.withColumn("budget", checks.guarded(F.col("budget"), F.col("retained") >= quota, "a quota exceeds the retained fields", "long"))
+    return UserSet(fields, budgets)
