@@ -24,15 +24,19 @@ TEXTS, BYTES = 300, 130_000
 EPOCHS, STEPS, BATCH, RATE = 2, 120, 64, 0.02
 #: Rows that a task runs through the network at once.
 ROWS = 512
-#: Numerals that are no decimal digits (fractions, superscripts, Roman and circled numbers) are no letters either.
+#: What is no letter of any script, but for numerals that are no decimal digits.
+OTHER = re.compile(r"[\W\d_]+")
 _NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-#: What is no letter of any script.
-OTHER = re.compile(rf"[\W\d_{_NUMERALS}]+")
+#: Fractions, superscripts, Roman and circled numbers, with the blanks around them: a class of characters alone is fast to look up.
+NUMERALS = re.compile(f" *[{_NUMERALS}][{_NUMERALS} ]*")
 
 
 def stream(text: str | None) -> bytes:
     """The letters of a text in lower case, in UTF-8; everything else is one blank."""
-    return OTHER.sub(" ", (text or "").lower()).strip().encode("utf-8", "surrogatepass")
+    letters = OTHER.sub(" ", (text or "").lower())
+    if not letters.isascii():
+        letters = NUMERALS.sub(" ", letters)
+    return letters.strip().encode("utf-8", "surrogatepass")
 
 
 def rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
