@@ -26,16 +26,16 @@ EPOCHS, STEPS, BATCH, RATE = 2, 120, 64, 0.02
 ROWS = 512
 #: What is no letter of any script, but for numerals that are no decimal digits.
 OTHER = re.compile(r"[\W\d_]+")
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-#: Fractions, superscripts, Roman and circled numbers, with the blanks around them: a class of characters alone is fast to look up.
-NUMERALS = re.compile(f" *[{_NUMERALS}][{_NUMERALS} ]*")
+#: Those: fractions, superscripts, Roman and circled numbers.
+NUMERALS = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_BLANKED = dict.fromkeys(map(ord, NUMERALS), " ")
 
 
 def stream(text: str | None) -> bytes:
     """The letters of a text in lower case, in UTF-8; everything else is one blank."""
     letters = OTHER.sub(" ", (text or "").lower())
-    if not letters.isascii():
-        letters = NUMERALS.sub(" ", letters)
+    if not letters.isascii() and not NUMERALS.isdisjoint(letters):
+        letters = " ".join(letters.translate(_BLANKED).split())
     return letters.strip().encode("utf-8", "surrogatepass")
 
 
