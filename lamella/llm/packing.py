@@ -302,7 +302,7 @@ def _packed(level: int, capacity: int):
     def place(table):
         import pyarrow as pa
 
-        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
         lengths = table.column("length").to_pylist()
         group = table.column("group")[0].as_py()
         rows: dict[int, list[int]] = {}
@@ -324,24 +324,37 @@ def _packed(level: int, capacity: int):
     return place
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """``parts`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
+def _numbered(parts: DataFrame) -> DataFrame:
+    """``parts`` with a number ``row`` of its own for each, written down so that it stays whatever is read again."""
+    return cut(parts.withColumn("row", F.monotonically_increasing_id()))
 
-    Pieces are dealt into groups of about ``group`` sequences and packed group by group; then the pieces of the few
-    sequences that stayed open in each group are packed again, in groups of groups.
+
+def _placed(parts: DataFrame, capacity: int, group: int) -> DataFrame:
+    """Numbered pieces with sequence_id and offset.
+
+    Pieces are dealt by their numbers, so that equal ones spread over all groups like any others.
     """
-    parts = cut(parts.select("doc_id", "piece", "start", "length", "ids_crc32"))
+    parts = parts.select("row", "doc_id", "piece", "start", "length", "ids_crc32")
     total = parts.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     groups = max(1, -(-total // (capacity * group)))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, loose boolean"
-    dealt = parts.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    schema = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, loose boolean"
+    dealt = parts.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
     first = cut(dealt.groupBy("group").applyInArrow(_packed(0, capacity), schema))
     again = first.where("loose").drop("sequence_id", "offset", "loose")
-    again = again.withColumn("group", F.pmod(F.xxhash64("piece", "doc_id"), F.lit(-(-groups // group))))
+    again = again.withColumn("group", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(-(-groups // group))))
     second = again.groupBy("group").applyInArrow(_packed(1, capacity), schema)
     return first.where("NOT loose").unionByName(second).drop("loose")
 
 
+def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+    """``parts`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
+
+    Pieces are dealt into groups of about ``group`` sequences and packed group by group; then the pieces of the few
+    sequences that stayed open in each group are packed again, in groups of groups.
+    """
+    return _placed(_numbered(parts.select("doc_id", "piece", "start", "length", "ids_crc32")), capacity, group).drop("row")
+
+
 def packed_documents(docs: DataFrame, spec: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of every row of ``docs`` with their sequence and place in it."""
     return pack(pieces(docs, spec or tokenizer_text(), capacity), capacity)
@@ -349,10 +362,7 @@ def packed_documents(docs: DataFrame, spec: str | None = None, capacity: int = C
 
 def sequences(docs: DataFrame, spec: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(sequence_id, doc_ids, ids): the ids of every packed sequence, its documents end to end."""
-    parts = cut(pieces(docs, spec or tokenizer_text(), capacity, with_ids=True))
-    key = ["doc_id", "piece", "ids_crc32"]
-    placed = pack(parts, capacity).groupBy(*key, "sequence_id", "offset").count().drop("count")
-    ids = parts.groupBy(*key).agg(F.first("ids").alias("ids"))
-    rows = placed.join(ids, [placed[k].eqNullSafe(ids[k]) for k in key]).select(placed["doc_id"], "sequence_id", "offset", "ids")
+    parts = _numbered(pieces(docs, spec or tokenizer_text(), capacity, with_ids=True))
+    rows = _placed(parts, capacity, GROUP).join(parts.select("row", "ids"), "row").select("doc_id", "sequence_id", "offset", "ids")
     ordered = rows.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("p"))
     return ordered.select("sequence_id", F.col("p.doc_id").alias("doc_ids"), F.flatten("p.ids").alias("ids"))

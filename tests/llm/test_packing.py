@@ -1,6 +1,7 @@
 """Packing: ids by the tokenizer itself, places by their rules, and the search against exhaustive packings."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from functools import cache
@@ -42,6 +43,17 @@ def test_empty_table(spark):
     assert packing.packed_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_equal_rows_spread_over_groups(spark):
+    piece = spark.range(100_000).selectExpr("7L AS doc_id", "0 AS piece", "0L AS start", "1000L AS length", "5L AS ids_crc32")
+    start = time.time()
+    rows = packing.pack(piece).groupBy("sequence_id").agg({"offset": "max", "*": "count"}).collect()
+    assert time.time() - start < 60
+    # Every group numbers its own sequences: the group is in the bits above.
+    assert len({r.sequence_id >> 24 for r in rows}) > 50
+    assert sum(r["count(1)"] for r in rows) == 100_000 and len(rows) == 25_000
+    assert all(r["max(offset)"] == 1000 * (r["count(1)"] - 1) for r in rows)
+
+
 def least_bins(items, capacity):
     @cache
     def go(rest, rooms):
