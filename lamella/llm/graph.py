@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,22 @@ def bounded_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:
     return df
 
 
+def whole_keys(batches, column: int = 0, most: int = 32 << 20):
+    """Lists of Arrow batches of about ``most`` bytes, none of which ends inside a key; rows come in the keys' order."""
+    held, n = [], 0
+    for b in batches:
+        if n > most:
+            rest = int(np.searchsorted(b.column(column).to_numpy(), held[-1].column(column)[-1].as_py(), "right"))
+            if rest < len(b):
+                yield [*held, b.slice(0, rest)]
+                held, n, b = [], 0, b.slice(rest)
+        if len(b):
+            held.append(b)
+            n += b.nbytes
+    if held:
+        yield held
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable from every node that has an edge.
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.graph import bounded_batches, connected_components, cut
+from lamella.llm.graph import bounded_batches, connected_components, cut, whole_keys
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -135,20 +135,18 @@ def links(distinct: DataFrame, most: int = 4, blocks: int = 6, refs: int = 16, c
     other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
     keyed = keyed.select("fp", "key", part.alias("part"), other.alias("other"))
     pair = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
-    dealt = keyed.select("fp", pair.alias("key")).repartition("key")
+    dealt = keyed.select("fp", pair.alias("key")).repartition("key").sortWithinPartitions("key")
     points = pivots(refs)
 
     def run(batches):
         import pyarrow as pa
 
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not parts:
-            return
-        fp = np.concatenate([p[0] for p in parts]).view(np.uint64)
-        key = np.concatenate([p[1] for p in parts])
-        value, root = near_forest(key, fp, points, most)
-        tip = np.flatnonzero(root != np.arange(len(root)))
-        yield pa.RecordBatch.from_arrays([pa.array(value[tip].view(np.int64)), pa.array(value[root[tip]].view(np.int64))], ["u", "v"])
+        for part in whole_keys(batches, 1):
+            fp = np.concatenate([b.column(0).to_numpy() for b in part]).view(np.uint64)
+            key = np.concatenate([b.column(1).to_numpy() for b in part])
+            value, root = near_forest(key, fp, points, most)
+            tip = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([pa.array(value[tip].view(np.int64)), pa.array(value[root[tip]].view(np.int64))], ["u", "v"])
 
     return dealt.mapInArrow(run, "u long, v long")
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.graph import bounded_batches, cut
+from lamella.llm.graph import bounded_batches, cut, whole_keys
 from lamella.llm.tokens import WordHasher, grams, mix, random_words, separators, sliding, text_batches
 
 #: A window is looked up in the sketch by its least gram of this many words (the whole window if it is shorter).
@@ -23,6 +23,8 @@ LEAST, MOST = 20, 28
 HELD = 2_000_000
 #: Bytes of text a bucket is meant to hold; a bucket's windows and texts are one task's share.
 BUCKET = 4_000_000
+#: Most partitions of the exact pass. Beyond it a partition holds several buckets, sorted, and goes through them in turn.
+MOST_PARTITIONS = 16_384
 #: Repeated rows are known by 12 bytes each; up to this many are broadcast, more are joined.
 BROADCAST = 1_000_000
 
@@ -198,19 +200,21 @@ def repeated_windows(docs: DataFrame, window: int, buckets: int, bits: int) -> D
             yield from packed(held)
 
     def exact(batches):
+        for part in whole_keys(batches):
+            yield grouped([unpacked(b) for b in part])
+
+    def unpacked(b):
+        h1, h2, rid, pos = (_joined(b.column(i), t) for i, t in enumerate((np.uint64, np.uint32, RID, np.int32), 1))
+        # Rows of positions that their own task found to be repeated hold no hashes.
+        sizes = [np.diff(np.frombuffer(b.column(i).buffers()[1], np.int32)[b.column(i).offset :][: len(b) + 1]) for i in (1, 3)]
+        asked = np.repeat(sizes[0] > 0, sizes[1] // 12)
+        return h1, h2, rid[asked], pos[asked], rid[~asked], pos[~asked]
+
+    def grouped(held):
         import pyarrow as pa
 
-        held, done = [], []
-        for b in batches:
-            h1, h2, rid, pos = (_joined(b.column(i), t) for i, t in enumerate((np.uint64, np.uint32, RID, np.int32), 1))
-            # Rows of positions that their own task found to be repeated hold no hashes.
-            sizes = [np.diff(np.frombuffer(b.column(i).buffers()[1], np.int32)[b.column(i).offset :][: len(b) + 1]) for i in (1, 3)]
-            asked = np.repeat(sizes[0] > 0, sizes[1] // 12)
-            done.append((rid[~asked], pos[~asked]))
-            held.append((h1, h2, rid[asked], pos[asked]))
-        if not held:
-            return
-        h1, h2, rid, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        h1, h2, rid, pos, known_rid, known_pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        done = [(known_rid, known_pos)]
         if len(h1):
             order = np.lexsort((h2, h1))
             h1, h2, rid, pos = h1[order], h2[order], rid[order], pos[order]
@@ -224,10 +228,11 @@ def repeated_windows(docs: DataFrame, window: int, buckets: int, bits: int) -> D
         order = np.argsort(bucket, kind="stable")
         at, n = np.unique(bucket, return_counts=True)
         cuts = np.concatenate([[0], np.cumsum(n)])
-        yield pa.RecordBatch.from_arrays([pa.array(at), _blobs(rid[order], cuts), _blobs(pos[order], cuts)], ["bucket", "rid", "pos"])
+        return pa.RecordBatch.from_arrays([pa.array(at), _blobs(rid[order], cuts), _blobs(pos[order], cuts)], ["bucket", "rid", "pos"])
 
     packed = docs.select("h1", "h2", "copied", "text").mapInArrow(candidates, "bucket long, h1 binary, h2 binary, rid binary, pos binary")
-    return packed.repartition(buckets, "bucket").mapInArrow(exact, "bucket long, rid binary, pos binary")
+    dealt = packed.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(exact, "bucket long, rid binary, pos binary")
 
 
 def _blobs(x: np.ndarray, cuts: np.ndarray):

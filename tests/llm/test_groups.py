@@ -6,7 +6,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from lamella.llm import chat, simhash, vectors
+from lamella.llm import chat, graph, simhash, vectors
 from lamella.llm.graph import connected_components
 
 ODD = [(-1, None), (-2, ""), (-3, " \t"), (-4, "a"), (-5, "A"), (-6, "x " * 30_000), (-6, "x " * 30_000), (None, "a b c"), (7_000_001, "tie tie tie tie")]
@@ -130,3 +130,16 @@ def test_chat(spark, monkeypatch):
         got = {r.conv_id: (r.n_turns, r.rendered) for r in chat.format_conversations(frame).collect()}
         assert got == {c: (len(lists[c]), "".join(show(*t) for t in lists[c])) for c in keep}
     assert chat.format_turns(frame.limit(0)).collect() == []
+
+
+def test_lists_of_batches_never_end_inside_a_key():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    keys = np.sort(np.concatenate([rng.integers(-20, 20, 300), np.full(500, 3)]))
+    cuts = np.sort(rng.integers(0, len(keys), 40))
+    batches = [pa.RecordBatch.from_arrays([pa.array(k), pa.array(k * 2)], ["key", "x"]) for k in np.split(keys, cuts)]
+    lists = [np.concatenate([b.column(0).to_numpy() for b in part]) for part in graph.whole_keys(batches, 0, 400)]
+    assert np.array_equal(np.concatenate(lists), keys) and len(lists) > 5
+    assert all(a[-1] < b[0] for a, b in zip(lists, lists[1:], strict=False))
+    assert list(graph.whole_keys(iter(()))) == []

@@ -111,6 +111,16 @@ def test_repeated_windows(spark, docs, window):
     assert Counter(map(tuple, got)) == Counter(expected)
 
 
+def test_repeated_windows_of_many_small_buckets(spark, docs, monkeypatch):
+    frame = spark.createDataFrame(docs, SCHEMA)
+    expected = Counter(map(tuple, substrings.without_repeats(frame, 7).collect()))
+    monkeypatch.setattr(substrings, "BUCKET", 500)
+    monkeypatch.setattr(substrings, "MOST_PARTITIONS", 3)
+    buckets = substrings.repeated_windows(substrings._copied(substrings._identified(frame)), 7, 900, 20)
+    assert buckets.rdd.getNumPartitions() == 3 and buckets.select("bucket").distinct().count() > 100
+    assert Counter(map(tuple, substrings.without_repeats(frame, 7).collect())) == expected
+
+
 def test_repeated_windows_of_an_empty_table(spark):
     assert substrings.without_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
 
