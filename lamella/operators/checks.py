@@ -132,3 +132,44 @@ def disjoint_sides(split: DataFrame, side: int = 256) -> DataFrame:
     close = overlapping_sides(split.where("side = 'support'"), split.where("side = 'selection'"), side).select("section_id", "y0", "x0").distinct().withColumn("_close", F.lit(True))
     met = split.join(close, ["section_id", "y0", "x0"], "left")
     return met.withColumn("side", guarded(F.col("side"), F.col("_close").isNull(), "support and selection fields overlap", "string")).drop("_close")
+
+
+def replayed(prediction: DataFrame, reference: DataFrame, key: list[str], group: str = "section_id", absolute: float = 1e-6, relative: float = 1e-5) -> DataFrame:
+    """Per group: n, passed and max_absolute_error of predicted values against those of an earlier run.
+
+    Both tables hold ``key`` and ``value``; both must hold the same keys, each once. A value passes within
+    ``absolute`` plus ``relative`` times the reference; values that are no numbers never pass, equal infinities do.
+    """
+    value = F.col("value").cast("double")
+    side = lambda df, n: df.select(*key, value.alias("_value"), F.lit(n).alias("_side"))
+    of = lambda n: F.max(F.when(F.col("_side") == n, F.col("_value")))
+    many = lambda n: F.count_if(F.col("_side") == n)
+    both = side(prediction, 0).unionByName(side(reference, 1)).groupBy(*key).agg(of(0).alias("_p"), of(1).alias("_y"), many(0).alias("_in_p"), many(1).alias("_in_y"))
+    once = (F.col("_in_p") == 1) & (F.col("_in_y") == 1)
+    met = both.select(group, guarded(F.col("_p"), once, "prediction and reference differ in their rows", "double").alias("_p"), "_y")
+    p, y = F.col("_p"), F.col("_y")
+    gap = F.when(p == y, 0.0).otherwise(F.abs(p - y))
+    close = ~F.isnan(p) & ~F.isnan(y) & ((p == y) | ((gap <= absolute + relative * F.abs(y)) & (F.abs(y) < float("inf"))))
+    return met.groupBy(group).agg(F.count("*").alias("n"), F.every(F.coalesce(close, F.lit(False))).alias("passed"), F.max(gap).alias("max_absolute_error"))
+
+
+def reused(cached: DataFrame, wanted: DataFrame, features: DataFrame, cells: int) -> DataFrame:
+    """Per wanted field (section_id, field_id, y0, x0): the mean ``density`` of its cached ``features``.
+
+    Fails unless the cached fields are the wanted ones with the same numbers and origins, each field has cells 0 to
+    ``cells`` - 1 once and none besides, and every density is finite and not negative.
+    """
+    key = ["section_id", "field_id", "y0", "x0"]
+    side = lambda df, n: df.select(*key, F.lit(n).alias("side"))
+    lists = side(cached, 0).unionByName(side(wanted, 1)).groupBy(*key).agg(F.count_if(F.col("side") == 0).alias("n_cached"), F.count_if(F.col("side") == 1).alias("n_wanted"))
+    density = F.col("density").cast("double")
+    bad = density.isNull() | F.isnan(density) | (density < 0) | (density == float("inf"))
+    inside = F.coalesce((F.col("cell") >= 0) & (F.col("cell") < cells), F.lit(False))
+    held = features.groupBy("section_id", "field_id").agg(
+        F.count("*").alias("rows"), F.count_distinct(F.when(inside, F.col("cell"))).alias("held"), F.count_if(bad).alias("bad"), F.avg(density).alias("density")
+    )
+    met = lists.join(held, ["section_id", "field_id"], "full")
+    y0 = guarded(F.col("y0"), F.coalesce((F.col("n_cached") == 1) & (F.col("n_wanted") == 1), F.lit(False)), "the cache holds other fields", "long")
+    whole = guarded(F.col("density"), F.coalesce((F.col("rows") == cells) & (F.col("held") == cells), F.lit(False)), "the cache lacks or repeats cells of a field", "double")
+    sound = guarded(F.col("density"), F.col("bad") == 0, "a cached density is no finite number from 0 on", "double")
+    return met.withColumn("y0", y0).withColumn("density", whole).withColumn("density", sound).select(*key, "density")

@@ -52,6 +52,15 @@ def relative_positions(pixels: DataFrame, owners: DataFrame, pitch_um: float = 2
     return placed.select("section_id", "y", "x", at("y", "cy", "height").alias("at_y"), at("x", "cx", "width").alias("at_x"))
 
 
+def gathered(pixels: DataFrame, owners: DataFrame, values: DataFrame, **default: float) -> DataFrame:
+    """Every pixel with the columns of ``values`` (section_id, parent_id, ...) that its parent has.
+
+    Pixels of gaps, and of parents without a row, get the ``default`` of a column, or null where none is named.
+    """
+    placed = pixels.join(owners, ["section_id", "y", "x"], "left").join(values, ["section_id", "parent_id"], "left")
+    return placed.fillna(default) if default else placed
+
+
 def segments(owners: DataFrame, valid: DataFrame) -> DataFrame:
     """Pixels of each (owner, 8 um cell) intersection; parent_id -1 is the gap. ``valid``: (section_id, y, x)."""
     placed = valid.join(owners, ["section_id", "y", "x"], "left")

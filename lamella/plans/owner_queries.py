@@ -356,3 +356,16 @@ def relative_positions(spark, sf_dir):
     """Where pixels lie in their parents."""
     r = own.relative_positions(_valid(spark, sf_dir).where("(y + x) % 5 = 0"), owners(spark, sf_dir))
     return r.select("section_id", "y", "x", r6("at_y").alias("at_y"), r6("at_x").alias("at_x"))
+
+
+@query(
+    OWNED.rstrip()
+    + f""", v AS (SELECT section_id, parent_id, {SUM} AS umi FROM native_counts JOIN owners USING (section_id, y, x) GROUP BY 1, 2),
+      px AS (SELECT DISTINCT section_id, y, x FROM native_counts)
+      SELECT section_id, y, x, CASE WHEN v.umi IS NULL THEN -1 ELSE v.umi END AS umi FROM px LEFT JOIN owners USING (section_id, y, x) LEFT JOIN v USING (section_id, parent_id)"""
+)
+def gathered_totals(spark, sf_dir):
+    """Every measured pixel with the total of its parent, -1 in gaps."""
+    n, o = native_counts(spark, sf_dir), owners(spark, sf_dir)
+    pixels = n.select("section_id", "y", "x").distinct()
+    return own.gathered(pixels, o, counts.owned(n, o).groupBy("section_id", "parent_id").agg(F.sum("umi").alias("umi")), umi=-1).select("section_id", "y", "x", "umi")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lamella.operators import geometry, image, neighbors
+from lamella.operators import checks, geometry, image, neighbors
 from lamella.plans.fixture import PANEL_SQL, WIDE, WIDE_SQL, panel, table, wide_counts, with_tables
 from lamella.plans.image_queries import SIDE, T, _x, _y
 from lamella.plans.registry import query, r6
@@ -182,3 +182,32 @@ def registered_colours(spark, sf_dir):
     at = fields(spark, sf_dir).where("y0 IN (0, 64, 192) AND x0 IN (0, 128, 192)")
     out = image.registered_colours(at, pixels, T, SIDE, SIDE, SAMPLES)
     return out.select("section_id", "field_id", "i", "j", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in "rgb"], "valid")
+
+
+RUNS = """runs AS (SELECT section_id, y, x, gene_id, CAST(umi AS DOUBLE) + CASE WHEN section_id % 3 = 0 AND gene_id = 3 THEN 0.5 ELSE 0.0 END AS p, CAST(umi AS DOUBLE) AS y_ FROM wide_counts)"""
+
+
+@query(with_tables(WIDE_SQL, RUNS) + "SELECT section_id, count(*) AS n, bool_and(abs(p - y_) <= 1e-6 + 1e-5 * y_) AS passed, max(abs(p - y_)) AS max_absolute_error FROM runs GROUP BY 1")
+def replay_comparison(spark, sf_dir):
+    """Two runs, one of which is off by a half for one gene in every third section."""
+    earlier = wide_counts(spark, sf_dir).withColumnRenamed("umi", "value")
+    off = F.when((F.col("section_id") % 3 == 0) & (F.col("gene_id") == 3), 0.5).otherwise(0.0)
+    return checks.replayed(earlier.withColumn("value", F.col("value") + off), earlier, ["section_id", "y", "x", "gene_id"])
+
+
+REUSED = """blocks AS (SELECT section_id, CAST(floor(y / 64.0) AS BIGINT) AS i, CAST(floor(x / 64.0) AS BIGINT) AS j, CAST(sum(umi) AS DOUBLE) AS total FROM wide_counts GROUP BY 1, 2, 3)"""
+
+
+@query(
+    with_tables(WIDE_SQL, FIELDS, REUSED)
+    + """SELECT f.section_id, field_id, y0, x0, coalesce(sum(total), 0.0) / 4 AS density FROM fields f LEFT JOIN blocks b
+      ON b.section_id = f.section_id AND i BETWEEN y0 // 64 AND y0 // 64 + 1 AND j BETWEEN x0 // 64 AND x0 // 64 + 1 GROUP BY 1, 2, 3, 4"""
+)
+def reused_features(spark, sf_dir):
+    """Features of a cache that holds just the wanted fields: four blocks of 64 pixels a field."""
+    at = lambda c: geometry.down(c, 64)
+    blocks_ = wide_counts(spark, sf_dir).groupBy("section_id", at("y").alias("i"), at("x").alias("j")).agg(F.sum("umi").cast("double").alias("total"))
+    f = fields(spark, sf_dir)
+    cell = f.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("section_id", "field_id", "cell", (at("y0") + F.floor(F.col("cell") / 2)).alias("i"), (at("x0") + F.col("cell") % 2).alias("j"))
+    features = cell.join(blocks_, ["section_id", "i", "j"], "left").select("section_id", "field_id", "cell", F.coalesce("total", F.lit(0.0)).alias("density"))
+    return checks.reused(f, f, features, 4)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella import jobs, sections, training
-from lamella.operators import anchors, checks, geometry, image, metrics, neighbors, objectives, ranks, sampling
+from lamella.operators import anchors, checks, geometry, image, metrics, neighbors, objectives, owners, ranks, sampling
 from lamella.sources import blocks
 
 
@@ -366,3 +366,41 @@ def test_merged_pairs(spark):
     fails(objectives.merged_pair_nll(both, seen, pair, "section_id"), "lies in several parents")
     assert geometry.field_lattice(spark.createDataFrame([(0, 0, 0, 0)], "section_id long, field_id long, y0 long, x0 long"), F.lit(50.0), F.lit(50.0)).where("cy = 50 AND cx IN (50, 150)").count() == 2
     fails(geometry.field_lattice(spark.createDataFrame([(0, 0, 4, 0)], "section_id long, field_id long, y0 long, x0 long"), F.lit(0.0), F.lit(0.0)), "start on 16 um")
+
+
+def test_replay(spark):
+    def run(*values):
+        return spark.createDataFrame([(0, i, v) for i, v in enumerate(values)], "section_id long, cell long, value double")
+
+    key = ["section_id", "cell"]
+    nan, inf = math.nan, math.inf
+    assert rows(checks.replayed(run(1.0, 100.0), run(1.0000109, 100.0009), key)) == [(0, 2, True, pytest.approx(9e-4))]
+    assert rows(checks.replayed(run(1.0), run(1.000012), key))[0][2] is False
+    assert rows(checks.replayed(run(inf, -inf), run(inf, -inf), key)) == [(0, 2, True, 0.0)]
+    assert [rows(checks.replayed(run(a), run(b), key))[0][2] for a, b in ((nan, nan), (1.0, inf), (inf, 1.0), (-inf, inf), (None, 1.0), (None, None))] == [False] * 6
+    fails(checks.replayed(run(1.0), run(1.0, 2.0), key), "differ")
+    fails(checks.replayed(run(1.0).union(run(1.0)), run(1.0), key), "differ")
+
+
+def test_reused_features(spark):
+    f = spark.createDataFrame([(0, 0, 0, 0), (0, 1, 0, 64)], "section_id long, field_id long, y0 long, x0 long")
+
+    def features(*values, cells=(0, 1, 0, 1)):
+        return spark.createDataFrame([(0, i // 2, c, v) for i, (c, v) in enumerate(zip(cells, values, strict=True))], "section_id long, field_id long, cell int, density double")
+
+    good = features(1.0, 2.0, 0.0, 4.0)
+    assert rows(checks.reused(f, f, good, 2)) == [(0, 0, 0, 0, 1.5), (0, 1, 0, 64, 2.0)]
+    for other in (f.limit(1), f.withColumn("field_id", 1 - F.col("field_id")), f.withColumn("y0", F.col("y0") + 1), f.union(f)):
+        fails(checks.reused(other, f, good, 2), "other fields")
+    for cells in ((0, 0, 0, 1), (0, 2, 0, 1), (0, None, 0, 1)):
+        fails(checks.reused(f, f, features(1.0, 2.0, 0.0, 4.0, cells=cells), 2), "lacks or repeats")
+    for v in (-1.0, math.nan, math.inf, None):
+        fails(checks.reused(f, f, features(1.0, v, 0.0, 4.0), 2), "finite")
+
+
+def test_gathered(spark):
+    pixels = spark.createDataFrame([(0, 0, 0), (0, 0, 1), (0, 0, 2)], "section_id long, y long, x long")
+    owned = spark.createDataFrame([(0, 0, 0, 7), (0, 0, 1, 8)], "section_id long, y long, x long, parent_id long")
+    values = spark.createDataFrame([(0, 7, 2.5, 3.5)], "section_id long, parent_id long, a double, b double")
+    got = owners.gathered(pixels, owned, values, a=-1.0)
+    assert rows(got.select("x", "parent_id", "a", "b")) == [(0, 7, 2.5, 3.5), (1, 8, -1.0, None), (2, None, -1.0, None)]
