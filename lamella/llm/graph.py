@@ -15,6 +15,14 @@ def bounded_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:
     return df
 
 
+def unused(columns: list[str], name: str, ends: tuple[str, ...] = ("",)) -> str:
+    """``name`` with so many underscores before it that with none of ``ends`` it is one of ``columns``, in any case."""
+    taken = {c.lower() for c in columns}
+    while any(f"{name}{e}".lower() in taken for e in ends):
+        name = f"_{name}"
+    return name
+
+
 def whole_keys(batches, column: int = 0, most: int = 32 << 20):
     """Lists of Arrow batches of about ``most`` bytes, none of which ends inside a key; rows come in the keys' order."""
     held, n = [], 0

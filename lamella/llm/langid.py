@@ -249,6 +249,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return labelled(docs.select("doc_id", "text"), model).drop("text")
 
 
+#: What ``labelled`` adds.
+COLUMNS = ("lang_pred", "score", "n_positions")
+
+
 def labelled(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """``docs`` with all its columns, and lang_pred, score and n_positions of its text.
 
@@ -257,7 +261,7 @@ def labelled(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """
     # Names and arrays, as workers unpickle a broadcast by reference and may not have this package.
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights))
-    names, text_at = [f"{prefix}{n}" for n in ("lang_pred", "score", "n_positions")], docs.columns.index("text")
+    names, text_at = [f"{prefix}{n}" for n in COLUMNS], docs.columns.index("text")
 
     def run(batches):
         import pyarrow as pa

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamella.llm.graph import unused
+
 # The patterns of the contract. Possessive forms and the tests before them change no match; they keep
 # the work linear on long runs, in which no later start can succeed either.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -183,5 +185,6 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with its columns and rows as they are, and personal data in ``text`` replaced."""
-    return with_entities(docs, "_pii_spans").withColumn("text", redacted(F.col("text"), F.col("_pii_spans"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with its columns and rows as they are, whatever they are named, and personal data in ``text`` replaced."""
+    spans = unused(docs.columns, "_pii_spans", ("", "_text"))
+    return with_entities(docs, spans).withColumn("text", redacted(F.col("text"), F.col(spans))).select(*[F.col(f"`{c}`") for c in docs.columns])

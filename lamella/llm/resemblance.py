@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.graph import bounded_batches, connected_components, cut
+from lamella.llm.graph import bounded_batches, connected_components, cut, unused
 from lamella.llm.simhash import links as near_prints
 from lamella.llm.simhash import majority
 from lamella.llm.tokens import WordHasher, case_fold, grams, mix, random_words, separators, text_batches
@@ -41,9 +41,13 @@ def shingle_sets(batch_texts, words: int = WORDS):
             yield np.unique(grams(h[a:z], min(words, z - a), 5)) if z > a else h[:0]
 
 
-def set_id(found: np.ndarray) -> int:
+def set_id(found: np.ndarray, salt: int = 0x5851F42D4C957F2D) -> int:
     """Signed 64-bit identity of a set of hashes."""
-    return int(mix(mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(found))).view(np.int64)[0])
+    return int(mix(mix(found ^ np.uint64(salt)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(found))).view(np.int64)[0])
+
+
+#: A second identity, by which sets of equal ``set_id`` that differ are told apart.
+CHECK = 0x14057B7EF767814F
 
 
 def band_keys(found: np.ndarray) -> np.ndarray:
@@ -58,30 +62,32 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, set, n, fp, keys) of every row: its identity by doc_id and text, and its shingle set with its size,
-    fingerprint and keys."""
+    """(doc_id, row, set, other, n, fp, keys) of every row: its identity by doc_id and text, and its shingle set with two
+    identities, its size, fingerprint and keys."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            ids, sizes, prints, keys = [], [], [], []
+            ids, others, sizes, prints, keys = [], [], [], [], []
             for found in shingle_sets(b.column(2)):
                 ids.append(set_id(found))
+                others.append(set_id(found, CHECK))
                 sizes.append(len(found))
                 prints.append(majority(found))
                 keys.append(band_keys(found))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * KEYS, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists], ["doc_id", "row", "set", "n", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists], ["doc_id", "row", "set", "other", "n", "fp", "keys"])
 
     rows = docs.select("doc_id", row_identity().alias("row"), "text")
-    return bounded_batches(rows).mapInArrow(run, "doc_id long, row long, set long, n long, fp long, keys array<long>")
+    return bounded_batches(rows).mapInArrow(run, "doc_id long, row binary, set long, other long, n long, fp long, keys array<long>")
 
 
 def row_identity():
-    """64-bit hash of doc_id and text, nulls apart from all values."""
-    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    """128-bit hash of doc_id and text, nulls apart from all values."""
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    return F.unhex(F.md5(F.concat(number, F.when(F.col("text").isNull(), ".").otherwise(F.concat(F.lit(":"), "text")))))
 
 
 def compared_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -100,21 +106,22 @@ def compared_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         held, seen = shared.value, set()
         for b in batches:
-            ids, sets = [], []
+            ids, others, sets = [], [], []
             for found in shingle_sets(b.column(0)):
                 i = set_id(found)
                 at = i & mask
-                if held[at >> 3] >> (at & 7) & 1 and i not in seen:
-                    seen.add(i)
+                if held[at >> 3] >> (at & 7) & 1 and (i, other := set_id(found, CHECK)) not in seen:
+                    seen.add((i, other))
                     ids.append(i)
+                    others.append(other)
                     sets.append(found.view(np.int64))
             if ids:
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["set", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64()), lists], ["set", "other", "shingles"])
 
-    found = bounded_batches(docs.select("text")).mapInArrow(run, "set long, shingles array<long>")
-    return found.join(wanted, "set", "left_semi").groupBy("set").agg(F.first("shingles").alias("shingles"))
+    found = bounded_batches(docs.select("text")).mapInArrow(run, "set long, other long, shingles array<long>")
+    return found.join(wanted, "set", "left_semi").groupBy("set").agg(F.min_by("shingles", "other").alias("shingles"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -204,16 +211,26 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, of one document of each near-duplicate group: that of the least doc_id.
 
     Documents of equal shingle sets are one group, and so are groups joined by a pair of similarity 0.8 or more. A row
-    without doc_id is kept only where its group has none with; of rows equal in doc_id and text one stays.
+    without doc_id is kept only where its group has none with; of rows equal in doc_id and text one stays. Null texts
+    and those without words are one group. Identities have 128 bits: of sets that only share the 64 bits of ``set``, one
+    is compared with others and the rest form groups of their own.
     """
     rows = cut(signatures(docs))
-    sets = rows.select("set", "n", "fp", "keys").dropDuplicates(["set"])
-    comp = connected_components(links(docs, sets))
-    placed = rows.join(comp.withColumnRenamed("node", "set"), "set", "left").select("doc_id", "row", F.coalesce("component", "set").alias("component"))
+    least = F.min_by(F.struct("n", "fp", "keys"), "other").alias("s")
+    comp = connected_components(links(docs, rows.groupBy("set").agg(least).select("set", "s.*")))
+    return _least(docs, rows, comp)
+
+
+def _least(docs: DataFrame, rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first in their group, by the components (node, component) of sets."""
+    known = rows.groupBy("set").agg(F.min("other").alias("own")).join(comp.withColumnRenamed("node", "set"), "set", "left")
+    apart = F.when(F.col("other") != F.col("own"), F.col("other"))
+    placed = rows.join(known, "set").select("doc_id", "row", F.coalesce("component", "set").alias("component"), apart.alias("apart"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    first = placed.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.row").alias("row"))
+    first = placed.groupBy("component", "apart").agg(F.min(order).alias("k")).select(F.col("k.row").alias("row"))
     kept = cut(first.join(rows.groupBy("row").count(), "row"))
-    named = docs.withColumn("_row", row_identity())
-    single = named.join(kept.where("count = 1").select(F.col("row").alias("_row")), "_row", "left_semi")
-    several = named.join(kept.where("count > 1").select(F.col("row").alias("_row")), "_row", "left_semi").dropDuplicates(["_row"])
-    return single.unionByName(several).drop("_row")
+    at = unused(docs.columns, "_row")
+    named = docs.withColumn(at, row_identity())
+    single = named.join(kept.where("count = 1").select(F.col("row").alias(at)), at, "left_semi")
+    several = named.join(kept.where("count > 1").select(F.col("row").alias(at)), at, "left_semi").dropDuplicates([at])
+    return single.unionByName(several).drop(at)
