@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm import decontam, langid, packing, pii, resemblance
+from lamella.llm.graph import unused
 from lamella.session import shared_folder
 
 #: A document is rejected if it has no letter, or if its pooled language probability is less than this above chance
@@ -24,8 +25,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learn = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
     model = langid.train(docs, learn)
     least = min(1.0, 1 / max(1, len(model.labels)) + ABOVE_CHANCE)
-    found = langid.labelled(docs, model, "_language_")
-    return found.where((F.col("_language_lang_pred") != "und") & (F.col("_language_score") >= least)).select(*docs.columns)
+    mark = unused(docs.columns, "_language_", langid.COLUMNS)
+    found = langid.labelled(docs, model, mark)
+    return found.where((F.col(f"{mark}lang_pred") != "und") & (F.col(f"{mark}score") >= least)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
