@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.operators import allocate, anchors, checks, counts, geometry, image, metrics, ranks, sampling
+from lamella.operators.tasks import dealt
 from lamella.sources import tables
 
 
@@ -38,10 +39,10 @@ def prepare_circles(native: DataFrame, flagged: DataFrame, origins: DataFrame, o
 
 def supported_owners(owners: DataFrame, valid: DataFrame) -> DataFrame:
     """Owners of parents all of whose pixels are valid, numbered from 0 in each section (``slot``); others own nothing."""
-    met = owners.join(valid.select("section_id", "y", "x", F.lit(True).alias("_ok")), ["section_id", "y", "x"], "left")
+    met = owners.join(dealt(valid.select("section_id", "y", "x", F.lit(True).alias("_ok"))), ["section_id", "y", "x"], "left")
     kept = met.groupBy("section_id", "parent_id").agg(F.count("*") == F.count("_ok")).toDF("section_id", "parent_id", "whole").where("whole").drop("whole")
     slots = ranks.ranked(kept, ["parent_id"], ["section_id"], "slot")
-    return owners.join(slots, ["section_id", "parent_id"])
+    return owners.join(dealt(slots), ["section_id", "parent_id"])
 
 
 def predict(weights: DataFrame, observed: DataFrame, cover: DataFrame) -> DataFrame:
@@ -153,15 +154,10 @@ def predict_anchors(centers: DataFrame, observed: DataFrame, prior: Column, capt
     ``observed``: (section_id, spot_id, gene_id, umi). A cell that lacks a contribution of a core that holds it fails.
     """
     fields = anchors.anchored_fields(centers, *capture)
-    return anchors.stitched(anchors.field_values(fields, observed, prior, *capture), anchors.coverage(fields))
+    return anchors.stitched(anchors.field_values(fields, observed, prior, *capture), anchors.coverage(fields), fields.count())
 
 
 def anchor_conservation(fields: DataFrame, observed: DataFrame, prior: Column, capture: tuple[int, int]) -> DataFrame:
     """By section: circles allocated in single fields, and the largest scaled error of what a field gives back of its anchor."""
-    area = anchors.circle_areas(fields.select("section_id", "spot_id", "cy", "cx").distinct(), *capture)
-    cells = anchors.core_cells(fields.select("section_id", "spot_id", "y0", "x0")).join(area, ["section_id", "spot_id", "qy", "qx"])
-    weights = cells.join(observed.select("section_id", "spot_id", "gene_id"), ["section_id", "spot_id"]).withColumn("weight", (prior * F.col("area_px")).cast("double")).drop("area_px").withColumnRenamed("spot_id", "parent_id")
-    known = observed.withColumnRenamed("spot_id", "parent_id")
-    mass = allocate.allocate(weights, known, ("section_id", "parent_id", "y0", "x0", "gene_id"))
-    sums = mass.groupBy("section_id", "parent_id", "y0", "x0", "gene_id").agg(F.sum("mass").alias("p")).join(known, ["section_id", "parent_id", "gene_id"]).withColumnRenamed("umi", "y")
+    sums = anchors.field_sums(fields, observed, prior, *capture)
     return metrics.error_report(sums, "section_id").select("section_id", "n", "max_scaled")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.operators.tasks import dealt
+
 
 def _bucket(c: str, size: float) -> Column:
     return F.floor(F.col(c) / F.lit(float(size))).cast("long")
@@ -21,7 +23,7 @@ def _around(points: DataFrame, size: float) -> DataFrame:
 def within(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
     """Points (section_id, cy, cx, ..) with each of the others (section_id, other, oy, ox) at most ``radius`` away, and d2."""
     held = others.withColumn("_by", _bucket("oy", radius)).withColumn("_bx", _bucket("ox", radius))
-    met = _around(points, radius).join(held, ["section_id", "_by", "_bx"]).drop("_by", "_bx")
+    met = _around(points, radius).join(dealt(held), ["section_id", "_by", "_bx"]).drop("_by", "_bx")
     d2 = (F.col("cy") - F.col("oy")) ** 2 + (F.col("cx") - F.col("ox")) ** 2
     return met.withColumn("d2", d2).where(F.col("d2") <= radius * radius)
 

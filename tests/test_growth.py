@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from lamella import jobs
+from lamella import jobs, sections
+from lamella.operators import anchors, geometry, sampling
+from lamella.sources import blocks
 
 
 def broadcasts(df) -> int:
@@ -17,3 +19,56 @@ def centres(spark, n=2):
 
 def test_cells_of_circles_are_not_broadcast(spark):
     assert broadcasts(jobs.prepare_anchors(centres(spark), (768, 768))[1]) == 0
+
+
+def test_allocation_over_anchors_broadcasts_nothing_that_grows(spark):
+    at = centres(spark)
+    known = at.select("section_id", "spot_id", F.lit(0).cast("long").alias("gene_id"), (F.col("spot_id") + 5).alias("umi"))
+    prior = (1 + F.col("qy") % 3).cast("double")
+    assert broadcasts(jobs.predict_anchors(at, known, prior, (768, 768))) == 0
+    fields = jobs.prepare_anchors(at, (768, 768))[0]
+    report = jobs.anchor_conservation(fields, known, prior, (768, 768))
+    assert broadcasts(report) == 0
+    assert report.first()["n"] == 18 and report.first()["max_scaled"] < 1e-9
+
+
+def test_pixels_of_a_cell_follow_from_its_place(spark):
+    at = centres(spark).withColumn("cy", F.col("cy") + 0.5)
+    for rows in (768, 148):  # the second one cuts circles off
+        joined = {(r.spot_id, r.qy, r.qx): r.area_px for r in anchors.circle_areas(at, rows, 768).collect()}
+        cells = at.withColumn("qy", F.explode(F.sequence(F.lit(0), F.lit(80)))).withColumn("qx", F.explode(F.sequence(F.lit(0), F.lit(80))))
+        found = {(r.spot_id, r.qy, r.qx): r.a for r in cells.withColumn("a", anchors.cell_area(rows, 768)).where("a > 0").collect()}
+        assert found == joined
+
+
+def test_draws_of_an_epoch_broadcast_nothing(spark):
+    items = spark.range(40).select((F.col("id") % 3).alias("section_id"), F.col("id").alias("field"))
+    drawn = sampling.epoch_draw(items, 7, 3, 30, ["section_id"], "field")
+    assert broadcasts(drawn) == 0
+    rows = drawn.collect()
+    assert sorted((r.section_id, r.draw) for r in rows) == [(s, d) for s in range(3) for d in range(60, 90)]
+    assert len({(r.section_id, r.cycle, r.field) for r in rows}) == len(rows) == len({(r.section_id, r.cycle, r.position) for r in rows})
+
+
+def test_stored_owners_are_not_broadcast(spark):
+    at = spark.createDataFrame([(0, 7, "Spot55", 0, 0)], "section_id long, field_id long, task string, y0 long, x0 long")
+    owners = blocks.square_owners(at.select("section_id", "field_id"))
+    layouts = at.drop("task").withColumn("role", F.lit("validation")).join(blocks.layout_digest(owners, "section_id", "field_id"), ["section_id", "field_id"])
+    plan = blocks.frozen_owners(at, layouts, owners)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == 2  # the digests and the pixels
+
+
+def test_support_in_tissue_is_not_broadcast(spark):
+    spots = spark.createDataFrame([(0, 100.0, 100.0)], "section_id long, cy double, cx double")
+    n = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long")))
+    mask = spark.range(1).select(F.lit(0).cast("long").alias("section_id"), n.alias("y")).withColumn("x", n)
+    assert broadcasts(sections.spot_support(spots, (100, 100), mask)) == 0
+
+
+def test_exported_cells_without_genes_count_as_support(spark):
+    spots = spark.createDataFrame([(0, 0, 101.0, 101.0), (0, 1, 101.0, 201.0)], "section_id long, spot_id long, cy double, cx double")
+    cells = geometry.circle_pixels(spots, 55.0, 200, 200).select("section_id", "spot_id", geometry.down("y", 4).alias("qy"), geometry.down("x", 4).alias("qx")).distinct()
+    grid = cells.where("spot_id = 0").select("section_id", "qy", "qx", F.lit("g0").alias("gene_id"), F.lit(1.0).alias("value"))
+    observed = spark.createDataFrame([(0, 0, "g0", 3)], "section_id long, spot_id long, gene_id string, umi long")
+    r = sections.spot_report(grid, spots, observed, (200, 200), cells).first()
+    assert (r["full"], r["partial"], r["empty"], r["n"]) == (2, 0, 0, 1)
