@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.operators.ranks import ranked
+from lamella.operators.tasks import dealt
 
 
 def stable_seed(*values) -> int:
@@ -51,17 +52,20 @@ def epoch_draw(items: DataFrame, seed: int, epoch: int, quota: int, partition: l
     if mode == "fresh":
         lasts = F.col("size") >= epoch * quota
         size = size.withColumn("size", F.when(lasts, F.col("size")).otherwise(F.raise_error(F.lit("a pool of fresh items is exhausted")).cast("long")))
-    draws = size.withColumn("draw", F.explode(F.sequence(F.lit((epoch - 1) * quota), F.lit(epoch * quota - 1)))).withColumn("cycle", F.floor(F.col("draw") / F.col("size")).cast("long")).withColumn("position", (F.col("draw") % F.col("size")).cast("long"))
-    cycles = draws.select(*partition, "cycle").distinct()
+    # A draw is a cycle and a position and the other way round: items in the cycles that the epoch touches number the draws
+    # themselves, and no table of draws meets them.
+    first, last = (epoch - 1) * quota, epoch * quota - 1
+    cycles = F.explode(F.sequence(F.floor(F.lit(first) / F.col("size")).cast("long"), F.floor(F.lit(last) / F.col("size")).cast("long")))
+    own = items.join(dealt(size), partition).withColumn("cycle", cycles)
     parts = []
     if mode != "shuffled_cycles":
-        own = items.join(cycles.where("cycle = 0"), partition)
-        parts.append(ranked(own, [item], partition, "position"))
-        cycles = cycles.where("cycle > 0")
+        parts.append(ranked(own.where("cycle = 0"), [item], partition, "position"))
+        own = own.where("cycle > 0")
     if mode != "fresh":
-        parts.append(shuffled(items.join(cycles, partition), seed, [*partition, "cycle"], item))
+        parts.append(shuffled(own, seed, [*partition, "cycle"], item))
     ordered = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return draws.select(*partition, "cycle", "position", "draw").join(ordered, [*partition, "cycle", "position"])
+    drawn = ordered.withColumn("draw", F.col("cycle") * F.col("size") + F.col("position")).where(F.col("draw").between(first, last))
+    return drawn.select(*partition, "cycle", "position", "draw", *[c for c in items.columns if c not in partition])
 
 
 def epoch_order(items: DataFrame, seed: int, epoch: int, key: list[str], name: str = "place") -> DataFrame:
