@@ -111,9 +111,10 @@ def section_scores(scores: DataFrame, sections: DataFrame) -> DataFrame:
     values = ("nll", "base_nll", "gain", "share", "pcc", "rms_ratio")
     each = scores.groupBy("section_id", "kind", "level").agg(F.count("*").alias("fields"), F.avg("umi").alias("umi"), *[F.avg(v).alias(v) for v in values], F.count("pcc").alias("defined_fields"))
     named = each.join(sections, "section_id")
-    over = named.groupBy("protocol_id", "kind", "level").agg(F.sum("fields").alias("fields"), F.avg("umi").alias("umi"), *[F.avg(v).alias(v) for v in values], F.sum("defined_fields").alias("defined_fields"))
-    columns = ["protocol_id", "section_id", "kind", "level", "fields", "umi", *values, "defined_fields"]
-    return named.select(*columns).unionByName(over.withColumn("section_id", F.lit(None).cast(dict(sections.dtypes)["section_id"])).select(*columns))
+    # A section's mean over its own row is that row: both levels come from one pass.
+    both = [["protocol_id", "kind", "level", "section_id"], ["protocol_id", "kind", "level"]]
+    over = named.groupingSets(both, "protocol_id", "kind", "level", "section_id").agg(F.sum("fields").alias("fields"), F.avg("umi").alias("umi"), *[F.avg(v).alias(v) for v in values], F.sum("defined_fields").alias("defined_fields"))
+    return over.select("protocol_id", "section_id", "kind", "level", "fields", "umi", *values, "defined_fields")
 
 
 class UserSet(NamedTuple):

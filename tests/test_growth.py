@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from lamella import jobs, sections
-from lamella.operators import anchors, geometry, sampling
+from lamella import jobs, sections, training
+from lamella.operators import anchors, geometry, sampling, tasks
+from lamella.plans import fixture, section_queries
 from lamella.sources import blocks
 
 
@@ -72,3 +73,23 @@ def test_exported_cells_without_genes_count_as_support(spark):
     observed = spark.createDataFrame([(0, 0, "g0", 3)], "section_id long, spot_id long, gene_id string, umi long")
     r = sections.spot_report(grid, spots, observed, (200, 200), cells).first()
     assert (r["full"], r["partial"], r["empty"], r["n"]) == (2, 0, 0, 1)
+
+
+def test_means_of_sections_and_protocols_come_from_one_pass(spark):
+    columns = "section_id long, field_id long, kind string, level string, n long, umi double, nll double, base_nll double, gain double, share double, base_share double, pcc double, rms_ratio double"
+    scores = spark.createDataFrame([(s, f, "all", None, 1, 2.0 * s, 1.0, 1.0, 0.0, 0.5, 0.5, None, 1.0) for s in (0, 1) for f in range(s + 1)], columns)
+    means = training.section_scores(scores, spark.createDataFrame([(0, 0), (1, 0)], "section_id long, protocol_id long"))
+    assert "Union" not in means._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.section_id, r.fields, r.umi, r.defined_fields) for r in means.collect() if r.section_id is not None) == [(0, 1, 0.0, 0), (1, 2, 2.0, 0)]
+    assert [(r.fields, r.umi) for r in means.where("section_id IS NULL").collect()] == [(3, 1.0)]
+
+
+def test_pairs_of_a_field_are_formed_without_a_join(spark):
+    plan = section_queries._pairs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_counts_are_dealt_out_by_a_number_that_grows(spark):
+    plan = fixture.wide_counts(spark, "/root/testdata/sf0.1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    assert tasks.spread(spark.range(1), 1000, 10, "id").rdd.getNumPartitions() == 100
