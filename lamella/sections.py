@@ -181,18 +181,19 @@ def square_report(grid: DataFrame, observed: DataFrame) -> DataFrame:
     return metrics.error_report(pairs, "section_id")
 
 
-def spot_report(grid: DataFrame, spots: DataFrame, observed: DataFrame, capture: tuple[int, int]) -> DataFrame:
+def spot_report(grid: DataFrame, spots: DataFrame, observed: DataFrame, capture: tuple[int, int], cells: DataFrame | None = None) -> DataFrame:
     """By section: spots by exported support (full, partial, empty) with the share of cells covered, and errors of the full ones.
 
-    Grids of spots are means over fields and do not conserve; the report says how far they are off.
+    Grids of spots are means over fields and do not conserve; the report says how far they are off. ``cells``: (section_id,
+    qy, qx) that were exported, where some hold no gene and have no row in the grid.
     """
     circle = geometry.circle_pixels(spots, 55.0, *capture)
     weights = circle.groupBy("section_id", "spot_id", down("y", 4).alias("qy"), down("x", 4).alias("qx")).agg((F.count("*") / F.lit(16.0)).alias("weight"))
-    support = audit.spot_support(weights, grid.select(*CELL).distinct())
+    support = audit.spot_support(weights, dealt((grid if cells is None else cells).select(*CELL).distinct()))
     tally = support.groupBy("section_id").agg(*[F.count_if(F.col("support") == k).alias(k) for k in ("full", "partial", "empty")], F.avg("share").alias("covered"))
-    full = weights.join(support.where("support = 'full'").select("section_id", "spot_id"), ["section_id", "spot_id"])
+    full = weights.join(dealt(support.where("support = 'full'").select("section_id", "spot_id")), ["section_id", "spot_id"])
     p = audit.spot_sums(full, grid.withColumnRenamed("value", "mass"))
-    pairs = p.join(observed.withColumnRenamed("umi", "y"), ["section_id", "spot_id", "gene_id"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    pairs = p.join(dealt(observed.withColumnRenamed("umi", "y")), ["section_id", "spot_id", "gene_id"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
     return tally.join(metrics.error_report(pairs, "section_id"), "section_id", "left")
 
 
