@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lamella.operators import checks, metrics, sampling
 from lamella.operators.geometry import down
 from lamella.operators.ranks import ranked
+from lamella.operators.tasks import spread
 
 
 def batches(items: DataFrame, seed: int, epoch: int, size: int, key: list[str]) -> DataFrame:
@@ -37,7 +38,7 @@ def batch_counts(counts: DataFrame, items: DataFrame, available: DataFrame, outp
         F.struct(F.lit("parent").alias("kind"), (down("ly", 8) * side + down("lx", 8)).alias("a"), F.lit(0).cast("long").alias("b"), F.lit(True).alias("use")),
         F.struct(F.lit("cell").alias("kind"), down("ly", 4).alias("a"), down("lx", 4).alias("b"), F.coalesce("_out", F.lit(False)).alias("use")),
     )
-    each = wanted.repartition("batch").select("batch", "slot", "section_id", "field_id", "gene_id", "umi", F.explode(F.filter(goes, lambda g: g["use"])).alias("g"))
+    each = spread(wanted, items.count(), 2000, "batch").select("batch", "slot", "section_id", "field_id", "gene_id", "umi", F.explode(F.filter(goes, lambda g: g["use"])).alias("g"))
     return each.groupBy("batch", "slot", "section_id", "field_id", F.col("g.kind").alias("kind"), F.col("g.a").alias("a"), F.col("g.b").alias("b"), "gene_id").agg(F.sum("umi").alias("umi"))
 
 
