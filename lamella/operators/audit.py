@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.operators.geometry import circle_pixels, down
+from lamella.operators.tasks import dealt
 
 
 def spot_weights(centers: DataFrame, diameter: float, rows: int, cols: int) -> DataFrame:
@@ -25,7 +26,7 @@ def spot_support(weights: DataFrame, cells: DataFrame) -> DataFrame:
 
 def spot_sums(weights: DataFrame, values: DataFrame) -> DataFrame:
     """Cell values summed into spots by their weights."""
-    return values.join(weights, ["section_id", "qy", "qx"]).groupBy("section_id", "spot_id", "gene_id").agg(F.sum(F.col("mass") * F.col("weight")).alias("p"))
+    return values.join(dealt(weights), ["section_id", "qy", "qx"]).groupBy("section_id", "spot_id", "gene_id").agg(F.sum(F.col("mass") * F.col("weight")).alias("p"))
 
 
 def homogeneous_cells(owners: DataFrame, valid: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from lamella import jobs
 from lamella.operators import allocate, audit, checks, counts, geometry, image, metrics, neighbors
 from lamella.operators.geometry import down
 from lamella.operators.ranks import ranked
+from lamella.operators.tasks import dealt
 from lamella.sources import tables
 
 CELL = ["section_id", "qy", "qx"]
@@ -28,7 +29,7 @@ def unique(rows: DataFrame, key: list[str], message: str) -> DataFrame:
     """Rows whose key must not repeat."""
     n = rows.groupBy(*key).agg(F.count("*").alias("_n"))
     kind = dict(rows.dtypes)[key[0]]
-    return rows.join(n, key).withColumn(key[0], checks.guarded(F.col(key[0]), F.col("_n") == 1, message, kind)).drop("_n")
+    return rows.join(dealt(n), key).withColumn(key[0], checks.guarded(F.col(key[0]), F.col("_n") == 1, message, kind)).drop("_n")
 
 
 def spot_centres(barcodes: DataFrame, positions: DataFrame, transform: list[list[float]], capture: tuple[int, int], diameter: float = 55.0) -> DataFrame:
@@ -42,7 +43,7 @@ def spot_centres(barcodes: DataFrame, positions: DataFrame, transform: list[list
     places, asked = unique(positions, at, "a position is repeated"), unique(barcodes, at, "a barcode is repeated")
     flag = lambda c: checks.guarded(F.col(c), F.coalesce(F.col(c).isin(0, 1), F.lit(False)), "a flag is neither 0 nor 1", "int")
     known = F.col("_known").isNotNull()
-    met = asked.join(places.withColumn("_known", F.lit(True)), at, "left")
+    met = asked.join(dealt(places.withColumn("_known", F.lit(True))), at, "left")
     # A barcode without a position passes the filter, which would drop it before it is looked at, and fails at its place.
     met = met.select("section_id", "col", "barcode", *[F.when(known, F.col(c)).otherwise(1).alias(c) for c in ("in_tissue", "qc_pass")], "pxl_row", "pxl_col", "_known")
     kept = met.where((flag("in_tissue") == 1) & (flag("qc_pass") == 1))
@@ -68,7 +69,7 @@ def spot_support(spots: DataFrame, capture: tuple[int, int], mask: DataFrame | N
     boxed = spots.select("section_id", "cy", "cx").withColumn("qy", geometry.span(first("cy"), last("cy", capture[0]))).withColumn("qx", geometry.span(first("cx"), last("cx", capture[1])))
     dy, dx = 8 * F.col("qy") + 4 - F.col("cy"), 8 * F.col("qx") + 4 - F.col("cx")
     out = boxed.where(dy * dy + dx * dx <= reach * reach).select(*CELL).distinct()
-    return out if mask is None else out.join(image.tissue_majority(mask), CELL, "left_semi")
+    return out if mask is None else out.join(dealt(image.tissue_majority(mask)), CELL, "left_semi")
 
 
 def spot_matrix(data: DataFrame, indptr: DataFrame, barcodes: DataFrame, genes: DataFrame, positions: DataFrame, transform: list[list[float]], capture: tuple[int, int], mask: DataFrame | None = None) -> SpotSection:
@@ -80,7 +81,7 @@ def spot_matrix(data: DataFrame, indptr: DataFrame, barcodes: DataFrame, genes:
     spots = spot_centres(barcodes, positions, transform, capture)
     named = unique(genes, ["gene_id"], "a gene is repeated")
     matrix = counts.checked(tables.csc_matrix(data, indptr), "value").join(named, "row")
-    observed = matrix.join(spots.select("section_id", "spot_id", "col"), "col").select("section_id", "spot_id", "gene_id", F.col("value").alias("umi"))
+    observed = matrix.join(dealt(spots.select("section_id", "spot_id", "col")), "col").select("section_id", "spot_id", "gene_id", F.col("value").alias("umi"))
     return SpotSection(spots.drop("col"), observed, spot_support(spots, capture, mask))
 
 
@@ -140,15 +141,15 @@ def prepare_spots(section: SpotSection, panel: DataFrame, valid: DataFrame, capt
     circle = geometry.circle_pixels(section.spots, 55.0, *capture).select("section_id", F.col("spot_id").alias("parent_id"), "y", "x")
     owners = jobs.supported_owners(circle, valid)
     whole = owners.select("section_id", F.col("parent_id").alias("spot_id")).distinct()
-    points = section.spots.join(whole, ["section_id", "spot_id"]).select("section_id", F.col("spot_id").alias("id"), "cy", "cx")
+    points = section.spots.join(dealt(whole), ["section_id", "spot_id"]).select("section_id", F.col("spot_id").alias("id"), "cy", "cx")
     near = neighbors.pairs(points)
     ends = [points.select("section_id", F.col("id").alias(n), F.col("cy").alias(f"{n}_y"), F.col("cx").alias(f"{n}_x")) for n in ("first", "second")]
-    placed = near.join(ends[0], ["section_id", "first"]).join(ends[1], ["section_id", "second"])
+    placed = near.join(dealt(ends[0]), ["section_id", "first"]).join(dealt(ends[1]), ["section_id", "second"])
     for c, o in (("y", "y0"), ("x", "x0")):
         a, b = F.least(f"first_{c}", f"second_{c}") - 27.5, F.greatest(f"first_{c}", f"second_{c}") + 27.5
         first, last = F.ceil((b / 2 - 128 + margin) / stride), F.floor((a / 2 + margin) / stride)
         placed = placed.withColumn("_k", geometry.span(first.cast("long"), last.cast("long") + 1)).withColumn(o, F.col("_k") * stride - margin).drop("_k")
-    pairs = placed.join(fields, ["section_id", "y0", "x0"]).select("section_id", "field_id", "first", "second", "d2")
+    pairs = placed.join(dealt(fields), ["section_id", "y0", "x0"]).select("section_id", "field_id", "first", "second", "d2")
     known = counts.checked(section.counts)
     return PreparedSpots(counts.in_panel(known, panel), counts.availability(known, panel), fields, owners, pairs)
 
@@ -166,7 +167,8 @@ def predict_section(weights: DataFrame, observed: DataFrame, cover: DataFrame, p
     share = cover.select(*CELL, "field_id", F.col("weight").alias("share"))
     met = mass.join(share, [*CELL, "field_id"]).groupBy(*CELL, "gene_id").agg(F.sum(F.col("mass") * F.col("share")).alias("value"), F.sum("share").alias("shares"))
     value = checks.guarded(F.col("value"), F.abs(F.col("shares") - 1) < 1e-9, "weights of a cell do not add up to 1", "double")
-    tables.write_new(met.select(*CELL, "gene_id", value.alias("value")), f"{path}/prediction", "section_id")
+    # Range partitions keep a section together or cut it between cells: a task writes few sections instead of all of them.
+    tables.write_new(met.select(*CELL, "gene_id", value.alias("value")).repartitionByRange(*CELL), f"{path}/prediction", "section_id")
     grid = weights.sparkSession.read.parquet(f"{path}/prediction")
     report = square_report(grid, observed)
     tables.write_report(report, f"{path}/report")
@@ -203,5 +205,5 @@ def spot_fine_tuning_fields(prepared: PreparedSpots, boundary: int, least: int =
     Fails where a section has fewer than ``least`` fields on the left or none on the right, or where sides overlap.
     """
     n = prepared.pairs.groupBy("section_id", "field_id").agg(F.count("*").alias("n")).where(F.col("n") >= pairs)
-    eligible = prepared.fields.join(n, ["section_id", "field_id"], "left_semi").select("section_id", "y0", "x0")
+    eligible = prepared.fields.join(dealt(n), ["section_id", "field_id"], "left_semi").select("section_id", "y0", "x0")
     return checks.disjoint_sides(jobs.fine_tuning_fields(eligible, boundary, least), 128)
