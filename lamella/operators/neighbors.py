@@ -7,17 +7,30 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.operators.tasks import dealt
+from lamella.operators.tasks import dealt, spread
+
+#: Pairs, or places of buckets, that one task takes in ``nearest_any``.
+EACH = 1_000_000
 
 
 def _bucket(c: str, size: float) -> Column:
     return F.floor(F.col(c) / F.lit(float(size))).cast("long")
 
 
-def _around(points: DataFrame, size: float) -> DataFrame:
+def _beside(rows: DataFrame) -> DataFrame:
+    """Rows of a bucket (_by, _bx) in each of the 3 x 3 buckets around it."""
     near = F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))
-    out = points.withColumn("_a", F.explode(near)).withColumn("_b", F.explode(near))
-    return out.withColumn("_by", _bucket("cy", size) + F.col("_a")).withColumn("_bx", _bucket("cx", size) + F.col("_b")).drop("_a", "_b")
+    out = rows.withColumn("_a", F.explode(near)).withColumn("_b", F.explode(near))
+    return out.withColumn("_by", F.col("_by") + F.col("_a")).withColumn("_bx", F.col("_bx") + F.col("_b")).drop("_a", "_b")
+
+
+def _around(points: DataFrame, size: float) -> DataFrame:
+    return _beside(points.withColumn("_by", _bucket("cy", size)).withColumn("_bx", _bucket("cx", size)))
+
+
+def _wide(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """Rows dealt out by columns if ``n`` units of work are more than one task should take."""
+    return spread(rows, n, EACH, *by) if n > EACH else rows
 
 
 def within(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
@@ -50,31 +63,42 @@ def nearest_any(points: DataFrame, others: DataFrame, k: int, key: list[str], si
     ``size`` and grow by ``growth``. A point looks into its 3 x 3 buckets once their numbers say that these hold k others; it is done
     when the k-th lies no further away than a bucket is wide, as nothing nearer can lie outside. If it lies further, the
     buckets of that width are sure to hold all k. Only open points go on, and none compares with others more than twice.
+
+    Of points and others the fewer go to nine buckets. Where these are the others, all candidates of a point lie in one
+    bucket, and are ranked where they were met. The numbers say how many pairs will be formed, and so into how many tasks
+    they are dealt out.
     """
     from lamella.session import checkpointed
 
-    at = ["section_id", *key]
+    at, bucket = ["section_id", *key], ["section_id", "_by", "_bx"]
     total = others.groupBy("section_id").agg(F.count("*").alias("_all"))
+    held_n = total.agg(F.sum("_all")).first()[0] or 0
     open_ = checkpointed(points.join(total, "section_id").select(*points.columns, "_all", F.lit(0).alias("_level"), F.lit(False).alias("_sure")))
     pool, found, columns = open_.columns, [], None
-    while (level := open_.agg(F.min("_level")).first()[0]) is not None:
+    while (next_ := open_.groupBy("_level").count().orderBy("_level").first()) is not None:
+        level, n = next_
         if level > 64:
             raise RuntimeError("points are further apart than 64 widths of buckets")
         s = size * growth**level
         held = others.withColumn("_by", _bucket("oy", s)).withColumn("_bx", _bucket("ox", s))
-        load = held.groupBy("section_id", "_by", "_bx").agg(F.count("*").alias("_c"))
-        todo = open_.where(F.col("_level") == level)
-        near = _around(todo.select(*at, "cy", "cx"), s).join(load, ["section_id", "_by", "_bx"]).groupBy(*at).agg(F.sum("_c").alias("_n"))
-        todo = checkpointed(todo.join(near, at, "left").withColumn("_n", F.coalesce("_n", F.lit(0))))
+        load = _beside(held.groupBy(*bucket).agg(F.count("*").alias("_c"))).groupBy(*bucket).agg(F.sum("_c").alias("_n"))
+        todo = open_.where(F.col("_level") == level).withColumn("_by", _bucket("cy", s)).withColumn("_bx", _bucket("cx", s))
+        todo = checkpointed(_wide(todo, n, *bucket).join(dealt(load), bucket, "left").withColumn("_n", F.coalesce("_n", F.lit(0))))
         enough = F.col("_sure") | (F.col("_n") >= F.least(F.lit(k), F.col("_all")))
-        met = _around(todo.where(enough).select(*points.columns), s).join(held, ["section_id", "_by", "_bx"]).drop("_by", "_bx")
+        pairs_n = todo.where(enough).agg(F.sum("_n")).first()[0] or 0
+        met, few = todo.where(enough).select(*points.columns, "_by", "_bx"), n < held_n
+        if few:
+            met = _wide(_beside(met), max(pairs_n, 9 * n), *bucket).join(dealt(held), bucket)
+            met = _wide(met, pairs_n, *at)
+        else:
+            met = _wide(met, max(pairs_n, 9 * held_n), *bucket).join(dealt(_beside(held)), bucket)
         d2 = (F.col("cy") - F.col("oy")) ** 2 + (F.col("cx") - F.col("ox")) ** 2
-        w = Window.partitionBy(*at).orderBy("d2", tie)
-        top = checkpointed(met.withColumn("d2", d2).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+        w = Window.partitionBy(*at, *([] if few else ["_by", "_bx"])).orderBy("d2", tie)
+        top = checkpointed(met.withColumn("d2", d2).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_by", "_bx"))
         columns = top.columns
-        judged = todo.where(enough).join(top.groupBy(*at).agg(F.max("d2").alias("_d2")), at)
+        judged = _wide(todo.where(enough), n, *at).join(dealt(top.groupBy(*at).agg(F.max("d2").alias("_d2"))), at)
         done = (F.col("_n") == F.col("_all")) | (F.col("_d2") <= s * s)
-        found.append(top.join(judged.where(done).select(*at), at, "left_semi"))
+        found.append(top.join(dealt(judged.where(done).select(*at)), at, "left_semi"))
         wider = F.greatest(F.lit(level + 1), F.ceil(F.log(F.sqrt("_d2") / size) / math.log(growth)).cast("int"))
         again = judged.where(~done).withColumn("_level", wider).withColumn("_sure", F.lit(True)).select(*pool)
         later = todo.where(~enough).withColumn("_level", F.lit(level + 1)).select(*pool)

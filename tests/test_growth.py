@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lamella import jobs, sections, training
-from lamella.operators import anchors, geometry, sampling, tasks
+from lamella.operators import anchors, geometry, neighbors, sampling, tasks
 from lamella.plans import fixture, section_queries
 from lamella.sources import blocks
 
@@ -93,3 +93,20 @@ def test_counts_are_dealt_out_by_a_number_that_grows(spark):
     plan = fixture.wide_counts(spark, "/root/testdata/sf0.1")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
     assert tasks.spread(spark.range(1), 1000, 10, "id").rdd.getNumPartitions() == 100
+
+
+def test_neighbours_at_any_distance_are_met_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Four hundred points in one heap and one far off: as pairs grow, tasks do, whichever side goes to nine buckets."""
+    heap = spark.range(401).selectExpr("id % 2 AS section_id", "id", "CASE WHEN id = 400 THEN 90.0D ELSE id % 20 + 0.0D END AS cy", "id DIV 20 + 0.0D AS cx")
+    others = heap.where("id % 3 > 0").selectExpr("section_id", "id AS other", "cy AS oy", "cx AS ox")
+    want = sorted(tuple(r) for r in neighbors.nearest_any(heap, others, 4, ["id"], 4.0).select("id", "other", "d2", "rank").collect())
+    asked = []
+    monkeypatch.setattr(neighbors, "EACH", 500)
+    monkeypatch.setattr(neighbors, "spread", lambda rows, n, each, *by: asked.append((-(-n // each), by)) or tasks.spread(rows, n, each, *by))
+    for points in (heap, heap.where("id % 2 = 0")):  # more points than others, and fewer
+        got = neighbors.nearest_any(points, others, 4, ["id"], 4.0).select("id", "other", "d2", "rank")
+        assert broadcasts(got) == 0
+        assert sorted(tuple(r) for r in got.collect()) == [r for r in want if points is heap or r[0] % 2 == 0]
+        assert any(n > 10 and by == ("section_id", "_by", "_bx") for n, by in asked)
+        assert any(by == ("section_id", "id") for n, by in asked) == (points is not heap)
+        asked.clear()
