@@ -110,3 +110,17 @@ def test_neighbours_at_any_distance_are_met_in_tasks_of_bounded_size(spark, monk
         assert any(n > 10 and by == ("section_id", "_by", "_bx") for n, by in asked)
         assert any(by == ("section_id", "id") for n, by in asked) == (points is not heap)
         asked.clear()
+
+
+def test_folders_of_a_store_are_bounded(spark, tmp_path, monkeypatch):
+    """Forty rows of blocks of twenty sections share few folders and are read back whole, or by block."""
+    monkeypatch.setattr(blocks, "FOLDERS", 6)
+    counts = spark.range(400).selectExpr("id % 20 AS section_id", "(id * 7) % 512 AS y", "(id * 11) % 256 AS x", "0L AS gene_id", "id % 9 AS umi")
+    listed = spark.range(40).selectExpr("id % 20 AS section_id", "id DIV 20 AS block_y", "0L AS block_x")
+    path = str(tmp_path / "store")
+    blocks.write_counts(counts, spark.createDataFrame([(0, 0)], "gene_id long, pos int"), listed, path)
+    assert 1 < len(list((tmp_path / "store" / "counts").glob("*=*"))) <= 6
+    read = lambda at: sorted(tuple(r) for r in blocks.read_counts(spark, path, at).select("section_id", "y", "x", "count").collect())
+    want = sorted(tuple(r) for r in counts.select("section_id", "y", "x", "umi").collect())
+    assert read(listed) == want
+    assert read(listed.where("section_id = 3 AND block_y = 1")) == [r for r in want if r[0] == 3 and r[1] >= 256]
