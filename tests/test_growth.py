@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lamella import jobs, sections, training
-from lamella.operators import anchors, geometry, neighbors, sampling, tasks
+from lamella.operators import anchors, geometry, image, neighbors, sampling, tasks
 from lamella.plans import fixture, section_queries
 from lamella.sources import blocks
 
@@ -124,3 +124,15 @@ def test_folders_of_a_store_are_bounded(spark, tmp_path, monkeypatch):
     want = sorted(tuple(r) for r in counts.select("section_id", "y", "x", "umi").collect())
     assert read(listed) == want
     assert read(listed.where("section_id = 3 AND block_y = 1")) == [r for r in want if r[0] == 3 and r[1] >= 256]
+
+
+def test_samples_of_colours_are_made_where_their_pixels_are(spark):
+    """No sample is dealt out: the plan joins nothing, and tiles of any size give the same colours."""
+    pixels = spark.range(900).selectExpr("0L AS section_id", "id DIV 30 AS py", "id % 30 AS px", "CAST(id % 251 AS INT) AS r", "CAST(id % 7 AS INT) AS g", "CAST(id % 31 AS INT) AS b").where("r % 5 > 0")
+    fields = spark.createDataFrame([(0, 1, 0, 0), (0, 2, 40, 64), (1, 3, -64, 0)], "section_id long, field_id long, y0 long, x0 long")
+    turned = [[0.1, 0.01, -0.4], [-0.01, 0.11, 0.3], [0.0, 0.0, 1.0]]
+    found = [image.registered_colours(fields, pixels, turned, 30, 30, 16, tile) for tile in (8, 5, 64)]
+    assert "Join" not in found[0]._jdf.queryExecution().optimizedPlan().toString()
+    rows = [{(r.field_id, r.i, r.j): r for r in f.collect()} for f in found]
+    assert len(rows[0]) == 3 * 256 and rows[0] == rows[1] == rows[2]
+    assert {r.valid for r in rows[0].values()} == {True, False} and any(0 < r.r < 1 for r in rows[0].values())
