@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella import jobs
-from lamella.operators import allocate, audit, checks, counts, geometry, image, metrics, neighbors
+from lamella.operators import audit, checks, counts, geometry, image, metrics, neighbors
 from lamella.operators.geometry import down
 from lamella.operators.ranks import ranked
-from lamella.operators.tasks import dealt
+from lamella.operators.tasks import dealt, spread
 from lamella.sources import tables
 
 CELL = ["section_id", "qy", "qx"]
+PARENT = ["section_id", "py", "px", "gene_id"]
+#: Folders of a written grid at most; sections share them, as thousands of small files cost more than their content.
+FOLDERS = 512
+#: Counts of 16 um parents that one task takes.
+EACH = 250_000
 
 
 class SpotSection(NamedTuple):
@@ -86,31 +91,43 @@ def spot_matrix(data: DataFrame, indptr: DataFrame, barcodes: DataFrame, genes:
 
 
 class PreparedSquares(NamedTuple):
-    """16 um sections ready for prediction: counts in the panel, availability, fields, parent slots and covered cells."""
+    """16 um sections ready for prediction: counts in the panel, availability, fields, parent slots, covered cells, and all
+    counts in the field (section_id, y0, x0, field_id, py, px, gene_id, umi) whose core holds their parent, with its ``share``."""
 
     counts: DataFrame
     available: DataFrame
     fields: DataFrame
     slots: DataFrame
     cover: DataFrame
+    placed: DataFrame
 
 
-def prepare_squares(observed: DataFrame, panel: DataFrame, core_um: int = 160) -> PreparedSquares:
+def prepare_squares(observed: DataFrame, panel: DataFrame, core_um: int = 160, n: int = 0) -> PreparedSquares:
     """Prepares 16 um counts (section_id, py, px, gene_id, umi): raw-count check, panel, field tiling, slots and stitching weights.
 
     Genes of the panel that a section did not measure are unavailable, not zero. Every parent lies in the core of one field;
-    fields hold 16 x 16 slots, null where no parent is. Cells of parents meet every field whose core holds them.
+    fields hold 16 x 16 slots, null where no parent is. Cores lie side by side, so that a parent's cells are covered by its
+    field alone, at a share of 1. ``n``: number of counts where it is known, by which the placed ones are dealt out.
     """
     known = counts.checked(observed)
     inside = counts.in_panel(known, panel)
     parents = known.select("section_id", "py", "px").distinct()
-    tiled = geometry.core_tiles(parents, core_um)
+    tiled = geometry.core_tiles(known, core_um)
     fields = geometry.field_ids(tiled)
     slots = geometry.field_slots(fields, parents.withColumn("parent_id", F.struct("py", "px")))
+    # Fields meet parents and counts, never their cells: these are four times as many.
+    origin = ["section_id", "y0", "x0"]
+    held = lambda rows: (spread(rows, n, EACH, *origin) if n else rows).join(dealt(fields), origin)
+    cover = children(held(geometry.core_tiles(parents, core_um))).select(*origin, "qy", "qx", "field_id", F.lit(1.0).alias("weight"))
+    placed = held(tiled.select(*origin, "py", "px", "gene_id", "umi")).withColumn("share", F.lit(1.0))
+    return PreparedSquares(inside.select("section_id", "py", "px", "gene_id", "pos", "umi"), counts.availability(known, panel), fields, slots, cover, placed)
+
+
+def children(parents: DataFrame) -> DataFrame:
+    """Rows of 16 um parents (.., py, px) once for each of their four 8 um cells (qy, qx)."""
     child = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
-    cells = parents.select("section_id", "py", "px", child.alias("k")).select("section_id", (F.col("py") * 2 + F.col("k.a")).alias("qy"), (F.col("px") * 2 + F.col("k.b")).alias("qx"))
-    cover = geometry.covering_fields(cells, fields, core_um, stride_um=core_um)
-    return PreparedSquares(inside.select("section_id", "py", "px", "gene_id", "pos", "umi"), counts.availability(known, panel), fields, slots, cover)
+    out = parents.withColumn("_child", child).withColumn("qy", F.col("py") * 2 + F.col("_child.a")).withColumn("qx", F.col("px") * 2 + F.col("_child.b"))
+    return out.drop("_child")
 
 
 class PreparedSpots(NamedTuple):
@@ -157,18 +174,18 @@ def prepare_spots(section: SpotSection, panel: DataFrame, valid: DataFrame, capt
 def predict_section(weights: DataFrame, observed: DataFrame, cover: DataFrame, path: str) -> DataFrame:
     """Predicts 16 um sections by fields, writes the 8 um grid and a report under ``path``, and gives the report read back.
 
-    ``weights``: (section_id, field_id, py, px, qy, qx, gene_id, weight); ``observed``: (section_id, py, px, gene_id, umi). Every
-    field allocates its parents by the weights, cells take the mean of all fields that cover them. The written grid is summed
-    to parents again and compared with the counts; a section that does not come back within 1e-5 + 1e-5 * count fails. The
-    path must be new.
+    ``weights``: (section_id, field_id, py, px, qy, qx, gene_id, weight), once each; ``observed``: (section_id, py, px, gene_id,
+    umi). Where weights carry the ``umi`` of their parent and gene and the ``share`` of their cell, these are taken from there
+    and no row of a cell is dealt out; ``y0`` and ``x0`` of the field may come along. Every field allocates its parents by the
+    weights, cells take the mean of all fields that cover them. The written grid (folder, section_id, qy, qx, gene_id, value)
+    has a section in the folder pmod(xxhash64(section_id), ``FOLDERS``). It is summed to parents again and compared with the
+    counts; a section that does not come back within 1e-5 + 1e-5 * count fails. The path must be new.
     """
-    held = weights.select("section_id", "field_id", "py", "px", "qy", "qx", "gene_id", "weight", F.lit(0).alias("parent_id"))
-    mass = allocate.allocate(held, observed, ("section_id", "field_id", "py", "px", "gene_id"))
-    share = cover.select(*CELL, "field_id", F.col("weight").alias("share"))
-    met = mass.join(share, [*CELL, "field_id"]).groupBy(*CELL, "gene_id").agg(F.sum(F.col("mass") * F.col("share")).alias("value"), F.sum("share").alias("shares"))
-    value = checks.guarded(F.col("value"), F.abs(F.col("shares") - 1) < 1e-9, "weights of a cell do not add up to 1", "double")
-    # Range partitions keep a section together or cut it between cells: a task writes few sections instead of all of them.
-    tables.write_new(met.select(*CELL, "gene_id", value.alias("value")).repartitionByRange(*CELL), f"{path}/prediction", "section_id")
+    if "umi" not in weights.columns:
+        weights = weights.join(dealt(observed.select(*PARENT, "umi")), PARENT, "left")
+    if "share" not in weights.columns:
+        weights = weights.join(dealt(cover.select(*CELL, "field_id", F.col("weight").alias("share"))), [*CELL, "field_id"], "left")
+    tables.write_new(predicted(weights, observed.count()), f"{path}/prediction", "folder")
     grid = weights.sparkSession.read.parquet(f"{path}/prediction")
     report = square_report(grid, observed)
     tables.write_report(report, f"{path}/report")
@@ -176,6 +193,32 @@ def predict_section(weights: DataFrame, observed: DataFrame, cover: DataFrame, p
     return done.withColumn("section_id", checks.guarded(F.col("section_id"), F.col("within"), "a section does not give its counts back", "long"))
 
 
+def predicted(weights: DataFrame, n: int) -> DataFrame:
+    """(folder, section_id, qy, qx, gene_id, value) from weights that carry umi and share, over ``n`` counts of parents.
+
+    A parent's four cells stay one row until they are written: four weights, then four masses, are dealt out together.
+    """
+    at = F.col("qy") - 2 * F.col("py"), F.col("qx") - 2 * F.col("px")
+    inside = F.coalesce(at[0].between(0, 1) & at[1].between(0, 1), F.lit(False))
+    rows = weights.withColumn("_k", checks.guarded(at[0] * 2 + at[1], inside, "a cell lies outside its parent", "long").cast("int"))
+    of = lambda k, c: F.when(F.col("_k") == k, F.col(c))
+    four, keys = range(4), [c for c in ("section_id", "field_id", "y0", "x0", "py", "px", "gene_id") if c in weights.columns]
+    each = [f(of(k, c)).alias(f"_{c}{k}") for c, f in (("weight", F.sum), ("share", F.max)) for k in four]
+    met = rows.groupBy(*keys).agg(F.max("umi").alias("_umi"), F.count("*").alias("_n"), F.expr("bit_count(bit_or(shiftleft(1, _k)))").alias("_cells"), *each)
+    total = sum((F.coalesce(f"_weight{k}", F.lit(0.0)) for k in four), F.lit(0.0))
+    part = lambda k: F.when(F.coalesce("_umi", F.lit(0)) > 0, checks.guarded(F.col(f"_weight{k}") * F.col("_umi") / total, total > 0, "a count has no support", "double")).otherwise(0.0)
+    once = lambda k: checks.guarded(F.col(f"_share{k}"), F.col("_n") == F.col("_cells"), "weights of a cell do not add up to 1", "double")
+    # Parts of a folder grow in number with the counts, so that a task's share does not; each is written by one task.
+    parts = max(1, -(-4 * n // (EACH * FOLDERS)))
+    spot = F.pmod(F.xxhash64("section_id"), F.lit(FOLDERS)) * parts + F.pmod(F.xxhash64("section_id", down("py", 64), down("px", 64)), F.lit(parts))
+    mass = met.select(spot.alias("_part"), *PARENT, *[(part(k) * F.col(f"_share{k}")).alias(f"_mass{k}") for k in four], *[once(k).alias(f"_share{k}") for k in four])
+    mean = spread(mass, n, EACH, "_part").groupBy("_part", *PARENT).agg(*[F.sum(f"_{c}{k}").alias(f"_{c}{k}") for c in ("mass", "share") for k in four])
+    value = lambda k: checks.guarded(F.col(f"_mass{k}"), F.abs(F.col(f"_share{k}") - 1) < 1e-9, "weights of a cell do not add up to 1", "double")
+    cells = F.array(*[F.struct(F.lit(k // 2).alias("a"), F.lit(k % 2).alias("b"), value(k).alias("value"), F.col(f"_share{k}").isNotNull().alias("covered")) for k in four])
+    grid = mean.select(F.floor(F.col("_part") / float(parts)).cast("int").alias("folder"), *PARENT, F.explode(cells).alias("c")).where("c.covered")
+    return grid.select("folder", "section_id", (F.col("py") * 2 + F.col("c.a")).alias("qy"), (F.col("px") * 2 + F.col("c.b")).alias("qx"), "gene_id", "c.value")
+
+
 def square_report(grid: DataFrame, observed: DataFrame) -> DataFrame:
     """By section: how far the four children of each 16 um parent of a grid are from its counts (n, errors, within)."""
     sums = grid.groupBy("section_id", down("qy", 2).alias("py"), down("qx", 2).alias("px"), "gene_id").agg(F.sum("value").alias("p"))

@@ -1,5 +1,6 @@
 """Plans and results that must hold as tables grow: nothing that grows is broadcast, small tables give the same rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lamella import jobs, sections, training
@@ -136,3 +137,45 @@ def test_samples_of_colours_are_made_where_their_pixels_are(spark):
     rows = [{(r.field_id, r.i, r.j): r for r in f.collect()} for f in found]
     assert len(rows[0]) == 3 * 256 and rows[0] == rows[1] == rows[2]
     assert {r.valid for r in rows[0].values()} == {True, False} and any(0 < r.r < 1 for r in rows[0].values())
+
+
+def test_cells_of_a_prediction_are_dealt_out_by_parent(spark, tmp_path, monkeypatch):
+    """Two overlapping fields of twenty sections: weights that carry counts and shares are dealt out once, four cells a row; folders are bounded."""
+    monkeypatch.setattr(sections, "FOLDERS", 6)
+    seen = spark.range(20).selectExpr("id AS section_id", "-1L AS py", "3L AS px", "id % 2 AS gene_id", "id AS umi")
+    cells = sections.children(seen.drop("umi")).withColumn("field_id", F.explode(F.array(F.lit(0), F.lit(1))))
+    weights = cells.withColumn("weight", F.when(F.col("field_id") == 0, 1.0).otherwise((F.pmod("qy", F.lit(2)) * 2 + F.pmod("qx", F.lit(2))).cast("double")))
+    cover = cells.select("section_id", "qy", "qx", "field_id", F.lit(0.5).alias("weight"))
+    want = {(s, -2 + a, 6 + b, s % 2): s * (0.125 + (2 * a + b) / 12) for s in range(20) for a in (0, 1) for b in (0, 1)}
+    carried = weights.join(seen, ["section_id", "py", "px", "gene_id"]).withColumn("share", F.lit(0.5))
+    for name, w in (("joined", weights), ("carried", carried)):
+        report = sections.predict_section(w, seen, cover, str(tmp_path / name)).collect()
+        assert sorted((r.section_id, r.n, r.within) for r in report) == [(s, 1, True) for s in range(20)]
+        assert 1 < len(list((tmp_path / name / "prediction").glob("*=*"))) <= 6
+        got = {(r.section_id, r.qy, r.qx, r.gene_id): r.value for r in spark.read.parquet(str(tmp_path / name / "prediction")).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    stored = spark.read.parquet(str(tmp_path / "carried" / "prediction")).where(F.col("folder") != F.pmod(F.xxhash64("section_id"), F.lit(6)))
+    assert stored.isEmpty()
+    flat = spark.createDataFrame(carried.collect(), carried.schema)
+    assert sections.predicted(flat, 20)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # by field and by part
+    bad = (
+        (carried.unionByName(carried), "do not add up to 1"),
+        (carried.where("field_id = 0"), "do not add up to 1"),
+        (carried.withColumn("weight", F.lit(0.0)), "has no support"),
+        (carried.withColumn("qx", F.col("qx") + 2), "outside its parent"),
+    )
+    for rows, message in bad:
+        with pytest.raises(Exception, match=message):
+            sections.predicted(rows, 20).collect()
+
+
+def test_fields_meet_parents_and_not_their_cells(spark):
+    seen = spark.range(300).selectExpr("id % 2 AS section_id", "id % 23 - 3 AS py", "id % 17 AS px", "id % 3 AS gene_id", "1L AS umi").dropDuplicates(["section_id", "py", "px", "gene_id"])
+    made = sections.prepare_squares(seen, spark.createDataFrame([(0, 0)], "gene_id long, pos int"), n=300)
+    at = ["section_id", "qy", "qx", "field_id", "weight"]
+    cells = sections.children(seen.select("section_id", "py", "px").distinct())
+    want = geometry.covering_fields(cells, made.fields, 160, stride_um=160).select(*at)
+    assert made.cover._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1  # of the fields' numbers
+    assert sorted(map(tuple, made.cover.select(*at).collect())) == sorted(map(tuple, want.collect()))
+    both = made.placed.select("section_id", "py", "px", "gene_id", "umi")
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, seen.collect()))
