@@ -39,10 +39,26 @@ def prepare_circles(native: DataFrame, flagged: DataFrame, origins: DataFrame, o
 
 def supported_owners(owners: DataFrame, valid: DataFrame) -> DataFrame:
     """Owners of parents all of whose pixels are valid, numbered from 0 in each section (``slot``); others own nothing."""
-    met = owners.join(dealt(valid.select("section_id", "y", "x", F.lit(True).alias("_ok"))), ["section_id", "y", "x"], "left")
-    kept = met.groupBy("section_id", "parent_id").agg(F.count("*") == F.count("_ok")).toDF("section_id", "parent_id", "whole").where("whole").drop("whole")
-    slots = ranks.ranked(kept, ["parent_id"], ["section_id"], "slot")
-    return owners.join(dealt(slots), ["section_id", "parent_id"])
+    return owners.join(dealt(supported_parents(owners, valid)), ["section_id", "parent_id"])
+
+
+def supported_parents(owners: DataFrame, valid: DataFrame) -> DataFrame:
+    """(section_id, parent_id, slot): parents all of whose pixels are valid, numbered from 0 in each section.
+
+    Pixels of a square of 8 x 8 are the bits of one number, on both sides: squares meet, pixels are never dealt out.
+    """
+    own = _bits(owners, "section_id", "parent_id")
+    met = own.join(dealt(_bits(valid, "section_id").withColumnRenamed("_bits", "_valid")), ["section_id", "_ty", "_tx"], "left")
+    # A pixel without a place is no bit, and none of its square is valid.
+    fine = F.coalesce(F.col("_bits").bitwiseAND(F.bitwise_not("_valid")) == 0, F.lit(False))
+    kept = met.groupBy("section_id", "parent_id").agg(F.bool_and(fine).alias("whole")).where("whole").drop("whole")
+    return ranks.ranked(kept, ["parent_id"], ["section_id"], "slot")
+
+
+def _bits(pixels: DataFrame, *key: str) -> DataFrame:
+    """(.. key, _ty, _tx, _bits): pixels (y, x) by square of 8 x 8; repeated ones count once."""
+    bit = F.expr("bit_or(shiftleft(1L, CAST(pmod(y, 8) * 8 + pmod(x, 8) AS INT)))")
+    return pixels.groupBy(*key, geometry.down("y", 8).alias("_ty"), geometry.down("x", 8).alias("_tx")).agg(bit.alias("_bits"))
 
 
 def predict(weights: DataFrame, observed: DataFrame, cover: DataFrame) -> DataFrame:

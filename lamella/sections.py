@@ -18,8 +18,8 @@ CELL = ["section_id", "qy", "qx"]
 PARENT = ["section_id", "py", "px", "gene_id"]
 #: Folders of a written grid at most; sections share them, as thousands of small files cost more than their content.
 FOLDERS = 512
-#: Counts of 16 um parents that one task takes.
-EACH = 250_000
+#: Counts of 16 um parents that one task takes, and spots that one task turns into their pixels or cells.
+EACH, SPOTS = 250_000, 5_000
 
 
 class SpotSection(NamedTuple):
@@ -64,17 +64,26 @@ def spot_centres(barcodes: DataFrame, positions: DataFrame, transform: list[list
     return ranked(out, ["col"], ["section_id"], "spot_id").select("section_id", "spot_id", "barcode", "col", "cy", "cx")
 
 
+def around(spots: DataFrame) -> DataFrame:
+    """Spots (section_id, .., cy, cx) dealt out before they become hundreds of pixels or cells each; those of a square of 1 mm stay together."""
+    return spread(spots, spots.count(), SPOTS, "section_id", down("cy", 1024), down("cx", 1024))
+
+
 def spot_support(spots: DataFrame, capture: tuple[int, int], mask: DataFrame | None = None, reach: float = 100.0) -> DataFrame:
     """(section_id, qy, qx): 8 um cells whose middle lies at most ``reach`` um from a spot, and half of whose pixels are in ``mask`` where given.
 
-    Cells are enumerated around each spot; no spot is compared with cells elsewhere.
+    Cells are enumerated around each spot, or, where there is a mask, its cells meet the spots of the 3 x 3 buckets around
+    them; no spot is compared with cells elsewhere.
     """
+    if mask is not None:
+        inside = F.col("qy").between(0, capture[0] // 4 - 1) & F.col("qx").between(0, capture[1] // 4 - 1)
+        cells = image.tissue_majority(mask).where(inside).select("section_id", F.struct("qy", "qx").alias("other"), (8.0 * F.col("qy") + 4).alias("oy"), (8.0 * F.col("qx") + 4).alias("ox"))
+        return neighbors.within(spots.select("section_id", "cy", "cx"), cells, reach).select("section_id", "other.*").distinct()
     first = lambda c: F.greatest(F.floor((F.col(c) - reach) / 8.0), F.lit(0)).cast("long")
     last = lambda c, n: F.least(F.ceil((F.col(c) + reach) / 8.0), F.lit(n // 4)).cast("long")
-    boxed = spots.select("section_id", "cy", "cx").withColumn("qy", geometry.span(first("cy"), last("cy", capture[0]))).withColumn("qx", geometry.span(first("cx"), last("cx", capture[1])))
+    boxed = around(spots.select("section_id", "cy", "cx")).withColumn("qy", geometry.span(first("cy"), last("cy", capture[0]))).withColumn("qx", geometry.span(first("cx"), last("cx", capture[1])))
     dy, dx = 8 * F.col("qy") + 4 - F.col("cy"), 8 * F.col("qx") + 4 - F.col("cx")
-    out = boxed.where(dy * dy + dx * dx <= reach * reach).select(*CELL).distinct()
-    return out if mask is None else out.join(dealt(image.tissue_majority(mask)), CELL, "left_semi")
+    return boxed.where(dy * dy + dx * dx <= reach * reach).select(*CELL).distinct()
 
 
 def spot_matrix(data: DataFrame, indptr: DataFrame, barcodes: DataFrame, genes: DataFrame, positions: DataFrame, transform: list[list[float]], capture: tuple[int, int], mask: DataFrame | None = None) -> SpotSection:
@@ -155,9 +164,10 @@ def prepare_spots(section: SpotSection, panel: DataFrame, valid: DataFrame, capt
         at = F.col(q) * 4 - F.col(o) - margin
         out = out.where((at >= 0) & (at + 4 <= core))
     fields = geometry.field_ids(out)
-    circle = geometry.circle_pixels(section.spots, 55.0, *capture).select("section_id", F.col("spot_id").alias("parent_id"), "y", "x")
-    owners = jobs.supported_owners(circle, valid)
-    whole = owners.select("section_id", F.col("parent_id").alias("spot_id")).distinct()
+    circle = geometry.circle_pixels(around(section.spots), 55.0, *capture).select("section_id", F.col("spot_id").alias("parent_id"), "y", "x")
+    slots = jobs.supported_parents(circle, valid)
+    owners = circle.join(dealt(slots), ["section_id", "parent_id"])
+    whole = slots.select("section_id", F.col("parent_id").alias("spot_id"))
     points = section.spots.join(dealt(whole), ["section_id", "spot_id"]).select("section_id", F.col("spot_id").alias("id"), "cy", "cx")
     near = neighbors.pairs(points)
     ends = [points.select("section_id", F.col("id").alias(n), F.col("cy").alias(f"{n}_y"), F.col("cx").alias(f"{n}_x")) for n in ("first", "second")]

@@ -179,3 +179,35 @@ def test_fields_meet_parents_and_not_their_cells(spark):
     assert sorted(map(tuple, made.cover.select(*at).collect())) == sorted(map(tuple, want.collect()))
     both = made.placed.select("section_id", "py", "px", "gene_id", "umi")
     assert sorted(map(tuple, both.collect())) == sorted(map(tuple, seen.collect()))
+
+
+def test_pixels_of_whole_spots_meet_as_bits_of_squares(spark):
+    """No pixel is dealt out before it is a bit of its square; repeated valid pixels, missing places and negative squares count as before."""
+    n = F.explode(F.sequence(F.lit(0), F.lit(11)))
+    owners = spark.range(6).selectExpr("id % 2 AS section_id", "id AS parent_id", "12 * id - 30 AS _y").withColumn("a", n).withColumn("b", n).select("section_id", "parent_id", (F.col("_y") + F.col("a")).alias("y"), (F.col("b") - 5).alias("x"))
+    lost = owners.where("parent_id = 4").limit(1).withColumn("y", F.lit(None).cast("long"))
+    valid = owners.drop("parent_id").where("NOT (y = -29 AND x = -5)")  # a pixel of parent 0 is not valid
+    got = jobs.supported_parents(owners.unionByName(lost), valid.unionByName(valid))
+    assert sorted(map(tuple, got.select("section_id", "parent_id", "slot").collect())) == [(0, 2, 0), (1, 1, 0), (1, 3, 1), (1, 5, 2)]
+    whole = jobs.supported_owners(owners, valid)
+    assert whole.count() == 5 * 144 and whole.where("parent_id = 0").isEmpty()
+    squares = jobs._bits(owners, "section_id", "parent_id")
+    assert squares.count() == owners.select("parent_id", F.floor(F.col("y") / 8), F.floor(F.col("x") / 8)).distinct().count()
+    assert squares.agg(F.sum(F.expr("bit_count(_bits)"))).first()[0] == owners.count()
+
+
+def test_cells_of_a_mask_meet_spots_once_for_each_bucket(spark):
+    """Support in a mask is what enumeration around spots gives, and cells of spots are not dealt out for the mask."""
+    spots = spark.createDataFrame([(0, 100.0, 100.0), (0, 150.0, 260.0), (1, 395.0, 5.0)], "section_id long, cy double, cx double")
+    n = F.explode(F.sequence(F.lit(-8).cast("long"), F.lit(240).cast("long")))
+    mask = spark.range(2).select(F.col("id").alias("section_id"), n.alias("y")).withColumn("x", n).where("(y + 2 * x) % 9 < 6")
+    held = sections.spot_support(spots, (190, 202), mask)
+    every = sections.spot_support(spots, (190, 202)).join(image.tissue_majority(mask), sections.CELL, "left_semi")
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, every.select(*sections.CELL).collect())) and not held.isEmpty()
+    assert "LeftSemi" not in held._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spots_are_dealt_out_before_they_become_pixels(spark):
+    spots = spark.range(400).selectExpr("0L AS section_id", "id AS spot_id", "100.0 * (id DIV 20) + 40 AS cy", "100.0 * (id % 20) + 40 AS cx")
+    dealt = sections.around(spots.coalesce(1))
+    assert dealt.rdd.getNumPartitions() > 1 and dealt.select(F.spark_partition_id()).distinct().count() > 1
