@@ -118,10 +118,10 @@ def eligible_squares(observed: DataFrame, core: int = 10, margin: int = 3, least
 def fine_tuning_fields(eligible: DataFrame, boundary: int, least: int = 64, fov: int = 128) -> DataFrame:
     """Fields by side of ``boundary``; fails where a section has fewer than ``least`` on the left or none on the right."""
     split = sampling.sides(eligible, boundary, fov)
-    each = eligible.select("section_id").distinct().join(split.groupBy("section_id").agg(F.count_if(F.col("side") == "support").alias("_a"), F.count_if(F.col("side") == "selection").alias("_b")), "section_id", "left")
+    each = eligible.select("section_id").distinct().join(dealt(split.groupBy("section_id").agg(F.count_if(F.col("side") == "support").alias("_a"), F.count_if(F.col("side") == "selection").alias("_b"))), "section_id", "left")
     enough = (F.coalesce("_a", F.lit(0)) >= least) & (F.coalesce("_b", F.lit(0)) > 0)
     held = each.select("section_id", checks.guarded(F.lit(True), enough, "a side of the boundary holds too few fields", "boolean").alias("_ok"))
-    return held.join(split, "section_id", "left").where("_ok AND side IS NOT NULL").select("section_id", "y0", "x0", "side")
+    return held.join(dealt(split), "section_id", "left").where("_ok AND side IS NOT NULL").select("section_id", "y0", "x0", "side")
 
 
 def evaluation_pairs(prediction: DataFrame, reference: DataFrame, genes: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from lamella.operators import audit, checks, counts, geometry, image, metrics, n
 from lamella.operators.geometry import down
 from lamella.operators.ranks import ranked
 from lamella.operators.tasks import dealt, spread
+from lamella.session import checkpointed
 from lamella.sources import tables
 
 CELL = ["section_id", "qy", "qx"]
@@ -258,5 +259,6 @@ def spot_fine_tuning_fields(prepared: PreparedSpots, boundary: int, least: int =
     Fails where a section has fewer than ``least`` fields on the left or none on the right, or where sides overlap.
     """
     n = prepared.pairs.groupBy("section_id", "field_id").agg(F.count("*").alias("n")).where(F.col("n") >= pairs)
-    eligible = prepared.fields.join(dealt(n), ["section_id", "field_id"], "left_semi").select("section_id", "y0", "x0")
+    # The checks look at these few fields several times; pairs are formed once.
+    eligible = checkpointed(prepared.fields.join(dealt(n), ["section_id", "field_id"], "left_semi").select("section_id", "y0", "x0"))
     return checks.disjoint_sides(jobs.fine_tuning_fields(eligible, boundary, least), 128)

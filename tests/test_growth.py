@@ -211,3 +211,22 @@ def test_spots_are_dealt_out_before_they_become_pixels(spark):
     spots = spark.range(400).selectExpr("0L AS section_id", "id AS spot_id", "100.0 * (id DIV 20) + 40 AS cy", "100.0 * (id % 20) + 40 AS cx")
     dealt = sections.around(spots.coalesce(1))
     assert dealt.rdd.getNumPartitions() > 1 and dealt.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_sides_of_fine_tuning_form_pairs_once(spark):
+    """The checks of the sides read fields that are settled; nothing that grows is broadcast."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def tallied(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    at = "section_id long, field_id long, y0 long, x0 long"
+    fields = spark.createDataFrame([(0, 0, 0, 0), (0, 1, 0, 250), (0, 2, 0, 330), (0, 3, 0, 60)], at)
+    pairs = spark.createDataFrame([(0, f, i, i + 1, 4.0) for f in (0, 1, 2) for i in range(2)] + [(0, 3, 0, 1, 4.0)], "section_id long, field_id long, first long, second long, d2 double")
+    made = sections.PreparedSpots(None, None, fields, None, pairs.mapInPandas(tallied, pairs.schema))
+    sides = sections.spot_fine_tuning_fields(made, 330, least=1)
+    assert broadcasts(sides) == 0
+    assert sorted(map(tuple, sides.select("x0", "side").collect())) == [(0, "support"), (330, "selection")]
+    assert seen.value == 7
